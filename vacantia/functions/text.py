@@ -78,7 +78,7 @@ def html_unescape(col: Column) -> Column:
     ``&amp;`` is resolved last, so text such as ``&amp;lt;`` is unescaped once only.
     """
     names = {n: chr(c) for n, c in name2codepoint.items() if n != "amp"} | {"apos": "'"}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    table = F.str_to_map(F.lit(";".join(f"{n}={c}" for n, c in names.items())), F.lit(";"), F.lit("="))
 
     def swap(acc: Column, ref: Column) -> Column:
         body = F.regexp_extract(ref, r"^&#?([^;]*);$", 1)

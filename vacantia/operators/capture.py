@@ -55,7 +55,7 @@ def discover_boards(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all(text, F.lit(BOARD_IDENTITY), F.lit(2)).alias("board"),
     )
     named = pages.select("company", "page_id", F.posexplode(pairs).alias("pos", "pair"))
-    return named.groupBy("company", F.col("pair")["0"].alias("tenant"), F.col("pair")["1"].alias("board")).agg(
+    return named.groupBy("company", F.col("pair.tenant").alias("tenant"), F.col("pair.board").alias("board")).agg(
         F.min(F.struct("page_id", "pos")).alias("_first")
     ).select("company", "tenant", "board", F.col("_first.page_id").alias("page_id"), F.col("_first.pos").alias("pos"))
 

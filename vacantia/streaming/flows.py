@@ -67,7 +67,7 @@ class _Expiry(StatefulProcessor):
         self._handle = handle
         self._last = handle.getValueState("last", "ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         latest = max(int(frame["ms"].max()) for frame in rows)
         known = self._last.get()[0] if self._last.exists() else None
         if known is None or latest > known:
@@ -77,7 +77,7 @@ class _Expiry(StatefulProcessor):
             self._handle.registerTimer(latest + self._absence_ms)
         yield pd.DataFrame({"stable_key": [], "last_seen_ms": []}).astype({"stable_key": str, "last_seen_ms": "int64"})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = self._last.get()[0]
         self._last.clear()
         yield pd.DataFrame({"stable_key": [key[0]], "last_seen_ms": [last]})
