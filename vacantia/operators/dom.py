@@ -2,35 +2,39 @@
 
 The job turns a page into one row with two arrays in document order: ``elements`` and ``texts`` (the
 visible text nodes, trimmed). An element knows its parent, its last descendant and its range of texts, so
-text, ancestors, siblings and neighbours are built-in array expressions on that row: no operator on
-pages needs a shuffle, however many pages a board has.
+text, siblings and neighbours are built-in array expressions on that row: no operator on pages needs a
+shuffle, however many pages a board has. ``elements[seq]`` is a direct lookup; searches run over short lists
+(headings, anchors) that ``let`` binds once per page.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from vacantia.functions.text import let
+
 # Fixed values of HTML: elements without content, and elements whose text is not page text.
 VOID_ELEMENTS = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
 HIDDEN_ELEMENTS = frozenset(("script", "style", "template", "rt", "rp"))
+BOX_ELEMENTS = frozenset(("article", "li", "div"))
 JSON_LD = "application/ld+json"
 
 ELEMENT_TYPE = (
-    "struct<seq:int,parent:int,last:int,tag:string,attrs:map<string,string>,"
+    "struct<seq:int,parent:int,last:int,box:int,tag:string,attrs:map<string,string>,"
     "text_from:int,text_to:int,own:string,link:string>"
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 _ARROW_ELEMENT = pa.struct([
-    ("seq", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("tag", pa.string()),
+    ("seq", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("box", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text_from", pa.int32()), ("text_to", pa.int32()),
     ("own", pa.string()), ("link", pa.string()),
 ])
@@ -69,13 +73,20 @@ class _PageReader(HTMLParser):
         except ValueError:
             return None
 
+    def _box(self):
+        """The innermost open article, list item or division."""
+        if not self._open:
+            return 0
+        around = self._open[-1]
+        return around["seq"] if around["tag"] in BOX_ELEMENTS else around["box"]
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         attrs = {k: v or "" for k, v in attrs}
         element = {
             "seq": len(self.elements) + 1,
             "parent": self._open[-1]["seq"] if self._open else 0,
-            "last": len(self.elements) + 1, "tag": tag, "attrs": attrs,
+            "last": len(self.elements) + 1, "box": self._box(), "tag": tag, "attrs": attrs,
             "text_from": len(self.texts), "text_to": len(self.texts),
             "own": "" if tag == "script" and attrs.get("type") == JSON_LD else None,
             "link": self._link(attrs) if tag in ("a", "iframe") else None,
@@ -191,57 +202,58 @@ def find_first(*tags: str) -> Column:
     return first_of(find_all(*tags))
 
 
-def inside(element: Column, elements: Column) -> Column:
-    """Those of ``elements`` that lie inside ``element``."""
-    return F.filter(elements, lambda e: (e["seq"] > element["seq"]) & (e["seq"] <= element["last"]))
+def element(seq: Column) -> Column:
+    """The element with this number; null when there is none."""
+    return F.try_element_at(F.col("elements"), F.when(seq > 0, seq))
+
 
+def inside(outer: Column, elements: Column) -> Column:
+    """Those of ``elements`` that lie inside ``outer``."""
+    return F.filter(elements, lambda e: (e["seq"] > outer["seq"]) & (e["seq"] <= outer["last"]))
 
-def nearest_around(element: Column, elements: Column) -> Column:
-    """The innermost of ``elements`` that contains ``element``."""
-    return last_of(F.filter(elements, lambda e: (e["seq"] < element["seq"]) & (e["last"] >= element["seq"])))
 
+def next_sibling(e: Column) -> Column:
+    """The next element with the same parent: in document order, what follows the element's last descendant."""
+    return let(element(e["last"] + 1), lambda n: F.when(n["parent"] == e["parent"], n))
 
-def nearest_before(element: Column, elements: Column) -> Column:
-    return last_of(F.filter(elements, lambda e: e["seq"] < element["seq"]))
 
+def nearest_before(e: Column, elements: Column) -> Column:
+    return last_of(F.filter(elements, lambda x: x["seq"] < e["seq"]))
 
-def nearest_after(element: Column, elements: Column) -> Column:
-    return first_of(F.filter(elements, lambda e: e["seq"] > element["seq"]))
+
+def nearest_after(e: Column, elements: Column) -> Column:
+    return first_of(F.filter(elements, lambda x: x["seq"] > e["seq"]))
 
 
 def anchor_elements() -> Column:
     return F.filter("elements", lambda e: (e["tag"] == "a") & attr(e, "href").isNotNull())
 
 
-def page_links(parsed: DataFrame, keys: list[str], **context) -> DataFrame:
-    """One row per anchor: seq, href, link (absolute), label, and ``context`` computed from the anchor."""
-    def describe(e: Column) -> Column:
-        extra = [fn(e).alias(name) for name, fn in context.items()]
+def describe_each(items: Column, lists: dict[str, Column], describe: Callable[[Column, Column], Column]) -> Column:
+    """``describe(item, bound)`` for every item; the lists to search are computed once and bound by name."""
+    bound = F.struct(items.alias("_items"), *[lists[name].alias(name) for name in lists])
+    return let(bound, lambda b: F.transform(b["_items"], lambda e: describe(e, b)))
+
+
+def page_links(parsed: DataFrame, keys: list[str], lists: dict[str, Column] | None = None, **context) -> DataFrame:
+    """One row per anchor: seq, href, link (absolute), label, and ``context`` computed from (anchor, lists)."""
+    def describe(e: Column, bound: Column) -> Column:
+        extra = [fn(e, bound).alias(name) for name, fn in context.items()]
         return F.struct(
             e["seq"].alias("seq"), attr(e, "href").alias("href"), e["link"].alias("link"),
             element_text(e).alias("label"), *extra)
 
-    rows = parsed.select(*keys, F.explode(F.transform(anchor_elements(), describe)).alias("a"))
+    rows = parsed.select(*keys, F.explode(describe_each(anchor_elements(), lists or {}, describe)).alias("a"))
     return rows.select(*keys, "a.*")
 
 
-def previous_heading(element: Column, *tags: str) -> Column:
-    """Text of the nearest heading before an element, enclosing headings included."""
-    return element_text(nearest_before(element, find_all(*tags)))
-
-
-def next_link(element: Column) -> Column:
-    """The next anchor after an element's start."""
-    return nearest_after(element, anchor_elements())
-
-
 def outline(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Headings with the anchor that follows each of them."""
-    def describe(h: Column) -> Column:
-        after = next_link(h)
-        return F.struct(
+    def describe(h: Column, bound: Column) -> Column:
+        return let(nearest_after(h, bound["anchors"]), lambda after: F.struct(
             h["seq"].alias("seq"), h["tag"].alias("tag"), element_text(h).alias("title"),
-            attr(after, "href").alias("next_href"), element_text(after).alias("next_label"))
+            attr(after, "href").alias("next_href"), element_text(after).alias("next_label")))
 
-    rows = parsed.select(*keys, F.explode(F.transform(find_all(*HEADINGS), describe)).alias("h"))
+    heads = describe_each(find_all(*HEADINGS), {"anchors": anchor_elements()}, describe)
+    rows = parsed.select(*keys, F.explode(heads).alias("h"))
     return rows.select(*keys, "h.*")

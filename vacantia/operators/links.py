@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacantia.functions.text import (
-    first_non_empty, fragment_text, heading_url, last_path_part, non_empty, squash_ws, strip, synthetic_id,
+    first_non_empty, fragment_text, heading_url, last_path_part, let, non_empty, squash_ws, strip, synthetic_id,
     url_host, url_path,
 )
 from vacantia.operators import dom, jsonld
@@ -96,7 +96,7 @@ LINE_DATE = r"(?iuUd)Date:\s*([^\n]+)"
 LOCATION_TRIPLE = (
     r"(?Ud)(?:Work type:\s*[^·]+·?\s*)?([A-Za-z][A-Za-z .'-]+,\s*[A-Za-z .'-]+,\s*[A-Za-z .'-]+)"
 )
-DETAIL_BUDGET, ENTRY_LIMIT, EXTERNAL_LIMIT = 30, 3, 8
+DETAIL_BUDGET, ENTRY_LIMIT, EXTERNAL_LIMIT, INDIGO_LEVELS = 30, 3, 8, 6
 
 
 def _c(name: str) -> Column:
@@ -464,31 +464,33 @@ def hologic_jobs(parsed: DataFrame) -> DataFrame:
 
     A page without such a link falls back to headings followed by a details link.
     """
-    def box(e: Column) -> Column:
-        return dom.nearest_around(e, dom.find_all("article", "li", "div"))
-
-    def box_title(e: Column) -> Column:
-        return F.coalesce(dom.element_text(dom.first_of(dom.inside(box(e), dom.find_all("h2", "h3", "h4", "h5")))), F.lit(""))
+    def box_title(e: Column, lists: Column) -> Column:
+        return let(dom.element(e["box"]), lambda box: F.coalesce(
+            dom.element_text(dom.first_of(dom.inside(box, lists["heads"]))), F.lit("")))
 
     anchors = dom.page_links(
-        parsed, ["company", "page_url", "page_no"], box_title=box_title,
-        box_text=lambda e: dom.element_text(box(e)),
-        before=lambda e: dom.previous_heading(e, "h2", "h3", "h4", "h5"))
+        parsed, ["company", "page_url", "page_no"], {"heads": dom.find_all("h2", "h3", "h4", "h5")},
+        box_title=box_title, box_text=lambda e, _: dom.element_text(dom.element(e["box"])),
+        before=lambda e, lists: dom.element_text(dom.nearest_before(e, lists["heads"])))
     rows = anchors.filter(F.lower("label").contains("view detail")).withColumns({
         "title": first_non_empty(_c("box_title"), F.coalesce("before", F.lit(""))), "url": _c("link"),
     })
 
     def without(text: Column, part: Column) -> Column:
         at = F.instr(text, part)
-        return F.when((at > 0) & (part != ""), F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(part)))).otherwise(text)
+        rest = F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(part)))
+        return F.when((at > 0) & (part != ""), rest).otherwise(text)
 
     place = F.when(_c("box_title") != "", F.substring(strip(without(without(_c("box_text"), _c("box_title")), _c("label"))), 1, 180))
     primary = rows.filter(_c("title") != "").select(
         "company", "page_url", "page_no", "seq", "url", "title", F.coalesce(place, F.lit("")).alias("location"))
 
-    heads = F.transform(dom.find_all("h3", "h4"), lambda h: F.struct(
-        h["seq"].alias("seq"), dom.element_text(h).alias("title"), dom.next_link(h)["link"].alias("url"),
-        dom.element_text(dom.next_link(h)).alias("label")))
+    def describe(h: Column, lists: Column) -> Column:
+        return let(dom.nearest_after(h, lists["anchors"]), lambda after: F.struct(
+            h["seq"].alias("seq"), dom.element_text(h).alias("title"), after["link"].alias("url"),
+            dom.element_text(after).alias("label")))
+
+    heads = dom.describe_each(dom.find_all("h3", "h4"), {"anchors": dom.anchor_elements()}, describe)
     outline = parsed.select("company", "page_url", "page_no", F.explode(heads).alias("h")).select(
         "company", "page_url", "page_no", "h.*")
     second = outline.filter(
@@ -504,17 +506,22 @@ def hologic_jobs(parsed: DataFrame) -> DataFrame:
 
 def indigo_jobs(parsed: DataFrame, facts: DataFrame) -> DataFrame:
     """Application links; an empty or generic label takes the first heading inside the nearest of six ancestors."""
-    def around(e: Column) -> Column:
-        ancestors = F.filter("elements", lambda x: (x["seq"] < e["seq"]) & (x["last"] >= e["seq"]))
-        nearest = F.slice(F.reverse(ancestors), 1, 6)
-        heads = dom.find_all("h2", "h3", "h4", "h5", "h6")
-        titles = F.transform(nearest, lambda x: dom.element_text(dom.first_of(dom.inside(x, heads))))
-        return dom.first_of(F.filter(titles, lambda t: F.coalesce(t, F.lit("")) != ""))
-
-    anchors = dom.page_links(parsed, ["company", "page_url", "page_no"], around=around)
+    def around(e: Column, lists: Column) -> Column:
+        start = F.struct(e["parent"].alias("seq"), F.lit("").alias("title"))
+
+        def climb(state: Column, _: Column) -> Column:
+            return let(dom.element(state["seq"]), lambda outer: F.struct(
+                F.coalesce(outer["parent"], F.lit(0)).alias("seq"),
+                F.when(state["title"] != "", state["title"]).otherwise(F.coalesce(
+                    dom.element_text(dom.first_of(dom.inside(outer, lists["heads"]))), F.lit(""))).alias("title")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(INDIGO_LEVELS)), start, climb)["title"]
+
+    anchors = dom.page_links(
+        parsed, ["company", "page_url", "page_no"], {"heads": dom.find_all("h2", "h3", "h4", "h5", "h6")}, around=around)
     kept = anchors.filter(_c("link").rlike(INDIGO_JOB)).withColumn("url", _c("link"))
     generic = (_c("label") == "") | F.lower("label").isin(*INDIGO_NOT_TITLE)
-    kept = kept.withColumn("title", F.when(generic, F.coalesce("around", _c("label"))).otherwise(_c("label")))
+    kept = kept.withColumn("title", F.when(generic, first_non_empty(_c("around"), _c("label"))).otherwise(_c("label")))
     rows = _with_details(kept, facts).withColumn("title", first_non_empty(_c("heading"), _c("title")))
     titled = rows.filter(_c("title") != "").select(
         "company", "page_no", "seq", "url", F.substring("title", 1, 220).alias("title"))
@@ -538,13 +545,14 @@ def adaptive_jobs(parsed: DataFrame, site: str) -> DataFrame:
         capture_seq=_c("page_no").cast("bigint") * 1_000_000 + _c("pos"))
 
     def card(e: Column) -> Column:
-        return F.coalesce(dom.nearest_around(e, dom.find_all("article", "li", "div")), e)
+        return F.coalesce(dom.element(e["box"]), e)
 
-    def card_title(e: Column) -> Column:
-        return dom.element_text(dom.first_of(dom.inside(card(e), dom.find_all("h1", "h2", "h3", "h4"))))
+    def card_title(e: Column, lists: Column) -> Column:
+        return let(card(e), lambda box: dom.element_text(dom.first_of(dom.inside(box, lists["heads"]))))
 
-    anchors = dom.page_links(parsed, ["company", "page_url", "page_no"],
-                             card_text=lambda e: dom.element_text(card(e)), card_title=card_title)
+    anchors = dom.page_links(
+        parsed, ["company", "page_url", "page_no"], {"heads": dom.find_all("h1", "h2", "h3", "h4")},
+        card_text=lambda e, _: dom.element_text(card(e)), card_title=card_title)
     href, text, label = _c("href"), squash_ws(_c("card_text")), squash_ws(_c("label"))
     absolute = F.when(href.startswith("http"), href).when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(
         F.concat(F.lit(site + "/"), href))
@@ -564,28 +572,32 @@ def adaptive_jobs(parsed: DataFrame, site: str) -> DataFrame:
 
 def eligo_jobs(parsed: DataFrame) -> DataFrame:
     """Headings after "Current job openings" with a details link or a full-time line, then board links."""
-    heads = dom.find_all("h2", "h3")
-    marker = dom.first_of(F.filter(
-        dom.find_all("h1", "h2", "h3"), lambda h: F.lower(dom.element_text(h)).contains("current job openings")))
-
-    def describe(h: Column) -> Column:
+    def describe(h: Column, lists: Column) -> Column:
+        """A heading with the text and the details link up to the next heading beside it."""
         stop = dom.first_of(F.filter(
-            "elements", lambda x: (x["parent"] == h["parent"]) & (x["seq"] > h["last"]) & x["tag"].isin("h2", "h3")))
-        siblings = F.filter("elements", lambda x: (x["parent"] == h["parent"]) & (x["seq"] > h["last"])
-                            & (stop.isNull() | (x["seq"] < stop["seq"])))
-        parent = dom.first_of(F.filter("elements", lambda x: x["seq"] == h["parent"]))
-        until = F.coalesce(stop["text_from"], parent["text_to"], F.size("texts"))
-        links = F.transform(siblings, lambda s: dom.first_of(dom.inside(s, dom.anchor_elements())))
-        details = F.filter(links, lambda a: F.lower(dom.element_text(a)).contains("detail"))
-        after = dom.next_link(h)
-        after_link = F.when(F.lower(dom.element_text(after)).contains("detail"), after["link"])
+            lists["heads"], lambda x: (x["parent"] == h["parent"]) & (x["seq"] > h["last"])))
+        return let(F.struct(stop.alias("stop"), dom.element(h["parent"]).alias("parent"),
+                            dom.nearest_after(h, lists["anchors"]).alias("after")), lambda s: section(h, s, lists))
+
+    def section(h: Column, s: Column, lists: Column) -> Column:
+        end = F.coalesce(s["stop"]["seq"] - 1, s["parent"]["last"], F.size("elements"))
+        text_end = F.coalesce(s["stop"]["text_from"], s["parent"]["text_to"], F.size("texts"))
+        siblings = F.filter(F.slice("elements", h["last"] + 1, F.greatest(end - h["last"], F.lit(0))),
+                            lambda x: x["parent"] == h["parent"])
+        found = F.transform(siblings, lambda x: dom.first_of(dom.inside(x, lists["anchors"])))
+        details = F.filter(found, lambda a: F.lower(dom.element_text(a)).contains("detail"))
+        after = F.when(F.lower(dom.element_text(s["after"])).contains("detail"), s["after"]["link"])
+        nearby = F.slice(F.col("texts"), h["text_to"] + 1, F.greatest(text_end - h["text_to"], F.lit(0)))
         return F.struct(
-            h["seq"].alias("seq"), dom.element_text(h).alias("title"),
-            F.array_join(F.slice(F.col("texts"), h["text_to"] + 1, F.greatest(until - h["text_to"], F.lit(0))), " ").alias("nearby"),
-            F.coalesce(dom.last_of(details)["link"], after_link).alias("detail"))
+            h["seq"].alias("seq"), dom.element_text(h).alias("title"), F.array_join(nearby, " ").alias("nearby"),
+            F.coalesce(dom.last_of(details)["link"], after).alias("detail"))
 
-    rows = parsed.select("company", "page_url", "page_no", F.explode(F.transform(
-        F.filter(heads, lambda h: h["seq"] > marker["seq"]), describe)).alias("h")).select(
+    marker = dom.first_of(F.filter(
+        dom.find_all("h1", "h2", "h3"), lambda h: F.lower(dom.element_text(h)).contains("current job openings")))
+    heads = dom.find_all("h2", "h3")
+    listed = let(marker, lambda m: F.filter(heads, lambda h: h["seq"] > m["seq"]))
+    rows = parsed.select("company", "page_url", "page_no", F.explode(dom.describe_each(
+        listed, {"heads": heads, "anchors": dom.anchor_elements()}, describe)).alias("h")).select(
         "company", "page_url", "page_no", "h.*")
     low = F.lower("title")
     kept = rows.filter(
@@ -594,7 +606,9 @@ def eligo_jobs(parsed: DataFrame) -> DataFrame:
     named = kept.select(
         "company", "page_no", "seq", "title", F.coalesce("detail", heading_url(_c("page_url"), _c("title"))).alias("url"),
         F.when(F.lower("nearby").contains("paris"), F.lit("Paris")).otherwise(F.lit("")).alias("location"))
-    board = dom.page_links(parsed, ["company", "page_url", "page_no"], before=lambda e: dom.previous_heading(e, "h2", "h3"))
+    board = dom.page_links(
+        parsed, ["company", "page_url", "page_no"], {"heads": heads},
+        before=lambda e, lists: dom.element_text(dom.nearest_before(e, lists["heads"])))
     title = F.coalesce("before", "label")
     on_board = board.withColumn("title", title).filter(
         _c("link").contains("breezy.hr") & (_c("title") != "") & ~F.lower("title").isin(*ELIGO_SECTIONS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia.functions.text import heading_url, squash_ws, strip, synthetic_id
+from vacantia.functions.text import heading_url, let, squash_ws, strip, synthetic_id
 from vacantia.operators import dom
 from vacantia.operators.links import ADP_ROLE, first_by_url
 from vacantia.schemas import as_jobs
@@ -38,17 +38,19 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
     marker = dom.first_of(F.filter(
         dom.find_all("h1", "h2", "h3", "h4", "h5"), lambda h: dom.element_text(h).rlike(JOBS_MARKER)))
 
-    def describe(h: Column) -> Column:
-        sibling = dom.first_of(F.filter("elements", lambda x: (x["parent"] == h["parent"]) & (x["seq"] > h["last"])))
-        beside = dom.element_text(sibling)
-        usable = ~sibling["tag"].isin("h4", "h5") & (F.length(beside) > 0) & (F.length(beside) < 120)
-        return F.struct(
-            h["seq"].alias("seq"), dom.element_text(h).alias("title"),
-            F.coalesce(dom.previous_heading(h, "h1", "h2", "h3"), F.lit("")).alias("section"),
-            F.when(usable, beside).otherwise(F.lit("")).alias("location"))
+    def describe(h: Column, lists: Column) -> Column:
+        def with_sibling(sibling: Column) -> Column:
+            beside = dom.element_text(sibling)
+            usable = ~sibling["tag"].isin("h4", "h5") & (F.length(beside) > 0) & (F.length(beside) < 120)
+            section = dom.element_text(dom.nearest_before(h, lists["sections"]))
+            return F.struct(
+                h["seq"].alias("seq"), dom.element_text(h).alias("title"),
+                F.coalesce(section, F.lit("")).alias("section"), F.when(usable, beside).otherwise(F.lit("")).alias("location"))
+
+        return let(dom.next_sibling(h), with_sibling)
 
-    heads = F.transform(F.filter(
-        dom.find_all("h2", "h3", "h4", "h5", "h6"), lambda h: h["seq"] > marker["seq"]), describe)
+    listed = let(marker, lambda m: F.filter(dom.find_all("h2", "h3", "h4", "h5", "h6"), lambda h: h["seq"] > m["seq"]))
+    heads = dom.describe_each(listed, {"sections": dom.find_all("h1", "h2", "h3")}, describe)
     jobs = F.filter(heads, lambda h: (h["title"] != "") & (F.length(h["title"]) <= 180)
                     & ~F.lower(h["title"]).isin(*NOT_A_JOB))
     with_jobs = parsed.withColumn("_jobs", jobs)
@@ -132,23 +134,26 @@ def label_value(text: Column, pattern: str, cap: int | None = None) -> Column:
 def card_fields(parsed: DataFrame, card_class: str, title_class: str | None = None, link_tag: str = "a",
                 description_class: str | None = None, location_attribute: str | None = None) -> DataFrame:
     """Configured cards: title, link, description and location attribute of each element with ``card_class``."""
-    cards = F.filter("elements", lambda e: dom.has_class(e, card_class))
+    def with_class(class_name: str | None) -> Column:
+        return F.filter("elements", lambda e: dom.has_class(e, class_name) if class_name else F.lit(False))
 
-    def part(card: Column, class_name: str) -> Column:
-        return dom.first_of(dom.inside(card, F.filter("elements", lambda e: dom.has_class(e, class_name))))
+    lists = {
+        "titles": with_class(title_class), "descriptions": with_class(description_class),
+        "links": F.filter("elements", lambda e: (e["tag"] == link_tag) & dom.attr(e, "href").isNotNull()),
+    }
 
-    def describe(card: Column) -> Column:
-        title = part(card, title_class) if title_class else card
-        link = dom.first_of(dom.inside(card, F.filter(
-            "elements", lambda e: (e["tag"] == link_tag) & dom.attr(e, "href").isNotNull())))
-        text = dom.element_text(part(card, description_class)) if description_class else F.lit("")
+    def describe(card: Column, lists: Column) -> Column:
+        title = dom.first_of(dom.inside(card, lists["titles"])) if title_class else card
+        text = dom.element_text(dom.first_of(dom.inside(card, lists["descriptions"]))) if description_class else F.lit("")
         place = dom.attr(card, location_attribute) if location_attribute else F.lit("")
         return F.struct(
             card["seq"].alias("seq"), squash_ws(dom.element_text(title)).alias("label"),
-            link["link"].alias("url"), F.substring(squash_ws(text), 1, 16000).alias("description"),
+            dom.first_of(dom.inside(card, lists["links"]))["link"].alias("url"),
+            F.substring(squash_ws(text), 1, 16000).alias("description"),
             F.substring(strip(place), 1, 120).alias("location"))
 
-    rows = parsed.select("company", "page_url", "page_no", F.explode(F.transform(cards, describe)).alias("c")).select(
+    cards = dom.describe_each(with_class(card_class), lists, describe)
+    rows = parsed.select("company", "page_url", "page_no", F.explode(cards).alias("c")).select(
         "company", "page_url", "page_no", "c.*")
     return first_by_url(rows.filter((F.col("label") != "") & (F.coalesce("url", F.lit("")) != ""))).withColumn(
         "title", F.substring("label", 1, 180))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scoring_queries", "pay_queries", "history_queries", "board_queries")
+MODULES = ("scoring_queries", "pay_queries", "history_queries", "board_queries", "page_queries")
 
 
 def registered():
