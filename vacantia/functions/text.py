@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -13,6 +13,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def compute_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add costly columns so that later filters on them do not compute them a second time.
+
+    The optimizer moves a filter below a projection by repeating its expressions; it does not move one below
+    a generator, so the columns are generated as one row of one struct.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [F.col(name) for name in df.columns if name not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def squash_ws(col: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)\s+", " "))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacantia.functions.text import (
-    first_non_empty, fragment_text, heading_url, last_path_part, let, non_empty, squash_ws, strip, synthetic_id,
+    compute_once, first_non_empty, fragment_text, heading_url, last_path_part, let, non_empty, squash_ws, strip, synthetic_id,
     url_host, url_path,
 )
 from vacantia.operators import dom, jsonld
@@ -254,15 +254,13 @@ def detail_facts(details: DataFrame) -> DataFrame:
     parsed = dom.parse_pages(details.select("company", "url", "html"), url="url")
     heading = lambda *tags: dom.element_text(dom.find_first(*tags))
     main = F.coalesce(dom.find_first("main"), dom.find_first("body"))
-    return parsed.select(
-        "company", "url", F.lit(True).alias("captured"),
-        heading("h1").alias("h1"), heading("h1", "h2").alias("heading"),
-        F.coalesce(heading("h1"), heading("h2")).alias("h1_or_h2"),
-        dom.page_text().alias("text"), dom.page_text("\n").alias("lines"),
-        dom.element_text(main).alias("main_text"),
-        jsonld.first_posting(graph=False).alias("posting"),
-        jsonld.first_posting(graph=True).alias("graph_posting"),
-    )
+    facts = compute_once(parsed, {
+        "captured": F.lit(True),
+        "h1": heading("h1"), "heading": heading("h1", "h2"), "h1_or_h2": F.coalesce(heading("h1"), heading("h2")),
+        "text": dom.page_text(), "lines": dom.page_text("\n"), "main_text": dom.element_text(main),
+        "posting": jsonld.first_posting(graph=False), "graph_posting": jsonld.first_posting(graph=True),
+    })
+    return facts.drop("elements", "texts")
 
 
 def _with_details(links: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:

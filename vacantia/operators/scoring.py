@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
-
-import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vacantia.functions.regex import PatternError, any_match, java_pattern
-from vacantia.functions.text import strip
+from vacantia.functions.regex import PatternError, any_match, folded, java_pattern
+from vacantia.functions.text import compute_once, strip
 from vacantia.schemas import RULE_SCHEMA, text_or_empty
 
 # Category caps, default band limits, version label, reason labels and limits.
@@ -49,6 +49,16 @@ Profile = Mapping[str, object]
 Rules = Sequence[Mapping[str, object]] | None
 
 
+class RuleText(NamedTuple):
+    """Text that rules are searched in, and its folded form if that is at hand."""
+
+    text: Column
+    folded: Column | None = None
+
+    def has(self, patterns: Sequence[str] | None) -> Column:
+        return any_match(patterns, self.text, self.folded)
+
+
 def load_profile(path: str | None = None) -> dict:
     """Read a JSON or YAML profile; ``VACANTIA_PROFILE`` names the default file."""
     path = path or os.environ.get(PROFILE_VARIABLE, "")
@@ -64,11 +74,11 @@ def load_profile(path: str | None = None) -> dict:
         return yaml.safe_load(handle) or {}
 
 
-def first_match(text: Column, rules: Rules, value_key: str) -> Column:
+def first_match(text: RuleText, rules: Rules, value_key: str) -> Column:
     """Value of the first rule with a hit, else 0."""
     chain = None
     for rule in rules or []:
-        hit = any_match(rule.get("patterns"), text)
+        hit = text.has(rule.get("patterns"))
         value = F.lit(int(rule.get(value_key, 0)))
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return F.lit(0) if chain is None else chain.otherwise(F.lit(0))
@@ -78,35 +88,35 @@ def _sum(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(0))
 
 
-def category_score(text: Column, rules: Rules, cap: int) -> Column:
+def category_score(text: RuleText, rules: Rules, cap: int) -> Column:
     """Sum of the weights of all rules with a hit, at most ``cap``."""
     terms = [
-        F.when(any_match(rule.get("patterns"), text), F.lit(int(rule.get("weight", 0)))).otherwise(F.lit(0))
+        F.when(text.has(rule.get("patterns")), F.lit(int(rule.get("weight", 0)))).otherwise(F.lit(0))
         for rule in rules or []
     ]
     return F.least(F.lit(cap), _sum(terms))
 
 
-def penalties(title: Column, text: Column, rules: Rules) -> Column:
+def penalties(title: RuleText, text: RuleText, rules: Rules) -> Column:
     """Sum of adjustments. An absent pattern list counts as a hit; the 'unless' lists cancel a rule."""
     terms = []
     for rule in rules or []:
-        conditions = [any_match(rule[slot], col)
-                      for slot, col in (("title_patterns", title), ("text_patterns", text)) if rule.get(slot)]
-        conditions += [~any_match(rule[slot], col)
-                       for slot, col in (("unless_title_patterns", title), ("unless_text_patterns", text))
+        conditions = [target.has(rule[slot])
+                      for slot, target in (("title_patterns", title), ("text_patterns", text)) if rule.get(slot)]
+        conditions += [~target.has(rule[slot])
+                       for slot, target in (("unless_title_patterns", title), ("unless_text_patterns", text))
                        if rule.get(slot)]
         applies = reduce(and_, conditions, F.lit(True))
         terms.append(F.when(applies, F.lit(int(rule.get("adjustment", 0)))).otherwise(F.lit(0)))
     return _sum(terms)
 
 
-def interaction_bonus(title: Column, text: Column, rules: Rules) -> Column:
+def interaction_bonus(title: RuleText, text: RuleText, rules: Rules) -> Column:
     """Sum of bonuses of rules whose every pattern group has a hit; a rule without groups always applies."""
     terms = []
     for rule in rules or []:
-        groups = [any_match(group, col)
-                  for slot, col in (("all_title_pattern_groups", title), ("all_text_pattern_groups", text))
+        groups = [target.has(group)
+                  for slot, target in (("all_title_pattern_groups", title), ("all_text_pattern_groups", text))
                   for group in rule.get(slot) or []]
         applies = reduce(and_, groups, F.lit(True))
         terms.append(F.when(applies, F.lit(int(rule.get("bonus", 0)))).otherwise(F.lit(0)))
@@ -129,10 +139,25 @@ def band(total: Column, profile: Profile) -> Column:
     )
 
 
+def with_rule_text(df: DataFrame) -> DataFrame:
+    """Add the texts that rules read: ``_text`` and the folded forms of it and of the title."""
+    return df.withColumn("_text", posting_text()).withColumns({
+        "_text_folded": folded(F.col("_text")), "_title_folded": folded(F.col("title"))})
+
+
+RULE_TEXT_COLUMNS = ("_text", "_text_folded", "_title_folded")
+
+
+def rule_texts() -> tuple[RuleText, RuleText]:
+    """Title and text of rows made by ``with_rule_text``."""
+    return (RuleText(text_or_empty("title"), F.col("_title_folded")),
+            RuleText(F.col("_text"), F.col("_text_folded")))
+
+
 def with_score(df: DataFrame, profile: Profile) -> DataFrame:
     """Add the eight score components, penalty, total, band and scoring_version."""
-    title, text = text_or_empty("title"), F.col("_text")
-    scored = df.withColumn("_text", posting_text()).withColumns({
+    title, text = rule_texts()
+    components = {
         "role_fit": first_match(title, profile.get("role_rules"), "score"),
         **{
             name: category_score(text, profile.get(CATEGORY_SECTIONS[name]), cap)
@@ -142,10 +167,12 @@ def with_score(df: DataFrame, profile: Profile) -> DataFrame:
         "other_penalty": penalties(title, text, profile.get("penalty_rules"))
         + interaction_bonus(title, text, profile.get("interaction_rules")),
         "location_fit": F.lit(0),
-    })
+    }
+    # A threshold on the total must not run all patterns a second time.
+    scored = compute_once(with_rule_text(df), components).drop(*RULE_TEXT_COLUMNS)
     raw = _sum([F.col(name) for name in COMPONENTS])
     return (
-        scored.drop("_text")
+        scored
         .withColumns({
             "penalty": F.col("seniority_adjustment") + F.col("other_penalty"),
             "total": F.greatest(F.lit(0), F.least(F.lit(100), raw)),
@@ -183,15 +210,15 @@ def with_gate(df: DataFrame, profile: Profile) -> DataFrame:
 
 def with_rule_hits(df: DataFrame, profile: Profile) -> DataFrame:
     """Add ``rule_hits``: names of the rules that hit, as ``section/name``, in profile order."""
-    title, text = text_or_empty("title"), F.col("_text")
+    title, text = rule_texts()
     tests = []
     for section in PATTERN_SECTIONS:
         target = title if section in ("role_rules", "seniority_rules") else text
         for rule in profile.get(section) or []:
             label = F.lit(f"{section}/{rule.get('name')}")
-            tests.append(F.when(any_match(rule.get("patterns"), target), label))
+            tests.append(F.when(target.has(rule.get("patterns")), label))
     hits = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
-    return df.withColumn("_text", posting_text()).withColumn("rule_hits", hits).drop("_text")
+    return with_rule_text(df).withColumn("rule_hits", hits).drop(*RULE_TEXT_COLUMNS)
 
 
 def match_reasons(limit: int = REASON_LIMIT) -> Column:

@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession, types as T
 
 from vacantia.schemas import JOB_SCHEMA
-from pyspark.sql import types as T
+from vacantia.sources.tables import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+#: Tables whose rows are costly to work on (text, pages) or come in one row group.
+HEAVY_TABLES = ("documents", "pages", "orders", "part")
 #: Input views as SQL that Spark and the checking engine read alike; ``{name}`` is a table or a view.
 VIEWS: dict[str, str] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +38,14 @@ class Inputs:
     def __getitem__(self, name: str) -> DataFrame:
         if name in VIEWS:
             return self.sql(VIEWS[name])
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in HEAVY_TABLES else table
+
+    def pages_of(self, rows: DataFrame, *keys: str) -> GroupedData:
+        """Rows grouped to pages. The shuffle is the one the grouping needs anyway, but its partitions are
+        not merged afterwards, because the pages they hold are costly to parse."""
+        count = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return rows.repartition(count, *keys).groupBy(*keys)
 
     def sql(self, text: str) -> DataFrame:
         names = dict.fromkeys(_REFERENCE.findall(text))

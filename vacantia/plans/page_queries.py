@@ -50,18 +50,18 @@ def _page_links(inputs: Inputs) -> DataFrame:
     return anchors.groupBy(F.col("page_no").alias("page_id"), "href", "link", "label").agg(F.count("*").alias("n"))
 
 
+# Seeds: ten parts name a title each for the company of one page.
+view("title_seeds", """
+    SELECT p_partkey AS seq, CAST(floor(p_partkey / 10) AS BIGINT) AS company, left(p_name, 3) AS title, 'Here' AS default_location FROM {part}""")
+
+
 @query("seed_title_hit", """
-    SELECT t.k AS seq, p.url FROM (
-        SELECT k, split_part('en,fr,de,es', ',', CAST(k % 4 + 1 AS INTEGER)) AS company, left(name, 3) AS title FROM {items}) t
-    JOIN (SELECT url, regexp_extract(url, '^https?://[^/]*/([a-z]+)/', 1) AS company,
-                 lower(regexp_replace(regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '<br>', 'gs'), '<[^>]*>', ' ', 'g')) AS low
-          FROM {pages}) p ON p.company = t.company AND contains(low, lower(title))""")
+    SELECT t.seq, p.url FROM {title_seeds} t
+    JOIN (SELECT page_id, url, lower(regexp_replace(regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', '<br>', 'gs'), '<[^>]*>', ' ', 'g')) AS low
+          FROM {pages}) p ON p.page_id = t.company AND contains(low, lower(title))""")
 def _seed_title_hit(inputs: Inputs) -> DataFrame:
-    texts = web_pages(inputs).select("company", "page_url", dom.page_text().alias("text"))
-    seeds = inputs["items"].select(
-        F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es")), (_KEY % 4 + 1).cast("int")).alias("company"),
-        F.substring("name", 1, 3).alias("title"), F.lit("Here").alias("default_location"), _KEY.alias("seq"))
-    jobs = pages.seed_title_jobs(texts, seeds)
+    texts = web_pages(inputs).select(F.col("page_no").alias("company"), "page_url", dom.page_text().alias("text"))
+    jobs = pages.seed_title_jobs(texts, inputs["title_seeds"])
     return jobs.select(F.col("capture_seq").alias("seq"), "url")
 
 
@@ -115,7 +115,7 @@ def listing_pages(inputs: Inputs, platform: str) -> DataFrame:
     label = F.replace(F.col("label"), F.lit("&"), F.lit("&amp;"))
     item = F.concat(F.lit("<li><a class='job' href='"), "href", F.lit("'><b>"), label, F.lit("</b></a><br></li>"))
     rows = inputs[_ANCHORS[platform]].select("company", "board", "page_no", F.struct("seq", item.alias("html")).alias("item"))
-    listed = rows.groupBy("company", "board", "page_no").agg(
+    listed = inputs.pages_of(rows, "company", "board", "page_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["html"]), "\n").alias("list"))
     html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Jobs</title><style>a{}</style></head><body><h1>Jobs</h1><ul>"),
                     "list", F.lit("</ul></body></html>"))
@@ -322,7 +322,7 @@ def site_pages(inputs: Inputs) -> DataFrame:
         F.concat(F.lit("<a href='"), "href", F.lit("'>"), "label", F.lit("</a>")))
     rows = inputs["site_anchors"].select(
         "company", "page_url", F.floor(F.col("place") / 100000).alias("page_no"), F.struct("place", "href", tag.alias("html")).alias("item"))
-    body = rows.groupBy("company", "page_url", "page_no").agg(
+    body = inputs.pages_of(rows, "company", "page_url", "page_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["html"]), " ").alias("html"))
     return dom.parse_pages(body)
 
@@ -448,7 +448,7 @@ def heading_pages(inputs: Inputs) -> DataFrame:
         F.when(F.col("nr") == 11, F.lit("<h2>Open positions</h2>")).when(F.col("nr") == 40, F.lit("<h2>Our benefits</h2>")).otherwise(F.lit("")),
         F.lit("<h3>"), "title", F.lit("</h3>"), place,
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("<a href='/d/"), F.col("k").cast("string"), F.lit("'>View details</a>"))).otherwise(F.lit("")))
-    rows = inputs["heading_items"].groupBy("company", "board", "page_no").agg(F.array_join(F.transform(
+    rows = inputs.pages_of(inputs["heading_items"], "company", "board", "page_no").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("nr", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     return dom.parse_pages(rows.select(
         "company", F.concat(F.lit("https://"), "board", F.lit(".example.com/p"), F.col("page_no").cast("string")).alias("page_url"),
@@ -510,7 +510,7 @@ def _card_segments(inputs: Inputs) -> DataFrame:
     town = F.concat(F.initcap("kind"), F.lit(" Town, CA, US"))
     age = F.when(_KEY % 2 == 0, F.lit(" 19 days agoFull Time ")).otherwise(F.lit(" 2 months ago Temporary "))
     card = F.struct("k", F.concat("title", F.lit(" "), "id", F.lit(" | "), town, age).alias("text"))
-    texts = inputs["items"].groupBy("company", "page_no").agg(
+    texts = inputs.pages_of(inputs["items"], "company", "page_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(card)), lambda c: c["text"]), "").alias("list"))
     rows = texts.select("company", F.concat(F.lit("https://adp.example.com/"), F.col("page_no").cast("string")).alias("page_url"),
                         F.concat(F.lit("Welcome Oslo, NO, US Current Openings (5 of 9) Search "), "list", F.lit(" Copyright x, CA, US")).alias("text"))
@@ -533,7 +533,7 @@ def card_pages(inputs: Inputs) -> DataFrame:
         F.lit("</i></h3><p class='text'>"), "kind", F.lit("  &amp; more</p>"),
         F.when(_KEY % 4 != 3, F.concat(F.lit("<a href='/view/detail?id="), "id", F.lit("'>View details</a>"))).otherwise(F.lit("")),
         F.lit("</article>"))
-    rows = inputs["items"].groupBy("company", "board", "page_no").agg(F.array_join(F.transform(
+    rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     return dom.parse_pages(rows.select(
         "company", F.concat(F.lit("https://"), "board", F.lit(".example.com/careers/all")).alias("page_url"), "page_no",
@@ -569,7 +569,7 @@ def _links_adaptive(inputs: Inputs) -> DataFrame:
         F.lit("<li><h4>"), "title", F.lit(" "), "id", F.lit("</h4>"),
         F.when(_KEY % 4 != 3, F.concat(F.lit("<a href='apply/"), "id", F.lit("'>Learn more</a>"))).otherwise(F.lit("<a href='/about'>About</a>")),
         F.lit("</li>"))
-    rows = inputs["items"].groupBy("company", "page_no").agg(F.array_join(F.transform(
+    rows = inputs.pages_of(inputs["items"], "company", "page_no").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     parsed = dom.parse_pages(rows.select(
         "company", F.lit("https://www.example.com/list").alias("page_url"), "page_no", F.concat(F.lit("<ul>"), "list", F.lit("</ul>")).alias("html")))
@@ -587,7 +587,7 @@ def _links_indigo(inputs: Inputs) -> DataFrame:
         F.lit("<div><div><h5>"), "title", F.lit(" "), "id", F.lit("</h5></div><p><span><a href='/job-application/"), "id", F.lit("'>"),
         F.when(_KEY % 3 == 0, F.lit("Apply here")).when(_KEY % 3 == 1, F.concat("title", F.lit(" "), "id")).otherwise(F.lit("")),
         F.lit("</a></span></p></div><a href='/other'>x</a>"))
-    rows = inputs["items"].groupBy("company", "board", "page_no").agg(F.array_join(F.transform(
+    rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     site = F.concat(F.lit("https://"), "board", F.lit(".example.com"))
     parsed = dom.parse_pages(rows.select(
@@ -610,7 +610,7 @@ def _links_eligo(inputs: Inputs) -> DataFrame:
         F.when(_KEY % 3 == 0, F.concat(F.lit("<div>Paris <a href='/d/"), "id", F.lit("'>DETAILS</a></div>")))
         .when(_KEY % 3 == 1, F.concat(F.lit("Full Time "), F.when(_KEY % 2 == 0, F.lit("paris")).otherwise(F.lit("lyon")), F.lit("<a href='/x'>Apply</a>")))
         .otherwise(F.lit("<p>closed</p><a href='/x'>Apply</a>")))
-    rows = inputs["items"].groupBy("company", "board", "page_no").agg(F.array_join(F.transform(
+    rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     parsed = dom.parse_pages(rows.select(
         "company", F.concat(F.lit("https://"), "board", F.lit(".example.com/jobs")).alias("page_url"), "page_no",

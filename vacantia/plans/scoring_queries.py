@@ -74,8 +74,9 @@ for _name, _columns in {
             + CASE WHEN regexp_matches(concat(title, ' ', description), '@', 'i') AND NOT regexp_matches(title, 'er', 'i') THEN -5 ELSE 0 END) AS penalty
     FROM {postings}""")
 def _score_penalty(inputs: Inputs) -> DataFrame:
-    df = postings(inputs).withColumn("text", scoring.posting_text())
-    return df.select("source_id", scoring.penalties(F.col("title"), F.col("text"), PROFILE_A["penalty_rules"]).alias("penalty"))
+    title, text = scoring.rule_texts()
+    return scoring.with_rule_text(postings(inputs)).select(
+        "source_id", scoring.penalties(title, text, PROFILE_A["penalty_rules"]).alias("penalty"))
 
 
 @query("score_interaction", """
@@ -83,9 +84,10 @@ def _score_penalty(inputs: Inputs) -> DataFrame:
                 AND regexp_matches(concat(title, ' ', description), 'qu|wh', 'i') THEN 5 ELSE 0 END + 1 AS bonus
     FROM {postings}""")
 def _score_interaction(inputs: Inputs) -> DataFrame:
-    df = postings(inputs).withColumn("text", scoring.posting_text())
+    title, text = scoring.rule_texts()
     rules = [*PROFILE_A["interaction_rules"], {"name": "always", "bonus": 1}]
-    return df.select("source_id", scoring.interaction_bonus(F.col("title"), F.col("text"), rules).alias("bonus"))
+    return scoring.with_rule_text(postings(inputs)).select(
+        "source_id", scoring.interaction_bonus(title, text, rules).alias("bonus"))
 
 
 @query("rule_hits", r"""

@@ -17,6 +17,16 @@ def read_captures(spark: SparkSession, path: str, file_format: str = "parquet",
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan that has fewer partitions than there are cores, for work that is heavy per row.
+
+    A file with one huge row group is one task. A scan that already has a partition per core, as any large
+    table does, is left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
