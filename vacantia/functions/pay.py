@@ -122,7 +122,7 @@ def _pay(text, minimum, maximum, currency, period) -> Column:
 
 def _parts(found: Column, pattern: str, low: int, high: int, currency: int, period: int) -> Column:
     """The groups of one matched range; the amounts as numbers, the smaller one first."""
-    amounts = F.array_sort(F.array(
+    amounts = F.sort_array(F.array(
         pay_number(F.regexp_extract(found, pattern, low)), pay_number(F.regexp_extract(found, pattern, high))))
     return F.struct(
         amounts.alias("amounts"), F.regexp_extract(found, pattern, currency).alias("currency"),

@@ -9,6 +9,8 @@ shuffle, however many pages a board has. ``elements[seq]`` is a direct lookup; s
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -33,67 +35,95 @@ ELEMENT_TYPE = (
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
-_ARROW_ELEMENT = pa.struct([
-    ("seq", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("box", pa.int32()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text_from", pa.int32()), ("text_to", pa.int32()),
-    ("own", pa.string()), ("link", pa.string()),
-])
+# Plain links, which need no resolving: without dot segments, empty queries and fragments.
+_SITE = re.compile(r"https?://[A-Za-z0-9.:-]+(?=[/?#]|$)")
+_ABSOLUTE = re.compile(r"https?://[A-Za-z0-9.:-]+/[A-Za-z0-9_/=&%+~-]*(?:\?[A-Za-z0-9_/=&%+~.-]+)?")
+_ROOTED = re.compile(r"/(?!/)[A-Za-z0-9_/=&%+~-]*(?:\?[A-Za-z0-9_/=&%+~.-]+)?")
 #: Pages per output batch; bounds the Python worker's memory.
 _BATCH_PAGES = 200
 
 
+class _Nodes:
+    """Elements and texts of a batch of pages, column by column; ``starts`` mark where a page begins."""
+
+    def __init__(self):
+        self.seq, self.parent, self.last, self.box, self.tag = [], [], [], [], []
+        self.text_from, self.text_to, self.own, self.link = [], [], [], []
+        self.attr_names, self.attr_values, self.attr_starts = [], [], [0]
+        self.texts, self.starts, self.text_starts = [], [0], [0]
+
+    def arrays(self) -> tuple[pa.Array, pa.Array]:
+        numbers = [pa.array(c, pa.int32()) for c in (self.seq, self.parent, self.last, self.box)]
+        attrs = pa.MapArray.from_arrays(
+            pa.array(self.attr_starts, pa.int32()), pa.array(self.attr_names, pa.string()), pa.array(self.attr_values, pa.string()))
+        ranges = [pa.array(c, pa.int32()) for c in (self.text_from, self.text_to)]
+        ends = [pa.array(c, pa.string()) for c in (self.own, self.link)]
+        names = ["seq", "parent", "last", "box", "tag", "attrs", "text_from", "text_to", "own", "link"]
+        elements = pa.StructArray.from_arrays([*numbers, pa.array(self.tag, pa.string()), attrs, *ranges, *ends], names=names)
+        return (pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), elements),
+                pa.ListArray.from_arrays(pa.array(self.text_starts, pa.int32()), pa.array(self.texts, pa.string())))
+
+
 class _PageReader(HTMLParser):
-    """Collects elements and text nodes of one page."""
+    """Appends the elements and text nodes of one page to ``nodes``."""
 
-    def __init__(self, base_url: str | None):
+    def __init__(self, nodes: _Nodes, base_url: str | None):
         super().__init__(convert_charrefs=True)
-        self.base_url = base_url or ""
-        self.elements, self.texts = [], []
-        self._open, self._buffer, self._hidden = [], [], 0
+        self.nodes, self.base_url = nodes, base_url or ""
+        site = _SITE.match(self.base_url)
+        self._site = site.group() if site else ""
+        self._start, self._text_start = len(nodes.seq), len(nodes.texts)
+        self._open, self._open_tags, self._buffer, self._hidden = [], Counter(), [], 0
 
     def _flush(self):
+        if not self._buffer:
+            return
         text = "".join(self._buffer)
         self._buffer.clear()
-        if not text:
-            return
         if self._hidden:
-            for element in reversed(self._open):
-                if element["own"] is not None:
-                    element["own"] += text
-                    break
-        elif text.strip():
-            self.texts.append(text.strip())
+            at = self._open[-1]
+            if self.nodes.own[at] is not None:
+                self.nodes.own[at] += text
+        else:
+            text = text.strip()
+            if text:
+                self.nodes.texts.append(text)
 
     def _link(self, attrs):
         target = attrs.get("href") or attrs.get("src")
         if target is None:
             return None
+        if _ABSOLUTE.fullmatch(target):
+            return target
+        if _ROOTED.fullmatch(target) and self._site:
+            return self._site + target
         try:
             return urljoin(self.base_url, target)
         except ValueError:
             return None
 
-    def _box(self):
-        """The innermost open article, list item or division."""
-        if not self._open:
-            return 0
-        around = self._open[-1]
-        return around["seq"] if around["tag"] in BOX_ELEMENTS else around["box"]
-
     def handle_starttag(self, tag, attrs):
         self._flush()
-        attrs = {k: v or "" for k, v in attrs}
-        element = {
-            "seq": len(self.elements) + 1,
-            "parent": self._open[-1]["seq"] if self._open else 0,
-            "last": len(self.elements) + 1, "box": self._box(), "tag": tag, "attrs": attrs,
-            "text_from": len(self.texts), "text_to": len(self.texts),
-            "own": "" if tag == "script" and attrs.get("type") == JSON_LD else None,
-            "link": self._link(attrs) if tag in ("a", "iframe") else None,
-        }
-        self.elements.append(element)
+        nodes, attrs = self.nodes, {k: v or "" for k, v in attrs}
+        at = len(nodes.seq)
+        seq, texts = at - self._start + 1, len(nodes.texts) - self._text_start
+        around = self._open[-1] if self._open else None
+        nodes.seq.append(seq)
+        nodes.last.append(seq)
+        nodes.parent.append(0 if around is None else nodes.seq[around])
+        # The innermost open article, list item or division.
+        nodes.box.append(0 if around is None else nodes.seq[around] if nodes.tag[around] in BOX_ELEMENTS else nodes.box[around])
+        nodes.tag.append(tag)
+        nodes.text_from.append(texts)
+        nodes.text_to.append(texts)
+        nodes.own.append("" if tag == "script" and attrs.get("type") == JSON_LD else None)
+        nodes.link.append(self._link(attrs) if tag == "a" or tag == "iframe" else None)
+        nodes.attr_names.extend(attrs)
+        nodes.attr_values.extend(attrs.values())
+        nodes.attr_starts.append(len(nodes.attr_names))
         if tag not in VOID_ELEMENTS:
-            self._open.append(element)
+            self._open.append(at)
+            self._open_tags[tag] += 1
             self._hidden += tag in HIDDEN_ELEMENTS
 
     def handle_startendtag(self, tag, attrs):
@@ -103,15 +133,17 @@ class _PageReader(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(element["tag"] == tag for element in self._open):
-            while self._close()["tag"] != tag:
+        if self._open_tags[tag]:
+            while self._close() != tag:
                 pass
 
     def _close(self):
-        element = self._open.pop()
-        element["last"], element["text_to"] = len(self.elements), len(self.texts)
-        self._hidden -= element["tag"] in HIDDEN_ELEMENTS
-        return element
+        nodes, at = self.nodes, self._open.pop()
+        tag = nodes.tag[at]
+        nodes.last[at], nodes.text_to[at] = len(nodes.seq) - self._start, len(nodes.texts) - self._text_start
+        self._open_tags[tag] -= 1
+        self._hidden -= tag in HIDDEN_ELEMENTS
+        return tag
 
     def handle_data(self, data):
         self._buffer.append(data)
@@ -134,7 +166,8 @@ class _PageReader(HTMLParser):
         self._flush()
         while self._open:
             self._close()
-        return self
+        self.nodes.starts.append(len(self.nodes.seq))
+        self.nodes.text_starts.append(len(self.nodes.texts))
 
 
 def parse_pages(pages: DataFrame, html: str = "html", url: str = "page_url") -> DataFrame:
@@ -146,19 +179,11 @@ def parse_pages(pages: DataFrame, html: str = "html", url: str = "page_url") ->
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, _BATCH_PAGES):
-                batch = whole.slice(start, _BATCH_PAGES)
-                elements, texts = [], []
-                for body, base in zip(batch.column(html), batch.column(url)):
-                    page = _PageReader(base.as_py()).read(body.as_py() or "")
-                    for element in page.elements:
-                        element["attrs"] = list(element["attrs"].items())
-                    elements.append(page.elements)
-                    texts.append(page.texts)
+                batch, nodes = whole.slice(start, _BATCH_PAGES), _Nodes()
+                for body, base in zip(batch.column(html).to_pylist(), batch.column(url).to_pylist()):
+                    _PageReader(nodes, base).read(body or "")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(n) for n in names]
-                    + [pa.array(elements, pa.list_(_ARROW_ELEMENT)), pa.array(texts, pa.list_(pa.string()))],
-                    names=names + ["elements", "texts"],
-                )
+                    [*[batch.column(n) for n in names], *nodes.arrays()], names=[*names, "elements", "texts"])
 
     return pages.mapInArrow(parse, schema)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia.functions.text import first_non_empty, fragment_text, non_empty, squash_ws
+from vacantia.functions.text import first_non_empty, fragment_text, let, non_empty, squash_ws
 from vacantia.operators.dom import JSON_LD, attr
 from vacantia.schemas import as_jobs
 
@@ -58,7 +58,8 @@ def first_location(item: Column) -> Column:
     """Address of the first job location; a location without an address may hold the parts itself."""
     place = F.when(_list(item, "$.jobLocation").isNotNull(), _variant(item, "$.jobLocation[0]")).otherwise(
         _variant(item, "$.jobLocation"))
-    return F.when(_variant(place, "$.address").isNull(), _address(place, "$")).otherwise(_address(place, "$.address"))
+    return let(place, lambda p: F.when(
+        _variant(p, "$.address").isNull(), _address(p, "$")).otherwise(_address(p, "$.address")))
 
 
 def all_locations(item: Column) -> Column:
@@ -69,7 +70,7 @@ def all_locations(item: Column) -> Column:
         return F.when(~F.coalesce(empty, F.lit(False)), _variant(item, path))
 
     chosen = F.coalesce(filled("$.jobLocation"), filled("$.applicantLocationRequirements"))
-    places = F.coalesce(_list(chosen, "$"), F.array(chosen))
+    places = let(chosen, lambda c: F.coalesce(_list(c, "$"), F.array(c)))
 
     def show(place: Column) -> Column:
         address = _object(place, "$.address")
@@ -106,7 +107,11 @@ def employment_type(item: Column) -> Column:
 
 def posting_struct(item: Column) -> Column:
     """The fields of a posting as a plain struct; null when there is no posting."""
-    fields = F.struct(
+    return let(item, lambda posting: F.when(posting.isNotNull(), _fields(posting)))
+
+
+def _fields(item: Column) -> Column:
+    return F.struct(
         F.coalesce(_string(item, "$.title"), F.lit("")).alias("title"),
         F.coalesce(_string(item, "$.url"), F.lit("")).alias("url"),
         identifier(item).alias("identifier"),
@@ -118,7 +123,6 @@ def posting_struct(item: Column) -> Column:
         all_locations(item).alias("all_locations"),
         salary_text(item).alias("salary"),
     )
-    return F.when(item.isNotNull(), fields)
 
 
 def first_posting(graph: bool = True) -> Column:

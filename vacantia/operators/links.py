@@ -7,6 +7,7 @@ aggregate that combines on the map side, so a URL repeated on every page is no h
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -104,10 +105,8 @@ def _c(name: str) -> Column:
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | text.contains(word)
-    return found
+    """True when the text holds one of the words, in one search."""
+    return text.rlike("|".join(re.escape(word) for word in words))
 
 
 def _low() -> Column:
@@ -249,16 +248,20 @@ def links_to_jobs(anchors: DataFrame, platform: str) -> DataFrame:
 
 # ---- detail pages ---------------------------------------------------------------------------------------
 
-def detail_facts(details: DataFrame) -> DataFrame:
-    """What postings need from captured detail pages (company, url, html), one row per page."""
+def detail_facts(details: DataFrame, graph: bool | None = None) -> DataFrame:
+    """What postings need from captured detail pages (company, url, html), one row per page.
+
+    ``graph`` asks for the first JSON-LD posting too: False without, True with the nodes of ``@graph``.
+    """
     parsed = dom.parse_pages(details.select("company", "url", "html"), url="url")
+    if graph is not None:
+        parsed = compute_once(parsed, {"posting": jsonld.first_posting(graph)})
     heading = lambda *tags: dom.element_text(dom.find_first(*tags))
     main = F.coalesce(dom.find_first("main"), dom.find_first("body"))
-    facts = compute_once(parsed, {
+    facts = parsed.withColumns({
         "captured": F.lit(True),
         "h1": heading("h1"), "heading": heading("h1", "h2"), "h1_or_h2": F.coalesce(heading("h1"), heading("h2")),
         "text": dom.page_text(), "lines": dom.page_text("\n"), "main_text": dom.element_text(main),
-        "posting": jsonld.first_posting(graph=False), "graph_posting": jsonld.first_posting(graph=True),
     })
     return facts.drop("elements", "texts")
 
@@ -306,7 +309,7 @@ def location_triple(text: Column) -> Column:
 def kula_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     """JSON-LD of the detail page, else its heading and text; without a detail or a title there is no posting."""
     rows = _with_details(policy_links(anchors, POLICIES["kula"]), facts, "inner")
-    p = _c("graph_posting")
+    p = _c("posting")
     own, text = p.isNotNull(), squash_ws(_c("text"))
     title = F.when(own, first_non_empty(squash_ws(p["title"]), squash_ws(_c("h1_or_h2")))).otherwise(squash_ws(_c("h1_or_h2")))
     rows = rows.withColumn("title", title).filter(_c("title") != "")
@@ -416,15 +419,21 @@ def browser_heading_jobs(parsed: DataFrame) -> DataFrame:
 
 def entry_links(anchors: DataFrame, own_terms: tuple[str, ...] = (), limit: int = ENTRY_LIMIT) -> DataFrame:
     """First ``limit`` distinct links whose label leads to a job list, for companies without any job link."""
-    found = anchors.filter(_browser_keep()).select("company").distinct()
     label = _c("label")
     match = label.rlike(ENTRY_TEXT)
     for term in own_terms:
         match = match | F.lower(label).contains(term.lower())
-    entries = anchors.filter((_c("href") != "") & ~is_generic(label) & match).withColumn("url", _c("link"))
-    open_ones = entries.select("company", "url", "label", "page_no", "seq").join(found, "company", "left_anti")
-    rank = F.row_number().over(Window.partitionBy("company").orderBy("page_no", "seq"))
-    return first_by_url(open_ones).withColumn("rank", rank).filter(_c("rank") <= limit)
+    # Null flags (a link that could not be resolved) count as no.
+    flagged = anchors.select(
+        "company", _c("link").alias("url"), "label", "page_no", "seq",
+        F.coalesce(_browser_keep(), F.lit(False)).alias("is_job"),
+        F.coalesce((_c("href") != "") & ~is_generic(label) & match, F.lit(False)).alias("is_entry"))
+    # One pass: job links sort first, so a company that has any shows it among its first rows.
+    first = first_by_url(flagged.filter(_c("is_job") | _c("is_entry")), "company", "url", "is_job")
+    by_company = Window.partitionBy("company")
+    rank = F.row_number().over(by_company.orderBy(F.desc("is_job"), "page_no", "seq"))
+    top = first.withColumn("rank", rank).filter(_c("rank") <= limit)
+    return top.withColumn("_jobs", F.max("is_job").over(by_company)).filter(~_c("_jobs")).drop("_jobs", "is_job", "is_entry")
 
 
 def external_links(anchors: DataFrame, limit: int = EXTERNAL_LIMIT) -> DataFrame:

@@ -232,7 +232,7 @@ def match_reasons(limit: int = REASON_LIMIT) -> Column:
         for position, (name, cap, label) in enumerate(REASONS)
     ])
     strong = F.filter(entries, lambda e: -e["rank"] >= REASON_MIN_FRACTION)
-    return F.transform(F.slice(F.array_sort(strong), 1, limit), lambda e: e["label"])
+    return F.transform(F.slice(F.sort_array(strong), 1, limit), lambda e: e["label"])
 
 
 def profile_patterns(spark: SparkSession, profile: Profile) -> DataFrame:

@@ -33,7 +33,7 @@ def _captures(inputs: Inputs, platform: str, item: Column, key: str | None, bare
     """Captured pages of a platform; pages for which ``bare`` holds are lists without an enclosing object."""
     rows = inputs["item_text"].select("company", "board", "page_no", "k", F.to_json(item).alias("json"))
     pages = rows.groupBy("company", "board", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "json"))), lambda r: r["json"]), ",").alias("list"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "json"))), lambda r: r["json"]), ",").alias("list"))
     listed = F.concat(F.lit("["), "list", F.lit("]"))
     body = listed if key is None else F.concat(F.lit(f'{{"{key}":'), listed, F.lit(',"total":0}'))
     if bare is not None:
@@ -224,7 +224,7 @@ def workday_captures(inputs: Inputs) -> tuple[DataFrame, DataFrame]:
         F.when(_KEY % 2 == 0, F.array(F.concat(F.lit("R-"), F.col("id")))).alias("bulletFields"))
     rows = inputs["workday_items"].select("company", "at_page", "k", F.to_json(item).alias("json"))
     pages = rows.groupBy("company", "at_page").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "json"))), lambda r: r["json"]), ",").alias("list"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "json"))), lambda r: r["json"]), ",").alias("list"))
     listing = pages.select(
         "company", F.col("at_page").alias("page_no"), F.lit("workday").alias("platform"),
         F.lit("https://wd.example.com/en-US/board").alias("public_base"),

@@ -116,7 +116,7 @@ def listing_pages(inputs: Inputs, platform: str) -> DataFrame:
     item = F.concat(F.lit("<li><a class='job' href='"), "href", F.lit("'><b>"), label, F.lit("</b></a><br></li>"))
     rows = inputs[_ANCHORS[platform]].select("company", "board", "page_no", F.struct("seq", item.alias("html")).alias("item"))
     listed = inputs.pages_of(rows, "company", "board", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["html"]), "\n").alias("list"))
+        F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda i: i["html"]), "\n").alias("list"))
     html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Jobs</title><style>a{}</style></head><body><h1>Jobs</h1><ul>"),
                     "list", F.lit("</ul></body></html>"))
     return dom.parse_pages(listed.select(
@@ -135,7 +135,7 @@ view("detail_text", """
            k % 5 <> 4 AS captured, k % 3 AS form FROM {items}""")
 
 
-def detail_facts(inputs: Inputs, platform: str) -> DataFrame:
+def detail_facts(inputs: Inputs, platform: str, graph: bool | None = None) -> DataFrame:
     """Detail pages of four of five postings: JSON-LD, with a heading, or without one, by key."""
     rows = inputs["detail_text"].filter("captured")
     rows = rows.join(
@@ -160,7 +160,7 @@ def detail_facts(inputs: Inputs, platform: str) -> DataFrame:
     plain = F.substring_index("url_", "?", 1) if platform in ("successfactors", "kula") else F.col("url_")
     return links.detail_facts(rows.select(
         "company", plain.alias("url"),
-        F.concat(F.lit("<html><head><title>Careers</title></head><body>"), page, F.lit("</body></html>")).alias("html")))
+        F.concat(F.lit("<html><head><title>Careers</title></head><body>"), page, F.lit("</body></html>")).alias("html")), graph)
 
 
 def _jobs(df: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ _SALARY = "CASE WHEN k % 2 = 0 THEN concat('USD ', low, '-', high, ' / YEAR') EL
         compensation=f"CASE WHEN {_LD} THEN {_SALARY} ELSE '' END"),
     url="split_part(link, '?', 1)", where="captured AND form <> 2"))
 def _links_kula(inputs: Inputs) -> DataFrame:
-    return _jobs(links.kula_jobs(listing_anchors(inputs, "kula"), detail_facts(inputs, "kula")))
+    return _jobs(links.kula_jobs(listing_anchors(inputs, "kula"), detail_facts(inputs, "kula", graph=True)))
 
 
 @query("links_oracle", _detailed("oracle", "label <> '' AND regexp_matches(href, '/job/([^/]+/)?[0-9]+/?|/jobs/[^?#]+', 'i')", job_columns(
@@ -251,7 +251,7 @@ def _links_kula(inputs: Inputs) -> DataFrame:
     location=f"CASE WHEN {_LD} AND k % 2 = 0 THEN concat(city, ', US') ELSE '' END",
     description=f"CASE WHEN {_LD} THEN concat('Posted & ', kind) WHEN captured THEN text ELSE '' END")))
 def _links_oracle(inputs: Inputs) -> DataFrame:
-    return _jobs(links.oracle_jobs(listing_anchors(inputs, "oracle"), detail_facts(inputs, "oracle")))
+    return _jobs(links.oracle_jobs(listing_anchors(inputs, "oracle"), detail_facts(inputs, "oracle", graph=False)))
 
 
 @query("links_foundation", _detailed("foundation", "label <> '' AND contains(href, '/jobs/')", job_columns(
@@ -260,7 +260,7 @@ def _links_oracle(inputs: Inputs) -> DataFrame:
     location=f"CASE WHEN {_LD} AND k % 2 = 0 THEN concat(city, ', US') ELSE '' END",
     description=f"CASE WHEN {_LD} THEN concat('Posted & ', kind) ELSE replace(text, 'Careers ', '') END"), where="captured"))
 def _links_foundation(inputs: Inputs) -> DataFrame:
-    return _jobs(links.foundation_jobs(listing_anchors(inputs, "foundation"), detail_facts(inputs, "foundation")))
+    return _jobs(links.foundation_jobs(listing_anchors(inputs, "foundation"), detail_facts(inputs, "foundation", graph=False)))
 
 
 _BUDGETED = """
@@ -280,7 +280,7 @@ _CAREER = _BUDGETED % _first_links(
     description="CASE WHEN c AND form = 0 THEN concat('Posted & ', kind) WHEN c THEN text ELSE '' END") + f" FROM ({_CAREER}) x")
 def _links_career_page(inputs: Inputs) -> DataFrame:
     return _jobs(links.career_page_jobs(
-        listing_anchors(inputs, "career_page"), detail_facts(inputs, "career_page"), budget=40))
+        listing_anchors(inputs, "career_page"), detail_facts(inputs, "career_page", graph=False), budget=40))
 
 
 _BROWSER = _first_links("browser", "link <> '' AND NOT contains(lower(concat(label, ' ', link)), 'privacy') AND (contains(link, '/positions/') OR contains(link, 'greenhouse.io'))")
@@ -323,7 +323,7 @@ def site_pages(inputs: Inputs) -> DataFrame:
     rows = inputs["site_anchors"].select(
         "company", "page_url", F.floor(F.col("place") / 100000).alias("page_no"), F.struct("place", "href", tag.alias("html")).alias("item"))
     body = inputs.pages_of(rows, "company", "page_url", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda i: i["html"]), " ").alias("html"))
+        F.array_join(F.transform(F.sort_array(F.collect_list("item")), lambda i: i["html"]), " ").alias("html"))
     return dom.parse_pages(body)
 
 
@@ -449,7 +449,7 @@ def heading_pages(inputs: Inputs) -> DataFrame:
         F.lit("<h3>"), "title", F.lit("</h3>"), place,
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("<a href='/d/"), F.col("k").cast("string"), F.lit("'>View details</a>"))).otherwise(F.lit("")))
     rows = inputs.pages_of(inputs["heading_items"], "company", "board", "page_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("nr", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
+        F.sort_array(F.collect_list(F.struct("nr", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     return dom.parse_pages(rows.select(
         "company", F.concat(F.lit("https://"), "board", F.lit(".example.com/p"), F.col("page_no").cast("string")).alias("page_url"),
         "page_no", F.concat(F.lit("<body><div>"), "list", F.lit("</div></body>")).alias("html")))
@@ -511,7 +511,7 @@ def _card_segments(inputs: Inputs) -> DataFrame:
     age = F.when(_KEY % 2 == 0, F.lit(" 19 days agoFull Time ")).otherwise(F.lit(" 2 months ago Temporary "))
     card = F.struct("k", F.concat("title", F.lit(" "), "id", F.lit(" | "), town, age).alias("text"))
     texts = inputs.pages_of(inputs["items"], "company", "page_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(card)), lambda c: c["text"]), "").alias("list"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(card)), lambda c: c["text"]), "").alias("list"))
     rows = texts.select("company", F.concat(F.lit("https://adp.example.com/"), F.col("page_no").cast("string")).alias("page_url"),
                         F.concat(F.lit("Welcome Oslo, NO, US Current Openings (5 of 9) Search "), "list", F.lit(" Copyright x, CA, US")).alias("text"))
     return pages.card_segments(rows).select("company", "title", "location")
@@ -534,7 +534,7 @@ def card_pages(inputs: Inputs) -> DataFrame:
         F.when(_KEY % 4 != 3, F.concat(F.lit("<a href='/view/detail?id="), "id", F.lit("'>View details</a>"))).otherwise(F.lit("")),
         F.lit("</article>"))
     rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
+        F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     return dom.parse_pages(rows.select(
         "company", F.concat(F.lit("https://"), "board", F.lit(".example.com/careers/all")).alias("page_url"), "page_no",
         F.concat(F.lit("<body><section>"), "list", F.lit("</section></body>")).alias("html")))
@@ -570,7 +570,7 @@ def _links_adaptive(inputs: Inputs) -> DataFrame:
         F.when(_KEY % 4 != 3, F.concat(F.lit("<a href='apply/"), "id", F.lit("'>Learn more</a>"))).otherwise(F.lit("<a href='/about'>About</a>")),
         F.lit("</li>"))
     rows = inputs.pages_of(inputs["items"], "company", "page_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
+        F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     parsed = dom.parse_pages(rows.select(
         "company", F.lit("https://www.example.com/list").alias("page_url"), "page_no", F.concat(F.lit("<ul>"), "list", F.lit("</ul>")).alias("html")))
     return _jobs(links.adaptive_jobs(parsed, "https://www.example.com"))
@@ -588,7 +588,7 @@ def _links_indigo(inputs: Inputs) -> DataFrame:
         F.when(_KEY % 3 == 0, F.lit("Apply here")).when(_KEY % 3 == 1, F.concat("title", F.lit(" "), "id")).otherwise(F.lit("")),
         F.lit("</a></span></p></div><a href='/other'>x</a>"))
     rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
+        F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     site = F.concat(F.lit("https://"), "board", F.lit(".example.com"))
     parsed = dom.parse_pages(rows.select(
         "company", F.concat(site, F.lit("/careers")).alias("page_url"), "page_no", F.concat(F.lit("<main>"), "list", F.lit("</main>")).alias("html")))
@@ -611,7 +611,7 @@ def _links_eligo(inputs: Inputs) -> DataFrame:
         .when(_KEY % 3 == 1, F.concat(F.lit("Full Time "), F.when(_KEY % 2 == 0, F.lit("paris")).otherwise(F.lit("lyon")), F.lit("<a href='/x'>Apply</a>")))
         .otherwise(F.lit("<p>closed</p><a href='/x'>Apply</a>")))
     rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
+        F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     parsed = dom.parse_pages(rows.select(
         "company", F.concat(F.lit("https://"), "board", F.lit(".example.com/jobs")).alias("page_url"), "page_no",
         F.concat(F.lit("<body><h3>Before</h3>Full time<h2>Current Job Openings</h2>"), "list", F.lit("</body>")).alias("html")))
