@@ -90,9 +90,9 @@ class _PageReader(HTMLParser):
                 self.nodes.texts.append(text)
 
     def _link(self, attrs):
-        target = attrs.get("href") or attrs.get("src")
-        if target is None:
+        if "href" not in attrs and "src" not in attrs:
             return None
+        target = attrs.get("href") or attrs.get("src") or ""
         if _ABSOLUTE.fullmatch(target):
             return target
         if _ROOTED.fullmatch(target) and self._site:

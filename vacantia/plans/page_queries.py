@@ -442,10 +442,10 @@ view("heading_items", """
 
 
 def heading_pages(inputs: Inputs) -> DataFrame:
-    """Company pages: ten headings, the marker, headings with a place beside them, from the 40th on benefits."""
+    """Company pages: three headings, the marker, headings with a place beside them, from the 12th on benefits."""
     place = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<p>"), "city", F.lit("</p>"))).otherwise(F.lit("<h4></h4>"))
     item = F.concat(
-        F.when(F.col("nr") == 11, F.lit("<h2>Open positions</h2>")).when(F.col("nr") == 40, F.lit("<h2>Our benefits</h2>")).otherwise(F.lit("")),
+        F.when(F.col("nr") == 4, F.lit("<h2>Open positions</h2>")).when(F.col("nr") == 12, F.lit("<h2>Our benefits</h2>")).otherwise(F.lit("")),
         F.lit("<h3>"), "title", F.lit("</h3>"), place,
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("<a href='/d/"), F.col("k").cast("string"), F.lit("'>View details</a>"))).otherwise(F.lit("")))
     rows = inputs.pages_of(inputs["heading_items"], "company", "board", "page_no").agg(F.array_join(F.transform(
@@ -458,9 +458,10 @@ def heading_pages(inputs: Inputs) -> DataFrame:
 @query("heading_jobs", """
     SELECT company, title, location, url, substr(sha1(concat(url, title, location)), 1, 16) AS source_id FROM (
         SELECT *, row_number() OVER (PARTITION BY company, url, lower(regexp_replace(title, '[^A-Za-z0-9]+', '-', 'g')) ORDER BY nr) AS rn FROM (
-            SELECT company, title, nr, CASE WHEN k % 2 = 0 THEN city ELSE '' END AS location,
+            SELECT company, CASE WHEN nr = 12 THEN 'Our benefits' ELSE title END AS title, nr,
+                   CASE WHEN nr = 12 THEN title WHEN k % 2 = 0 THEN city ELSE '' END AS location,
                    concat('https://', board, '.example.com/p', CAST(page_no AS VARCHAR)) AS url
-            FROM {heading_items} WHERE nr BETWEEN 11 AND 39) a) b
+            FROM {heading_items} WHERE nr BETWEEN 4 AND 12) a) b
     WHERE rn = 1""")
 def _heading_jobs(inputs: Inputs) -> DataFrame:
     return pages.heading_jobs(heading_pages(inputs)).select("company", "title", "location", "url", "source_id")
