@@ -58,8 +58,7 @@ def compare(spark_df, sql: str, con) -> str:
     left, right = rows(got, list(spark_df.columns)), rows(expected, names)
     if left == right:
         return ""
-    only_left = [r for r in left if r not in set(right)][:2] if len(left) < 200000 else []
-    only_right = [r for r in right if r not in set(left)][:2] if len(right) < 200000 else []
+    only_left, only_right = list(set(left) - set(right))[:2], list(set(right) - set(left))[:2]
     return f"{len(left)} rows vs {len(right)}; {order}\n   spark {only_left}\n   sql   {only_right}"
 
 

@@ -125,8 +125,8 @@ def link_closure(seeds: DataFrame, links: DataFrame, max_pages: int | None = 25,
     ranked = max_pages is not None
     rank = F.col("_rank") if ranked else F.lit(0)
     frontier = frontier.select("company", "url", F.lit(0).alias("round"), rank.cast("long").alias("visit_rank"))
-    visited = cut_lineage(frontier)
-    frontier = visited
+    frontier = cut_lineage(frontier)
+    visited = frontier
     for round_no in range(1, max_rounds + 1):
         reached = frontier.alias("f").join(
             links.alias("l"), (F.col("f.company") == F.col("l.company")) & (F.col("f.url") == F.col("l.from_url"))
@@ -143,7 +143,8 @@ def link_closure(seeds: DataFrame, links: DataFrame, max_pages: int | None = 25,
         frontier = cut_lineage(unseen.select("company", "url", F.lit(round_no).alias("round"), "visit_rank"))
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier))
+        # A union of checkpointed rounds: nothing visited before is written again.
+        visited = visited.unionByName(frontier)
     return visited
 
 

@@ -28,19 +28,25 @@ def last_per_key(current: DataFrame) -> DataFrame:
     return current.join(last, ["stable_key", "capture_seq"], "left_semi")
 
 
+def _first_of_new_keys(history: DataFrame, current: DataFrame) -> DataFrame:
+    """(stable_key, capture_seq) of the first row of every key that the history does not hold."""
+    first = current.groupBy("stable_key").agg(F.min("capture_seq").alias("capture_seq"))
+    return first.join(history.select("stable_key"), "stable_key", "left_anti")
+
+
 def new_postings(history: DataFrame, current: DataFrame) -> DataFrame:
     """First listed row of every key that the history does not hold."""
-    unknown = current.join(history.select("stable_key"), "stable_key", "left_anti")
-    first = unknown.groupBy("stable_key").agg(F.min("capture_seq").alias("capture_seq"))
-    return unknown.join(first, ["stable_key", "capture_seq"], "left_semi")
+    return current.join(_first_of_new_keys(history, current), ["stable_key", "capture_seq"], "left_semi")
 
 
 def with_is_new(history: DataFrame, current: DataFrame) -> DataFrame:
-    """Flag the row that brings a key in: unknown to the history and first of its key in this run."""
-    first = current.groupBy("stable_key").agg(F.min("capture_seq").alias("_first"))
-    fresh = first.join(history.select("stable_key"), "stable_key", "left_anti")
-    joined = current.join(fresh, "stable_key", "left")
-    return joined.withColumn("is_new", F.coalesce(F.col("_first") == F.col("capture_seq"), F.lit(False))).drop("_first")
+    """Flag the row that brings a key in: unknown to the history and first of its key in this run.
+
+    Joined on key and sequence number, which is unique, so a key listed very often is no hot spot.
+    """
+    fresh = _first_of_new_keys(history, current).withColumn("is_new", F.lit(True))
+    joined = current.join(fresh, ["stable_key", "capture_seq"], "left")
+    return joined.withColumn("is_new", F.coalesce("is_new", F.lit(False)))
 
 
 def result_rows(history: DataFrame, current: DataFrame, run_id: str, started_at: str) -> DataFrame:

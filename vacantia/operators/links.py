@@ -357,10 +357,17 @@ def first_page_errors(pages: DataFrame, jobs: DataFrame) -> DataFrame:
         "company", F.concat(F.lit("No job links found at "), _c("page_url")).alias("error"))
 
 
-def _within_budget(rows: DataFrame, wanted: Column, budget: int) -> Column:
-    """True for the first ``budget`` rows per company, in listing order, for which ``wanted`` holds."""
-    spent = F.row_number().over(Window.partitionBy("company", "_wanted").orderBy("capture_seq"))
-    return _c("_wanted") & (spent <= budget)
+def _with_budget(rows: DataFrame, wanted: Column, budget: int) -> DataFrame:
+    """Add ``_enrich``: true for the first ``budget`` rows per company, in listing order, for which ``wanted`` holds.
+
+    The rank is limited per task before its shuffle; what returns is one cut-off per company.
+    """
+    flagged = rows.withColumn("_wanted", wanted)
+    rank = F.row_number().over(Window.partitionBy("company").orderBy("capture_seq"))
+    top = flagged.filter("_wanted").select("company", "capture_seq").withColumn("_rank", rank).filter(_c("_rank") <= budget)
+    cut = top.groupBy("company").agg(F.max("capture_seq").alias("_cut"))
+    return flagged.join(cut, "company", "left").withColumn(
+        "_enrich", F.coalesce(_c("_wanted") & (_c("capture_seq") <= _c("_cut")), F.lit(False))).drop("_wanted", "_cut")
 
 
 def career_page_jobs(anchors: DataFrame, facts: DataFrame, listed: DataFrame | None = None,
@@ -372,8 +379,7 @@ def career_page_jobs(anchors: DataFrame, facts: DataFrame, listed: DataFrame | N
     links = policy_links(anchors, POLICIES["career_page"])
     if listed is not None:
         links = links.join(listed.select("company", "url"), ["company", "url"], "left_anti")
-    links = links.withColumn("_wanted", F.lit(True))
-    links = links.withColumn("_enrich", _within_budget(links, _c("_wanted"), budget))
+    links = _with_budget(links, F.lit(True), budget)
     rows = _with_details(links, facts)
     rows = rows.withColumn("posting", F.when(_c("_enrich"), _c("posting")))
     p, enrich = _c("posting"), _c("_enrich")
@@ -392,8 +398,7 @@ def browser_jobs(anchors: DataFrame, facts: DataFrame, budget: int = DETAIL_BUDG
     """Rendered-page links; titles that fit are enriched within the budget, all others are kept for board health."""
     links = policy_links(anchors, POLICIES["browser_career"])
     wanted = F.lit(True) if enrich_all else _c("title").rlike(BROWSER_TITLE)
-    links = links.withColumn("_wanted", wanted)
-    links = links.withColumn("_enrich", _within_budget(links, _c("_wanted"), budget))
+    links = _with_budget(links, wanted, budget)
     rows = _with_details(links, facts)
     enrich = _c("_enrich") & F.coalesce("captured", F.lit(False))
     text = F.when(enrich, F.substring("text", 1, 16000)).otherwise(F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vacantia.functions.text import squash_ws, strip
@@ -49,34 +51,51 @@ def board_stats(companies: DataFrame, rows: DataFrame, min_score: int) -> DataFr
     return joined.fillna(0, ["retrieved", "matching", "first_seen"])
 
 
+RUN_COUNTS = ("companies_attempted", "jobs_retrieved", "new_jobs", "company_errors", "exported", "exported_new")
+
+
+def _counted(df: DataFrame, **counts: Column) -> DataFrame:
+    """Rows of ``df`` as addends of the run counts."""
+    return df.select(*[counts.get(name, F.lit(0)).cast("bigint").alias(name) for name in RUN_COUNTS])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _sums(names: tuple[str, ...]) -> list[Column]:
+    return [F.coalesce(F.sum(name), F.lit(0).cast("bigint")).alias(name) for name in names]
+
+
+def _total_parts(stats: DataFrame, errors: DataFrame) -> list[DataFrame]:
+    return [
+        _counted(stats, companies_attempted=F.lit(1), jobs_retrieved=F.col("retrieved"), new_jobs=F.col("first_seen")),
+        _counted(errors, company_errors=F.lit(1)),
+    ]
+
+
 def run_totals(stats: DataFrame, errors: DataFrame) -> DataFrame:
     """One row: companies attempted, jobs retrieved, new jobs, company errors."""
-    sums = stats.agg(
-        F.count("*").alias("companies_attempted"),
-        F.coalesce(F.sum("retrieved"), F.lit(0)).cast("bigint").alias("jobs_retrieved"),
-        F.coalesce(F.sum("first_seen"), F.lit(0)).cast("bigint").alias("new_jobs"),
-    )
-    return sums.crossJoin(errors.agg(F.count("*").alias("company_errors")))
+    return _union(_total_parts(stats, errors)).agg(*_sums(RUN_COUNTS[:4]))
 
 
-def run_summary(totals: DataFrame, warnings: DataFrame, run_id: str, started_at: str, completed_at: str,
+def run_summary(stats: DataFrame, errors: DataFrame, warnings: DataFrame, run_id: str, started_at: str, completed_at: str,
                 exported: DataFrame, exported_new: DataFrame) -> DataFrame:
     """One row with the run's totals, its export counts and its warnings as JSON.
 
     ``warnings`` has at most one row per registered company.
     """
-    listed = warnings.agg(
-        F.to_json(F.sort_array(F.collect_list(F.struct("company", "platform", "warning")))).alias("warnings_json"))
-    return (
-        totals.crossJoin(exported.agg(F.count("*").alias("exported")))
-        .crossJoin(exported_new.agg(F.count("*").alias("exported_new")))
-        .crossJoin(listed)
-        .withColumns({
-            "run_id": F.lit(run_id), "started_at": F.lit(started_at), "completed_at": F.lit(completed_at),
-            "elapsed_seconds": F.lit(completed_at).cast("timestamp").cast("double")
-            - F.lit(started_at).cast("timestamp").cast("double"),
-        })
-    )
+    entry = F.struct("company", "platform", "warning")
+    parts = [
+        *_total_parts(stats, errors), _counted(exported, exported=F.lit(1)), _counted(exported_new, exported_new=F.lit(1)),
+    ]
+    rows = _union(parts).unionByName(warnings.select(entry.alias("warning")), allowMissingColumns=True)
+    listed = F.to_json(F.sort_array(F.collect_list("warning"))).alias("warnings_json")
+    return rows.agg(*_sums(RUN_COUNTS), listed).withColumns({
+        "run_id": F.lit(run_id), "started_at": F.lit(started_at), "completed_at": F.lit(completed_at),
+        "elapsed_seconds": F.lit(completed_at).cast("timestamp").cast("double")
+        - F.lit(started_at).cast("timestamp").cast("double"),
+    })
 
 
 def sample_titles(rows: DataFrame, limit: int = SAMPLE_TITLES) -> DataFrame:

@@ -45,18 +45,19 @@ def _jobs(df: DataFrame) -> DataFrame:
     return df.select(*JOB_FIELDS)
 
 
-_KEY = F.col("k")
+def _k() -> Column:
+    return F.col("k")
 
 
 def greenhouse_captures(inputs: Inputs) -> DataFrame:
     pay = F.concat(F.lit("<div class='content-pay-transparency'><div class='pay-range'><span>$"), F.col("low").cast("string"),
                    F.lit("</span><span>&mdash;</span><span>$"), F.col("high").cast("string"), F.lit("</span></div></div>"))
-    content = F.concat("html", F.when(_KEY % 4 == 0, pay).otherwise(F.lit("")))
+    content = F.concat("html", F.when(_k() % 4 == 0, pay).otherwise(F.lit("")))
     departments = F.array(
         F.struct(F.col("kind").alias("name")), F.struct(F.concat(F.lit("Unit "), F.col("size").cast("string")).alias("name")))
     return _captures(inputs, "greenhouse", F.struct(
-        _KEY.alias("id"), "title", content.alias("content"), departments.alias("departments"),
-        F.when(_KEY % 3 != 0, F.struct(F.col("city").alias("name"))).alias("location"),
+        _k().alias("id"), "title", content.alias("content"), departments.alias("departments"),
+        F.when(_k() % 3 != 0, F.struct(F.col("city").alias("name"))).alias("location"),
         F.col("url").alias("absolute_url"), F.col("day").alias("updated_at")), "jobs")
 
 
@@ -73,14 +74,14 @@ def _norm_greenhouse(inputs: Inputs) -> DataFrame:
 
 
 def lever_captures(inputs: Inputs) -> DataFrame:
-    salary = F.when(_KEY % 3 != 0, F.struct(
+    salary = F.when(_k() % 3 != 0, F.struct(
         F.lit("USD").alias("currency"), F.col("low").alias("min"), F.col("high").alias("max"),
-        F.when(_KEY % 3 == 1, F.lit("per-year-salary")).alias("interval")))
+        F.when(_k() % 3 == 1, F.lit("per-year-salary")).alias("interval")))
     return _captures(inputs, "lever", F.struct(
         F.col("id"), F.col("title").alias("text"), F.col("url").alias("hostedUrl"),
         F.struct(F.col("city").alias("location"), F.col("kind").alias("department"), F.col("name").alias("team"),
-                 F.when(_KEY % 2 == 0, F.lit("Full-time")).alias("commitment")).alias("categories"),
-        F.col("plain").alias("descriptionPlain"), F.when(_KEY % 2 == 0, F.lit("")).otherwise(F.lit("More")).alias("additionalPlain"),
+                 F.when(_k() % 2 == 0, F.lit("Full-time")).alias("commitment")).alias("categories"),
+        F.col("plain").alias("descriptionPlain"), F.when(_k() % 2 == 0, F.lit("")).otherwise(F.lit("More")).alias("additionalPlain"),
         F.lit("remote").alias("workplaceType"), salary.alias("salaryRange")), None)
 
 
@@ -98,10 +99,10 @@ def _norm_lever(inputs: Inputs) -> DataFrame:
 
 def ashby_captures(inputs: Inputs) -> DataFrame:
     return _captures(inputs, "ashby", F.struct(
-        F.when(_KEY % 4 != 0, F.col("id")).otherwise(F.lit("")).alias("id"), "title", F.col("city").alias("location"),
-        F.col("url").alias("jobUrl"), F.when(_KEY % 3 == 0, F.lit(False)).when(_KEY % 3 == 1, F.lit(True)).alias("isListed"),
+        F.when(_k() % 4 != 0, F.col("id")).otherwise(F.lit("")).alias("id"), "title", F.col("city").alias("location"),
+        F.col("url").alias("jobUrl"), F.when(_k() % 3 == 0, F.lit(False)).when(_k() % 3 == 1, F.lit(True)).alias("isListed"),
         F.col("plain").alias("descriptionPlain"), F.col("kind").alias("department"), F.col("name").alias("team"),
-        F.when(_KEY % 2 == 0, F.lit("FullTime")).alias("employmentType"), F.col("day").alias("publishedAt"),
+        F.when(_k() % 2 == 0, F.lit("FullTime")).alias("employmentType"), F.col("day").alias("publishedAt"),
         F.struct(F.concat(F.lit("$"), F.col("low").cast("string"), F.lit(" - $"), F.col("high").cast("string")).alias(
             "compensationTierSummary")).alias("compensation")), "jobs")
 
@@ -119,9 +120,9 @@ def _norm_ashby(inputs: Inputs) -> DataFrame:
 
 def _mixed_place(as_json: bool = True) -> Column:
     """Location as text, object or list, by key."""
-    return F.when(_KEY % 3 == 0, F.to_json(F.array(
+    return F.when(_k() % 3 == 0, F.to_json(F.array(
         F.struct(F.col("city").alias("name")), F.struct(F.lit("Remote - US").alias("name"))))).when(
-        _KEY % 3 == 1, F.to_json(F.struct(F.col("city").alias("display_name")))).otherwise(
+        _k() % 3 == 1, F.to_json(F.struct(F.col("city").alias("display_name")))).otherwise(
         F.concat(F.lit('"'), F.col("city"), F.lit('"')))
 
 
@@ -135,11 +136,11 @@ def _with_raw(item: Column, **raw: Column) -> Column:
 
 def gem_captures(inputs: Inputs) -> DataFrame:
     item = F.struct(
-        F.when(_KEY % 2 == 0, _KEY).alias("id"), F.when(_KEY % 2 == 1, _KEY).alias("job_post_id"), "title",
-        F.when(_KEY % 4 == 0, F.col("url")).alias("job_post_url"), F.when(_KEY % 4 != 0, F.col("url")).alias("apply_url"),
+        F.when(_k() % 2 == 0, _k()).alias("id"), F.when(_k() % 2 == 1, _k()).alias("job_post_id"), "title",
+        F.when(_k() % 4 == 0, F.col("url")).alias("job_post_url"), F.when(_k() % 4 != 0, F.col("url")).alias("apply_url"),
         F.lit("").alias("description"), F.col("plain").alias("description_plain"),
-        F.when(_KEY % 5 == 0, F.lit("hybrid")).alias("location_type"), F.lit("full_time").alias("employment_type"))
-    department = F.when(_KEY % 2 == 0, F.to_json(F.struct(F.col("kind").alias("name")))).otherwise(
+        F.when(_k() % 5 == 0, F.lit("hybrid")).alias("location_type"), F.lit("full_time").alias("employment_type"))
+    department = F.when(_k() % 2 == 0, F.to_json(F.struct(F.col("kind").alias("name")))).otherwise(
         F.concat(F.lit('"'), F.col("kind"), F.lit('"')))
     return _captures(inputs, "gem", _with_raw(item, locations=_mixed_place(), department=department), "job_posts", F.col("page_no") % 2 == 1)
 
@@ -157,10 +158,10 @@ def _norm_gem(inputs: Inputs) -> DataFrame:
 
 def recruitee_captures(inputs: Inputs) -> DataFrame:
     return _captures(inputs, "recruitee", F.struct(
-        F.when(_KEY % 2 == 0, _KEY).alias("id"), F.concat(F.lit("slug-"), F.col("id")).alias("slug"), "title",
-        F.when(_KEY % 4 == 0, F.lit("draft")).when(_KEY % 4 == 1, F.lit("published")).alias("status"),
+        F.when(_k() % 2 == 0, _k()).alias("id"), F.concat(F.lit("slug-"), F.col("id")).alias("slug"), "title",
+        F.when(_k() % 4 == 0, F.lit("draft")).when(_k() % 4 == 1, F.lit("published")).alias("status"),
         F.array(F.struct(F.col("city").alias("name")), F.struct(F.lit("Helsinki").alias("name"))).alias("locations"),
-        F.when(_KEY % 3 == 0, F.col("url")).alias("careers_url"), F.col("html").alias("description"),
+        F.when(_k() % 3 == 0, F.col("url")).alias("careers_url"), F.col("html").alias("description"),
         F.col("kind").alias("department"), F.lit("fulltime").alias("employment_type")), "offers", F.col("page_no") % 2 == 1)
 
 
@@ -191,7 +192,7 @@ def smartrecruiters_captures(inputs: Inputs) -> tuple[DataFrame, DataFrame]:
         F.struct(F.struct(
             section(F.col("html").alias("text")).alias("jobDescription"),
             section(F.lit("About us").alias("title")).alias("companyDescription")).alias("sections")).alias("jobAd"))
-    details = inputs["item_text"].filter(_KEY % 3 != 0).select(
+    details = inputs["item_text"].filter(_k() % 3 != 0).select(
         "company", F.concat(F.lit("u-"), F.col("id")).alias("pid"), F.to_json(detail).alias("body"))
     return listing, details
 
@@ -218,10 +219,10 @@ view("workday_items", """
 def workday_captures(inputs: Inputs) -> tuple[DataFrame, DataFrame]:
     path = F.concat(F.lit("/job/US---CA---"), F.col("kind"), F.lit("/"), F.col("id"))
     item = F.struct(
-        "title", F.when(_KEY % 7 != 6, path).alias("externalPath"),
-        F.when(_KEY % 4 == 0, F.lit("5")).otherwise(F.col("city")).alias("locationsText"),
+        "title", F.when(_k() % 7 != 6, path).alias("externalPath"),
+        F.when(_k() % 4 == 0, F.lit("5")).otherwise(F.col("city")).alias("locationsText"),
         F.lit("Posted 2 Days Ago").alias("postedOn"),
-        F.when(_KEY % 2 == 0, F.array(F.concat(F.lit("R-"), F.col("id")))).alias("bulletFields"))
+        F.when(_k() % 2 == 0, F.array(F.concat(F.lit("R-"), F.col("id")))).alias("bulletFields"))
     rows = inputs["workday_items"].select("company", "at_page", "k", F.to_json(item).alias("json"))
     pages = rows.groupBy("company", "at_page").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "json"))), lambda r: r["json"]), ",").alias("list"))
@@ -231,10 +232,10 @@ def workday_captures(inputs: Inputs) -> tuple[DataFrame, DataFrame]:
         F.concat(F.lit('{"total":40,"jobPostings":['), "list", F.lit("]}")).alias("body"))
     info = F.struct(
         F.concat(F.lit("JR"), F.col("id")).alias("jobReqId"), F.col("html").alias("jobDescription"),
-        F.when(_KEY % 2 == 0, F.lit("Full time")).alias("timeType"), F.col("day").alias("startDate"),
+        F.when(_k() % 2 == 0, F.lit("Full time")).alias("timeType"), F.col("day").alias("startDate"),
         F.struct(F.lit("USD").alias("currency"), F.col("low").alias("min"), F.col("high").alias("max")).alias("salary"))
-    body = F.when(_KEY % 2 == 0, F.to_json(F.struct(info.alias("jobPostingInfo")))).otherwise(F.to_json(info))
-    details = inputs["item_text"].filter(_KEY % 3 == 0).select("company", path.alias("external_path"), body.alias("body"))
+    body = F.when(_k() % 2 == 0, F.to_json(F.struct(info.alias("jobPostingInfo")))).otherwise(F.to_json(info))
+    details = inputs["item_text"].filter(_k() % 3 == 0).select("company", path.alias("external_path"), body.alias("body"))
     return listing, details
 
 
@@ -276,10 +277,10 @@ def _workday_detail_join(inputs: Inputs) -> DataFrame:
 def _workday_pay_text(inputs: Inputs) -> DataFrame:
     low, high = F.col("low"), F.col("high")
     info = (
-        F.when(_KEY % 4 == 0, F.to_json(F.struct(F.lit(" ").alias("compensation"), F.concat(F.lit(" "), low.cast("string"), F.lit(" a year ")).alias("salary"))))
-        .when(_KEY % 4 == 1, F.to_json(F.struct(F.struct(
+        F.when(_k() % 4 == 0, F.to_json(F.struct(F.lit(" ").alias("compensation"), F.concat(F.lit(" "), low.cast("string"), F.lit(" a year ")).alias("salary"))))
+        .when(_k() % 4 == 1, F.to_json(F.struct(F.struct(
             F.lit("USD").alias("currency"), low.alias("min"), high.alias("max"), F.lit("Annual").alias("interval")).alias("salaryRange"))))
-        .when(_KEY % 4 == 2, F.to_json(F.struct(F.struct(F.lit("").alias("currency")).alias("salary"), F.struct(
+        .when(_k() % 4 == 2, F.to_json(F.struct(F.struct(F.lit("").alias("currency")).alias("salary"), F.struct(
             F.lit("EUR").alias("currency"), low.alias("min")).alias("payRange"))))
         .otherwise(F.lit('{"title":"x"}'))
     )
@@ -306,15 +307,15 @@ def _union_boards(inputs: Inputs) -> DataFrame:
         SELECT k, company, row_number() OVER (PARTITION BY company ORDER BY k) AS candidate_rank FROM {items}
         WHERE k % 5 IN (1, 3)) t WHERE candidate_rank <= 10""")
 def _enrich_candidates(inputs: Inputs) -> DataFrame:
-    listings = inputs["items"].withColumn("capture_seq", _KEY)
+    listings = inputs["items"].withColumn("capture_seq", _k())
     return capture.enrich_candidates(listings, budget=10).select("k", "company", "candidate_rank")
 
 
+# Thirty pages a board; the listing order on a page is the order of the line items.
 view("board_pages", """
-    SELECT l_suppkey AS company, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS listing_key,
-           CAST(floor((rn - 1) / 20) AS BIGINT) AS page_no, (rn - 1) % 20 AS pos, n
-    FROM (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS rn,
-                 count(*) OVER (PARTITION BY l_suppkey) AS n FROM {lineitem}) x""")
+    SELECT DISTINCT l_suppkey AS company, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS listing_key,
+           (l_orderkey * 7 + l_linenumber * 13) % 30 AS page_no, l_orderkey * 10 + l_linenumber AS pos
+    FROM {lineitem}""")
 # Boards with an even key lose page 9 (empty); boards divisible by three repeat page 3 as page 4.
 view("captured_pages", """
     SELECT company, CASE WHEN company % 3 = 0 AND page_no = 4 THEN concat(listing_key, 'x') ELSE listing_key END AS listing_key, page_no, pos
@@ -327,14 +328,14 @@ view("page_sizes", """
 
 
 @query("page_cut", """
-    WITH firsts AS (SELECT company, listing_key, min(page_no * 100 + pos) AS first_at FROM {captured_pages} GROUP BY company, listing_key),
-         fresh AS (SELECT company, CAST(floor(first_at / 100) AS BIGINT) AS page_no, count(*) AS n_new FROM firsts GROUP BY 1, 2),
-         ends AS (SELECT s.company, min(CASE WHEN s.n_rows < 20 OR f.n_new IS NULL THEN s.page_no END) AS last
+    WITH firsts AS (SELECT company, listing_key, min(page_no * 10000000000 + pos) AS first_at FROM {captured_pages} GROUP BY company, listing_key),
+         fresh AS (SELECT company, CAST(floor(first_at / 10000000000) AS BIGINT) AS page_no, count(*) AS n_new FROM firsts GROUP BY 1, 2),
+         ends AS (SELECT s.company, min(CASE WHEN s.n_rows < 10 OR f.n_new IS NULL THEN s.page_no END) AS last
                   FROM {page_sizes} s LEFT JOIN fresh f ON f.company = s.company AND f.page_no = s.page_no GROUP BY s.company)
-    SELECT f.company, f.listing_key, CAST(floor(first_at / 100) AS BIGINT) AS page_no FROM firsts f JOIN ends e ON e.company = f.company
-    WHERE floor(first_at / 100) < 25 AND (last IS NULL OR floor(first_at / 100) <= last)""")
+    SELECT f.company, f.listing_key, CAST(floor(first_at / 10000000000) AS BIGINT) AS page_no FROM firsts f JOIN ends e ON e.company = f.company
+    WHERE floor(first_at / 10000000000) < 25 AND (last IS NULL OR floor(first_at / 10000000000) <= last)""")
 def _page_cut(inputs: Inputs) -> DataFrame:
-    kept = capture.page_cut(inputs["captured_pages"], inputs["page_sizes"], page_size=20, max_pages=25)
+    kept = capture.page_cut(inputs["captured_pages"], inputs["page_sizes"], page_size=10, max_pages=25)
     return kept.select("company", "listing_key", "page_no")
 
 
@@ -383,18 +384,18 @@ view("seed_pages", """
     WHERE rn = 1""")
 def _seed_rows(inputs: Inputs) -> DataFrame:
     rows = inputs["seed_pages"]
-    seeded = (_KEY % 3 == 2) & (_KEY % 2 == 0)
+    seeded = (_k() % 3 == 2) & (_k() % 2 == 0)
     seeds = rows.select(
-        "company", _KEY.alias("seq"), "url", F.when(seeded, F.col("name")).alias("title"),
+        "company", _k().alias("seq"), "url", F.when(seeded, F.col("name")).alias("title"),
         F.when(seeded, F.lit("Seed place")).alias("location"), F.when(seeded, F.lit("<b>Seed</b> text")).alias("description"))
-    identifier = F.when(_KEY % 3 == 0, F.concat(F.lit('{"value":"ID-'), (_KEY % 20).cast("string"), F.lit('"}'))).otherwise(F.lit("null"))
+    identifier = F.when(_k() % 3 == 0, F.concat(F.lit('{"value":"ID-'), (_k() % 20).cast("string"), F.lit('"}'))).otherwise(F.lit("null"))
     posting = F.concat(
-        F.lit('{"@graph":[{"@type":"WebPage"},{"@type":"JobPosting","title":"Posting '), _KEY.cast("string"),
+        F.lit('{"@graph":[{"@type":"WebPage"},{"@type":"JobPosting","title":"Posting '), _k().cast("string"),
         F.lit('","description":"<p>Work &amp; '), F.col("name"), F.lit('</p>","identifier":'), identifier,
         F.lit(',"jobLocation":[{"address":{"addressLocality":"Oslo","addressCountry":"NO"}},"'), F.col("company"), F.lit('"]}]}'))
-    html = F.concat(F.lit("<html><body>"), F.when(_KEY % 3 < 2, F.concat(
+    html = F.concat(F.lit("<html><body>"), F.when(_k() % 3 < 2, F.concat(
         F.lit('<script type="application/ld+json">'), posting, F.lit("</script>"))).otherwise(F.lit("")), F.lit("<p>x</p></body></html>"))
-    captured = rows.filter(_KEY % 5 != 4).select(F.col("url"), html.alias("html"))
+    captured = rows.filter(_k() % 5 != 4).select(F.col("url"), html.alias("html"))
     parsed = dom.parse_pages(captured, url="url").select(
         "url", dom.element_text(dom.find_first("h1", "h2")).alias("heading"), jsonld.first_posting(True).alias("posting"))
     posted = parsed.withColumn("posting", F.when(F.col("posting").isNotNull(), F.col("posting").withField(

@@ -12,10 +12,15 @@ from vacantia.operators import dom, health, jsonld, links, pages
 from vacantia.plans.catalog import Inputs, job_columns, query, view
 from vacantia.schemas import JOB_FIELDS
 
-_KEY = F.col("k")
 _PAGE = ["company", "page_url", "page_no"]
 
 
+def _k() -> Column:
+    return F.col("k")
+
+
+
+
 # ---- the given pages ----------------------------------------------------------------------------------------
 
 def web_pages(inputs: Inputs) -> DataFrame:
@@ -139,7 +144,7 @@ def detail_facts(inputs: Inputs, platform: str, graph: bool | None = None) -> Da
     """Detail pages of four of five postings: JSON-LD, with a heading, or without one, by key."""
     rows = inputs["detail_text"].filter("captured")
     rows = rows.join(
-        inputs[_ANCHORS[platform]].filter(F.col("seq") == _KEY * 2).select("k", F.col("link").alias("url_")), "k")
+        inputs[_ANCHORS[platform]].filter(F.col("seq") == _k() * 2).select("k", F.col("link").alias("url_")), "k")
     address = F.struct(F.col("city").alias("addressLocality"), F.lit("").alias("addressRegion"), F.lit("US").alias("addressCountry"))
     item = F.to_json(F.struct(
         F.lit("JobPosting").alias("@type"), F.concat("title", F.lit(" III")).alias("title"),
@@ -147,9 +152,9 @@ def detail_facts(inputs: Inputs, platform: str, graph: bool | None = None) -> Da
         F.concat(F.lit("<p>Posted &amp; "), F.col("kind"), F.lit("</p>")).alias("description"),
         F.array(F.lit("FULL_TIME"), F.lit("INTERN")).alias("employmentType"), F.col("day").alias("datePosted"),
         F.lit("2025-01-01").alias("validThrough"),
-        F.when(_KEY % 2 == 0, F.array(F.struct(address.alias("address")))).alias("jobLocation"),
+        F.when(_k() % 2 == 0, F.array(F.struct(address.alias("address")))).alias("jobLocation"),
         F.struct(F.lit("USD").alias("currency"), F.struct(
-            F.col("low").alias("minValue"), F.when(_KEY % 2 == 0, F.col("high")).alias("maxValue"), F.lit("YEAR").alias("unitText")
+            F.col("low").alias("minValue"), F.when(_k() % 2 == 0, F.col("high")).alias("maxValue"), F.lit("YEAR").alias("unitText")
         ).alias("value")).alias("baseSalary")))
     body = F.concat(F.lit("<p>Location: "), "city", F.lit("</p><p>Date: "), "day", F.lit("</p><p>About &amp; more</p>"))
     page = (
@@ -499,7 +504,7 @@ def _label_value(inputs: Inputs) -> DataFrame:
 @query("location_triple", r"""
     SELECT k, CASE WHEN k % 2 = 0 THEN concat(city, ', Oslo, Norway') ELSE '' END AS place FROM {items}""")
 def _location_triple(inputs: Inputs) -> DataFrame:
-    text = F.when(_KEY % 2 == 0, F.concat(F.lit("1 Work type: Hybrid · "), "city", F.lit(", Oslo, Norway (4)"))).otherwise(F.lit("Oslo, Norway 5"))
+    text = F.when(_k() % 2 == 0, F.concat(F.lit("1 Work type: Hybrid · "), "city", F.lit(", Oslo, Norway (4)"))).otherwise(F.lit("Oslo, Norway 5"))
     return inputs["items"].select("k", links.location_triple(text).alias("place"))
 
 
@@ -509,7 +514,7 @@ def _location_triple(inputs: Inputs) -> DataFrame:
         FROM {items} WHERE k % 5 IN (0, 1, 3)) x""")
 def _card_segments(inputs: Inputs) -> DataFrame:
     town = F.concat(F.initcap("kind"), F.lit(" Town, CA, US"))
-    age = F.when(_KEY % 2 == 0, F.lit(" 19 days agoFull Time ")).otherwise(F.lit(" 2 months ago Temporary "))
+    age = F.when(_k() % 2 == 0, F.lit(" 19 days agoFull Time ")).otherwise(F.lit(" 2 months ago Temporary "))
     card = F.struct("k", F.concat("title", F.lit(" "), "id", F.lit(" | "), town, age).alias("text"))
     texts = inputs.pages_of(inputs["items"], "company", "page_no").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(card)), lambda c: c["text"]), "").alias("list"))
@@ -521,9 +526,9 @@ def _card_segments(inputs: Inputs) -> DataFrame:
 @query("verified_empty", """
     SELECT k, k % 5 = 0 OR k % 3 < 2 AS verified_empty FROM {items}""")
 def _verified_empty(inputs: Inputs) -> DataFrame:
-    text = F.when(_KEY % 3 == 0, F.concat("title", F.lit(": there are NO jobs"))).when(
-        _KEY % 3 == 1, F.lit("Current openings (0 of 0)")).otherwise(F.concat("title", F.lit(" Current openings (1 of 1)")))
-    platform = F.when(_KEY % 5 == 0, F.lit("empty")).otherwise(F.lit("adp"))
+    text = F.when(_k() % 3 == 0, F.concat("title", F.lit(": there are NO jobs"))).when(
+        _k() % 3 == 1, F.lit("Current openings (0 of 0)")).otherwise(F.concat("title", F.lit(" Current openings (1 of 1)")))
+    platform = F.when(_k() % 5 == 0, F.lit("empty")).otherwise(F.lit("adp"))
     return inputs["items"].select("k", health.verified_empty(platform, text).alias("verified_empty"))
 
 
@@ -532,7 +537,7 @@ def card_pages(inputs: Inputs) -> DataFrame:
     item = F.concat(
         F.lit("<article class='card big' data-loc=' "), "city", F.lit(" '><h3 class='name x'>"), "title", F.lit(" <i>"), "id",
         F.lit("</i></h3><p class='text'>"), "kind", F.lit("  &amp; more</p>"),
-        F.when(_KEY % 4 != 3, F.concat(F.lit("<a href='/view/detail?id="), "id", F.lit("'>View details</a>"))).otherwise(F.lit("")),
+        F.when(_k() % 4 != 3, F.concat(F.lit("<a href='/view/detail?id="), "id", F.lit("'>View details</a>"))).otherwise(F.lit("")),
         F.lit("</article>"))
     rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
@@ -568,7 +573,7 @@ def _links_hologic(inputs: Inputs) -> DataFrame:
 def _links_adaptive(inputs: Inputs) -> DataFrame:
     item = F.concat(
         F.lit("<li><h4>"), "title", F.lit(" "), "id", F.lit("</h4>"),
-        F.when(_KEY % 4 != 3, F.concat(F.lit("<a href='apply/"), "id", F.lit("'>Learn more</a>"))).otherwise(F.lit("<a href='/about'>About</a>")),
+        F.when(_k() % 4 != 3, F.concat(F.lit("<a href='apply/"), "id", F.lit("'>Learn more</a>"))).otherwise(F.lit("<a href='/about'>About</a>")),
         F.lit("</li>"))
     rows = inputs.pages_of(inputs["items"], "company", "page_no").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
@@ -586,14 +591,14 @@ def _links_adaptive(inputs: Inputs) -> DataFrame:
 def _links_indigo(inputs: Inputs) -> DataFrame:
     item = F.concat(
         F.lit("<div><div><h5>"), "title", F.lit(" "), "id", F.lit("</h5></div><p><span><a href='/job-application/"), "id", F.lit("'>"),
-        F.when(_KEY % 3 == 0, F.lit("Apply here")).when(_KEY % 3 == 1, F.concat("title", F.lit(" "), "id")).otherwise(F.lit("")),
+        F.when(_k() % 3 == 0, F.lit("Apply here")).when(_k() % 3 == 1, F.concat("title", F.lit(" "), "id")).otherwise(F.lit("")),
         F.lit("</a></span></p></div><a href='/other'>x</a>"))
     rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))
     site = F.concat(F.lit("https://"), "board", F.lit(".example.com"))
     parsed = dom.parse_pages(rows.select(
         "company", F.concat(site, F.lit("/careers")).alias("page_url"), "page_no", F.concat(F.lit("<main>"), "list", F.lit("</main>")).alias("html")))
-    details = inputs["items"].filter(_KEY % 4 == 0).select(
+    details = inputs["items"].filter(_k() % 4 == 0).select(
         "company", F.concat(site, F.lit("/job-application/"), "id").alias("url"),
         F.concat(F.lit("<h2>Detail "), "id", F.lit("</h2><p>text</p>")).alias("html"))
     return _jobs(links.indigo_jobs(parsed, links.detail_facts(details)))
@@ -608,8 +613,8 @@ def _links_indigo(inputs: Inputs) -> DataFrame:
 def _links_eligo(inputs: Inputs) -> DataFrame:
     item = F.concat(
         F.lit("<h3>"), "title", F.lit(" "), "id", F.lit("</h3>"),
-        F.when(_KEY % 3 == 0, F.concat(F.lit("<div>Paris <a href='/d/"), "id", F.lit("'>DETAILS</a></div>")))
-        .when(_KEY % 3 == 1, F.concat(F.lit("Full Time "), F.when(_KEY % 2 == 0, F.lit("paris")).otherwise(F.lit("lyon")), F.lit("<a href='/x'>Apply</a>")))
+        F.when(_k() % 3 == 0, F.concat(F.lit("<div>Paris <a href='/d/"), "id", F.lit("'>DETAILS</a></div>")))
+        .when(_k() % 3 == 1, F.concat(F.lit("Full Time "), F.when(_k() % 2 == 0, F.lit("paris")).otherwise(F.lit("lyon")), F.lit("<a href='/x'>Apply</a>")))
         .otherwise(F.lit("<p>closed</p><a href='/x'>Apply</a>")))
     rows = inputs.pages_of(inputs["items"], "company", "board", "page_no").agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("k", item.alias("html")))), lambda i: i["html"]), "").alias("list"))

@@ -298,7 +298,7 @@ def _run_summary(inputs: Inputs) -> DataFrame:
     boards = stats.select("company", "platform", F.lit(False).alias("zero_jobs_verified"), F.lit(False).alias("zero_result_verified"))
     warnings = zero_result_warnings(boards, stats.select("company", F.col("retrieved").alias("n")))
     return reports.run_summary(
-        reports.run_totals(stats, _errors(inputs)), warnings, "run-1", "2024-01-01 00:00:00", "2024-01-01 00:01:30",
+        stats, _errors(inputs), warnings, "run-1", "2024-01-01 00:00:00", "2024-01-01 00:01:30",
         reports.ranked_report(rows, MIN_SCORE), reports.ranked_report(rows, MIN_SCORE, new_only=True))
 
 

@@ -47,12 +47,15 @@ def history_batch_writer(table: HistoryTable, prepare: Callable[[DataFrame], tup
     def merge(batch: DataFrame, batch_id: int) -> None:
         name = f"{batch_id:012d}"
         earlier = [v for v in table.versions() if v < name]
-        postings, companies = prepare(batch)
-        stamp = batch.agg(F.max(time).alias("at")).collect()[0]["at"]
-        if stamp is None:
-            return
-        before = table.read(earlier[-1]) if earlier else table.read_empty()
-        table.write(merge_history(before, postings, F.lit(stamp), companies), name)
+        batch.persist()
+        try:
+            postings, companies = prepare(batch)
+            stamp = batch.agg(F.max(time).alias("at")).collect()[0]["at"]
+            if stamp is not None:
+                before = table.read(earlier[-1]) if earlier else table.read_empty()
+                table.write(merge_history(before, postings, F.lit(stamp), companies), name)
+        finally:
+            batch.unpersist()
 
     return merge
 
