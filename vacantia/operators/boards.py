@@ -264,9 +264,10 @@ def workday_listing(captures: DataFrame) -> DataFrame:
 
 
 def first_listings(rows: DataFrame) -> DataFrame:
-    """First listed row per (company, listing_key); only narrow columns are aggregated."""
-    first = rows.groupBy("company", "listing_key").agg(F.min("capture_seq").alias("capture_seq"))
-    return rows.join(first, ["company", "listing_key", "capture_seq"], "left_semi")
+    """First listed row per (company, listing_key). Listings are short, so the rows themselves are aggregated
+    and the payloads are read once."""
+    first = F.min_by(F.struct(*rows.columns), F.col("capture_seq")).alias("_first")
+    return rows.groupBy("company", "listing_key").agg(first).select("_first.*")
 
 
 def workday_pay_text(info: str = "info") -> Column:

@@ -65,19 +65,18 @@ def page_cut(listings: DataFrame, pages: DataFrame, page_size: int, max_pages: i
 
     Reading stops after the first page that is empty, brings nothing new, or is short; a board's own
     total is not trusted. ``pages`` (company, page_no, n_rows) lists every captured page, empty ones
-    too; ``listings`` has company, page_no, pos and listing_key. Only aggregates with a map-side
-    combine touch a company, so one huge board is no hot spot.
+    too; ``listings`` has company, page_no, pos, listing_key and no long texts. Listings are shuffled once,
+    by their own key, and counted with a map-side combine, so one huge board is no hot spot.
     """
-    first = listings.groupBy("company", "listing_key").agg(F.min(F.struct("page_no", "pos")).alias("_first"))
-    fresh = first.groupBy("company", F.col("_first.page_no").alias("page_no")).agg(F.count("*").alias("n_new"))
+    order = F.struct("page_no", "pos")
+    first = listings.groupBy("company", "listing_key").agg(
+        F.min_by(F.struct(*listings.columns), order).alias("_first")).select("_first.*")
+    fresh = first.groupBy("company", "page_no").agg(F.count("*").alias("n_new"))
     judged = pages.join(fresh, ["company", "page_no"], "left")
     ends = (F.col("n_rows") < page_size) | F.col("n_new").isNull()
     last = judged.groupBy("company").agg(F.min(F.when(ends, F.col("page_no"))).alias("_last"))
-    chosen = first.select(
-        "company", "listing_key", F.col("_first.page_no").alias("page_no"), F.col("_first.pos").alias("pos"))
-    kept = chosen.filter(F.col("page_no") < max_pages).join(last, "company").filter(
+    return first.filter(F.col("page_no") < max_pages).join(last, "company").filter(
         F.col("_last").isNull() | (F.col("page_no") <= F.col("_last"))).drop("_last")
-    return listings.join(kept, ["company", "listing_key", "page_no", "pos"], "left_semi")
 
 
 def seed_rows(seeds: DataFrame, pages: DataFrame) -> DataFrame:
@@ -101,8 +100,8 @@ def seed_rows(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     rows = df.filter((F.col("_title") != "") & F.col("url").contains("/job/")).select(
         "company", "seq", "url", "source_id", F.lit("workday-public").alias("source"),
         F.col("_title").alias("title"), F.col("_location").alias("location"), F.col("_description").alias("description"))
-    first = rows.groupBy("company", "source_id").agg(F.min("seq").alias("seq"))
-    return rows.join(first, ["company", "source_id", "seq"], "left_semi")
+    first = rows.groupBy("company", "source_id").agg(F.min_by(F.struct(*rows.columns), F.col("seq")).alias("_first"))
+    return first.select("_first.*")
 
 
 def link_closure(seeds: DataFrame, links: DataFrame, max_pages: int | None = 25, max_rounds: int = 50) -> DataFrame:

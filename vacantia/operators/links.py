@@ -81,6 +81,7 @@ JAZZHR_NAV = ("powered by", "privacy", "login", "sign in")
 ULTIPRO_NAV = ("privacy", "home", "login", "company")
 ADP_NAV = ("privacy", "support", "login", "home", "search jobs", "view all", "career center")
 BROWSER_NAV = ("privacy", "terms", "talent community", "join our talent", "career home")
+ADAPTIVE_HREF = ("career", "job", "apply")
 ADAPTIVE_CHROME = ("careers", "career listings", "view all career listings", "apply now")
 ADAPTIVE_NOT_TITLE = ("apply now", "learn more", "view job")
 INDIGO_NOT_TITLE = ("apply here", "apply", "learn more")
@@ -476,41 +477,38 @@ def hologic_jobs(parsed: DataFrame) -> DataFrame:
 
     A page without such a link falls back to headings followed by a details link.
     """
-    def box_title(e: Column, lists: Column) -> Column:
-        return let(dom.element(e["box"]), lambda box: F.coalesce(
-            dom.element_text(dom.first_of(dom.inside(box, lists["heads"]))), F.lit("")))
-
-    anchors = dom.page_links(
-        parsed, ["company", "page_url", "page_no"], {"heads": dom.find_all("h2", "h3", "h4", "h5")},
-        box_title=box_title, box_text=lambda e, _: dom.element_text(dom.element(e["box"])),
-        before=lambda e, lists: dom.element_text(dom.nearest_before(e, lists["heads"])))
-    rows = anchors.filter(F.lower("label").contains("view detail")).withColumns({
-        "title": first_non_empty(_c("box_title"), F.coalesce("before", F.lit(""))), "url": _c("link"),
-    })
-
     def without(text: Column, part: Column) -> Column:
         at = F.instr(text, part)
         rest = F.concat(F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(part)))
         return F.when((at > 0) & (part != ""), rest).otherwise(text)
 
-    place = F.when(_c("box_title") != "", F.substring(strip(without(without(_c("box_text"), _c("box_title")), _c("label"))), 1, 180))
-    primary = rows.filter(_c("title") != "").select(
-        "company", "page_url", "page_no", "seq", "url", "title", F.coalesce(place, F.lit("")).alias("location"))
-
-    def describe(h: Column, lists: Column) -> Column:
-        return let(dom.nearest_after(h, lists["anchors"]), lambda after: F.struct(
-            h["seq"].alias("seq"), dom.element_text(h).alias("title"), after["link"].alias("url"),
-            dom.element_text(after).alias("label")))
-
-    heads = dom.describe_each(dom.find_all("h3", "h4"), {"anchors": dom.anchor_elements()}, describe)
-    outline = parsed.select("company", "page_url", "page_no", F.explode(heads).alias("h")).select(
-        "company", "page_url", "page_no", "h.*")
-    second = outline.filter(
-        (_c("title") != "") & (F.length("title") <= 180) & F.lower("label").contains("detail"))
-    hits = primary.select("company", "page_no").distinct()
-    second = second.join(hits, ["company", "page_no"], "left_anti").select(
-        "company", "page_url", "page_no", "seq", "url", "title", F.lit("").alias("location"))
-    first = first_by_url(primary.unionByName(second))
+    def boxed(a: Column, lists: Column) -> Column:
+        box = dom.element(a["box"])
+        facts = F.struct(
+            dom.element_text(a).alias("label"), F.coalesce(dom.element_text(box), F.lit("")).alias("text"),
+            F.coalesce(let(box, lambda x: dom.element_text(dom.first_of(dom.inside(x, lists["heads"])))), F.lit("")).alias("inner"),
+            F.coalesce(dom.element_text(dom.nearest_before(a, lists["heads"])), F.lit("")).alias("before"))
+        return let(facts, lambda f: F.struct(
+            a["seq"].alias("seq"), a["link"].alias("url"), first_non_empty(f["inner"], f["before"]).alias("title"),
+            F.when(f["inner"] != "", F.substring(strip(without(without(f["text"], f["inner"]), f["label"])), 1, 180))
+            .otherwise(F.lit("")).alias("location")))
+
+    def loose(h: Column, lists: Column) -> Column:
+        after = let(dom.nearest_after(h, lists["anchors"]), lambda a: F.struct(
+            a["link"].alias("link"), F.lower(dom.element_text(a)).contains("detail").alias("leads")))
+        return let(after, lambda a: F.struct(
+            h["seq"].alias("seq"), F.when(a["leads"], a["link"]).alias("url"), dom.element_text(h).alias("title"),
+            F.lit("").alias("location")))
+
+    details = F.filter(dom.anchor_elements(), lambda a: F.lower(dom.element_text(a)).contains("view detail"))
+    primary = F.filter(
+        dom.describe_each(details, {"heads": dom.find_all("h2", "h3", "h4", "h5")}, boxed), lambda j: j["title"] != "")
+    second = F.filter(
+        dom.describe_each(dom.find_all("h3", "h4"), {"anchors": dom.anchor_elements()}, loose),
+        lambda j: (j["title"] != "") & (F.length(j["title"]) <= 180) & j["url"].isNotNull())
+    jobs = let(primary, lambda found: F.when(F.size(found) > 0, found).otherwise(second))
+    rows = parsed.select("company", "page_no", F.explode(jobs).alias("j")).select("company", "page_no", "j.*")
+    first = first_by_url(rows)
     return as_jobs(
         first, company=_c("company"), title=_c("title"), location=_c("location"), url=_c("url"), source=F.lit("hologic"),
         source_id=synthetic_id(_c("url")), capture_seq=_c("page_no").cast("bigint") * 1_000_000 + _c("seq"))
@@ -534,52 +532,66 @@ def indigo_jobs(parsed: DataFrame, facts: DataFrame) -> DataFrame:
     kept = anchors.filter(_c("link").rlike(INDIGO_JOB)).withColumn("url", _c("link"))
     generic = (_c("label") == "") | F.lower("label").isin(*INDIGO_NOT_TITLE)
     kept = kept.withColumn("title", F.when(generic, first_non_empty(_c("around"), _c("label"))).otherwise(_c("label")))
-    rows = _with_details(kept, facts).withColumn("title", first_non_empty(_c("heading"), _c("title")))
-    titled = rows.filter(_c("title") != "").select(
-        "company", "page_no", "seq", "url", F.substring("title", 1, 220).alias("title"))
-    first = _with_details(first_by_url(titled), facts.select("company", "url", "text"))
+    # The detail's heading is the same for all copies of a link, so copies collapse before the one join:
+    # the first copy counts when the detail has a heading, else the first copy with a title of its own.
+    order = F.struct("page_no", "seq")
+    titled = F.when(_c("title") != "", order)
+    links = kept.groupBy("company", "url").agg(
+        F.min(order).alias("first"), F.min(titled).alias("first_titled"), F.min_by("title", titled).alias("title"))
+    rows = _with_details(links, facts)
+    headed = F.coalesce("heading", F.lit("")) != ""
+    rows = rows.withColumns({
+        "title": first_non_empty(_c("heading"), F.coalesce("title", F.lit(""))),
+        "at": F.when(headed, _c("first")).otherwise(_c("first_titled"))}).filter(_c("title") != "")
     return as_jobs(
-        first, company=_c("company"), title=_c("title"), url=_c("url"), source=F.lit("indigo_ag"),
+        rows, company=_c("company"), title=F.substring("title", 1, 220), url=_c("url"), source=F.lit("indigo_ag"),
         source_id=synthetic_id(_c("url")), description=F.substring("text", 1, 20000),
-        capture_seq=_c("page_no").cast("bigint") * 1_000_000 + _c("seq"))
+        capture_seq=_c("at.page_no").cast("bigint") * 1_000_000 + _c("at.seq"))
 
 
 def adaptive_jobs(parsed: DataFrame, site: str) -> DataFrame:
     """JSON-LD postings of a rendered page; a page without any falls back to the cards around job links."""
-    postings = parsed.select("company", "page_url", "page_no", F.posexplode(
-        F.transform(jsonld.page_postings(True), jsonld.posting_struct)).alias("pos", "posting"))
-    p = _c("posting")
-    listed = postings.filter((squash_ws(p["title"]) != "") & (p["url"] != ""))
-    structured = jsonld.posting_to_job(
-        listed, "posting", "adaptive", "page_url", title=squash_ws(p["title"]), description=squash_ws(fragment_text(p["description"])),
-        source_id=first_non_empty(p["identifier"], last_path_part(p["url"])),
-        employment_type=squash_ws(p["employment_type"]),
-        capture_seq=_c("page_no").cast("bigint") * 1_000_000 + _c("pos"))
-
-    def card(e: Column) -> Column:
-        return F.coalesce(dom.element(e["box"]), e)
-
-    def card_title(e: Column, lists: Column) -> Column:
-        return let(card(e), lambda box: dom.element_text(dom.first_of(dom.inside(box, lists["heads"]))))
-
-    anchors = dom.page_links(
-        parsed, ["company", "page_url", "page_no"], {"heads": dom.find_all("h1", "h2", "h3", "h4")},
-        card_text=lambda e, _: dom.element_text(card(e)), card_title=card_title)
-    href, text, label = _c("href"), squash_ws(_c("card_text")), squash_ws(_c("label"))
-    absolute = F.when(href.startswith("http"), href).when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(
-        F.concat(F.lit(site + "/"), href))
-    title = F.coalesce(F.when(_c("card_title").isNotNull(), squash_ws(_c("card_title"))), label)
-    rows = anchors.withColumns({"text": text, "label": label, "title": title, "url": absolute}).filter(
-        contains_any(href, ("career", "job", "apply")) & (F.length("text") >= 10)
-        & ~(F.lower("label").isin(*ADAPTIVE_CHROME) & (F.length("text") < 80))
-        & (_c("title") != "") & ~F.lower("title").isin(*ADAPTIVE_NOT_TITLE))
-    rows = rows.join(listed.select("company").distinct(), "company", "left_anti")
-    first = first_by_url(rows.select("company", "page_no", "seq", "url", "title", "text"), "company", "title", "url")
-    fallback = as_jobs(
-        first, company=_c("company"), title=_c("title"), url=_c("url"), source=F.lit("adaptive"),
-        source_id=first_non_empty(last_path_part(_c("url")), _c("title")), description=_c("text"),
+    def structured(p: Column, pos: Column) -> Column:
+        return F.struct(
+            pos.alias("seq"), pos.alias("copy"), squash_ws(p["title"]).alias("title"), p["url"].alias("url"),
+            p["location"].alias("location"), squash_ws(fragment_text(p["description"])).alias("description"),
+            first_non_empty(p["identifier"], last_path_part(p["url"])).alias("source_id"),
+            squash_ws(p["employment_type"]).alias("employment_type"), F.lit(False).alias("chrome"))
+
+    def absolute(href: Column) -> Column:
+        return F.when(href.startswith("http"), href).when(href.startswith("/"), F.concat(F.lit(site), href)).otherwise(
+            F.concat(F.lit(site + "/"), href))
+
+    def card(a: Column, lists: Column) -> Column:
+        box = F.coalesce(dom.element(a["box"]), a)
+        facts = F.struct(
+            absolute(dom.attr(a, "href")).alias("url"), squash_ws(dom.element_text(a)).alias("label"),
+            squash_ws(dom.element_text(box)).alias("text"),
+            let(box, lambda x: dom.element_text(dom.first_of(dom.inside(x, lists["heads"])))).alias("head"))
+        return let(facts, lambda f: F.struct(
+            a["seq"].alias("seq"), F.lit(-1).alias("copy"),
+            F.when(f["head"].isNotNull(), squash_ws(f["head"])).otherwise(f["label"]).alias("title"), f["url"].alias("url"),
+            F.lit("").alias("location"), f["text"].alias("description"),
+            first_non_empty(last_path_part(f["url"]), f["head"]).alias("source_id"), F.lit("").alias("employment_type"),
+            (F.lower(f["label"]).isin(*ADAPTIVE_CHROME) & (F.length(f["text"]) < 80)).alias("chrome")))
+
+    anchors = F.filter(dom.anchor_elements(), lambda a: contains_any(dom.attr(a, "href"), ADAPTIVE_HREF))
+    cards = F.filter(
+        dom.describe_each(anchors, {"heads": dom.find_all("h1", "h2", "h3", "h4")}, card),
+        lambda j: (F.length(j["description"]) >= 10) & ~j["chrome"] & (j["title"] != "")
+        & ~F.lower(j["title"]).isin(*ADAPTIVE_NOT_TITLE))
+    postings = F.filter(
+        F.transform(F.transform(jsonld.page_postings(True), jsonld.posting_struct), structured),
+        lambda j: (j["title"] != "") & (j["url"] != ""))
+    jobs = let(postings, lambda found: F.when(F.size(found) > 0, found).otherwise(cards))
+    rows = parsed.select("company", "page_no", F.explode(jobs).alias("j")).select("company", "page_no", "j.*")
+    # Cards with the same title and URL are one posting; postings given as data are kept as they are.
+    first = first_by_url(rows.withColumn("copy", F.when(_c("copy") >= 0, F.struct("page_no", "seq"))),
+                         "company", "title", "url", "copy")
+    return as_jobs(
+        first, company=_c("company"), title=_c("title"), location=_c("location"), url=_c("url"), source=F.lit("adaptive"),
+        source_id=_c("source_id"), description=_c("description"), employment_type=_c("employment_type"),
         capture_seq=_c("page_no").cast("bigint") * 1_000_000 + _c("seq"))
-    return structured.unionByName(fallback)
 
 
 def eligo_jobs(parsed: DataFrame) -> DataFrame:
@@ -608,25 +620,29 @@ def eligo_jobs(parsed: DataFrame) -> DataFrame:
         dom.find_all("h1", "h2", "h3"), lambda h: F.lower(dom.element_text(h)).contains("current job openings")))
     heads = dom.find_all("h2", "h3")
     listed = let(marker, lambda m: F.filter(heads, lambda h: h["seq"] > m["seq"]))
-    rows = parsed.select("company", "page_url", "page_no", F.explode(dom.describe_each(
-        listed, {"heads": heads, "anchors": dom.anchor_elements()}, describe)).alias("h")).select(
-        "company", "page_url", "page_no", "h.*")
-    low = F.lower("title")
-    kept = rows.filter(
-        (_c("title") != "") & ~low.isin(*ELIGO_SECTIONS) & (F.length("title") <= 160)
-        & (_c("detail").isNotNull() | F.lower("nearby").contains("full time")))
-    named = kept.select(
-        "company", "page_no", "seq", "title", F.coalesce("detail", heading_url(_c("page_url"), _c("title"))).alias("url"),
-        F.when(F.lower("nearby").contains("paris"), F.lit("Paris")).otherwise(F.lit("")).alias("location"))
-    board = dom.page_links(
-        parsed, ["company", "page_url", "page_no"], {"heads": heads},
-        before=lambda e, lists: dom.element_text(dom.nearest_before(e, lists["heads"])))
-    title = F.coalesce("before", "label")
-    on_board = board.withColumn("title", title).filter(
-        _c("link").contains("breezy.hr") & (_c("title") != "") & ~F.lower("title").isin(*ELIGO_SECTIONS)
-        & (F.length("title") < 180)
-    ).select("company", "page_no", (_c("seq") + 1_000_000).alias("seq"), "title", _c("link").alias("url"), F.lit("Paris").alias("location"))
-    first = first_by_url(named.withColumn("seq", _c("seq").cast("int")).unionByName(on_board))
+    found = dom.describe_each(listed, {"heads": heads, "anchors": dom.anchor_elements()}, describe)
+    named = F.transform(
+        F.filter(found, lambda h: (h["title"] != "") & ~F.lower(h["title"]).isin(*ELIGO_SECTIONS)
+                 & (F.length(h["title"]) <= 160)
+                 & (h["detail"].isNotNull() | F.lower(h["nearby"]).contains("full time"))),
+        lambda h: F.struct(
+            h["seq"].alias("seq"), h["title"].alias("title"),
+            F.coalesce(h["detail"], heading_url(_c("page_url"), h["title"])).alias("url"),
+            F.when(F.lower(h["nearby"]).contains("paris"), F.lit("Paris")).otherwise(F.lit("")).alias("location")))
+
+    def on_board(a: Column, lists: Column) -> Column:
+        before = dom.nearest_before(a, lists["heads"])
+        title = F.when(before.isNotNull(), dom.element_text(before)).otherwise(dom.element_text(a))
+        # Links of the job board come after all headings.
+        return F.struct((a["seq"] + 1_000_000).alias("seq"), title.alias("title"), a["link"].alias("url"), F.lit("Paris").alias("location"))
+
+    board = F.filter(
+        dom.describe_each(F.filter(dom.anchor_elements(), lambda a: a["link"].contains("breezy.hr")), {"heads": heads}, on_board),
+        lambda j: (j["title"] != "") & ~F.lower(j["title"]).isin(*ELIGO_SECTIONS) & (F.length(j["title"]) < 180))
+    none = F.array().cast("array<struct<seq:int,title:string,url:string,location:string>>")
+    jobs = F.concat(F.coalesce(named, none), board)
+    rows = parsed.select("company", "page_no", F.explode(jobs).alias("j")).select("company", "page_no", "j.*")
+    first = first_by_url(rows)
     return as_jobs(
         first, company=_c("company"), title=_c("title"), location=_c("location"), url=_c("url"), source=F.lit("eligo"),
         source_id=synthetic_id(_c("url")), capture_seq=_c("page_no").cast("bigint") * 10_000_000 + _c("seq"))
