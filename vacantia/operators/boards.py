@@ -38,6 +38,9 @@ def _normalizer(platform: str):
 
 def normalize(captures: DataFrame, platforms: list[str] | None = None) -> DataFrame:
     """Union of all platforms' postings."""
+    for name in ("board", "public_base"):
+        if name not in captures.columns:
+            captures = captures.withColumn(name, F.lit(""))
     out = None
     for platform in platforms or sorted(NORMALIZERS):
         jobs = NORMALIZERS[platform](captures.filter(F.col("platform") == platform))

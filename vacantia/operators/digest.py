@@ -14,7 +14,12 @@ UNTITLED, NO_COMPANY, NO_LOCATION, NO_PAY = "Untitled role", "Unknown company",
 
 
 def digest_score(df: DataFrame) -> Column:
-    """Whole-number score of a report row read back as text: ``total``, else ``score``, else 0."""
+    """Whole-number score of a report row read back as text.
+
+    A missing or blank ``total`` is 0; ``score`` counts only where ``total`` is unreadable.
+    """
+    if "total" not in df.columns:
+        return F.lit(0)
     readable = [F.coalesce(non_empty(F.col(name).cast("string")), F.lit("0")).try_cast("double")
                 for name in ("total", "score") if name in df.columns]
     return F.coalesce(*readable, F.lit(0.0)).cast("int")

@@ -303,7 +303,7 @@ def _union_boards(inputs: Inputs) -> DataFrame:
 # ---- which captures count ---------------------------------------------------------------------------------
 
 @query("enrich_candidates", """
-    SELECT k, company, candidate_rank FROM (
+    SELECT k, company, CAST(candidate_rank AS INTEGER) AS candidate_rank FROM (
         SELECT k, company, row_number() OVER (PARTITION BY company ORDER BY k) AS candidate_rank FROM {items}
         WHERE k % 5 IN (1, 3)) t WHERE candidate_rank <= 10""")
 def _enrich_candidates(inputs: Inputs) -> DataFrame:

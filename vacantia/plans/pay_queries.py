@@ -71,7 +71,7 @@ def _pay_prose(inputs: Inputs) -> DataFrame:
 
 
 @query("pay_number", """
-    SELECT o_orderkey, CAST(a AS DOUBLE) AS grouped, a_k * 1000.0 AS thousands, o_totalprice AS plain FROM {pay_text}
+    SELECT o_orderkey, CAST(a AS DOUBLE) AS grouped, CAST(a_k * 1000 AS DOUBLE) AS thousands, o_totalprice AS plain FROM {pay_text}
     JOIN (SELECT o_orderkey AS k, o_totalprice FROM {orders}) o ON k = o_orderkey""")
 def _pay_number(inputs: Inputs) -> DataFrame:
     df = inputs["pay_text"].join(inputs["orders"].select(F.col("o_orderkey"), "o_totalprice"), "o_orderkey")
