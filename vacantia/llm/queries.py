@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import decontaminate, fertility, licenses, mixing, preferences, token_files, url_trie, warc_bundles
+from vacantia.llm import decontaminate, fertility, licenses, mixing, neardup, preferences, token_files, url_trie, warc_bundles
 from vacantia.llm.common import table
 from vacantia.session import scratch_path
 
@@ -29,6 +29,10 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32", "shard")
 
 
+def op5_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents")).drop("node")
+
+
 def op6_license_spans(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_documents(table(spark, folder, "documents")).withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op3_edit_matches": op3_edit_matches,
     "op4_token_files": op4_token_files,
+    "op5_weighted_minhash": op5_weighted_minhash,
     "op6_license_spans": op6_license_spans,
     "op7_tokenizer_fertility": op7_tokenizer_fertility,
     "op8_url_trie": op8_url_trie,
