@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import decontaminate, fertility, licenses, mixing, neardup, preferences, token_files, url_trie, warc_bundles
+from vacantia.llm import decontaminate, fertility, licenses, mixing, neardup, passages, preferences, token_files, url_trie, warc_bundles
 from vacantia.llm.common import table
 from vacantia.session import scratch_path
 
@@ -19,6 +19,10 @@ def op1_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op2_chained_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.shared_passages(table(spark, folder, "documents"))
+
+
 def op3_edit_matches(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -58,6 +62,7 @@ def op10_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_chained_passages": op2_chained_passages,
     "op3_edit_matches": op3_edit_matches,
     "op4_token_files": op4_token_files,
     "op5_weighted_minhash": op5_weighted_minhash,

@@ -52,9 +52,15 @@ def _words_of(chunk: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * down[starts]), starts
 
 
-def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, one text after the other, and the ``len(texts) + 1`` places where texts begin."""
-    joined = b" ".join(texts).translate(_SEPARATE)
+def separated(text: bytes) -> bytes:
+    """The text in lower case with a space for every other character that belongs to no word."""
+    return text.translate(_SEPARATE)
+
+
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other; the bytes where they start if the texts are joined by one
+    byte each; and the ``len(texts) + 1`` places among the words where texts begin."""
+    joined = separated(b" ".join(texts))
     bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
     hashes, places, at = [], [], 0
     while at < len(joined):
@@ -68,8 +74,15 @@ def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         places.append(starts + at)
         at = end
     if not hashes:
-        return np.zeros(0, _U), np.zeros(len(texts) + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), bounds).astype(np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+    starts = np.concatenate(places)
+    return np.concatenate(hashes), starts, np.searchsorted(starts, bounds).astype(np.int64)
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts and the places where texts begin."""
+    words, _, offsets = word_places(texts)
+    return words, offsets
 
 
 _FACTORS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F,
