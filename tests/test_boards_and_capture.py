@@ -91,64 +91,56 @@ def test_normalize_unions_platforms_and_takes_new_ones(spark):
         del boards.NORMALIZERS["echo"]
 
 
-def test_candidates_and_budget(spark):
+def test_candidates(spark):
     rows = [("c", t, i, own) for i, (t, own) in enumerate([
         ("Bioinformatics Lead", None), ("Chef", None), ("Data Scientist", None), ("GENOMICS", None), ("Chef", ["chef"]), ("Genomics", ["chef"])])]
     df = spark.createDataFrame(rows, "company string, title string, capture_seq long, terms array<string>")
-    got = capture.enrich_candidates(df, budget=3, own_terms="terms").orderBy("capture_seq").collect()
-    assert [r["capture_seq"] for r in got] == [0, 2, 3]
-
-
-def brute_pages(pages, page_size, max_pages):
-    """Read pages one by one, as a collector does."""
-    seen, out = set(), []
-    for no, keys in enumerate(pages[:max_pages]):
-        if not keys:
-            break
-        new = [k for k in dict.fromkeys(keys) if k not in seen]
-        seen.update(new)
-        out += [(no, k) for k in new]
-        if not new or len(keys) < page_size:
-            break
-    return out
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_page_cut_matches_sequential_reading(spark, seed):
+    got = capture.enrich_candidates(df, own_terms="terms").orderBy("capture_seq").collect()
+    assert [r["capture_seq"] for r in got] == [0, 2, 3, 4]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_first_copies_and_page_gaps(spark, seed):
     rng = random.Random(seed)
-    expected, listings, pages = [], [], []
+    first, gaps, listings, pages = set(), set(), [], []
     for company in range(12):
-        board = [[rng.randrange(25) for _ in range(rng.choice([3, 3, 3, 3, 2, 0]))] for _ in range(8)]
-        expected += [(company, no, str(k)) for no, k in brute_pages(board, 3, 6)]
-        pages += [(company, no, len(keys)) for no, keys in enumerate(board)]
-        listings += [(company, str(k), no, pos) for no, keys in enumerate(board) for pos, k in enumerate(keys)]
-    got = capture.page_cut(
-        spark.createDataFrame(listings, "company int, listing_key string, page_no long, pos int"),
-        spark.createDataFrame(pages, "company int, page_no long, n_rows long"), 3, 6)
-    assert sorted((r["company"], r["page_no"], r["listing_key"]) for r in got.collect()) == sorted(expected)
-
-
-def brute_closure(seeds, links, limit):
-    queue, visited = list(dict.fromkeys(seeds)), []
-    while queue and len(visited) < limit:
-        url = queue.pop(0)
-        visited.append(url)
-        for target in links.get(url, []):
-            if target not in visited and target not in queue:
-                queue.append(target)
-    return visited
-
-
-@pytest.mark.parametrize("seed", range(3))
-def test_link_closure_visits_like_a_queue(spark, seed):
-    rng = random.Random(seed)
-    links = {f"p{i}": [f"p{rng.randrange(40)}" for _ in range(rng.randrange(4))] for i in range(40)}
-    rows = [("c", a, b, i) for a, targets in links.items() for i, b in enumerate(targets)]
-    got = capture.link_closure(
-        spark.createDataFrame([("c", "p3", 1), ("c", "p0", 0)], "company string, url string, seq int"),
-        spark.createDataFrame(rows, "company string, from_url string, to_url string, seq int"), max_pages=12)
-    ordered = [r["url"] for r in got.orderBy("visit_rank").collect()]
-    assert ordered == brute_closure(["p0", "p3"], links, 12)
+        board = {no: [rng.randrange(25) for _ in range(rng.choice([3, 3, 3, 2, 0]))] for no in range(8) if rng.random() < 0.8}
+        seen = set()
+        for no, keys in sorted(board.items()):
+            pages.append((company, no, len(keys)))
+            listings += [(company, str(k), no, pos) for pos, k in enumerate(keys)]
+            first |= {(company, no, str(k)) for k in keys if k not in seen}
+            seen |= set(keys)
+        numbers = sorted(board)
+        missing = set(range(numbers[0], numbers[-1])) - set(numbers)
+        empty = [no for no in numbers[:-1] if not board[no]]
+        if missing or empty:
+            gaps.add((company, len(missing), len(empty)))
+    got = capture.first_copies(spark.createDataFrame(listings, "company int, listing_key string, page_no long, pos int"))
+    assert {(r["company"], r["page_no"], r["listing_key"]) for r in got.collect()} == first
+    holes = capture.page_gaps(spark.createDataFrame(pages, "company int, page_no long, n_rows long"))
+    assert {(r["company"], r["missing_pages"], r["empty_pages"]) for r in holes.collect()} == gaps
+
+
+def test_link_closure_reaches_the_end_of_a_chain(spark):
+    chain = [("c", f"p{i}", f"p{i + 1}") for i in range(59)] + [("c", "p59", "p0"), ("c", "lone", "p3"), ("d", "p0", "x")]
+    links = spark.createDataFrame(chain, "company string, from_url string, to_url string").coalesce(1)
+    seeds = spark.createDataFrame([("c", "p0"), ("c", "p0")], "company string, url string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = capture.link_closure(seeds, links).collect()
+        with pytest.raises(RuntimeError):
+            capture.link_closure(seeds, links, max_rounds=5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {(r["url"], r["round"]) for r in got} == {(f"p{i}", i) for i in range(60)} and len(got) == 60
+
+
+def test_same_host_job_links(spark):
+    rows = [("c", "https://x.org/a", 1, "https://x.org/job/1"), ("c", "https://x.org/a", 2, "https://y.org/job/1"), ("c", "https://x.org/a", 3, "https://x.org/news")]
+    got = capture.same_host_job_links(spark.createDataFrame(rows, "company string, page_url string, seq int, link string")).collect()
+    assert [(r["from_url"], r["to_url"]) for r in got] == [("https://x.org/a", "https://x.org/job/1")]
 
 
 def test_discover_boards(spark):

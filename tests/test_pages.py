@@ -112,13 +112,29 @@ def test_successfactors(spark):
     assert row["description"] == "Date: Jan 1 Location:  Cambridge Text"
 
 
-def test_career_page_budget_and_headings(spark):
+def test_career_page_details_and_headings(spark):
     html = ("<a href='/career/1'>Data Scientist</a><a href='/career/2'>Director</a><a href='/career/3'>Chef</a><a href='https://evil.com/job'>Engineer</a>"
             "<a href='https://boards.greenhouse.io/x/jobs/1'>Engineer</a><a href='/careers'>Scientist root</a>")
     a = anchors(spark, html)
     facts = details(spark, {"https://x.org/career/1": "<h1>Senior Scientist</h1>", "https://x.org/career/2": "<h1>Director X</h1>"}, graph=False)
-    rows = links.career_page_jobs(a, facts, budget=1).orderBy("url").collect()
-    assert [(r["title"], r["description"]) for r in rows] == [("Engineer", ""), ("Senior Scientist", "Senior Scientist"), ("Director", "")]
+    rows = links.career_page_jobs(a, facts).orderBy("url").collect()
+    assert [(r["title"], r["description"]) for r in rows] == [("Engineer", ""), ("Senior Scientist", "Senior Scientist"), ("Director X", "Director X")]
+
+
+def test_nothing_is_cut(spark):
+    """Title, location and pay far behind any prefix; a detail page captured twice."""
+    from vacantia.functions.pay import apply_pay
+
+    long_title, filler = "Scientist " + "of many words " * 40, "lorem ipsum " * 2500
+    a = anchors(spark, f"<a href='https://c.applytojob.com/apply/1'>{long_title}</a>")
+    body = f"<h1>{long_title}</h1><p>{filler}</p><p>Location: Oslo, Norway</p><p>The base salary is $100,000 - $120,000 annually.</p>"
+    facts = details(spark, {"https://c.applytojob.com/apply/1": body})
+    row = apply_pay(links.jazzhr_jobs(a, facts)).collect()[0]
+    assert row["title"] == long_title.strip() and row["location"].startswith("Oslo, Norway") and row["compensation"] == "$100,000–$120,000/yr"
+    assert len(row["description"]) > 25_000
+    twice = spark.createDataFrame(
+        [("c", "u", "<h1>old</h1>", 1), ("c", "u", "<h1>new</h1>", 2), ("c", "u", "<h1>new</h1>", 2)], "company string, url string, html string, captured_at int")
+    assert [r["h1"] for r in links.detail_facts(twice).collect()] == ["new"]
 
 
 def test_browser_links(spark):

@@ -14,7 +14,6 @@ DESCRIPTION_PLACES = (
     r"(?iuUd)locations?\s+((?:US|United States)\s*-\s*[A-Z]{2}\s*-\s*[A-Za-z .-]+)",
     r"(?iuUd)\b(US\s*-\s*Remote)\b",
 )
-DESCRIPTION_WINDOW = 1800
 
 
 def is_malformed(value: Column) -> Column:
@@ -38,8 +37,8 @@ def from_path(path: Column) -> Column:
 
 
 def from_description(description: Column) -> Column:
-    head = F.substring(F.coalesce(description, F.lit("")), 1, DESCRIPTION_WINDOW)
-    found = [non_empty(F.regexp_extract(head, pattern, 1)) for pattern in DESCRIPTION_PLACES]
+    text = F.coalesce(description, F.lit(""))
+    found = [non_empty(F.regexp_extract(text, pattern, 1)) for pattern in DESCRIPTION_PLACES]
     return F.btrim(F.regexp_replace(F.coalesce(*found, F.lit("")), r"(?U)\s+", " "), F.lit(" ."))
 
 

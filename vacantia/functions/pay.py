@@ -65,7 +65,7 @@ def pay_currency(value: Column) -> Column:
     """Currency named in the text. A dollar sign wins, so ``C$`` reads as USD."""
     upper = F.upper(value)
     return (
-        F.when(value.contains("$") | value.contains("USD"), F.lit("USD"))
+        F.when(value.contains("$") | upper.contains("USD"), F.lit("USD"))
         .when(upper.contains("CAD"), F.lit("CAD"))
         .when(upper.contains("GBP") | value.contains("£"), F.lit("GBP"))
         .when(upper.contains("EUR") | value.contains("€"), F.lit("EUR"))

@@ -1,10 +1,10 @@
-"""Which captures count: page runs, variants, detail candidates, board identities, seeds, link closure."""
+"""Which captures count: first copies, page gaps, variants, detail candidates, board identities, seeds, link closure."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vacantia.functions.location import normalize_location, slug_title
 from vacantia.functions.text import first_non_empty, fragment_text, non_empty, url_host, url_path
@@ -17,7 +17,7 @@ DETAIL_TITLE_TERMS = (
     "applications scientist", "application scientist", "product owner", "scientific software",
     "systems biology", "biostat", "quantitative biology", "precision medicine",
 )
-DETAIL_BUDGET = 40
+ROUNDS_PER_FOLD = 10
 SEED_ID = r"(?i)_((?:R|JR)\d+[A-Za-z0-9-]*)"
 BOARD_IDENTITY = r"""wday/cxs/([^/"']+)/([^/"'?]+)"""
 
@@ -30,15 +30,10 @@ def title_is_candidate(title: Column, own_terms: Column | None = None,
     return F.exists(wanted, lambda term: F.lower(title).contains(F.lower(term)))
 
 
-def enrich_candidates(listings: DataFrame, budget: int = DETAIL_BUDGET, own_terms: str | None = None,
+def enrich_candidates(listings: DataFrame, own_terms: str | None = None,
                       terms: Sequence[str] = DETAIL_TITLE_TERMS) -> DataFrame:
-    """The first ``budget`` candidate listings per company in listing order.
-
-    Spark keeps only the top rows of each task before the shuffle (WindowGroupLimit).
-    """
-    fits = title_is_candidate(F.col("title"), F.col(own_terms) if own_terms else None, terms)
-    rank = F.row_number().over(Window.partitionBy("company").orderBy("capture_seq"))
-    return listings.filter(fits).withColumn("candidate_rank", rank).filter(F.col("candidate_rank") <= budget)
+    """All listings whose title is worth a detail capture."""
+    return listings.filter(title_is_candidate(F.col("title"), F.col(own_terms) if own_terms else None, terms))
 
 
 def first_nonempty_variant(captures: DataFrame) -> DataFrame:
@@ -60,23 +55,32 @@ def discover_boards(pages: DataFrame) -> DataFrame:
     ).select("company", "tenant", "board", F.col("_first.page_id").alias("page_id"), F.col("_first.pos").alias("pos"))
 
 
-def page_cut(listings: DataFrame, pages: DataFrame, page_size: int, max_pages: int) -> DataFrame:
-    """First copies of the listings on the pages a collector would have read.
+def first_copies(listings: DataFrame) -> DataFrame:
+    """First copy of each listing over all captured pages of its board.
+
+    ``listings`` has company, page_no, pos, listing_key and no long texts. They are shuffled once, by their own key,
+    after a map-side combine, so one huge board is no hot spot.
+    """
+    first = F.min_by(F.struct(*listings.columns), F.struct("page_no", "pos")).alias("_first")
+    return listings.groupBy("company", "listing_key").agg(first).select("_first.*")
+
+
+def page_gaps(pages: DataFrame) -> DataFrame:
+    """Boards whose captured pages have a hole: a missing number, or an empty page before the last one.
 
-    Reading stops after the first page that is empty, brings nothing new, or is short; a board's own
-    total is not trusted. ``pages`` (company, page_no, n_rows) lists every captured page, empty ones
-    too; ``listings`` has company, page_no, pos, listing_key and no long texts. Listings are shuffled once,
-    by their own key, and counted with a map-side combine, so one huge board is no hot spot.
+    ``pages`` (company, page_no, n_rows) lists every captured page, empty ones too. The result counts the
+    missing and the empty pages between a board's first and last page.
     """
-    order = F.struct("page_no", "pos")
-    first = listings.groupBy("company", "listing_key").agg(
-        F.min_by(F.struct(*listings.columns), order).alias("_first")).select("_first.*")
-    fresh = first.groupBy("company", "page_no").agg(F.count("*").alias("n_new"))
-    judged = pages.join(fresh, ["company", "page_no"], "left")
-    ends = (F.col("n_rows") < page_size) | F.col("n_new").isNull()
-    last = judged.groupBy("company").agg(F.min(F.when(ends, F.col("page_no"))).alias("_last"))
-    return first.filter(F.col("page_no") < max_pages).join(last, "company").filter(
-        F.col("_last").isNull() | (F.col("page_no") <= F.col("_last"))).drop("_last")
+    per_page = pages.groupBy("company", "page_no").agg(F.max("n_rows").alias("n_rows"))
+    per_board = per_page.groupBy("company").agg(
+        F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("captured"),
+        F.count_if(F.col("n_rows") == 0).alias("_empty"), F.max_by("n_rows", "page_no").alias("_last_rows"))
+    holes = per_board.select(
+        "company", "first_page", "last_page",
+        (F.col("last_page") - F.col("first_page") + 1 - F.col("captured")).alias("missing_pages"),
+        # An empty last page is how a board ends.
+        (F.col("_empty") - F.when(F.col("_last_rows") == 0, F.lit(1)).otherwise(F.lit(0))).alias("empty_pages"))
+    return holes.filter((F.col("missing_pages") > 0) | (F.col("empty_pages") > 0))
 
 
 def seed_rows(seeds: DataFrame, pages: DataFrame) -> DataFrame:
@@ -104,46 +108,27 @@ def seed_rows(seeds: DataFrame, pages: DataFrame) -> DataFrame:
     return first.select("_first.*")
 
 
-def link_closure(seeds: DataFrame, links: DataFrame, max_pages: int | None = 25, max_rounds: int = 50) -> DataFrame:
-    """Pages reached from the seeds over links, breadth first, at most ``max_pages`` per company.
+def link_closure(seeds: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """All captured pages that the seeds reach over links, with the ``round`` (number of links) that reaches them first.
 
-    ``seeds`` (company, url, seq) and ``links`` (company, from_url, to_url, seq) are tables of captured
-    pages; links are already restricted to the same host and to job pages. The result has ``round`` and,
-    under a page limit, ``visit_rank`` (the order in which a queue would take the pages).
-    Each round is one join of the new frontier with the links and one anti join; its result is
-    checkpointed, so neither the plan nor a lost executor makes the work grow.
+    ``seeds`` (company, url) and ``links`` (company, from_url, to_url) are tables of captured pages; links are already
+    restricted to the same host and to job pages. Each round is one join of the new frontier with the links and one anti
+    join; it is checkpointed, so neither the plan nor a lost executor makes the work grow. The search ends when a round
+    reaches nothing new; with ``max_rounds`` it raises if there is more to reach.
     """
-    def number(df: DataFrame, order: list) -> DataFrame:
-        if max_pages is None:
-            return df
-        rank = F.row_number().over(Window.partitionBy("company").orderBy(*order))
-        return df.withColumn("_rank", rank).filter(F.col("_rank") <= max_pages)
-
-    start = seeds.groupBy("company", "url").agg(F.min("seq").alias("seq"))
-    frontier = number(start, ["seq"])
-    ranked = max_pages is not None
-    rank = F.col("_rank") if ranked else F.lit(0)
-    frontier = frontier.select("company", "url", F.lit(0).alias("round"), rank.cast("long").alias("visit_rank"))
-    frontier = cut_lineage(frontier)
-    visited = frontier
-    for round_no in range(1, max_rounds + 1):
-        reached = frontier.alias("f").join(
-            links.alias("l"), (F.col("f.company") == F.col("l.company")) & (F.col("f.url") == F.col("l.from_url"))
-        ).select("f.company", F.col("l.to_url").alias("url"), "f.visit_rank", "l.seq")
-        order = F.min(F.struct("visit_rank", "seq")).alias("_order") if ranked else F.lit(0).alias("_order")
-        unseen = reached.groupBy("company", "url").agg(order).join(visited, ["company", "url"], "left_anti")
-        if ranked:
-            taken = visited.groupBy("company").agg(F.max("visit_rank").alias("_taken"))
-            unseen = number(unseen, ["_order"]).join(taken, "company")
-            unseen = unseen.withColumn("visit_rank", F.col("_rank") + F.col("_taken")).filter(
-                F.col("visit_rank") <= max_pages)
-        else:
-            unseen = unseen.withColumn("visit_rank", F.lit(0).cast("long"))
-        frontier = cut_lineage(unseen.select("company", "url", F.lit(round_no).alias("round"), "visit_rank"))
-        if frontier.isEmpty():
-            break
-        # A union of checkpointed rounds: nothing visited before is written again.
+    links = links.select("company", F.col("from_url").alias("url"), "to_url").distinct()
+    frontier = cut_lineage(seeds.select("company", "url").distinct().withColumn("round", F.lit(0)))
+    visited, round_no = frontier, 0
+    while not frontier.isEmpty():
+        round_no += 1
+        reached = frontier.join(links, ["company", "url"]).select("company", F.col("to_url").alias("url")).distinct()
+        frontier = cut_lineage(reached.join(visited, ["company", "url"], "left_anti").withColumn("round", F.lit(round_no)))
+        if max_rounds is not None and round_no > max_rounds and not frontier.isEmpty():
+            raise RuntimeError(f"pages are left to reach after {max_rounds} rounds")
+        # A union of checkpointed rounds, folded into one table now and then so that the plan stays small.
         visited = visited.unionByName(frontier)
+        if round_no % ROUNDS_PER_FOLD == 0:
+            visited = cut_lineage(visited)
     return visited
 
 

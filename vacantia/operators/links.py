@@ -98,7 +98,7 @@ LINE_DATE = r"(?iuUd)Date:\s*([^\n]+)"
 LOCATION_TRIPLE = (
     r"(?Ud)(?:Work type:\s*[^·]+·?\s*)?([A-Za-z][A-Za-z .'-]+,\s*[A-Za-z .'-]+,\s*[A-Za-z .'-]+)"
 )
-DETAIL_BUDGET, ENTRY_LIMIT, EXTERNAL_LIMIT, INDIGO_LEVELS = 30, 3, 8, 6
+ENTRY_LIMIT, EXTERNAL_LIMIT, INDIGO_LEVELS = 3, 8, 6
 
 
 def _c(name: str) -> Column:
@@ -172,8 +172,7 @@ def _career_keep() -> Column:
 
 def _ultipro_keep() -> Column:
     on_board = _c("link").contains("recruiting.ultipro.com") & (_c("label") != "") & ~contains_any(_low(), ULTIPRO_NAV)
-    length = F.length("label")
-    return (_c("href") != "") & (_c("link").rlike(ULTIPRO_JOB) | on_board) & (length > 2) & (length < 220)
+    return (_c("href") != "") & (_c("link").rlike(ULTIPRO_JOB) | on_board) & (F.length("label") > 2)
 
 
 def _browser_keep() -> Column:
@@ -194,11 +193,11 @@ POLICIES: dict[str, LinkPolicy] = {
         "smartrecruiters",
         lambda: _labelled(_c("link").contains("smartrecruiters.com")
                           & contains_any(F.lower(_c("link")), SMARTRECRUITERS_WORDS)),
-        title=lambda: F.substring("label", 1, 180), id_length=16),
+        id_length=16),
     "jazzhr": LinkPolicy(
         "jazzhr",
         lambda: _labelled(_not_root() & _c("link").contains("applytojob.com")
-                          & ~contains_any(_low(), JAZZHR_NAV) & (F.length("label") <= 180))),
+                          & ~contains_any(_low(), JAZZHR_NAV))),
     "ultipro": LinkPolicy("ultipro", _ultipro_keep),
     "successfactors": LinkPolicy(
         "successfactors", lambda: url_path(_c("link")).rlike(SUCCESSFACTORS_JOB), url=_plain_url,
@@ -212,10 +211,10 @@ POLICIES: dict[str, LinkPolicy] = {
     "foundation": LinkPolicy(
         "foundation", lambda: _labelled(_c("href").contains("/jobs/") & ~_c("href").contains("/jobs/search")),
         source_id=lambda: last_path_part(_c("url"))),
-    "career_page": LinkPolicy("career_page", _career_keep, title=lambda: F.substring("label", 1, 180), id_length=16),
+    "career_page": LinkPolicy("career_page", _career_keep, id_length=16),
     "browser_career": LinkPolicy(
         "browser_career", _browser_keep,
-        title=lambda: F.coalesce(non_empty(F.substring("label", 1, 180)), F.lit("Job opening"))),
+        title=lambda: F.coalesce(non_empty(_c("label")), F.lit("Job opening"))),
     "adp": LinkPolicy(
         "adp", lambda: _c("link").contains("workforcenow.adp.com") & _c("label").rlike(ADP_ROLE)
         & ~contains_any(_low(), ADP_NAV)),
@@ -254,7 +253,8 @@ def detail_facts(details: DataFrame, graph: bool | None = None) -> DataFrame:
 
     ``graph`` asks for the first JSON-LD posting too: False without, True with the nodes of ``@graph``.
     """
-    parsed = dom.parse_pages(details.select("company", "url", "html"), url="url")
+    kept = [c for c in ("company", "url", "html", "captured_at") if c in details.columns]
+    parsed = dom.parse_pages(one_per(details.select(*kept), "company", "url").drop("captured_at"), url="url")
     if graph is not None:
         parsed = compute_once(parsed, {"posting": jsonld.first_posting(graph)})
     heading = lambda *tags: dom.element_text(dom.find_first(*tags))
@@ -267,6 +267,14 @@ def detail_facts(details: DataFrame, graph: bool | None = None) -> DataFrame:
     return facts.drop("elements", "texts")
 
 
+def one_per(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: the one captured last where captures have a time (``captured_at``), else the greatest."""
+    order = [c for c in ("captured_at",) if c in rows.columns] + [c for c in rows.columns if c != "captured_at"]
+    orderable = [F.col(c) for c in order if not rows.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    last = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*orderable))
+    return rows.groupBy(*keys).agg(last.alias("_last")).select("_last.*")
+
+
 def _with_details(links: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
     return links.join(facts, ["company", "url"], how)
 
@@ -278,18 +286,15 @@ def _base(rows: DataFrame, **columns: Column) -> DataFrame:
 
 def jazzhr_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     rows = _with_details(policy_links(anchors, POLICIES["jazzhr"]), facts)
-    length = F.length("heading")
-    text = F.substring("text", 1, 16000)
     return _base(
-        rows, title=F.when((length > 0) & (length < 200), _c("heading")).otherwise(_c("title")), description=text,
-        location=F.substring(strip(F.regexp_extract(text, JAZZHR_LOCATION, 1)), 1, 120))
+        rows, title=first_non_empty(_c("heading"), _c("title")), description=_c("text"),
+        location=strip(F.regexp_extract("text", JAZZHR_LOCATION, 1)))
 
 
 def ultipro_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     rows = _with_details(policy_links(anchors, POLICIES["ultipro"]), facts)
-    text = F.substring("text", 1, 20000)
-    return _base(rows, title=first_non_empty(_c("heading"), _c("title")), description=text,
-                 location=strip(F.regexp_extract(text, ULTIPRO_LOCATION, 1)))
+    return _base(rows, title=first_non_empty(_c("heading"), _c("title")), description=_c("text"),
+                 location=strip(F.regexp_extract("text", ULTIPRO_LOCATION, 1)))
 
 
 def successfactors_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
@@ -297,7 +302,7 @@ def successfactors_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     by_slug = F.replace(F.try_element_at(F.split(F.rtrim(_c("url"), F.lit("/")), "/"), F.lit(-2)), F.lit("-"), F.lit(" "))
     title = F.coalesce(non_empty(_c("h1")), non_empty(_c("title")), by_slug)
     return _base(
-        rows, title=F.substring(title, 1, 220), description=F.substring("text", 1, 24000),
+        rows, title=title, description=_c("text"),
         location=strip(F.regexp_extract(_c("lines"), LINE_LOCATION, 1)),
         published_at=non_empty(strip(F.regexp_extract(_c("lines"), LINE_DATE, 1))))
 
@@ -330,10 +335,10 @@ def oracle_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
     return _base(
         rows,
         title=F.when(own, first_non_empty(p["title"], _c("title")))
-        .when(captured, F.substring(first_non_empty(_c("heading"), _c("title")), 1, 180)).otherwise(_c("title")),
+        .when(captured, first_non_empty(_c("heading"), _c("title"))).otherwise(_c("title")),
         location=F.when(own, p["location"]),
         source_id=F.when(own, first_non_empty(p["identifier"], _c("url"))).when(captured, _c("source_id")).otherwise(_c("url")),
-        description=F.when(own, fragment_text(p["description"])).otherwise(F.substring("text", 1, 16000)))
+        description=F.when(own, fragment_text(p["description"])).otherwise(_c("text")))
 
 
 def foundation_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
@@ -358,54 +363,34 @@ def first_page_errors(pages: DataFrame, jobs: DataFrame) -> DataFrame:
         "company", F.concat(F.lit("No job links found at "), _c("page_url")).alias("error"))
 
 
-def _with_budget(rows: DataFrame, wanted: Column, budget: int) -> DataFrame:
-    """Add ``_enrich``: true for the first ``budget`` rows per company, in listing order, for which ``wanted`` holds.
-
-    The rank is limited per task before its shuffle; what returns is one cut-off per company.
-    """
-    flagged = rows.withColumn("_wanted", wanted)
-    rank = F.row_number().over(Window.partitionBy("company").orderBy("capture_seq"))
-    top = flagged.filter("_wanted").select("company", "capture_seq").withColumn("_rank", rank).filter(_c("_rank") <= budget)
-    cut = top.groupBy("company").agg(F.max("capture_seq").alias("_cut"))
-    return flagged.join(cut, "company", "left").withColumn(
-        "_enrich", F.coalesce(_c("_wanted") & (_c("capture_seq") <= _c("_cut")), F.lit(False))).drop("_wanted", "_cut")
-
-
-def career_page_jobs(anchors: DataFrame, facts: DataFrame, listed: DataFrame | None = None,
-                     budget: int = DETAIL_BUDGET) -> DataFrame:
-    """Relevant links, the first ``budget`` per company enriched from their detail page.
+def career_page_jobs(anchors: DataFrame, facts: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Relevant links, enriched from every captured detail page.
 
     ``listed`` (company, url): postings that the listing page already gave as JSON-LD.
     """
     links = policy_links(anchors, POLICIES["career_page"])
     if listed is not None:
         links = links.join(listed.select("company", "url"), ["company", "url"], "left_anti")
-    links = _with_budget(links, F.lit(True), budget)
     rows = _with_details(links, facts)
-    rows = rows.withColumn("posting", F.when(_c("_enrich"), _c("posting")))
-    p, enrich = _c("posting"), _c("_enrich")
+    p, captured = _c("posting"), F.coalesce("captured", F.lit(False))
     own = p.isNotNull()
     url = F.when(own, first_non_empty(p["url"], _c("url"))).otherwise(_c("url"))
-    heading = F.when(enrich & _c("heading").rlike(CAREER_TITLE), F.substring("heading", 1, 180))
+    heading = F.when(captured & _c("heading").rlike(CAREER_TITLE), _c("heading"))
     return _base(
         rows, url=url,
         title=F.when(own, p["title"]).otherwise(F.coalesce(heading, _c("title"))),
         location=F.when(own, p["location"]),
         source_id=F.when(own, first_non_empty(p["identifier"], url)).otherwise(_c("source_id")),
-        description=F.when(own, fragment_text(p["description"])).when(enrich, F.substring("text", 1, 12000)))
+        description=F.when(own, fragment_text(p["description"])).when(captured, _c("text")))
 
 
-def browser_jobs(anchors: DataFrame, facts: DataFrame, budget: int = DETAIL_BUDGET, enrich_all: bool = False) -> DataFrame:
-    """Rendered-page links; titles that fit are enriched within the budget, all others are kept for board health."""
-    links = policy_links(anchors, POLICIES["browser_career"])
-    wanted = F.lit(True) if enrich_all else _c("title").rlike(BROWSER_TITLE)
-    links = _with_budget(links, wanted, budget)
-    rows = _with_details(links, facts)
-    enrich = _c("_enrich") & F.coalesce("captured", F.lit(False))
-    text = F.when(enrich, F.substring("text", 1, 16000)).otherwise(F.lit(""))
-    title = F.when(enrich & (F.length("heading") < 200), _c("heading")).otherwise(_c("title"))
-    rows = rows.withColumns({"title": title, "_description": text})
-    place = F.substring(strip(F.regexp_extract(_c("_description"), BROWSER_LOCATION, 1)), 1, 120)
+def browser_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rendered-page links, enriched from every captured detail page; links without one stay for board health."""
+    rows = _with_details(policy_links(anchors, POLICIES["browser_career"]), facts)
+    captured = F.coalesce("captured", F.lit(False))
+    title = F.when(captured & (_c("heading") != ""), _c("heading")).otherwise(_c("title"))
+    rows = rows.withColumns({"title": title, "_description": F.when(captured, _c("text")).otherwise(F.lit(""))})
+    place = strip(F.regexp_extract(_c("_description"), BROWSER_LOCATION, 1))
     return _base(rows.filter(~is_generic(_c("title"))), location=place, description=_c("_description"))
 
 
@@ -416,7 +401,7 @@ def browser_heading_jobs(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("company", "page_url", "page_no", F.explode(heads).alias("h")).select(
         "company", "page_url", "page_no", "h.*")
     kept = rows.filter(
-        (_c("title") != "") & (F.length("title") <= 180) & _c("title").rlike(BROWSER_HEADING) & ~is_generic(_c("title")))
+        (_c("title") != "") & _c("title").rlike(BROWSER_HEADING) & ~is_generic(_c("title")))
     first = first_by_url(kept.withColumn("url", heading_url(_c("page_url"), _c("title"))))
     return as_jobs(
         first, company=_c("company"), title=_c("title"), url=_c("url"), source=F.lit("browser_career"),
@@ -446,7 +431,7 @@ def external_links(anchors: DataFrame, limit: int = EXTERNAL_LIMIT) -> DataFrame
     """Per company, the first ``limit`` labelled links to other hosts as ``label -> url``."""
     host = url_host(_c("link"))
     outside = anchors.filter(
-        (host != "") & (host != url_host(_c("page_url"))) & (_c("label") != "") & (F.length("label") < 160))
+        (host != "") & (host != url_host(_c("page_url"))) & (_c("label") != ""))
     rank = F.row_number().over(Window.partitionBy("company").orderBy("page_no", "seq"))
     top = outside.select("company", "page_no", "seq", "label", "link").withColumn("rank", rank).filter(_c("rank") <= limit)
     entry = F.struct("rank", F.concat(_c("label"), F.lit(" -> "), _c("link")).alias("text"))
@@ -467,7 +452,7 @@ def embedded_boards(parsed: DataFrame) -> DataFrame:
     job = likely_job_link(_c("link"), _c("label"), _c("page_url")) | contains_any(url_host(_c("link")), BROWSER_HOSTS)
     kept = rows.filter(job & ~is_generic(_c("label")))
     first = first_by_url(kept.withColumn("url", _c("link")))
-    return first.withColumn("title", F.coalesce(non_empty(F.substring("label", 1, 180)), F.lit("Job opening")))
+    return first.withColumn("title", F.coalesce(non_empty(_c("label")), F.lit("Job opening")))
 
 
 # ---- platforms that read the surroundings of a link ----------------------------------------------------------
@@ -490,7 +475,7 @@ def hologic_jobs(parsed: DataFrame) -> DataFrame:
             F.coalesce(dom.element_text(dom.nearest_before(a, lists["heads"])), F.lit("")).alias("before"))
         return let(facts, lambda f: F.struct(
             a["seq"].alias("seq"), a["link"].alias("url"), first_non_empty(f["inner"], f["before"]).alias("title"),
-            F.when(f["inner"] != "", F.substring(strip(without(without(f["text"], f["inner"]), f["label"])), 1, 180))
+            F.when(f["inner"] != "", strip(without(without(f["text"], f["inner"]), f["label"])))
             .otherwise(F.lit("")).alias("location")))
 
     def loose(h: Column, lists: Column) -> Column:
@@ -505,7 +490,7 @@ def hologic_jobs(parsed: DataFrame) -> DataFrame:
         dom.describe_each(details, {"heads": dom.find_all("h2", "h3", "h4", "h5")}, boxed), lambda j: j["title"] != "")
     second = F.filter(
         dom.describe_each(dom.find_all("h3", "h4"), {"anchors": dom.anchor_elements()}, loose),
-        lambda j: (j["title"] != "") & (F.length(j["title"]) <= 180) & j["url"].isNotNull())
+        lambda j: (j["title"] != "") & j["url"].isNotNull())
     jobs = let(primary, lambda found: F.when(F.size(found) > 0, found).otherwise(second))
     rows = parsed.select("company", "page_no", F.explode(jobs).alias("j")).select("company", "page_no", "j.*")
     first = first_by_url(rows)
@@ -544,8 +529,8 @@ def indigo_jobs(parsed: DataFrame, facts: DataFrame) -> DataFrame:
         "title": first_non_empty(_c("heading"), F.coalesce("title", F.lit(""))),
         "at": F.when(headed, _c("first")).otherwise(_c("first_titled"))}).filter(_c("title") != "")
     return as_jobs(
-        rows, company=_c("company"), title=F.substring("title", 1, 220), url=_c("url"), source=F.lit("indigo_ag"),
-        source_id=synthetic_id(_c("url")), description=F.substring("text", 1, 20000),
+        rows, company=_c("company"), title=_c("title"), url=_c("url"), source=F.lit("indigo_ag"),
+        source_id=synthetic_id(_c("url")), description=_c("text"),
         capture_seq=_c("at.page_no").cast("bigint") * 1_000_000 + _c("at.seq"))
 
 
@@ -623,7 +608,6 @@ def eligo_jobs(parsed: DataFrame) -> DataFrame:
     found = dom.describe_each(listed, {"heads": heads, "anchors": dom.anchor_elements()}, describe)
     named = F.transform(
         F.filter(found, lambda h: (h["title"] != "") & ~F.lower(h["title"]).isin(*ELIGO_SECTIONS)
-                 & (F.length(h["title"]) <= 160)
                  & (h["detail"].isNotNull() | F.lower(h["nearby"]).contains("full time"))),
         lambda h: F.struct(
             h["seq"].alias("seq"), h["title"].alias("title"),
@@ -638,7 +622,7 @@ def eligo_jobs(parsed: DataFrame) -> DataFrame:
 
     board = F.filter(
         dom.describe_each(F.filter(dom.anchor_elements(), lambda a: a["link"].contains("breezy.hr")), {"heads": heads}, on_board),
-        lambda j: (j["title"] != "") & ~F.lower(j["title"]).isin(*ELIGO_SECTIONS) & (F.length(j["title"]) < 180))
+        lambda j: (j["title"] != "") & ~F.lower(j["title"]).isin(*ELIGO_SECTIONS))
     none = F.array().cast("array<struct<seq:int,title:string,url:string,location:string>>")
     jobs = F.concat(F.coalesce(named, none), board)
     rows = parsed.select("company", "page_no", F.explode(jobs).alias("j")).select("company", "page_no", "j.*")

@@ -41,7 +41,7 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
     def describe(h: Column, lists: Column) -> Column:
         def with_sibling(sibling: Column) -> Column:
             beside = dom.element_text(sibling)
-            usable = ~sibling["tag"].isin("h4", "h5") & (F.length(beside) > 0) & (F.length(beside) < 120)
+            usable = ~sibling["tag"].isin("h4", "h5") & (beside != "")
             section = dom.element_text(dom.nearest_before(h, lists["sections"]))
             return F.struct(
                 h["seq"].alias("seq"), dom.element_text(h).alias("title"),
@@ -51,8 +51,7 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
 
     listed = let(marker, lambda m: F.filter(dom.find_all("h2", "h3", "h4", "h5", "h6"), lambda h: h["seq"] > m["seq"]))
     heads = dom.describe_each(listed, {"sections": dom.find_all("h1", "h2", "h3")}, describe)
-    jobs = F.filter(heads, lambda h: (h["title"] != "") & (F.length(h["title"]) <= 180)
-                    & ~F.lower(h["title"]).isin(*NOT_A_JOB))
+    jobs = F.filter(heads, lambda h: (h["title"] != "") & ~F.lower(h["title"]).isin(*NOT_A_JOB))
     with_jobs = parsed.withColumn("_jobs", jobs)
 
     def ends(h: Column, i: Column) -> Column:
@@ -63,12 +62,13 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
         return begun & (h["section"] != "") & ~h["section"].rlike(JOBS_MARKER) & other
 
     stop = dom.first_of(F.filter("_jobs", ends))["seq"]
-    rows = with_jobs.withColumn("_stop", stop).select(
-        *columns, "_stop", F.substring(dom.page_text(), 1, 8000).alias("page_text"), F.explode("_jobs").alias("h")
-    ).select(*columns, "_stop", "page_text", "h.*")
+    rows = with_jobs.withColumn("_stop", stop).select(*columns, "_stop", F.explode("_jobs").alias("h")).select(
+        *columns, "_stop", "h.*")
     kept = rows.filter(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))).withColumn(
         "url", heading_url(F.col("page_url"), F.col("title")))
-    first = first_by_url(kept)
+    # The page's text joins after the dedupe, once per posting that stays.
+    texts = parsed.select(*columns, dom.page_text().alias("page_text")).dropDuplicates(columns)
+    first = first_by_url(kept).join(texts, columns)
     text = F.concat_ws(" ", "title", "location", "page_text")
     return as_jobs(
         first, company=F.col("company"), title=F.col("title"), location=F.col("location"), url=F.col("page_url"),
@@ -80,14 +80,18 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
 def seed_title_jobs(pages_text: DataFrame, seeds: DataFrame) -> DataFrame:
     """Configured titles that occur, case-blind, in the company's page text.
 
-    ``pages_text`` (company, page_url, text); ``seeds`` (company, title, default_location, seq).
+    ``pages_text`` (company, page_url, text); ``seeds`` (company, title, default_location, seq), a configuration table: a
+    company's seeds travel as one list to its pages, so a page's text is not repeated per seed.
     """
-    rows = seeds.filter(F.col("title") != "").join(pages_text, "company").filter(
-        F.lower("text").contains(F.lower("title")))
+    named = seeds.filter(F.col("title") != "").groupBy("company").agg(
+        F.collect_list(F.struct("title", "default_location", "seq")).alias("_seeds"))
+    low = pages_text.join(named, "company").withColumn("_low", F.lower("text"))
+    hits = F.filter("_seeds", lambda s: F.col("_low").contains(F.lower(s["title"])))
+    rows = low.select("company", "page_url", "text", F.explode(hits).alias("s")).select("company", "page_url", "text", "s.*")
     return as_jobs(
         rows, company=F.col("company"), title=F.col("title"), location=F.col("default_location"), url=F.col("page_url"),
         source=F.lit("career_page"), source_id=synthetic_id(F.concat("page_url", "title"), 16),
-        description=F.substring("text", 1, 12000), capture_seq=F.col("seq"))
+        description=F.col("text"), capture_seq=F.col("seq"))
 
 
 def _card_title(chunk: Column) -> Column:
@@ -114,8 +118,7 @@ def card_segments(pages_text: DataFrame) -> DataFrame:
         _card_title(c["chunk"]).alias("title"), strip(c["place"]).alias("location")))
     flat = rows.select("company", "page_url", F.posexplode(cards).alias("pos", "card")).select(
         "company", "page_url", "pos", "card.*")
-    length = F.length("title")
-    kept = flat.filter(F.col("title").rlike(ADP_ROLE) & (length > 3) & (length < 220))
+    kept = flat.filter(F.col("title").rlike(ADP_ROLE) & (F.length("title") > 3))
     digest = F.substring(F.sha1(F.concat_ws("|", "title", "location").cast("binary")), 1, 12)
     kept = kept.withColumns({
         "url": F.concat("page_url", F.lit("#job-"), digest), "page_no": F.lit(0), "seq": F.col("pos")})
@@ -125,10 +128,9 @@ def card_segments(pages_text: DataFrame) -> DataFrame:
         source=F.lit("adp"), source_id=synthetic_id(F.col("url")), capture_seq=F.col("seq"))
 
 
-def label_value(text: Column, pattern: str, cap: int | None = None) -> Column:
+def label_value(text: Column, pattern: str) -> Column:
     """Value after a label such as ``Location:``; empty if the label is missing."""
-    value = strip(F.regexp_extract(text, pattern, 1))
-    return value if cap is None else F.substring(value, 1, cap)
+    return strip(F.regexp_extract(text, pattern, 1))
 
 
 def card_fields(parsed: DataFrame, card_class: str, title_class: str | None = None, link_tag: str = "a",
@@ -149,11 +151,10 @@ def card_fields(parsed: DataFrame, card_class: str, title_class: str | None = No
         return F.struct(
             card["seq"].alias("seq"), squash_ws(dom.element_text(title)).alias("label"),
             dom.first_of(dom.inside(card, lists["links"]))["link"].alias("url"),
-            F.substring(squash_ws(text), 1, 16000).alias("description"),
-            F.substring(strip(place), 1, 120).alias("location"))
+            squash_ws(text).alias("description"), strip(place).alias("location"))
 
     cards = dom.describe_each(with_class(card_class), lists, describe)
     rows = parsed.select("company", "page_url", "page_no", F.explode(cards).alias("c")).select(
         "company", "page_url", "page_no", "c.*")
     return first_by_url(rows.filter((F.col("label") != "") & (F.coalesce("url", F.lit("")) != ""))).withColumn(
-        "title", F.substring("label", 1, 180))
+        "title", F.col("label"))

@@ -303,12 +303,9 @@ def _union_boards(inputs: Inputs) -> DataFrame:
 # ---- which captures count ---------------------------------------------------------------------------------
 
 @query("enrich_candidates", """
-    SELECT k, company, CAST(candidate_rank AS INTEGER) AS candidate_rank FROM (
-        SELECT k, company, row_number() OVER (PARTITION BY company ORDER BY k) AS candidate_rank FROM {items}
-        WHERE k % 5 IN (1, 3)) t WHERE candidate_rank <= 10""")
+    SELECT k, company FROM {items} WHERE k % 5 IN (1, 3)""")
 def _enrich_candidates(inputs: Inputs) -> DataFrame:
-    listings = inputs["items"].withColumn("capture_seq", _k())
-    return capture.enrich_candidates(listings, budget=10).select("k", "company", "candidate_rank")
+    return capture.enrich_candidates(inputs["items"]).select("k", "company")
 
 
 # Thirty pages a board; the listing order on a page is the order of the line items.
@@ -327,16 +324,24 @@ view("page_sizes", """
     LEFT JOIN {captured_pages} c ON c.company = p.company AND c.page_no = p.page_no GROUP BY p.company, p.page_no""")
 
 
-@query("page_cut", """
-    WITH firsts AS (SELECT company, listing_key, min(page_no * 10000000000 + pos) AS first_at FROM {captured_pages} GROUP BY company, listing_key),
-         fresh AS (SELECT company, CAST(floor(first_at / 10000000000) AS BIGINT) AS page_no, count(*) AS n_new FROM firsts GROUP BY 1, 2),
-         ends AS (SELECT s.company, min(CASE WHEN s.n_rows < 10 OR f.n_new IS NULL THEN s.page_no END) AS last
-                  FROM {page_sizes} s LEFT JOIN fresh f ON f.company = s.company AND f.page_no = s.page_no GROUP BY s.company)
-    SELECT f.company, f.listing_key, CAST(floor(first_at / 10000000000) AS BIGINT) AS page_no FROM firsts f JOIN ends e ON e.company = f.company
-    WHERE floor(first_at / 10000000000) < 25 AND (last IS NULL OR floor(first_at / 10000000000) <= last)""")
-def _page_cut(inputs: Inputs) -> DataFrame:
-    kept = capture.page_cut(inputs["captured_pages"], inputs["page_sizes"], page_size=10, max_pages=25)
-    return kept.select("company", "listing_key", "page_no")
+@query("first_copies", """
+    SELECT company, listing_key, CAST(floor(min(page_no * 10000000000 + pos) / 10000000000) AS BIGINT) AS page_no
+    FROM {captured_pages} GROUP BY company, listing_key""")
+def _first_copies(inputs: Inputs) -> DataFrame:
+    return capture.first_copies(inputs["captured_pages"]).select("company", "listing_key", "page_no")
+
+
+# Boards divisible by four lose page 12 altogether.
+@query("page_gaps", """
+    SELECT company, first_page, last_page, last_page - first_page + 1 - captured AS missing_pages, empty_pages FROM (
+        SELECT p.company, min(p.page_no) AS first_page, max(p.page_no) AS last_page, count(*) AS captured,
+               count(CASE WHEN n_rows = 0 AND p.page_no < last THEN 1 END) AS empty_pages
+        FROM {page_sizes} p JOIN (SELECT company, max(page_no) AS last FROM {page_sizes} GROUP BY company) l ON l.company = p.company
+        WHERE NOT (p.company % 4 = 0 AND p.page_no = 12) GROUP BY p.company) b
+    WHERE last_page - first_page + 1 > captured OR empty_pages > 0""")
+def _page_gaps(inputs: Inputs) -> DataFrame:
+    lost = (F.col("company") % 4 == 0) & (F.col("page_no") == 12)
+    return capture.page_gaps(inputs["page_sizes"].filter(~lost))
 
 
 view("variants", """
@@ -405,17 +410,16 @@ def _seed_rows(inputs: Inputs) -> DataFrame:
 
 
 view("hops", """
-    SELECT DISTINCT l_suppkey % 7 AS company, l_partkey AS a, (l_partkey * 7 + l_suppkey) % 1999 AS b FROM {lineitem} WHERE l_linenumber = 1""")
+    SELECT DISTINCT l_suppkey % 7 AS company, l_partkey AS a, (l_partkey * 7 + l_suppkey) % 1999 AS b FROM {lineitem}""")
 
 
 @query("link_closure", """
-    WITH RECURSIVE reach(company, page, round) AS (
-        SELECT DISTINCT company, a, 0 FROM {hops} WHERE a < 5
-        UNION SELECT h.company, h.b, r.round + 1 FROM reach r JOIN {hops} h ON h.company = r.company AND h.a = r.page WHERE r.round < 4)
-    SELECT company, page, min(round) AS round FROM reach GROUP BY company, page""")
+    WITH RECURSIVE reach(company, page) AS (
+        SELECT company, min(a) FROM {hops} GROUP BY company
+        UNION SELECT h.company, h.b FROM reach r JOIN {hops} h ON h.company = r.company AND h.a = r.page)
+    SELECT company, page FROM reach""")
 def _link_closure(inputs: Inputs) -> DataFrame:
     hops = inputs["hops"]
-    links = hops.select("company", F.col("a").alias("from_url"), F.col("b").alias("to_url"), F.lit(0).alias("seq"))
-    seeds = hops.filter("a < 5").select("company", F.col("a").alias("url"), F.lit(0).alias("seq")).distinct()
-    reached = capture.link_closure(seeds, links, max_pages=None, max_rounds=4)
-    return reached.select("company", F.col("url").alias("page"), "round")
+    links = hops.select("company", F.col("a").alias("from_url"), F.col("b").alias("to_url"))
+    seeds = hops.groupBy("company").agg(F.min("a").alias("url"))
+    return capture.link_closure(seeds, links).select("company", F.col("url").alias("page"))

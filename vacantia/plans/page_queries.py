@@ -57,7 +57,7 @@ def _page_links(inputs: Inputs) -> DataFrame:
 
 # Seeds: ten parts name a title each for the company of one page.
 view("title_seeds", """
-    SELECT p_partkey AS seq, CAST(floor(p_partkey / 10) AS BIGINT) AS company, left(p_name, 3) AS title, 'Here' AS default_location FROM {part}""")
+    SELECT p_partkey AS seq, CAST(floor(p_partkey / 10) AS BIGINT) AS company, split_part(p_name, ' ', 1) AS title, 'Here' AS default_location FROM {part}""")
 
 
 @query("seed_title_hit", """
@@ -268,13 +268,11 @@ def _links_foundation(inputs: Inputs) -> DataFrame:
     return _jobs(links.foundation_jobs(listing_anchors(inputs, "foundation"), detail_facts(inputs, "foundation", graph=False)))
 
 
-_BUDGETED = """
-    SELECT *, rank <= 40 AND captured AS c FROM (
-        SELECT d.*, row_number() OVER (PARTITION BY company ORDER BY page_no, seq) AS rank FROM (
-            SELECT l.company, l.page_no, l.label, l.url, l.seq, t.k IS NOT NULL AS captured, coalesce(t.form, -1) AS form, t.title, t.city, t.kind, t.id, l.k,
-                   CASE WHEN t.form = 1 THEN t.text ELSE t.bare_text END AS text
-            FROM (%s) l LEFT JOIN {detail_text} t ON t.k = l.k AND l.seq = l.k * 2 AND t.captured) d) r"""
-_CAREER = _BUDGETED % _first_links(
+_ENRICHED = """
+    SELECT l.company, l.page_no, l.label, l.url, l.seq, t.k IS NOT NULL AS c, coalesce(t.form, -1) AS form, t.title, t.city, t.kind, t.id, l.k,
+           CASE WHEN t.form = 1 THEN t.text ELSE t.bare_text END AS text
+    FROM (%s) l LEFT JOIN {detail_text} t ON t.k = l.k AND l.seq = l.k * 2 AND t.captured"""
+_CAREER = _ENRICHED % _first_links(
     "career_page", "label <> '' AND regexp_matches(label, 'scientist|data science|genomic|manager', 'i') AND (contains(link, '.example.com/') OR contains(link, 'greenhouse.io')) AND regexp_matches(lower(link), '/job|/career|/position|/opening|apply')")
 
 
@@ -285,7 +283,7 @@ _CAREER = _BUDGETED % _first_links(
     description="CASE WHEN c AND form = 0 THEN concat('Posted & ', kind) WHEN c THEN text ELSE '' END") + f" FROM ({_CAREER}) x")
 def _links_career_page(inputs: Inputs) -> DataFrame:
     return _jobs(links.career_page_jobs(
-        listing_anchors(inputs, "career_page"), detail_facts(inputs, "career_page", graph=False), budget=40))
+        listing_anchors(inputs, "career_page"), detail_facts(inputs, "career_page", graph=False)))
 
 
 _BROWSER = _first_links("browser", "link <> '' AND NOT contains(lower(concat(label, ' ', link)), 'privacy') AND (contains(link, '/positions/') OR contains(link, 'greenhouse.io'))")
@@ -296,14 +294,10 @@ _BROWSER = _first_links("browser", "link <> '' AND NOT contains(lower(concat(lab
     company="company", title="CASE WHEN c AND form = 1 THEN concat(title, ' II') WHEN label = '' THEN 'Job opening' ELSE label END", url="url",
     source="'browser_career'", source_id=_SHA, location="CASE WHEN c THEN concat(city, ' Date') ELSE '' END",
     description="CASE WHEN c THEN text ELSE '' END") + f"""
-    FROM (SELECT *, fits AND captured AND rank <= 50 AS c FROM (
-        SELECT d.*, row_number() OVER (PARTITION BY company, fits ORDER BY page_no, seq) AS rank FROM (
-            SELECT l.company, l.page_no, l.label, l.url, l.seq, t.k IS NOT NULL AS captured, coalesce(t.form, -1) AS form, t.title, t.city,
-                   regexp_matches(l.label, 'scientist|manager', 'i') AS fits, CASE WHEN t.form = 1 THEN t.text ELSE t.bare_text END AS text
-            FROM ({_BROWSER}) l LEFT JOIN {{detail_text}} t ON t.k = l.k AND l.seq = l.k * 2 AND t.captured) d) r) x
-    WHERE label <> ''""")
+    FROM ({_ENRICHED % _BROWSER}) x
+    WHERE label <> '' OR c AND form = 1""")
 def _links_browser(inputs: Inputs) -> DataFrame:
-    return _jobs(links.browser_jobs(listing_anchors(inputs, "browser"), detail_facts(inputs, "browser"), budget=50))
+    return _jobs(links.browser_jobs(listing_anchors(inputs, "browser"), detail_facts(inputs, "browser")))
 
 
 # ---- navigation, external and embedded links -------------------------------------------------------------------

@@ -55,7 +55,7 @@ PROFILE_B = {
 }
 
 view("postings", """
-    SELECT source AS company, left(split_part(text, chr(10), 1), 180) AS title, lang AS location,
+    SELECT source AS company, split_part(text, chr(10), 1) AS title, lang AS location,
            concat('https://example.org/', lang, '/job/', CAST(doc_id AS STRING)) AS url,
            'documents' AS source, CAST(doc_id AS STRING) AS source_id, text AS description,
            doc_id AS capture_seq
