@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -78,7 +80,7 @@ class WordTable:
         self.numbers: dict[Hashable, int] = {}
         self.learn, self.reset, self.limit = learn, reset, limit
 
-    def of(self, texts: list[list]) -> list[list[int]]:
+    def of(self, texts: list[list]) -> list[np.ndarray]:
         """The numbers of the words of each text."""
         numbers = self.numbers
         if len(numbers) > self.limit:
@@ -88,4 +90,25 @@ class WordTable:
         if new:
             self.learn(new)
             numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
-        return [list(map(numbers.__getitem__, words)) for words in texts]
+        return [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in texts]
+
+
+class Ragged:
+    """Lists of numbers, one per word, in one array."""
+
+    def __init__(self, dtype):
+        self.values, self.starts = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def extend(self, lists: list[list[int]]) -> None:
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        new = np.fromiter(chain.from_iterable(lists), self.values.dtype, int(counts.sum()))
+        self.values = np.concatenate([self.values, new])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+
+    def take(self, numbers: np.ndarray) -> np.ndarray:
+        """The lists of these words, one after the other."""
+        first = self.starts[numbers]
+        counts = self.starts[numbers + 1] - first
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.values[np.repeat(first - (ends - counts), counts) + np.arange(total)]

@@ -16,13 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vacantia.llm.common import WordTable, binary_column, text_slices
+from vacantia.llm.common import Ragged, WordTable, binary_column, text_slices
 
 #: Words in a window that may repeat, the share of repeated words that fails, and the least number of words.
 WINDOW, MAX_REPEATED_PCT, MIN_WORDS = 5, 20, 10
@@ -109,17 +108,12 @@ class Fertility:
         self._reset()
 
     def _reset(self) -> None:
-        #: Per word: code points, and where its ids lie in ``ids``.
-        self.chars, self.starts = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.chars, self.ids = np.zeros(0, np.int64), Ragged(np.int32)
 
     def _learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        encoded = self.model.encode(texts, num_threads=1)
-        counts = np.fromiter(map(len, encoded), np.int64, len(encoded))
         self.chars = np.concatenate([self.chars, np.fromiter(map(len, texts), np.int64, len(texts))])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), np.int32, int(counts.sum()))])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+        self.ids.extend(self.model.encode(texts, num_threads=1))
 
     def measure_all(self, texts: list[bytes]) -> list[tuple]:
         """Metrics of each text, without the id."""
@@ -127,7 +121,7 @@ class Fertility:
         for start, end in text_slices(texts):
             part = texts[start:end]
             numbers = self.table.of([t.split() for t in part])
-            out += [self._of(text, np.array(n, np.int64)) for text, n in zip(part, numbers)]
+            out += [self._of(text, n) for text, n in zip(part, numbers)]
         return out
 
     def _of(self, text: bytes, numbers: np.ndarray) -> tuple:
@@ -135,11 +129,9 @@ class Fertility:
         symbols = len(text) - len(text.translate(None, SYMBOLS))
         if not n:
             return 0, 0, symbols, 0, 0, 0, 0, None, None, None, "latin"
-        first, counts = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
-        total = int(counts.sum())
         word_chars = int(self.chars[numbers].sum())
-        ends = np.cumsum(counts)
-        ids = self.ids[np.repeat(first - (ends - counts), counts) + np.arange(total)]
+        ids = self.ids.take(numbers)
+        total = len(ids)
         byte_tokens = int(self.is_byte[ids].sum())
         tally = np.unique(ids, return_counts=True)[1] if total < 4096 else np.bincount(ids)
         shares = tally[tally > 0] / total
@@ -169,12 +161,6 @@ def measure_batches(batches: Iterator[pa.RecordBatch], model_path: str) -> Itera
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), *columns], names)
 
 
-def text_metrics(docs: DataFrame, model_path: str) -> DataFrame:
-    """One row of ``METRICS`` per row of ``docs`` (doc_id, text)."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(lambda it: measure_batches(it, model_path), METRICS)
-
-
 def in_band(lang: str = "lang", languages: dict[str, Band] = LANGUAGE_BANDS, scripts: dict[str, Band] = SCRIPT_BANDS):
     """Whether a row of metrics lies in the band of its language, else of its script."""
     def test(b: Band):
@@ -191,40 +177,39 @@ def in_band(lang: str = "lang", languages: dict[str, Band] = LANGUAGE_BANDS, scr
     return F.coalesce(rule, F.lit(False))
 
 
-def judge(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Metrics, ``base_failed`` and ``kept`` per document, with the columns named in ``keep``.
-
-    The texts pass through one Arrow job and are not shuffled.
-    """
-    wanted = dict.fromkeys(["doc_id", "text", "lang", *keep])
+def _judged(docs: DataFrame, model_path: str, keep: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Metrics, ``base_failed`` and ``kept`` beside the columns ``keep`` of the documents, and the names that those have
+    here: names of their own, so that they clash with nothing."""
     kinds = dict(docs.dtypes)
-    carried = {f"_{i}": c for i, c in enumerate(wanted) if c in kinds}
-    narrow = docs.select(*[F.col(c).alias(alias) for alias, c in carried.items()])
-    names = {c: alias for alias, c in carried.items()}
-    schema = METRICS + "".join(f", {a} {kinds[c]}" for a, c in carried.items() if c in keep or c == "lang")
+    wanted = [c for c in dict.fromkeys(["doc_id", "text", "lang", *keep]) if c in kinds]
+    names = {c: f"_{i}" for i, c in enumerate(wanted)}
+    carried = [c for c in wanted if c in keep or c == "lang"]
+    schema = METRICS + "".join(f", {names[c]} {kinds[c]}" for c in carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 column = lambda c, p=part: p.column(p.schema.get_field_index(names[c]))
-                narrow_part = pa.RecordBatch.from_arrays([column("doc_id"), column("text")], ["doc_id", "text"])
-                for measured in measure_batches(iter([narrow_part]), model_path):
-                    more = [(names[c], column(c)) for c in carried.values() if c in keep or c == "lang"]
-                    yield pa.RecordBatch.from_arrays([*measured.columns, *[x for _, x in more]], [*measured.schema.names, *[n for n, _ in more]])
+                ids = column("doc_id").cast(pa.int64())
+                narrow = pa.RecordBatch.from_arrays([ids, column("text")], ["doc_id", "text"])
+                for measured in measure_batches(iter([narrow]), model_path):
+                    more = [column(c) for c in carried]
+                    yield pa.RecordBatch.from_arrays([*measured.columns, *more], [*measured.schema.names, *[names[c] for c in carried]])
 
-    lang = names.get("lang")
-    out = narrow.mapInArrow(run, schema)
+    out = docs.select(*[F.col(c).alias(alias) for c, alias in names.items()]).mapInArrow(run, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PCT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    verdict = in_band(lang) if lang else in_band("script", languages={})
-    out = out.withColumn("kept", ~F.col("base_failed") & verdict)
-    metric_names = [c.split()[0] for c in METRICS.split(", ")]
-    if keep:
-        return out.select(*[F.col(names[c]).alias(c) for c in keep], "kept")
-    return out.select(*metric_names, "base_failed", "kept")
+    verdict = in_band(names["lang"]) if "lang" in names else in_band("script", languages={})
+    return out.withColumn("kept", ~F.col("base_failed") & verdict), names
+
+
+def judge(docs: DataFrame, model_path: str) -> DataFrame:
+    """Metrics, ``base_failed`` and ``kept`` per document. The texts pass through one Arrow job and are not shuffled."""
+    return _judged(docs, model_path, [])[0].select(*[c.split()[0] for c in METRICS.split(", ")], "base_failed", "kept")
 
 
 def kept_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    return judge(docs, model_path, keep=tuple(docs.columns)).where("kept").drop("kept")
+    judged, names = _judged(docs, model_path, docs.columns)
+    return judged.where("kept").select(*[F.col(names[c]).alias(c) for c in docs.columns])

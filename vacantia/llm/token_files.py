@@ -30,7 +30,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vacantia.llm.common import WordTable, binary_column, open_folder, text_slices
+from vacantia.llm.common import Ragged, WordTable, binary_column, open_folder, text_slices
 
 SEQUENCE_LENGTH = 2048
 BATCH = 64
@@ -40,6 +40,9 @@ READ = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 #: Characters that the vocabulary's normaliser treats alike in every library: printable ASCII and accented Latin.
 _PLAIN = re.compile(r"[!-~À-ɏ]+")
+_CONTROLS = bytes([*range(10), *range(11, 32), 127])
+#: Distinct pieces that a worker keeps at once.
+MAX_PIECES = 600_000
 
 
 class WordEncoder:
@@ -61,38 +64,52 @@ class WordEncoder:
         normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         pattern = (split[0].get("pattern") or {}).get("Regex")
         direct = normal == ["NFC", "Replace", "Lowercase"] and pattern and [s.get("type") for s in split] == ["Split", "ByteLevel"]
-        self.pieces = regex.compile(pattern) if direct else None
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        #: Splits words joined by line feeds into the pieces that the model sees.
+        self.pieces = regex.compile("\n|" + pattern) if direct else None
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.known: dict[str, list[int]] = {}
         self.table = WordTable(self._learn, self._reset)
         self._reset()
 
     def _reset(self) -> None:
-        self.ids: list[np.ndarray] = []
-        self.known: dict[str, list[int]] = {}
+        self.ids = Ragged(self.dtype)
 
     def _piece(self, piece: str) -> list[int]:
-        found = self.known.get(piece)
-        if found is None:
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            found = self.known[piece] = [t.id for t in self.tokenizer.model.tokenize(text)]
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if len(self.known) > MAX_PIECES:
+            self.known.clear()
+        found = self.known[piece] = [t.id for t in self.tokenizer.model.tokenize(text)]
         return found
 
+    def _is_plain(self, words: list[bytes]) -> list[bool]:
+        joined = b"\n".join(words)
+        printable = len(joined.translate(None, _CONTROLS)) == len(joined)
+        marks = [s for s in self.special if s in joined]
+        plain = [printable if w.isascii() else _PLAIN.fullmatch(w.decode("utf-8", "replace")) is not None for w in words]
+        if not printable:
+            plain = [_PLAIN.fullmatch(w.decode("utf-8", "replace")) is not None for w in words]
+        return [p and not any(s in w for s in marks) for p, w in zip(plain, words)] if marks else plain
+
     def _learn(self, words: list[bytes]) -> None:
-        for raw in words:
-            word = raw.decode("utf-8", "replace")
-            if self.pieces is None or not _PLAIN.fullmatch(word) or any(s in word for s in self.special):
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            else:
+        plain = self._is_plain(words) if self.pieces else [False] * len(words)
+        text = b"\n".join([w for w, p in zip(words, plain) if p]).decode()
+        text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        split, ids, get = [], [], self.known.get
+        for piece in self.pieces.findall(text) if self.pieces else ():
+            if piece == "\n":
+                split.append(ids)
                 ids = []
-                for piece in self.pieces.findall(unicodedata.normalize("NFC", word).lower()):
-                    ids += self._piece(piece)
-            self.ids.append(np.array(ids, self.dtype))
+            else:
+                ids += get(piece) or self._piece(piece)
+        split.append(ids)
+        following = iter(split)
+        self.ids.extend([
+            next(following) if p else self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w, p in zip(words, plain)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         out = []
         for start, end in text_slices(texts):
-            for numbers in self.table.of([t.split() for t in texts[start:end]]):
-                out.append(np.concatenate([self.ids[n] for n in numbers]) if numbers else np.zeros(0, self.dtype))
+            out += [self.ids.take(n) for n in self.table.of([t.split() for t in texts[start:end]])]
         return out
 
 
@@ -225,12 +242,13 @@ class Shard:
 
     def column(self, batch: int, name: str) -> np.ndarray:
         """All values of a batch, one sequence after the other, without a copy."""
-        column = self.reader.get_batch(batch).column(name)
-        return column.values.to_numpy(zero_copy_only=True)[column.offset * self.length:]
+        return self.reader.get_batch(batch).column(name).values.to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int, name: str = "ids") -> np.ndarray:
-        at = i % BATCH * self.length
-        return self.column(i // BATCH, name)[at:at + self.length]
+        """The ids or the packed mask of one sequence."""
+        width = self.length
+        at = i % BATCH * width
+        return self.column(i // BATCH, name)[at:at + width]
 
     def ids(self, start: int, count: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, in pieces."""
