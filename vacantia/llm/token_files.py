@@ -3,8 +3,8 @@
 A folder holds one shard per range of document ids, ascending:
 
 * ``ids-<shard>-<attempt>.arrow``: Arrow file format, record batches of ``BATCH`` sequences with the columns ``ids`` (fixed-size
-  list of unsigned integers, 16 bits where the vocabulary allows) and ``mask`` (fixed-size list of 8-bit flags, 0 on the
-  padding of a shard's last sequence). Sequence ``i`` is row ``i % BATCH`` of batch ``i // BATCH``; a memory-mapped reader gets it
+  list of unsigned integers, 16 bits where the vocabulary allows) and ``mask`` (fixed-size list of bytes with a bit per
+  id, least significant first, 0 on the padding of a shard's last sequence). Sequence ``i`` is row ``i % BATCH`` of batch ``i // BATCH``; a memory-mapped reader gets it
   without a copy.
 * ``docs-<shard>-<attempt>.arrow``: doc_id, start in the shard, and number of ids of each document.
 * ``manifest``: one row per shard, written by Spark after the files. Files of lost or repeated attempts are in no manifest row.
@@ -134,9 +134,11 @@ class SequenceWriter:
     """Writes a stream of ids as sequences; holds one record batch at most, besides the ids just given."""
 
     def __init__(self, sink, dtype, length: int):
+        if length % 8:
+            raise ValueError("the sequence length must be a multiple of 8")
         kind = pa.from_numpy_dtype(dtype)
         self.length, self.kind, self.dtype = length, kind, dtype
-        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.waiting: list[np.ndarray] = []
         self.size = self.total = 0
@@ -153,9 +155,8 @@ class SequenceWriter:
             self.waiting, self.size = [flat[whole:]], len(flat) - whole
 
     def _write(self, flat: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(flat), np.uint8)
-        mask[:real] = 1
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (flat, mask)]
+        mask = np.packbits(np.arange(len(flat)) < real, bitorder="little")
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((flat, self.length), (mask, self.length // 8))]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -246,7 +247,7 @@ class Shard:
 
     def sequence(self, i: int, name: str = "ids") -> np.ndarray:
         """The ids or the packed mask of one sequence."""
-        width = self.length
+        width = self.length if name == "ids" else self.length // 8
         at = i % BATCH * width
         return self.column(i // BATCH, name)[at:at + width]
 
