@@ -144,7 +144,8 @@ def test_history_stream_equals_batch_and_retries_are_harmless(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = arrivals(spark, folder, [[("k1", "a", 1), ("k2", "a", 1), ("k3", "b", 1)], [("k2", "a", 2)]])
     table = HistoryTable(spark, str(tmp_path / "h"))
-    writer = flows.history_batch_writer(table, lambda df: (df, df.select("company").distinct()))
+    day = F.date_trunc("day", "capture_ts").alias("run_at")
+    writer = flows.history_batch_writer(table, lambda df: (df.select("*", day), df.select("company", day).distinct()))
     handle = (flows.capture_stream(spark, folder, schema, 1).writeStream.foreachBatch(writer)
               .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     handle.awaitTermination()
@@ -167,3 +168,47 @@ def test_expiry_stream(spark, tmp_path):
     finally:
         spark.conf.set(provider, before)
     assert [(r["stable_key"], pd.Timestamp(r["last_seen_ms"], unit="ms").day) for r in rows] == [("gone", 1)]
+
+
+def test_a_run_may_be_split_over_batches(spark, tmp_path):
+    """Two batches of one run, then its end; a batch-run history before it; the next run closes what it does not list."""
+    table = HistoryTable(spark, str(tmp_path / "h"))
+    table.write(history.merge_history(table.read(), current(spark, [("k0", "a", "t"), ("k9", "b", "t")]), at(1)), "20240101T060000")
+    columns = CURRENT + ", run_at timestamp, complete boolean"
+
+    def batch(day, keys, complete=()):
+        moment = datetime.datetime(2024, 1, day, 6)
+        rows = [(i, k, "a", "s", k, "t", 1, moment, False) for i, k in enumerate(keys)] + [(None, None, c, None, None, None, None, moment, True) for c in complete]
+        return spark.createDataFrame(rows, columns)
+
+    writer = flows.history_batch_writer(table, lambda df: (df.filter("not complete"), df.filter("complete").select("company", "run_at")), "q")
+    writer(batch(2, ["k1", "k2"]), 0)
+    writer(batch(2, ["k3", "k0"]), 1)
+    assert {k: v[4] for k, v in state(table.read()).items()} == {"k0": 1, "k1": 1, "k2": 1, "k3": 1, "k9": 1}
+    writer(batch(2, [], ["a"]), 2)
+    assert {k: v[2:] for k, v in state(table.read()).items()} == {
+        "k0": (1, 2, 1), "k1": (2, 2, 1), "k2": (2, 2, 1), "k3": (2, 2, 1), "k9": (1, 1, 1)}
+    writer(batch(3, ["k2"]), 3)
+    writer(batch(3, ["k2"]), 3)
+    writer(batch(3, [], ["a"]), 4)
+    assert {k: v[2:] for k, v in state(table.read()).items()} == {
+        "k0": (1, 2, 0), "k1": (2, 2, 0), "k2": (2, 3, 1), "k3": (2, 2, 0), "k9": (1, 1, 1)}
+
+
+def test_equal_sequence_numbers_leave_one_row_per_key(spark):
+    rows = spark.createDataFrame([(5, "k", "a", "s", "k", t, 1) for t in ("x", "y", "x")] + [(4, "k", "a", "s", "k", "old", 1)], CURRENT)
+    kept = history.last_per_key(rows).collect()
+    assert len(kept) == 1 and kept[0]["capture_seq"] == 5 and history.last_per_key(rows.repartition(3)).collect() == kept
+
+
+def test_a_retried_version_starts_from_what_it_started_from(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "h"))
+    table.write(history.merge_history(table.read(), current(spark, [("k1", "a", "t")]), at(1)), "r1")
+    for _ in range(2):
+        before = table.read_before("r2")
+        assert history.new_postings(before, current(spark, [("k1", "a", "t"), ("k2", "a", "t")])).count() == 1
+        table.write(history.merge_history(before, current(spark, [("k1", "a", "t"), ("k2", "a", "t")]), at(2)), "r2")
+    assert table.versions() == ["r1", "r2"] and table.read().count() == 2
+    import pytest
+    with pytest.raises(ValueError):
+        table.write(table.read(), "r1")

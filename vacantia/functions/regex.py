@@ -19,6 +19,7 @@ FLAGS = "(?iuUd)"
 _NAMED_GROUP = re.compile(r"\(\?P<[^>]+>")
 _WORD = re.compile(r"[A-Za-z0-9 ,;:_@/'\"<>=%&~`!#-]+")
 _GLOBAL_FLAGS = re.compile(r"\(\?[aiLmsux]+\)")
+_QUANTIFIER = re.compile(r"\{(\d*)(,?)(\d*)\}")
 _BACK_REFERENCE = re.compile(r"(?<!\\)(?:\\\\)*\\[1-9]|\(\?P=")
 
 
@@ -57,6 +58,16 @@ def java_pattern(pattern: str) -> str:
                 out.append("\\]")
                 at += 1
             continue
+        elif ch == "{":
+            # A brace that bounds nothing is a character in Python; an open lower bound is 0.
+            bounds = _QUANTIFIER.match(pattern, at)
+            if bounds is None or bounds.group(0) == "{}":
+                out.append("\\{")
+                at += 1
+            else:
+                out.append(f"{{{bounds.group(1) or 0}{bounds.group(2)}{bounds.group(3)}}}")
+                at = bounds.end()
+            continue
         out.append(ch)
         at += 1
     return "".join(out)

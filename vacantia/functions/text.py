@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -79,33 +79,62 @@ def html_escape(col: Column) -> Column:
     return col
 
 
-def _code_point(number: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+#: HTML names that count without a semicolon too, longest first.
+_BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:" + "|".join(_BARE_NAMES) + "))"
+
+
+def _windows_character(code: int) -> str:
+    """What HTML makes of the codes 128 to 159."""
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+def _numbered(code: Column) -> Column:
+    """The character of a code point as HTML reads it: no code kills the job."""
+    windows = F.array(*[F.lit(_windows_character(c)) for c in range(128, 160)])
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    control = code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127)
+    none = control | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (
+        F.when(code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(code.between(128, 159), F.try_element_at(windows, (code - 127).cast("int")))
+        .when(none, F.lit("")).otherwise(plain))
 
 
 def html_unescape(col: Column) -> Column:
-    """Named (HTML 4 set plus ``&apos;``) and numeric character references to characters.
+    """Character references to characters, as HTML 5 reads them.
 
-    ``&amp;`` is resolved last, so text such as ``&amp;lt;`` is unescaped once only.
+    The text is split at its references once and joined with their values, so nothing is unescaped twice.
     """
-    names = {n: chr(c) for n, c in name2codepoint.items() if n != "amp"} | {"apos": "'"}
-    table = F.str_to_map(F.lit(";".join(f"{n}={c}" for n, c in names.items())), F.lit(";"), F.lit("="))
-
-    def swap(acc: Column, ref: Column) -> Column:
-        body = F.regexp_extract(ref, r"^&#?([^;]*);$", 1)
-        hexadecimal = body.substr(2, 8)
-        value = (
-            F.when(ref.rlike(r"^&#[xX]"), _code_point(F.conv(hexadecimal, 16, 10).cast("bigint")))
-            .when(ref.startswith("&#"), _code_point(body.try_cast("bigint")))
-            .otherwise(F.try_element_at(table, body))
-        )
-        return F.replace(acc, ref, F.coalesce(value, ref))
+    names = F.create_map(*[F.lit(x) for n, c in html5.items() for x in (n, c)])
+    bare = r"^&(" + "|".join(_BARE_NAMES) + ")"
+
+    def number(digits: Column, base: int) -> Column:
+        # More digits than any code point has: out of range whatever they are.
+        short = F.regexp_replace(digits, "^0+", "")
+        return F.when(F.length(short) <= 7, F.coalesce(F.conv(F.when(short == "", F.lit("0")).otherwise(short), base, 10).cast("bigint"), F.lit(0)))
+
+    def named(ref: Column) -> Column:
+        prefix = F.regexp_extract(ref, bare, 1)
+        return F.coalesce(
+            F.try_element_at(names, F.substr(ref, F.lit(2))),
+            F.when(prefix != "", F.concat(F.try_element_at(names, prefix), F.substr(ref, F.length(prefix) + 2))), ref)
+
+    def value(ref: Column) -> Column:
+        return (
+            F.when(ref == "&amp;", F.lit("&")).when(ref == "&nbsp;", F.lit("\u00a0")).when(ref == "&lt;", F.lit("<")).when(ref == "&gt;", F.lit(">"))
+            .when(ref.rlike("^&#[xX]"), _numbered(number(F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1), 16)))
+            .when(ref.startswith("&#"), _numbered(number(F.regexp_extract(ref, "([0-9]+);?$", 1), 10)))
+            .otherwise(named(ref)))
 
     def resolve(text: Column) -> Column:
-        refs = F.array_distinct(F.regexp_extract_all(
-            text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), F.lit(0)))
-        swapped = F.aggregate(F.filter(refs, lambda r: r != "&amp;"), text, swap)
-        return F.when(text.contains("&"), F.replace(swapped, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+        values = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), value)
+        pieces = F.split(text, _REFERENCE, -1)
+        joined = F.array_join(F.zip_with(pieces, values, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
+        return F.when(text.contains("&"), joined).otherwise(text)
 
     return let(col, resolve)
 

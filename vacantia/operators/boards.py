@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia.functions.location import normalize_location
 from vacantia.functions.pay import pay_node_text
 from vacantia.functions.text import first_non_empty, fragment_text, non_empty, strip
+from vacantia.operators.capture import last_capture
 from vacantia.schemas import as_jobs
 
 #: Room for this many postings per payload page in ``capture_seq``.
@@ -64,6 +65,18 @@ def payload_items(captures: DataFrame, key: str | None) -> DataFrame:
     return rows.withColumn("capture_seq", F.col("page_no") * F.lit(PAGE_SPAN) + F.col("pos"))
 
 
+def payload_errors(captures: DataFrame) -> DataFrame:
+    """(company, error) of captures whose body is there but is no JSON. Such a board failed; it is not empty."""
+    broken = F.col("body").isNotNull() & F.try_parse_json("body").isNull()
+    return captures.filter(broken).select("company", F.lit("ValueError: unreadable payload").alias("error"))
+
+
+def _last_details(details: DataFrame, key: str) -> DataFrame:
+    """One captured detail per posting."""
+    kept = [c for c in ("company", key, "body", "captured_at") if c in details.columns]
+    return last_capture(details.select(*kept).filter(F.col(key) != ""), "company", key)
+
+
 def _text(path: str, source: str | Column = "item") -> Column:
     return F.try_variant_get(source, path, "string")
 
@@ -217,7 +230,7 @@ def smartrecruiters(captures: DataFrame, details: DataFrame | None = None) -> Da
         "capture_seq": F.col("page_no") * F.lit(PAGE_SPAN) + F.col("pos"), "item": F.try_parse_json("raw"),
     }).withColumn("pid", first_non_empty(_text("$.uuid"), _text("$.id")))
     if details is not None:
-        found = details.select("company", "pid", F.col("body").alias("_detail")).filter(F.col("pid") != "")
+        found = _last_details(details, "pid").select("company", "pid", F.col("body").alias("_detail"))
         rows = rows.join(found, ["company", "pid"], "left")
         rows = rows.withColumn("_detail", F.coalesce("_detail", "raw"))
     else:
@@ -303,7 +316,7 @@ def workday(captures: DataFrame, details: DataFrame | None = None) -> DataFrame:
     """
     rows = first_listings(workday_listing(captures))
     if details is not None:
-        found = details.select("company", "external_path", F.col("body").alias("_body")).filter(F.col("external_path") != "")
+        found = _last_details(details, "external_path").select("company", "external_path", F.col("body").alias("_body"))
         rows = rows.join(found, ["company", "external_path"], "left")
     else:
         rows = rows.withColumn("_body", F.lit(None).cast("string"))

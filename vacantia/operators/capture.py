@@ -22,6 +22,13 @@ SEED_ID = r"(?i)_((?:R|JR)\d+[A-Za-z0-9-]*)"
 BOARD_IDENTITY = r"""wday/cxs/([^/"']+)/([^/"'?]+)"""
 
 
+def last_capture(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: the one captured last where captures have a time (``captured_at``), else the greatest."""
+    order = [c for c in ("captured_at",) if c in rows.columns] + [c for c in rows.columns if c != "captured_at"]
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_last")
+    return rows.groupBy(*keys).agg(last).select("_last.*")
+
+
 def title_is_candidate(title: Column, own_terms: Column | None = None,
                        terms: Sequence[str] = DETAIL_TITLE_TERMS) -> Column:
     """The lower-cased title contains one of the terms; a company's own list replaces the default."""

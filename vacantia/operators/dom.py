@@ -52,6 +52,14 @@ class _Nodes:
         self.attr_names, self.attr_values, self.attr_starts = [], [], [0]
         self.texts, self.starts, self.text_starts = [], [0], [0]
 
+    def sizes(self) -> dict[str, int]:
+        return {name: len(column) for name, column in vars(self).items()}
+
+    def cut(self, sizes: dict[str, int]) -> None:
+        """Forget what came after ``sizes`` were taken."""
+        for name, column in vars(self).items():
+            del column[sizes[name]:]
+
     def arrays(self) -> tuple[pa.Array, pa.Array]:
         numbers = [pa.array(c, pa.int32()) for c in (self.seq, self.parent, self.last, self.box)]
         attrs = pa.MapArray.from_arrays(
@@ -166,28 +174,46 @@ class _PageReader(HTMLParser):
         self._flush()
         while self._open:
             self._close()
-        self.nodes.starts.append(len(self.nodes.seq))
-        self.nodes.text_starts.append(len(self.nodes.texts))
+
+
+def _read_page(nodes: _Nodes, html: str, base_url: str | None) -> str | None:
+    """Append a page; a page that the tokenizer cannot read is empty, and the reason is returned."""
+    before, problem = nodes.sizes(), None
+    try:
+        _PageReader(nodes, base_url).read(html)
+    except Exception as error:  # noqa: BLE001  whatever a page holds, it must not end the job
+        nodes.cut(before)
+        problem = f"{type(error).__name__}: {error}"
+    nodes.starts.append(len(nodes.seq))
+    nodes.text_starts.append(len(nodes.texts))
+    return problem
 
 
 def parse_pages(pages: DataFrame, html: str = "html", url: str = "page_url") -> DataFrame:
-    """Replace the HTML column by ``elements`` and ``texts``; ``url`` is the base of relative links."""
+    """Replace the HTML column by ``elements``, ``texts`` and ``parse_error`` (null for pages that could be read); ``url`` is
+    the base of relative links."""
     kept = [f for f in pages.schema.fields if f.name != html]
-    schema = T.StructType(kept + T.StructType.fromDDL(f"elements array<{ELEMENT_TYPE}>, texts array<string>").fields)
+    schema = T.StructType(kept + T.StructType.fromDDL(f"elements array<{ELEMENT_TYPE}>, texts array<string>, parse_error string").fields)
     names = [f.name for f in kept]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, _BATCH_PAGES):
                 batch, nodes = whole.slice(start, _BATCH_PAGES), _Nodes()
-                for body, base in zip(batch.column(html).to_pylist(), batch.column(url).to_pylist()):
-                    _PageReader(nodes, base).read(body or "")
+                problems = [
+                    _read_page(nodes, body or "", base) for body, base in zip(batch.column(html).to_pylist(), batch.column(url).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(n) for n in names], *nodes.arrays()], names=[*names, "elements", "texts"])
+                    [*[batch.column(n) for n in names], *nodes.arrays(), pa.array(problems, pa.string())],
+                    names=[*names, "elements", "texts", "parse_error"])
 
     return pages.mapInArrow(parse, schema)
 
 
+def page_errors(parsed: DataFrame) -> DataFrame:
+    """(company, error) of the pages that could not be read."""
+    return parsed.filter(F.col("parse_error").isNotNull()).select("company", F.col("parse_error").alias("error"))
+
+
 def nodes(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """One row per element."""
     return parsed.select(*keys, F.explode("elements").alias("e")).select(*keys, "e.*")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Configuration keys a platform cannot work without.
-REQUIRED_OPTIONS: Mapping[str, tuple[str, ...]] = {
+# The platforms, and the configuration keys that each cannot work without.
+PLATFORMS: Mapping[str, tuple[str, ...]] = {
     "greenhouse": ("board",), "lever": ("board",), "ashby": ("board",), "gem": ("board",),
     "recruitee": ("board",), "smartrecruiters": ("board",), "kula": ("board",),
     "workday": ("host", "tenant", "board"),
     "career_page": ("url",), "browser_career": ("url",), "oracle": ("url",), "jazzhr": ("url",),
     "ultipro": ("url",), "hologic": ("url",), "jobvite": ("url",), "adp": ("url",),
-    "icims": ("url",), "promega": ("url",), "eligo": ("url",),
+    "icims": ("url",), "promega": ("url",), "eligo": ("url",), "successfactors": ("url",),
+    # Their sites have default addresses; an empty board needs nothing.
+    "foundation": (), "adaptive": (), "indigo_ag": (), "empty": (),
+    # Named in registries, but every site needs an own reader: its board is an error.
+    "custom": (),
 }
 ZERO_RESULT = "ZERO_RESULT_UNVERIFIED"
 UNKNOWN_PLATFORM = "Unknown platform"
@@ -34,9 +38,9 @@ def zero_result_warnings(companies: DataFrame, counts: DataFrame, page_evidence:
     return df.filter(empty & ~verified).select("company", "platform", F.lit(ZERO_RESULT).alias("warning"))
 
 
-def unknown_platforms(companies: DataFrame, known: list[str]) -> DataFrame:
-    """Error rows for companies whose platform has no normalizer."""
-    return companies.filter(~F.col("platform").isin(known)).select(
+def unknown_platforms(companies: DataFrame, known: Iterable[str] = PLATFORMS) -> DataFrame:
+    """Error rows for companies whose platform is none of ``known``; a missing platform is unknown too."""
+    return companies.filter(~F.coalesce("platform", F.lit("")).isin(list(known))).select(
         F.col("name").alias("company"), "platform", F.lit(UNKNOWN_PLATFORM).alias("error"))
 
 
@@ -45,6 +49,13 @@ def board_errors(captures: DataFrame) -> DataFrame:
     return captures.filter(F.col("error").isNotNull()).select("run", "company", "platform", "error")
 
 
+def errors_json() -> Column:
+    """Aggregate: the failed companies of a run (company, error) as a JSON list in order of their names. A run has one
+    row per configured company."""
+    failed = F.collect_list(F.when(F.col("error").isNotNull(), F.struct("company", "error")))
+    return F.to_json(F.sort_array(failed)).alias("errors_json")
+
+
 def board_collapse(counts: DataFrame, runs_back: int = 5, max_ratio: float = 0.5) -> DataFrame:
     """Runs whose count falls below ``max_ratio`` of the average over the ``runs_back`` runs before."""
     trail = Window.partitionBy("company").orderBy("run").rowsBetween(-runs_back, -1)
@@ -70,7 +81,7 @@ def registry_problems(companies: DataFrame) -> DataFrame:
         .select("name", F.lit("duplicate name").alias("problem"), F.col("n").cast("string").alias("detail"))
     )
     missing = F.lit("")
-    for platform, needed in REQUIRED_OPTIONS.items():
+    for platform, needed in PLATFORMS.items():
         absent = F.array_join(F.array_compact(F.array(*[
             F.when(F.coalesce(F.try_element_at("options", F.lit(key)), F.lit("")) == "", F.lit(key)) for key in needed
         ])), ", ")

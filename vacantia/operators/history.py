@@ -23,9 +23,16 @@ def evolve(history: DataFrame, schema: T.StructType = JOB_HISTORY) -> DataFrame:
 
 
 def last_per_key(current: DataFrame) -> DataFrame:
-    """One row per stable key, the last listed. Only (key, sequence) pairs are aggregated, not the wide rows."""
-    last = current.groupBy("stable_key").agg(F.max("capture_seq").alias("capture_seq"))
-    return current.join(last, ["stable_key", "capture_seq"], "left_semi")
+    """One row per stable key, the last listed; rows that share the sequence number too are told apart by their content.
+
+    Only keys, sequence numbers and hashes are aggregated, not the wide rows.
+    """
+    marked = current.withColumn("_content", F.xxhash64(*current.columns))
+    last = marked.groupBy("stable_key").agg(F.max(F.struct("capture_seq", "_content")).alias("_last")).select(
+        "stable_key", "_last.capture_seq", "_last._content")
+    kept = marked.join(last, ["stable_key", "capture_seq", "_content"], "left_semi").drop("_content")
+    # What is left twice is equal.
+    return kept.dropDuplicates(["stable_key"])
 
 
 def _first_of_new_keys(history: DataFrame, current: DataFrame) -> DataFrame:
@@ -92,6 +99,28 @@ def merge_history(history: DataFrame, current: DataFrame, run_time: Column,
     return joined.select(*[columns[name].alias(name) for name in history.columns])
 
 
+def merge_batch(history: DataFrame, postings: DataFrame, completed: DataFrame) -> DataFrame:
+    """Next snapshot after a part of a run: upsert, then close what complete captures did not list.
+
+    ``postings``: as ``current`` in ``merge_history``, with ``run_at``, the time that names their run. ``completed``
+    (company, run_at): captures whose rows have all arrived, in this batch or before. Only those close postings: the ones
+    of their company that no run as late as theirs has listed. So a run may be split over batches in any way, and a batch
+    may be merged twice.
+    """
+    times = postings.groupBy("stable_key").agg(F.max("run_at").alias("_run_at"))
+    newest = postings.join(times, (postings["stable_key"] == times["stable_key"]) & (postings["run_at"] == times["_run_at"]), "left_semi")
+    merged = merge_history(history, newest.drop("run_at"), F.lit(None).cast("timestamp"))
+    firsts = postings.groupBy("stable_key").agg(F.min("run_at").alias("_first"), F.max("run_at").alias("_last"))
+    ends = completed.groupBy("company").agg(F.max("run_at").alias("_complete"))
+    earlier = history.select("stable_key", F.col("last_seen").alias("_before"))
+    joined = merged.join(firsts, "stable_key", "left").join(earlier, "stable_key", "left").join(ends, "company", "left")
+    last = F.greatest("_before", "_last")
+    closed = F.coalesce(last < F.col("_complete"), F.lit(False))
+    return joined.withColumns({
+        "first_seen": F.least("first_seen", "_first"), "last_seen": last,
+        "active": F.when(closed, F.lit(0)).otherwise(F.col("active")).cast("int")}).select(*history.columns)
+
+
 def deactivate_missing(history: DataFrame, current: DataFrame, ok_companies: DataFrame) -> DataFrame:
     """Set ``active`` to 0 for postings of successful companies that this run did not list."""
     seen = current.select("stable_key").distinct().withColumn("_seen", F.lit(True))

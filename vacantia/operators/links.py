@@ -18,6 +18,7 @@ from vacantia.functions.text import (
     url_host, url_path,
 )
 from vacantia.operators import dom, jsonld
+from vacantia.operators.capture import last_capture
 from vacantia.schemas import as_jobs
 
 # Link shapes, hosts, words and labels per platform.
@@ -254,7 +255,7 @@ def detail_facts(details: DataFrame, graph: bool | None = None) -> DataFrame:
     ``graph`` asks for the first JSON-LD posting too: False without, True with the nodes of ``@graph``.
     """
     kept = [c for c in ("company", "url", "html", "captured_at") if c in details.columns]
-    parsed = dom.parse_pages(one_per(details.select(*kept), "company", "url").drop("captured_at"), url="url")
+    parsed = dom.parse_pages(last_capture(details.select(*kept), "company", "url").drop("captured_at"), url="url")
     if graph is not None:
         parsed = compute_once(parsed, {"posting": jsonld.first_posting(graph)})
     heading = lambda *tags: dom.element_text(dom.find_first(*tags))
@@ -264,15 +265,7 @@ def detail_facts(details: DataFrame, graph: bool | None = None) -> DataFrame:
         "h1": heading("h1"), "heading": heading("h1", "h2"), "h1_or_h2": F.coalesce(heading("h1"), heading("h2")),
         "text": dom.page_text(), "lines": dom.page_text("\n"), "main_text": dom.element_text(main),
     })
-    return facts.drop("elements", "texts")
-
-
-def one_per(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: the one captured last where captures have a time (``captured_at``), else the greatest."""
-    order = [c for c in ("captured_at",) if c in rows.columns] + [c for c in rows.columns if c != "captured_at"]
-    orderable = [F.col(c) for c in order if not rows.schema[c].dataType.simpleString().startswith(("map", "variant"))]
-    last = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*orderable))
-    return rows.groupBy(*keys).agg(last.alias("_last")).select("_last.*")
+    return facts.drop("elements", "texts", "parse_error")
 
 
 def _with_details(links: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:

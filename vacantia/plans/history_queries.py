@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacantia.operators import health, history
-from vacantia.operators.boards import NORMALIZERS
 from vacantia.plans.catalog import Inputs, query, view
 from vacantia.plans.views import registry
 from vacantia.schemas import JOB_HISTORY
@@ -17,7 +16,7 @@ from vacantia.streaming import flows
 _DAY = "CAST(CAST({} AS DATE) AS VARCHAR)"
 
 
-def as_history(rows: DataFrame) -> DataFrame:
+def as_history(rows: DataFrame, *more: str) -> DataFrame:
     """Sightings or a replay as JOB_HISTORY rows: the event's value is title, score and pay."""
     named = rows.withColumns({
         "title": F.concat(F.lit("event "), F.col("capture_seq").cast("string")),
@@ -27,7 +26,7 @@ def as_history(rows: DataFrame) -> DataFrame:
     for field in JOB_HISTORY.fields:
         if field.name not in named.columns:
             named = named.withColumn(field.name, F.lit(None).cast(field.dataType))
-    extra = [c for c in ("capture_seq",) if c in rows.columns]
+    extra = [c for c in ("capture_seq", *more) if c in rows.columns]
     return named.select(*[F.col(f.name).cast(f.dataType) for f in JOB_HISTORY.fields], *extra)
 
 
@@ -59,6 +58,9 @@ view("past_history", """
 view("now_last", """
     SELECT n.stable_key, n.company, n.capture_seq, n.value FROM {now} n
     JOIN (SELECT stable_key, max(capture_seq) AS m FROM {now} GROUP BY stable_key) x ON x.stable_key = n.stable_key AND x.m = n.capture_seq""")
+view("good_last", """
+    SELECT n.stable_key, n.company, n.capture_seq, n.value FROM {now_good} n
+    JOIN (SELECT stable_key, max(capture_seq) AS m FROM {now_good} GROUP BY stable_key) x ON x.stable_key = n.stable_key AND x.m = n.capture_seq""")
 
 
 @query("history_upsert", """
@@ -81,10 +83,10 @@ def _history_upsert(inputs: Inputs) -> DataFrame:
            CAST(coalesce(h.first_seen, DATE '2024-01-30') AS VARCHAR) AS first_seen,
            CAST(CASE WHEN n.stable_key IS NULL THEN h.last_seen ELSE DATE '2024-01-30' END AS VARCHAR) AS last_seen,
            CASE WHEN n.stable_key IS NOT NULL THEN 1 WHEN h.company IN (SELECT company FROM {now_ok}) THEN 0 ELSE h.active END AS active
-    FROM {past_history} h FULL OUTER JOIN {now_last} n ON n.stable_key = h.stable_key""")
+    FROM {past_history} h FULL OUTER JOIN {good_last} n ON n.stable_key = h.stable_key""")
 def _history_deactivate(inputs: Inputs) -> DataFrame:
     merged = history.merge_history(
-        _past(inputs), _now(inputs), F.lit(_RUN_TIME).cast("timestamp"), inputs["now_ok"])
+        _past(inputs), as_history(inputs["now_good"]), F.lit(_RUN_TIME).cast("timestamp"), inputs["now_ok"])
     return _shown(merged)
 
 
@@ -133,19 +135,24 @@ def _history_evolve(inputs: Inputs) -> DataFrame:
 
 
 @query("run_log", """
-    SELECT concat('run-', CAST(run AS VARCHAR)) AS run_id, CAST(run AS VARCHAR) AS started_at,
-           concat(CAST(run AS VARCHAR), 'T02') AS completed_at, CAST(count(*) AS INTEGER) AS companies_attempted,
-           CAST(sum(n) AS BIGINT) AS jobs_retrieved, CAST(0 AS BIGINT) AS new_jobs, '[]' AS errors_json
-    FROM {run_counts} GROUP BY run""")
+    SELECT concat('run-', CAST(c.run AS VARCHAR)) AS run_id, CAST(c.run AS VARCHAR) AS started_at,
+           concat(CAST(c.run AS VARCHAR), 'T02') AS completed_at, CAST(count(*) AS INTEGER) AS companies_attempted,
+           CAST(sum(n) AS BIGINT) AS jobs_retrieved, CAST(coalesce(max(f.n_new), 0) AS BIGINT) AS new_jobs,
+           concat('[', coalesce(string_agg(CASE WHEN NOT ok THEN concat('{"company":"', company, '","error":"HTTPError"}') END, ',' ORDER BY company), ''), ']') AS errors_json
+    FROM {run_counts} c LEFT JOIN (SELECT run, count(*) AS n_new FROM (SELECT stable_key, min(run) AS run FROM {sightings} GROUP BY stable_key) k
+                                   GROUP BY run) f ON f.run = c.run
+    GROUP BY c.run""")
 def _run_log(inputs: Inputs) -> DataFrame:
     """Every run recorded twice; the later record counts."""
     path = scratch_path(inputs.spark, "runlog")
+    firsts = inputs["sightings"].groupBy("stable_key").agg(F.min("run").alias("run")).groupBy("run").agg(F.count("*").alias("new_jobs"))
+    status = inputs["run_counts"].withColumn("error", F.when(~F.col("ok"), F.lit("HTTPError")))
+    runs = status.groupBy("run").agg(
+        F.count("*").cast("int").alias("companies_attempted"), F.sum("n").alias("jobs_retrieved"), health.errors_json())
     day = F.col("run").cast("string")
-    runs = inputs["run_counts"].groupBy("run").agg(
-        F.count("*").cast("int").alias("companies_attempted"), F.sum("n").alias("jobs_retrieved"),
-    ).select(
+    runs = runs.join(firsts, "run", "left").select(
         F.concat(F.lit("run-"), day).alias("run_id"), day.alias("started_at"), "companies_attempted", "jobs_retrieved",
-        F.lit(0).alias("new_jobs"), F.lit("[]").alias("errors_json"))
+        F.coalesce("new_jobs", F.lit(0)).alias("new_jobs"), "errors_json")
     early = runs.withColumns({"completed_at": F.concat("started_at", F.lit("T01")), "jobs_retrieved": F.lit(0)})
     append_run(early, path)
     append_run(runs.withColumn("completed_at", F.concat("started_at", F.lit("T02"))), path)
@@ -163,7 +170,7 @@ def _route_companies(inputs: Inputs) -> DataFrame:
 @query("unknown_platform", """
     SELECT name AS company, platform, 'Unknown platform' AS error FROM {registry} WHERE platform = 'mystery'""")
 def _unknown_platform(inputs: Inputs) -> DataFrame:
-    return health.unknown_platforms(registry(inputs), [*NORMALIZERS, *health.REQUIRED_OPTIONS, "empty"])
+    return health.unknown_platforms(registry(inputs))
 
 
 @query("registry_checks", """
@@ -185,8 +192,7 @@ def _registry_checks(inputs: Inputs) -> DataFrame:
 
 
 view("board_sizes", """
-    SELECT s_name AS company, count(l_orderkey) AS n FROM {supplier}
-    JOIN {lineitem} ON l_suppkey = s_suppkey AND l_quantity = 7 AND l_returnflag = 'R' AND l_discount = 0.05
+    SELECT s_name AS company, count(l_orderkey) AS n FROM {supplier} JOIN {lineitem} ON l_suppkey * 3 = s_suppkey
     GROUP BY s_name""")
 
 
@@ -235,24 +241,40 @@ def _repeat_errors(inputs: Inputs) -> DataFrame:
 # ---- streams --------------------------------------------------------------------------------------------
 
 def _capture_rows(inputs: Inputs) -> DataFrame:
-    """Successful sightings with a capture time (the event's), in blocks of five days."""
+    """Successful sightings with a capture time (the event's), in blocks of five days; a block is a run."""
     rows = inputs["sightings"].join(
         inputs["events"].select(F.col("event_id").alias("capture_seq"), F.col("ts").cast("timestamp").alias("capture_ts")),
         "capture_seq")
-    return rows.withColumn("block", F.floor((F.dayofmonth("run") - 1) / 5))
+    block = F.floor((F.dayofmonth("run") - 1) / 5).cast("int")
+    return rows.withColumns({"block": block, "run_at": F.date_add(F.lit("2024-01-01").cast("date"), block * 5).cast("timestamp")})
+
 
+def _arrive(inputs: Inputs, rows: DataFrame, late: DataFrame | None = None, ends: bool = False) -> tuple[str, DataFrame]:
+    """Files that arrive block by block in a fresh folder, several for a block; ``late`` rows come last.
 
-def _arrive(inputs: Inputs, rows: DataFrame, late: DataFrame | None = None) -> tuple[str, DataFrame]:
-    """Files that arrive block by block in a fresh folder; ``late`` rows come last."""
+    With ``ends`` a block is followed by a row without a key per company: its capture is complete.
+    """
     folder = scratch_path(inputs.spark, "arrivals")
+    rows = written(rows, inputs.spark)
     plain = rows.drop("block")
-    for block in range(6):
-        rows.filter(F.col("block") == block).drop("block").coalesce(1).write.mode("append").parquet(folder)
+    for block in sorted(r["block"] for r in rows.select("block").distinct().collect()):
+        of_block = rows.filter(F.col("block") == block).drop("block")
+        of_block.repartition(2).write.mode("append").parquet(folder)
+        if ends:
+            marks = of_block.groupBy("company", "run_at").agg(F.max("capture_ts").alias("capture_ts"))
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in plain.schema if f.name not in marks.columns]
+            marks.select("*", *nothing).select(*plain.columns).write.mode("append").parquet(folder)
     if late is not None:
-        late.drop("block").coalesce(1).write.mode("append").parquet(folder)
+        late.drop("block").write.mode("append").parquet(folder)
     return folder, plain
 
 
+def written(df: DataFrame, spark: SparkSession) -> DataFrame:
+    path = scratch_path(spark, "rows")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _run_to_files(inputs: Inputs, stream: DataFrame) -> DataFrame:
     """Process everything that has arrived and read the sink back."""
     out = scratch_path(inputs.spark, "sink")
@@ -265,22 +287,26 @@ def _run_to_files(inputs: Inputs, stream: DataFrame) -> DataFrame:
 
 
 @query("stream_history", """
-    WITH blocks AS (SELECT stable_key, company, CAST(floor((day(run) - 1) / 5) AS BIGINT) AS block, capture_seq FROM {sightings}),
+    WITH blocks AS (SELECT stable_key, company, CAST(floor((day(run) - 1) / 5) AS INTEGER) AS block, capture_seq FROM {sightings}),
          good AS (SELECT company, max(block) AS last_good FROM blocks GROUP BY company),
-         ends AS (SELECT block, CAST(CAST(max(ts) AS DATE) AS VARCHAR) AS stamp FROM blocks JOIN {events} ON event_id = capture_seq GROUP BY block),
-         spans AS (SELECT stable_key, company, min(block) AS f, max(block) AS l, max(capture_seq) AS seq FROM blocks GROUP BY stable_key, company)
-    SELECT s.stable_key, s.company, concat('event ', CAST(seq AS VARCHAR)) AS title, a.stamp AS first_seen, b.stamp AS last_seen,
-           CASE WHEN l >= last_good THEN 1 ELSE 0 END AS active
-    FROM spans s JOIN good g ON g.company = s.company JOIN ends a ON a.block = f JOIN ends b ON b.block = l""")
+         spans AS (SELECT stable_key, company, min(block) AS f, max(block) AS l FROM blocks GROUP BY stable_key, company)
+    SELECT s.stable_key, s.company, concat('run ', CAST(DATE '2024-01-01' + l * 5 AS VARCHAR)) AS title, CAST(DATE '2024-01-01' + f * 5 AS VARCHAR) AS first_seen,
+           CAST(DATE '2024-01-01' + l * 5 AS VARCHAR) AS last_seen, CASE WHEN l >= last_good THEN 1 ELSE 0 END AS active
+    FROM spans s JOIN good g ON g.company = s.company""")
 def _stream_history(inputs: Inputs) -> DataFrame:
-    folder, rows = _arrive(inputs, _capture_rows(inputs))
+    """Runs that arrive in several files and micro-batches each, and end with a row that says so."""
+    folder, rows = _arrive(inputs, _capture_rows(inputs), ends=True)
     table = HistoryTable(inputs.spark, scratch_path(inputs.spark, "history"))
 
     def prepare(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return as_history(batch), batch.select("company").distinct()
+        is_end = F.col("stable_key").isNull()
+        postings = batch.filter(~is_end)
+        # Files of one run come in any order, so the title names the run and not the event.
+        rows = as_history(postings, "run_at").withColumn("title", F.concat(F.lit("run "), F.to_date("run_at").cast("string")))
+        return rows, batch.filter(is_end).select("company", "run_at")
 
     handle = (
-        flows.capture_stream(inputs.spark, folder, rows.schema, files_per_batch=1).writeStream
+        flows.capture_stream(inputs.spark, folder, rows.schema, files_per_batch=2).writeStream
         .foreachBatch(flows.history_batch_writer(table, prepare))
         .option("checkpointLocation", scratch_path(inputs.spark, "stream")).trigger(availableNow=True).start()
     )
@@ -297,14 +323,14 @@ def _stream_new(inputs: Inputs) -> DataFrame:
 
 @query("stream_board_counts", """
     SELECT CAST(run AS VARCHAR) AS day, company, count(*) AS n FROM {sightings}
-    WHERE run < (SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM {events} JOIN {sightings} ON capture_seq = event_id)
+    WHERE run < (SELECT CAST(max(ts) - INTERVAL 6 DAY AS DATE) FROM {events} JOIN {sightings} ON capture_seq = event_id)
     GROUP BY run, company""")
 def _stream_board_counts(inputs: Inputs) -> DataFrame:
     """Daily counts; the first block arrives a second time at the end and is too late to count."""
     rows = _capture_rows(inputs)
     folder, plain = _arrive(inputs, rows, late=rows.filter(F.col("block") == 0))
     stream = flows.capture_stream(inputs.spark, folder, plain.schema, files_per_batch=1)
-    counts = _run_to_files(inputs, flows.board_counts_stream(stream))
+    counts = _run_to_files(inputs, flows.board_counts_stream(stream, "6 days"))
     return counts.select(F.to_date("window_start").cast("string").alias("day"), "company", "n")
 
 
@@ -316,6 +342,6 @@ def _stream_expiry(inputs: Inputs) -> DataFrame:
     before = inputs.spark.conf.get(provider)
     inputs.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _run_to_files(inputs, flows.expiry_stream(stream, absence_ms=10 * 86_400_000))
+        return _run_to_files(inputs, flows.expiry_stream(stream, absence_ms=10 * 86_400_000, delay="6 days"))
     finally:
         inputs.spark.conf.set(provider, before)

@@ -52,7 +52,7 @@ def run_search(jobs: DataFrame, companies: DataFrame, status: DataFrame, profile
     executor costs a re-read only. Reports leave the descriptions behind.
     """
     spark = jobs.sparkSession
-    before = table.read()
+    before = table.read_before(run_id)
     scored = scored_postings(jobs, profile)
     result_rows(before, scored, run_id, started_at).write.mode("overwrite").parquet(results_path)
     results = spark.read.parquet(results_path)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vacantia.operators.history import evolve, latest_runs
 from vacantia.schemas import JOB_HISTORY, RUN_LOG
 
-_COMMIT = T.StructType([T.StructField("version", T.StringType()), T.StructField("committed_at", T.TimestampType())])
+_COMMIT = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("version", T.StringType()), T.StructField("folder", T.StringType())])
 
 
 def read_captures(spark: SparkSession, path: str, file_format: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
@@ -37,10 +40,12 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 class HistoryTable:
-    """History as ``<root>/v=<version>`` directories and a small commit table that names the complete ones.
+    """History as snapshots in folders of their own and a small commit log that names them.
 
-    A reader sees a version only after its commit row exists, so a failed or half-written snapshot is
-    never read, and a version that is written again (a retried batch) replaces itself.
+    A snapshot is written to a fresh folder and becomes visible by its commit row, so a failed or half-written one is
+    never read and nothing that is being read is overwritten. Commits are numbered; the newest one counts. A version
+    that is written again (a retried run or batch) replaces itself, and what it starts from is the
+    newest snapshot that was there before its first commit.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -50,24 +55,43 @@ class HistoryTable:
         return _read_or_empty(self.spark, f"{self.root}/_commits_log", _COMMIT)
 
     def versions(self) -> list[str]:
-        """Committed versions, oldest first (one short row per snapshot)."""
-        rows = self._commits().groupBy("version").agg(F.min("committed_at").alias("at")).orderBy("at", "version").collect()
+        """Committed versions in the order of their newest commits."""
+        rows = self._commits().groupBy("version").agg(F.max("seq").alias("seq")).orderBy("seq").collect()
         return [r["version"] for r in rows]
 
-    def read(self, version: str | None = None) -> DataFrame:
-        """A version, the latest by default; an empty table before the first commit."""
-        if version is None:
-            version = next(reversed(self.versions()), None)
-        if version is None:
+    def _newest(self, commits: DataFrame) -> tuple[int, str | None, str | None]:
+        """Number, version and folder of the newest commit: one aggregate, however long the log is."""
+        row = commits.agg(F.max(F.struct("seq", "version", "folder")).alias("c")).first()["c"]
+        return (row["seq"], row["version"], row["folder"]) if row else (0, None, None)
+
+    def _snapshot(self, folder: str | None) -> DataFrame:
+        if folder is None:
             return self.read_empty()
-        return evolve(self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/v={version}"))
+        return evolve(self.spark.read.option("mergeSchema", True).parquet(f"{self.root}/{folder}"))
+
+    def read(self, version: str | None = None) -> DataFrame:
+        """A version, the newest by default; an empty table before the first commit."""
+        commits = self._commits()
+        return self._snapshot(self._newest(commits if version is None else commits.filter(F.col("version") == version))[2])
+
+    def read_before(self, version: str) -> DataFrame:
+        """What ``version`` starts from, on its first and on every later attempt."""
+        commits = self._commits()
+        first = commits.filter(F.col("version") == version).agg(F.min("seq")).first()[0]
+        return self._snapshot(self._newest(commits if first is None else commits.filter(F.col("seq") < first))[2])
 
     def read_empty(self) -> DataFrame:
         return self.spark.createDataFrame([], JOB_HISTORY)
 
     def write(self, snapshot: DataFrame, version: str) -> None:
-        snapshot.write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        commit = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("committed_at"))
+        """Commit ``snapshot`` as ``version``. A version that others follow cannot be written again."""
+        commits = self._commits()
+        seq, newest, _ = self._newest(commits)
+        if newest != version and not commits.filter(F.col("version") == version).isEmpty():
+            raise ValueError(f"version {version} is older than {newest}")
+        folder = f"v={version}/{uuid.uuid4().hex}"
+        snapshot.write.parquet(f"{self.root}/{folder}")
+        commit = self.spark.createDataFrame([(seq + 1, version, folder)], _COMMIT)
         commit.write.mode("append").parquet(f"{self.root}/_commits_log")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from vacantia.operators.history import merge_history
+from vacantia.operators.history import merge_batch
 from vacantia.sources.tables import HistoryTable
 
 
@@ -38,22 +38,20 @@ def board_counts_stream(postings: DataFrame, delay: str = "1 day", width: str =
 
 
 def history_batch_writer(table: HistoryTable, prepare: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
-                         time: str = "capture_ts") -> Callable[[DataFrame, int], None]:
+                         query: str = "stream") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that merges each batch into the history.
 
-    ``prepare`` maps a batch to (scored postings, successful companies). Versions are named by batch id:
-    a batch that runs again after a failure reads the version before it and overwrites its own.
+    ``prepare`` maps a batch to (scored postings with ``run_at``, completed captures (company, run_at)); see
+    ``merge_batch``. A batch need not be a whole run. Versions are named by query and batch id: a batch that runs again
+    after a failure starts from what it started from before, and replaces its own snapshot.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        name = f"{batch_id:012d}"
-        earlier = [v for v in table.versions() if v < name]
+        name = f"{query}-{batch_id:012d}"
         batch.persist()
         try:
-            postings, companies = prepare(batch)
-            stamp = batch.agg(F.max(time).alias("at")).collect()[0]["at"]
-            if stamp is not None:
-                before = table.read(earlier[-1]) if earlier else table.read_empty()
-                table.write(merge_history(before, postings, F.lit(stamp), companies), name)
+            postings, completed = prepare(batch)
+            if not batch.isEmpty():
+                table.write(merge_batch(table.read_before(name), postings, completed), name)
         finally:
             batch.unpersist()
 
