@@ -14,14 +14,14 @@ PROFILE = {
 CAPTURE = "company string, board string, page_no long, platform string, body string"
 
 
-def run(spark, tmp_path, table, run_id, day, boards, failed=()):
+def run(spark, tmp_path, table, run_id, day, boards, failed=(), **more):
     companies = route_companies(registry_from_records(spark, [
         {"name": "A", "platform": "lever", "board": "a"}, {"name": "B", "platform": "ashby", "board": "b"},
         {"name": "C", "platform": "lever", "board": "c"}, {"name": "D", "platform": "empty"}, {"name": "E", "platform": "lever", "enabled": False}]))
     captures = spark.createDataFrame([(c, c.lower(), 0, p, json.dumps(b)) for c, p, b in boards], CAPTURE)
     status = spark.createDataFrame([(c, "TimeoutError: slow" if c in failed else None) for c in "ABCD"], "company string, error string")
     return run_search(normalize(captures, ["lever", "ashby"]), companies, status, PROFILE, table, str(tmp_path / run_id), run_id,
-                      f"2024-01-0{day} 06:00:00", f"2024-01-0{day} 06:00:30")
+                      f"2024-01-0{day} 06:00:00", f"2024-01-0{day} 06:00:30", **more)
 
 
 def test_two_runs(spark, tmp_path):
@@ -47,3 +47,37 @@ def test_two_runs(spark, tmp_path):
     history = {(r["company"], r["source_id"]): (r["first_seen"].day, r["last_seen"].day, r["active"], r["score"]) for r in table.read().collect()}
     assert history == {("A", "1"): (1, 2, 1, 75), ("A", "2"): (1, 1, 0, 75), ("A", "3"): (1, 1, 0, 30), ("A", "4"): (2, 2, 1, 75), ("B", "9"): (1, 1, 1, 75)}
     assert json.loads(table.read().filter("source_id = '4'").collect()[0]["score_json"])["domain_fit"] == 25
+
+
+def test_errors_unknown_platforms_evidence_and_log(spark, tmp_path):
+    from vacantia.operators.boards import payload_errors
+    from vacantia.sources.tables import read_run_log
+
+    table = HistoryTable(spark, str(tmp_path / "history"))
+    posting = {"id": "1", "text": "Scientist", "descriptionPlain": "genom python", "categories": {"location": "Oslo"}, "hostedUrl": "u"}
+    run(spark, tmp_path, table, "r1", 1, [("A", "lever", [posting])])
+    # The next capture of A is cut off: an error, and A's posting stays open.
+    broken = spark.createDataFrame([("A", json.dumps([posting])[:-3])], "company string, body string")
+    evidence = spark.createDataFrame([("C", True)], "company string, verified_empty boolean")
+    log = str(tmp_path / "log")
+    for _ in range(2):
+        two = run(spark, tmp_path, table, "r2", 2, [("B", "ashby", {"jobs": [{"id": "9", "title": "Scientist", "location": "Oslo", "descriptionPlain": "genom python"}]})],
+                  errors=payload_errors(broken), evidence=evidence, run_log_path=log)
+        assert [r["company"] for r in two.errors.collect()] == ["A"] and two.warnings.count() == 0
+        assert [r["company"] for r in two.new_matches.collect()] == ["B"]
+    assert {(r["company"], r["active"]) for r in table.read().collect()} == {("A", 1), ("B", 1)}
+    logged = read_run_log(spark, log).collect()
+    assert [(r["run_id"], r["companies_attempted"], r["jobs_retrieved"], r["new_jobs"]) for r in logged] == [("r2", 4, 1, 1)]
+    assert json.loads(logged[0]["errors_json"]) == [{"company": "A", "error": "ValueError: unreadable payload"}]
+
+
+def test_scoring_stands_in_the_plan_once(spark, tmp_path):
+    from vacantia.plans.catalog import Inputs
+    from vacantia.plans.scoring_queries import flagged
+    from vacantia.operators.reports import board_stats
+
+    rows = spark.createDataFrame([(1, "Scientist\ngenom", "en", "src0", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    inputs = Inputs(spark, str(tmp_path))
+    plan = board_stats(inputs["attempted"], flagged(inputs), 65)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1

@@ -52,8 +52,10 @@ def digest_tiers(rows: DataFrame) -> DataFrame:
 
 
 def in_digest_order(rows: DataFrame) -> DataFrame:
-    """Rows by tier, then score descending; equal scores keep their listing order."""
-    return with_tier(rows).orderBy("tier_order", F.desc("digest_score"), "capture_seq")
+    """Rows by tier, then score descending; equal scores keep their listing order, which repeats across companies, so company
+    and posting decide the rest."""
+    more = [c for c in ("company", "source", "source_id", "url") if c in rows.columns]
+    return with_tier(rows).orderBy("tier_order", F.desc("digest_score"), "capture_seq", *more)
 
 
 def digest_lines(rows: DataFrame) -> DataFrame:

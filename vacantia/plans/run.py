@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from vacantia.functions.identity import with_stable_key
 from vacantia.functions.pay import apply_pay
-from vacantia.operators.health import board_errors, zero_result_warnings
+from vacantia.operators.health import board_errors, errors_json, unknown_platforms, zero_result_warnings
 from vacantia.operators.history import merge_history, result_rows
 from vacantia.operators.reports import board_stats, ranked_report, run_summary
 from vacantia.operators.scoring import SCORE_FIELDS, Profile, with_gate, with_score
 from vacantia.schemas import JOB_HISTORY
-from vacantia.sources.tables import HistoryTable
+from vacantia.sources.tables import HistoryTable, append_run
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,8 @@ class RunTables:
 
 def scored_postings(jobs: DataFrame, profile: Profile) -> DataFrame:
     """Normalized postings with pay, key, score and gate."""
-    return with_gate(with_score(with_stable_key(apply_pay(jobs)), profile), profile)
+    keyed = jobs if "stable_key" in jobs.columns else with_stable_key(jobs)
+    return with_gate(with_score(apply_pay(keyed), profile), profile)
 
 
 def history_rows(scored: DataFrame) -> DataFrame:
@@ -43,37 +44,59 @@ def history_rows(scored: DataFrame) -> DataFrame:
 
 
 def run_search(jobs: DataFrame, companies: DataFrame, status: DataFrame, profile: Profile, table: HistoryTable,
-               results_path: str, run_id: str, started_at: str, completed_at: str, min_score: int = 65) -> RunTables:
+               results_path: str, run_id: str, started_at: str, completed_at: str, min_score: int = 65,
+               errors: DataFrame | None = None, evidence: DataFrame | None = None, run_log_path: str | None = None) -> RunTables:
     """Score ``jobs``, move the history on by one version, and describe the run.
 
     ``companies``: routed registry (name, platform, options). ``status``: one row per attempted company
-    (company, error; null when the capture went well). The scored postings are written to
-    ``results_path`` once, so the patterns run once however many tables are read from them, and a lost
-    executor costs a re-read only. Reports leave the descriptions behind.
+    (company, error; null when the capture went well). ``errors`` (company, error): what could not be read, see
+    ``boards.payload_errors`` and ``dom.page_errors``; such a company failed and closes no posting, and so did one whose
+    platform is unknown. ``evidence`` (company, verified_empty): boards whose page says that there is nothing.
+
+    What is new is found by key before anything is scored; the scored postings are written to ``results_path`` once, so the
+    patterns run once however many tables are read from them, and a lost executor costs a re-read only.
+    Reports leave the descriptions behind. A run that is tried again starts from the history it started from before.
     """
     spark = jobs.sparkSession
     before = table.read_before(run_id)
-    scored = scored_postings(jobs, profile)
-    result_rows(before, scored, run_id, started_at).write.mode("overwrite").parquet(results_path)
+    flagged = result_rows(before, with_stable_key(jobs), run_id, started_at)
+    scored_postings(flagged, profile).write.mode("overwrite").parquet(results_path)
     results = spark.read.parquet(results_path)
 
-    ok = status.filter(F.col("error").isNull()).select("company")
+    platforms = companies.select(F.col("name").alias("company"), "platform", "options")
+    reported = status.select("company", "error").unionByName(unknown_platforms(companies).select("company", "error"))
+    if errors is not None:
+        reported = reported.unionByName(errors.select("company", "error"))
+    # One row per company; a company has no error only if nothing reports one.
+    outcome = reported.groupBy("company").agg(F.min("error").alias("error"))
+    ok = outcome.filter(F.col("error").isNull()).select("company")
     table.write(merge_history(before, history_rows(results), F.lit(started_at).cast("timestamp"), ok), run_id)
 
     narrow = results.drop("description")
     stats = board_stats(companies, narrow, min_score)
-    platforms = companies.select(F.col("name").alias("company"), "platform", "options")
-    errors = board_errors(status.join(platforms.drop("options"), "company").withColumn("run", F.lit(run_id)))
+    failed = board_errors(outcome.join(platforms.drop("options"), "company").withColumn("run", F.lit(run_id)))
 
     def flag(name: str):
         return (F.try_element_at("options", F.lit(name)) == "true").alias(name)
 
     attempted = platforms.join(ok, "company", "left_semi").select(
         "company", "platform", flag("zero_jobs_verified"), flag("zero_result_verified"))
-    evidence = platforms.select("company", (F.col("platform") == "empty").alias("verified_empty"))
+    known = platforms.select("company", (F.col("platform") == "empty").alias("verified_empty"))
+    if evidence is not None:
+        known = known.unionByName(evidence.select("company", "verified_empty"))
+        known = known.groupBy("company").agg(F.bool_or("verified_empty").alias("verified_empty"))
     counts = stats.select("company", F.col("retrieved").alias("n"))
-    warnings = zero_result_warnings(attempted, counts, evidence)
+    warnings = zero_result_warnings(attempted, counts, known)
     ranked, fresh = ranked_report(narrow, min_score), ranked_report(narrow, min_score, new_only=True)
+    if run_log_path is not None:
+        totals = stats.agg(
+            F.count("*").alias("companies_attempted"), F.coalesce(F.sum("retrieved"), F.lit(0)).alias("jobs_retrieved"),
+            F.coalesce(F.sum("first_seen"), F.lit(0)).alias("new_jobs"))
+        # Two tables of one row.
+        logged = totals.withColumn("_one", F.lit(1)).join(outcome.agg(errors_json()).withColumn("_one", F.lit(1)), "_one")
+        append_run(logged.select(
+            F.lit(run_id).alias("run_id"), F.lit(started_at).alias("started_at"), F.lit(completed_at).alias("completed_at"),
+            "companies_attempted", "jobs_retrieved", "new_jobs", "errors_json"), run_log_path)
     return RunTables(
-        results=results, stats=stats, errors=errors, warnings=warnings, ranked=ranked, new_matches=fresh,
-        summary=run_summary(stats, errors, warnings, run_id, started_at, completed_at, ranked, fresh))
+        results=results, stats=stats, errors=failed, warnings=warnings, ranked=ranked, new_matches=fresh,
+        summary=run_summary(stats, failed, warnings, run_id, started_at, completed_at, ranked, fresh))

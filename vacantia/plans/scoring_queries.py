@@ -8,6 +8,7 @@ from vacantia.functions.identity import with_stable_key
 from vacantia.functions.regex import any_match
 from vacantia.functions.text import safe_number, squash_ws, synthetic_id, heading_url
 from vacantia.operators import calibration, digest, history, reports, scoring
+from vacantia.operators.scoring import with_gate, with_score
 from vacantia.plans.catalog import Inputs, query, view
 from vacantia.plans.views import PROFILE_A, PROFILE_B, postings, scored
 from vacantia.session import scratch_path
@@ -176,10 +177,10 @@ view("flagged_a", """SELECT s.*, k.stable_key IS NULL AS is_new FROM {scored_a}
 
 
 def flagged(inputs: Inputs) -> DataFrame:
-    """Scored postings with is_new against a history that knows two thirds of them."""
-    rows = scored(inputs)
-    known = rows.filter(F.col("capture_seq") % 3 != 0).select("stable_key")
-    return history.with_is_new(known, rows)
+    """Scored postings with is_new against a history that knows two thirds of them; new keys are found before the scoring."""
+    keyed = with_stable_key(postings(inputs))
+    known = keyed.filter(F.col("capture_seq") % 3 != 0).select("stable_key")
+    return with_gate(with_score(history.with_is_new(known, keyed), PROFILE_A), PROFILE_A).drop("description")
 
 
 @query("report_filter", "SELECT source_id, total, is_new FROM {flagged_a} WHERE total >= 50 AND alert_eligible AND is_new")
@@ -293,7 +294,10 @@ def _run_totals(inputs: Inputs) -> DataFrame:
 def _run_summary(inputs: Inputs) -> DataFrame:
     from vacantia.operators.health import zero_result_warnings
 
-    rows = flagged(inputs)
+    # Written once, as a run does: four reports read it.
+    path = scratch_path(inputs.spark, "results")
+    flagged(inputs).write.parquet(path)
+    rows = inputs.spark.read.parquet(path)
     stats = reports.board_stats(inputs["attempted"], rows, MIN_SCORE)
     boards = stats.select("company", "platform", F.lit(False).alias("zero_jobs_verified"), F.lit(False).alias("zero_result_verified"))
     warnings = zero_result_warnings(boards, stats.select("company", F.col("retrieved").alias("n")))
