@@ -53,13 +53,25 @@ def test_links_are_resolved(spark):
 
 def test_neighbours(spark):
     page = parse(spark, "<h2>One</h2><div><h3>Two</h3><a href='/a'>x</a></div><h4>Three</h4><p><a href='/b'>y</a></p>")
-    rows = dom.page_links(page, ["company"], {"heads": dom.find_all("h2", "h3")},
-                          before=lambda e, lists: dom.element_text(dom.nearest_before(e, lists["heads"]))).orderBy("seq").collect()
+    rows = dom.page_links(page, ["company"], before=lambda e, lists: dom.element_text(dom.heading_before(e, "h2", "h3"))).orderBy("seq").collect()
     assert [r["before"] for r in rows] == ["Two", "Two"]
     heads = dom.outline(page, ["company"]).orderBy("seq").collect()
     assert [(r["title"], r["next_href"]) for r in heads] == [("One", "/a"), ("Two", "/a"), ("Three", "/b")]
 
 
+def test_a_page_with_very_many_links_and_headings(spark):
+    """Work on a page grows with its length: 5,000 headings and 20,000 links take seconds, not a product of both."""
+    import time
+
+    page = parse(spark, "".join(f"<h3>Role {i}</h3>" + "".join(f"<a href='/d/{i}-{k}'>x</a>" for k in range(4)) for i in range(5000)))
+    start = time.time()
+    rows = dom.page_links(page, ["company"], before=lambda e, lists: dom.element_text(dom.heading_before(e, "h1", "h3"))).collect()
+    assert len(rows) == 20_000 and all(r["href"].startswith(f"/d/{r['before'].split()[1]}-") for r in rows)
+    heads = dom.outline(page, ["company"]).collect()
+    assert len(heads) == 5000 and all(r["next_href"] == f"/d/{r['title'].split()[1]}-0" for r in heads)
+    assert time.time() - start < 60
+
+
 def test_jsonld_on_pages(spark):
     job = json.dumps({"@type": "JobPosting", "title": "T"})
     scripts = [job, f"[{job},{job}]", '{"@graph":[{"@type":"X"},' + job + "]}", "{bad", '{"@type":["JobPosting"]}']

@@ -3,8 +3,8 @@
 The job turns a page into one row with two arrays in document order: ``elements`` and ``texts`` (the
 visible text nodes, trimmed). An element knows its parent, its last descendant and its range of texts, so
 text, siblings and neighbours are built-in array expressions on that row: no operator on pages needs a
-shuffle, however many pages a board has. ``elements[seq]`` is a direct lookup; searches run over short lists
-(headings, anchors) that ``let`` binds once per page.
+shuffle, however many pages a board has. ``elements[seq]`` is a direct lookup, and an element knows the headings before it
+and the link after it, so work on a page grows with its length.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ JSON_LD = "application/ld+json"
 
 ELEMENT_TYPE = (
     "struct<seq:int,parent:int,last:int,box:int,tag:string,attrs:map<string,string>,"
-    "text_from:int,text_to:int,own:string,link:string>"
+    "text_from:int,text_to:int,own:string,link:string,next_link:int,heads:array<int>>"
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_LEVEL = {tag: level for level, tag in enumerate(HEADINGS)}
 
 # Plain links, which need no resolving: without dot segments, empty queries and fragments.
 _SITE = re.compile(r"https?://[A-Za-z0-9.:-]+(?=[/?#]|$)")
@@ -50,6 +51,8 @@ class _Nodes:
         self.seq, self.parent, self.last, self.box, self.tag = [], [], [], [], []
         self.text_from, self.text_to, self.own, self.link = [], [], [], []
         self.attr_names, self.attr_values, self.attr_starts = [], [], [0]
+        #: The next anchor with a target, and the last heading of each level before the element (0: none).
+        self.next_link, self.heads = [], []
         self.texts, self.starts, self.text_starts = [], [0], [0]
 
     def sizes(self) -> dict[str, int]:
@@ -66,8 +69,10 @@ class _Nodes:
             pa.array(self.attr_starts, pa.int32()), pa.array(self.attr_names, pa.string()), pa.array(self.attr_values, pa.string()))
         ranges = [pa.array(c, pa.int32()) for c in (self.text_from, self.text_to)]
         ends = [pa.array(c, pa.string()) for c in (self.own, self.link)]
-        names = ["seq", "parent", "last", "box", "tag", "attrs", "text_from", "text_to", "own", "link"]
-        elements = pa.StructArray.from_arrays([*numbers, pa.array(self.tag, pa.string()), attrs, *ranges, *ends], names=names)
+        names = ["seq", "parent", "last", "box", "tag", "attrs", "text_from", "text_to", "own", "link", "next_link", "heads"]
+        near = [pa.array(self.next_link, pa.int32()), pa.ListArray.from_arrays(
+            pa.array(range(0, len(self.heads) + 1, len(HEADINGS)), pa.int32()), pa.array(self.heads, pa.int32()))]
+        elements = pa.StructArray.from_arrays([*numbers, pa.array(self.tag, pa.string()), attrs, *ranges, *ends, *near], names=names)
         return (pa.ListArray.from_arrays(pa.array(self.starts, pa.int32()), elements),
                 pa.ListArray.from_arrays(pa.array(self.text_starts, pa.int32()), pa.array(self.texts, pa.string())))
 
@@ -82,6 +87,8 @@ class _PageReader(HTMLParser):
         self._site = site.group() if site else ""
         self._start, self._text_start = len(nodes.seq), len(nodes.texts)
         self._open, self._open_tags, self._buffer, self._hidden = [], Counter(), [], 0
+        #: Last heading of each level, and the first element whose next link is not known yet.
+        self._heads, self._unlinked = [0] * len(HEADINGS), len(nodes.seq)
 
     def _flush(self):
         if not self._buffer:
@@ -126,6 +133,13 @@ class _PageReader(HTMLParser):
         nodes.text_to.append(texts)
         nodes.own.append("" if tag == "script" and attrs.get("type") == JSON_LD else None)
         nodes.link.append(self._link(attrs) if tag == "a" or tag == "iframe" else None)
+        nodes.next_link.append(0)
+        nodes.heads.extend(self._heads)
+        if tag in _LEVEL:
+            self._heads[_LEVEL[tag]] = seq
+        elif tag == "a" and "href" in attrs:
+            nodes.next_link[self._unlinked:at] = [seq] * (at - self._unlinked)
+            self._unlinked = at
         nodes.attr_names.extend(attrs)
         nodes.attr_values.extend(attrs.values())
         nodes.attr_starts.append(len(nodes.attr_names))
@@ -268,12 +282,15 @@ def next_sibling(e: Column) -> Column:
     return let(element(e["last"] + 1), lambda n: F.when(n["parent"] == e["parent"], n))
 
 
-def nearest_before(e: Column, elements: Column) -> Column:
-    return last_of(F.filter(elements, lambda x: x["seq"] < e["seq"]))
+def heading_before(e: Column, *tags: str) -> Column:
+    """The last heading of these levels that starts before the element; found while the page was read, so a look-up."""
+    found = [F.element_at(e["heads"], _LEVEL[tag] + 1) for tag in tags]
+    return element(F.greatest(*found) if len(found) > 1 else found[0])
 
 
-def nearest_after(e: Column, elements: Column) -> Column:
-    return first_of(F.filter(elements, lambda x: x["seq"] > e["seq"]))
+def link_after(e: Column) -> Column:
+    """The first anchor with a target that starts after the element."""
+    return element(e["next_link"])
 
 
 def anchor_elements() -> Column:
@@ -301,10 +318,10 @@ def page_links(parsed: DataFrame, keys: list[str], lists: dict[str, Column] | No
 def outline(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Headings with the anchor that follows each of them."""
     def describe(h: Column, bound: Column) -> Column:
-        return let(nearest_after(h, bound["anchors"]), lambda after: F.struct(
+        return let(link_after(h), lambda after: F.struct(
             h["seq"].alias("seq"), h["tag"].alias("tag"), element_text(h).alias("title"),
             attr(after, "href").alias("next_href"), element_text(after).alias("next_label")))
 
-    heads = describe_each(find_all(*HEADINGS), {"anchors": anchor_elements()}, describe)
+    heads = describe_each(find_all(*HEADINGS), {}, describe)
     rows = parsed.select(*keys, F.explode(heads).alias("h"))
     return rows.select(*keys, "h.*")

@@ -465,14 +465,14 @@ def hologic_jobs(parsed: DataFrame) -> DataFrame:
         facts = F.struct(
             dom.element_text(a).alias("label"), F.coalesce(dom.element_text(box), F.lit("")).alias("text"),
             F.coalesce(let(box, lambda x: dom.element_text(dom.first_of(dom.inside(x, lists["heads"])))), F.lit("")).alias("inner"),
-            F.coalesce(dom.element_text(dom.nearest_before(a, lists["heads"])), F.lit("")).alias("before"))
+            F.coalesce(dom.element_text(dom.heading_before(a, "h2", "h3", "h4", "h5")), F.lit("")).alias("before"))
         return let(facts, lambda f: F.struct(
             a["seq"].alias("seq"), a["link"].alias("url"), first_non_empty(f["inner"], f["before"]).alias("title"),
             F.when(f["inner"] != "", strip(without(without(f["text"], f["inner"]), f["label"])))
             .otherwise(F.lit("")).alias("location")))
 
     def loose(h: Column, lists: Column) -> Column:
-        after = let(dom.nearest_after(h, lists["anchors"]), lambda a: F.struct(
+        after = let(dom.link_after(h), lambda a: F.struct(
             a["link"].alias("link"), F.lower(dom.element_text(a)).contains("detail").alias("leads")))
         return let(after, lambda a: F.struct(
             h["seq"].alias("seq"), F.when(a["leads"], a["link"]).alias("url"), dom.element_text(h).alias("title"),
@@ -482,7 +482,7 @@ def hologic_jobs(parsed: DataFrame) -> DataFrame:
     primary = F.filter(
         dom.describe_each(details, {"heads": dom.find_all("h2", "h3", "h4", "h5")}, boxed), lambda j: j["title"] != "")
     second = F.filter(
-        dom.describe_each(dom.find_all("h3", "h4"), {"anchors": dom.anchor_elements()}, loose),
+        dom.describe_each(dom.find_all("h3", "h4"), {}, loose),
         lambda j: (j["title"] != "") & j["url"].isNotNull())
     jobs = let(primary, lambda found: F.when(F.size(found) > 0, found).otherwise(second))
     rows = parsed.select("company", "page_no", F.explode(jobs).alias("j")).select("company", "page_no", "j.*")
@@ -579,7 +579,7 @@ def eligo_jobs(parsed: DataFrame) -> DataFrame:
         stop = dom.first_of(F.filter(
             lists["heads"], lambda x: (x["parent"] == h["parent"]) & (x["seq"] > h["last"])))
         return let(F.struct(stop.alias("stop"), dom.element(h["parent"]).alias("parent"),
-                            dom.nearest_after(h, lists["anchors"]).alias("after")), lambda s: section(h, s, lists))
+                            dom.link_after(h).alias("after")), lambda s: section(h, s, lists))
 
     def section(h: Column, s: Column, lists: Column) -> Column:
         end = F.coalesce(s["stop"]["seq"] - 1, s["parent"]["last"], F.size("elements"))
@@ -608,13 +608,13 @@ def eligo_jobs(parsed: DataFrame) -> DataFrame:
             F.when(F.lower(h["nearby"]).contains("paris"), F.lit("Paris")).otherwise(F.lit("")).alias("location")))
 
     def on_board(a: Column, lists: Column) -> Column:
-        before = dom.nearest_before(a, lists["heads"])
+        before = dom.heading_before(a, "h2", "h3")
         title = F.when(before.isNotNull(), dom.element_text(before)).otherwise(dom.element_text(a))
         # Links of the job board come after all headings.
         return F.struct((a["seq"] + 1_000_000).alias("seq"), title.alias("title"), a["link"].alias("url"), F.lit("Paris").alias("location"))
 
     board = F.filter(
-        dom.describe_each(F.filter(dom.anchor_elements(), lambda a: a["link"].contains("breezy.hr")), {"heads": heads}, on_board),
+        dom.describe_each(F.filter(dom.anchor_elements(), lambda a: a["link"].contains("breezy.hr")), {}, on_board),
         lambda j: (j["title"] != "") & ~F.lower(j["title"]).isin(*ELIGO_SECTIONS))
     none = F.array().cast("array<struct<seq:int,title:string,url:string,location:string>>")
     jobs = F.concat(F.coalesce(named, none), board)

@@ -42,7 +42,7 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
         def with_sibling(sibling: Column) -> Column:
             beside = dom.element_text(sibling)
             usable = ~sibling["tag"].isin("h4", "h5") & (beside != "")
-            section = dom.element_text(dom.nearest_before(h, lists["sections"]))
+            section = dom.element_text(dom.heading_before(h, "h1", "h2", "h3"))
             return F.struct(
                 h["seq"].alias("seq"), dom.element_text(h).alias("title"),
                 F.coalesce(section, F.lit("")).alias("section"), F.when(usable, beside).otherwise(F.lit("")).alias("location"))
@@ -50,7 +50,7 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
         return let(dom.next_sibling(h), with_sibling)
 
     listed = let(marker, lambda m: F.filter(dom.find_all("h2", "h3", "h4", "h5", "h6"), lambda h: h["seq"] > m["seq"]))
-    heads = dom.describe_each(listed, {"sections": dom.find_all("h1", "h2", "h3")}, describe)
+    heads = dom.describe_each(listed, {}, describe)
     jobs = F.filter(heads, lambda h: (h["title"] != "") & ~F.lower(h["title"]).isin(*NOT_A_JOB))
     with_jobs = parsed.withColumn("_jobs", jobs)
 

@@ -470,8 +470,7 @@ def _heading_jobs(inputs: Inputs) -> DataFrame:
     SELECT company, concat('/d/', CAST(k AS VARCHAR)) AS href, title AS heading FROM {heading_items} WHERE k % 3 = 0""")
 def _prev_heading(inputs: Inputs) -> DataFrame:
     anchors = dom.page_links(
-        heading_pages(inputs), _PAGE, {"heads": dom.find_all("h2", "h3")},
-        heading=lambda e, lists: dom.element_text(dom.nearest_before(e, lists["heads"])))
+        heading_pages(inputs), _PAGE, heading=lambda e, lists: dom.element_text(dom.heading_before(e, "h2", "h3")))
     return anchors.select("company", "href", "heading")
 
 
