@@ -26,6 +26,8 @@ from vacantia.llm.common import Ragged, WordTable, binary_column, text_slices
 #: Words in a window that may repeat, the share of repeated words that fails, and the least number of words.
 WINDOW, MAX_REPEATED_PCT, MIN_WORDS = 5, 20, 10
 SYMBOLS = b"#*$%&|<>"
+#: Distinct words that a worker keeps with their tokens.
+WORDS_HELD = 250_000
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,7 @@ class Fertility:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.table = WordTable(self._learn, self._reset)
+        self.table = WordTable(self._learn, self._reset, WORDS_HELD)
         self._reset()
 
     def _reset(self) -> None:
