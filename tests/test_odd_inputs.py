@@ -77,3 +77,11 @@ def test_errors_of_a_run_as_json(spark):
     status = spark.createDataFrame([("b", "x"), ("a", "y"), ("c", None)], "company string, error string")
     assert status.agg(health.errors_json()).collect()[0][0] == '[{"company":"a","error":"y"},{"company":"b","error":"x"}]'
     assert status.filter("company = 'c'").agg(health.errors_json()).collect()[0][0] == "[]"
+
+
+def test_lint_finds_what_the_engine_cannot_run(spark):
+    from vacantia.operators.scoring import lint_profile
+
+    patterns = ["a{,3}", "x{", "(x)?(?(1)y|z)", "(", "(?P<n>a)b", "[[]"]
+    profile = {"profile_status": "personalized_ready", "role_rules": [{"name": "r", "score": 1, "patterns": patterns}], "domain_rules": [{"name": "d", "weight": 1, "patterns": ["d"]}]}
+    assert {r["pattern"] for r in lint_profile(spark, profile).collect()} == {"(x)?(?(1)y|z)", "("}

@@ -11,9 +11,10 @@ from operator import and_
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vacantia.functions.regex import PatternError, any_match, folded, java_pattern
+from vacantia.functions.regex import FLAGS, PatternError, any_match, folded, java_pattern
 from vacantia.functions.text import compute_once, strip
 from vacantia.schemas import RULE_SCHEMA, text_or_empty
 
@@ -275,13 +276,26 @@ def lint_patterns(rules: DataFrame) -> DataFrame:
     return rules.withColumn("problem", problem(F.col("pattern"))).filter(F.col("problem").isNotNull())
 
 
+def engine_problem(spark: SparkSession, pattern: str | None) -> str | None:
+    """Why a rule pattern cannot be used: it is no pattern of its dialect, or the engine does not compile its translation."""
+    problem = _pattern_problem(pd.Series([pattern or ""])).iloc[0]
+    if problem is None:
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(FLAGS + java_pattern(pattern or ""))
+        except IllegalArgumentException as error:
+            problem = str(error)
+    return problem
+
+
 def lint_profile(spark: SparkSession, profile: Profile, allow_starter: bool = False) -> DataFrame:
     """Problems of a profile: empty required sections, unusable patterns, status not ready."""
     general = [(section, f"{section} is empty") for section in ("role_rules", "domain_rules") if not profile.get(section)]
     if profile.get("profile_status", "missing") != READY_STATUS and not allow_starter:
         general.append(("profile_status", f"profile_status is not '{READY_STATUS}'"))
-    found = lint_patterns(profile_patterns(spark, profile)).select(
-        "section", F.concat_ws("/", "name", "slot").alias("place"), "pattern", "problem")
-    head = spark.createDataFrame(
-        [(s, "", "", p) for s, p in general], "section string, place string, pattern string, problem string")
-    return head.unionByName(found)
+    # A profile is configuration: its patterns are compiled here by the engine that will run them.
+    patterns = profile_patterns(spark, profile).collect()
+    found = [
+        (r["section"], "/".join(x for x in (r["name"], r["slot"]) if x is not None), r["pattern"], problem)
+        for r in patterns if (problem := engine_problem(spark, r["pattern"])) is not None]
+    return spark.createDataFrame(
+        [(s, "", "", p) for s, p in general] + found, "section string, place string, pattern string, problem string")
