@@ -239,6 +239,40 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["class_size"] == sizes[r["class_key"]] for r in got)
 
 
+def test_near_copies_in_a_template_family_equal_brute_force(spark):
+    rng = random.Random(17)
+    template, rows = words(rng, 200), []
+    for _ in range(120):
+        own = words(rng, 36)
+        rows += [(len(rows) + k, " ".join(template + own[:18] + words(rng, 18))) for k in range(2)]
+    rows += [(len(rows) + k, " ".join(template + words(rng, 36))) for k in range(260)]
+    docs = documents(spark, rows)
+    weights = neardup.Weights(*neardup.shared_weights(docs).value)
+    sets = []
+    for _, text in rows:
+        found, times, _ = shingles.shingle_sets([text.encode()])
+        sets.append((found, np.exp(weights.logs(found, times))))
+    of = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()}
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if neardup.similarity(sets[a], sets[b]) >= neardup.THRESHOLD]
+    assert len(near) >= 100 and [(a, b) for a, b in near if of[a] != of[b]] == []
+    # No pair beside the planted ones is linked.
+    assert len(set(of.values())) == len(rows) - len(near)
+
+
+def test_rare_keys_meet_for_all_similar_texts():
+    rng = random.Random(23)
+    met = 0
+    for _ in range(400):
+        a, b = ({rng.randrange(40): rng.choice([0.75, 1.0, 1.7]) for _ in range(rng.randint(5, 90))} for _ in range(2))
+        b = {**a, **{k: w for k, w in b.items() if rng.random() < 0.1}}
+        sets = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+        keys = [set(neardup.rare_keys(*x, float(x[1].sum()), 0.8)[0].tolist()) for x in sets]
+        if neardup.similarity(*sets) >= 0.8:
+            met += 1
+            assert keys[0] & keys[1]
+    assert met > 50
+
+
 def test_one_document_of_each_class_stays(spark):
     base = "the quick survey of coastal birds was repeated in each of the nine following winters by volunteers".split()
     rows = [(5, " ".join(base)), (3, " ".join(base)), (3, " ".join(base)), (4, " ".join(base).upper()), (None, "null id text"), (None, "null id text"), (None, "another"), (8, None), (9, ""), (10, "own text")]
