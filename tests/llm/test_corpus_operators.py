@@ -393,6 +393,24 @@ def test_shared_passages_are_found_and_clean_texts_left_alone(spark):
     assert passages.shared_passages(documents(spark, []).limit(0)).count() == 0
 
 
+def passage_cover(got, a, b):
+    """Words of the longest passage row of two documents."""
+    return max((min(r["last_word"] - r["first_word"], r["other_last_word"] - r["other_first_word"]) + 1 for r in got if {r["doc_id"], r["other_id"]} == {a, b}), default=0)
+
+
+def test_passages_of_frequent_parts(spark):
+    rng = random.Random(31)
+    rows, parts = [], []
+    for sizes in [(30, 30), (40, 10), (25, 25), (20, 20, 20), (49, 30)] * 3:
+        pieces = [words(rng, n) for n in sizes]
+        parts.append((len(rows), sum(sizes)))
+        rows += [(len(rows) + k, " ".join(words(rng, 40) + sum(pieces, []) + words(rng, 40))) for k in range(2)]
+        for piece in pieces:
+            rows += [(len(rows) + k, " ".join(words(rng, 30) + piece + words(rng, 30))) for k in range(12)]
+    got = passages.shared_passages(documents(spark, rows)).collect()
+    assert {a: (n, passage_cover(got, a, a + 1)) for a, n in parts if passage_cover(got, a, a + 1) != n} == {}
+
+
 def test_common_runs_share_a_seed():
     rng = random.Random(1)
     for _ in range(200):
