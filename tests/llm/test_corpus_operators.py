@@ -411,6 +411,20 @@ def test_passages_of_frequent_parts(spark):
     assert {a: (n, passage_cover(got, a, a + 1)) for a, n in parts if passage_cover(got, a, a + 1) != n} == {}
 
 
+def test_passages_of_repeated_lines(spark):
+    rng = random.Random(37)
+    rows, lines = [], []
+    for period in range(2, 21, 3):
+        line = words(rng, period)
+        for size in (60, 200):
+            times = -(-size // period)
+            lines.append((len(rows), times * period))
+            rows += [(len(rows) + k, " ".join(words(rng, 40) + line * times + words(rng, 40))) for k in range(2)]
+            line = words(rng, period)
+    got = passages.shared_passages(documents(spark, rows)).collect()
+    assert {a: (n, passage_cover(got, a, a + 1)) for a, n in lines if passage_cover(got, a, a + 1) < n} == {}
+
+
 def test_common_runs_share_a_seed():
     rng = random.Random(1)
     for _ in range(200):
