@@ -425,6 +425,22 @@ def test_passages_of_repeated_lines(spark):
     assert {a: (n, passage_cover(got, a, a + 1)) for a, n in lines if passage_cover(got, a, a + 1) < n} == {}
 
 
+def test_passages_of_long_words(spark):
+    rng = random.Random(41)
+    clause = lambda n: ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(33)) for _ in range(n)]
+    rows, planted = [], []
+    for size in (50, 55, 60, 80) * 4:
+        passage = clause(size)
+        planted.append((len(rows), size))
+        rows += [(len(rows) + k, " ".join(clause(40) + passage + clause(40))) for k in range(2)]
+    got = passages.shared_passages(documents(spark, rows)).collect()
+    assert {a: (n, passage_cover(got, a, a + 1)) for a, n in planted if passage_cover(got, a, a + 1) != n} == {}
+    text = " ".join(clause(300)).encode()
+    first, last = 100 * 100, 150 * 100
+    a, b = passages.sliced_around(text, first, last)
+    assert len(text[a:first].split()) >= passages.REACH and len(text[last:b].split()) >= passages.REACH + passages.K
+
+
 def test_common_runs_share_a_seed():
     rng = random.Random(1)
     for _ in range(200):
