@@ -491,7 +491,7 @@ def _label_value(inputs: Inputs) -> DataFrame:
     flat = F.concat(F.lit("Careers Job Location - "), "city", F.lit(" Date: "), "day")
     return inputs["detail_text"].select(
         "k", pages.label_value(lines, links.LINE_LOCATION).alias("location"), pages.label_value(lines, links.LINE_DATE).alias("day"),
-        pages.label_value(flat, links.JAZZHR_LOCATION, 120).alias("loose"))
+        pages.label_value(flat, links.JAZZHR_LOCATION).alias("loose"))
 
 
 @query("location_triple", r"""
