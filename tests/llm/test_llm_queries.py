@@ -28,7 +28,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and len(corpus_pipeline.STAGES) == 5
+    assert numbers == list(range(1, 14)) and len(corpus_pipeline.STAGES) == 5
 
 
 def test_token_query_equals_whole_text_encoding(spark):

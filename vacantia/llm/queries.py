@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vacantia.llm import decontaminate, fertility, licenses, mixing, neardup, passages, preferences, token_files, url_trie, warc_bundles
+from vacantia.llm import (
+    decontaminate, fertility, licenses, mixing, neardup, passages, preferences, token_alignment, token_files, turn_repair, url_trie,
+    vector_search, warc_bundles,
+)
 from vacantia.llm.common import table
 from vacantia.session import scratch_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -60,6 +64,18 @@ def op10_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_block_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.nearest(table(spark, folder, "embeddings"), vector_search.every_nth())
+
+
+def op12_diagonal_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, folder, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_chained_passages": op2_chained_passages,
@@ -71,10 +87,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_trie": op8_url_trie,
     "op9_preference_pairs": op9_preference_pairs,
     "op10_warc_bundles": op10_warc_bundles,
+    "op11_block_neighbours": op11_block_neighbours,
+    "op12_diagonal_alignment": op12_diagonal_alignment,
+    "op13_turn_repair": op13_turn_repair,
 }
 ORACLES = {
     "op1_source_mix": mixing.SQL.replace("{documents}", "documents"),
     "op8_url_trie": url_trie.SQL,
     "op9_preference_pairs": preferences.SQL,
     "op10_warc_bundles": warc_bundles.SQL,
+    "op11_block_neighbours": vector_search.SQL,
 }
