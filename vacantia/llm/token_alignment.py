@@ -23,7 +23,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +89,9 @@ class ByteLevel:
                 pass
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def joined(self, ids: list[int]) -> bytes:
+        return self.ranked.decode_bytes(ids) if self.ranked is not None else b"".join(map(self.bytes.__getitem__, ids))
+
 
 class Pieces:
     """Ids of a piece vocabulary, and the bytes of each id."""
@@ -107,23 +109,33 @@ class Pieces:
         return self.library.encode(text, num_threads=1)
 
 
+#: Items of the first comparison of a stretch.
+PROBE = 4
+
+
 def runs(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
     """Stretches (i, next i, j, next j) of two ascending lists with the same last value: one-to-one stretches of equal length, whose
-    every item is a group, and irregular groups, whose lengths differ or whose inner values do."""
+    every item is a group, and irregular groups, which begin with different items."""
     i = j = 0
     n, m = len(a), len(b)
     while i < n:
-        first, step, growing = i, 1, True
-        # While the ends agree at this shift the stretch doubles; then it halves to find where they part.
-        while step:
-            if i + step <= n and j + step <= m and a[i:i + step] == b[j:j + step]:
-                i, j = i + step, j + step
-                step = step * 2 if growing else step // 2
-            else:
-                growing = False
-                step //= 2
+        first, from_b, step = i, j, PROBE
+        # While the ends agree at this shift the stretch doubles ...
+        while i + step <= n and j + step <= m and a[i:i + step] == b[j:j + step]:
+            i += step
+            j += step
+            step *= 2
+        # ... then it halves, and the last few items are compared one by one, to find where they part.
+        while step > PROBE:
+            step //= 2
+            if a[i:i + step] == b[j:j + step] and i + step <= n and j + step <= m:
+                i += step
+                j += step
+        while i < n and a[i] == b[j]:
+            i += 1
+            j += 1
         if i > first:
-            yield first, i, j - (i - first), j
+            yield first, i, from_b, j
         if i < n:
             p, q = i, j
             x, y = a[p], b[q]
@@ -134,17 +146,32 @@ def runs(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
                 else:
                     q += 1
                     y = b[q]
-            yield i, p + 1, j, q + 1
-            i, j = p + 1, q + 1
+            p += 1
+            q += 1
+            yield i, p, j, q
+            i, j = p, q
+
+
+def group_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For the ends of both sides, which tokens end a group (1) and which do not (0)."""
+    cut_a, cut_b = bytearray(len(a)), bytearray(len(b))
+    for i, i_next, j, j_next in runs(a, b):
+        if a[i] == b[j]:
+            cut_a[i:i_next] = cut_b[j:j_next] = b"\x01" * (i_next - i)
+        else:
+            cut_a[i_next - 1] = cut_b[j_next - 1] = 1
+    return np.frombuffer(cut_a, np.uint8), np.frombuffer(cut_b, np.uint8)
 
 
 class Aligner:
-    """Per-worker state: both tokenizers, and the names and sizes of their ids."""
+    """Per-worker state: both tokenizers, and the sizes and names of their ids."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
-        self.sizes_a, self.sizes_b = [len(x) for x in self.a.bytes], [len(x) for x in self.b.bytes]
-        self.names_a, self.names_b = [str(k) for k in range(len(self.sizes_a))], [str(k) for k in range(len(self.sizes_b))]
+        self.sizes_a, self.sizes_b = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
+        #: Each id as text with what follows it inside a group, and with what follows it at the end of its side of a group.
+        self.names_a = np.array([f"{k}{mark}" for k in range(len(self.sizes_a)) for mark in ",|"], object)
+        self.names_b = np.array([f"{k}{mark}" for k in range(len(self.sizes_b)) for mark in ",;"], object)
 
     def tokens(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both sides; none if a side does not cover the text."""
@@ -153,29 +180,24 @@ class Aligner:
         spaced = " " + text
         whole = spaced.encode()
         a, b = self.a.encode(spaced), self.b.encode(text)
-        if b"".join(map(self.a.bytes.__getitem__, a)) != whole or b"".join(map(self.b.bytes.__getitem__, b)) != whole:
+        if self.a.joined(a) != whole or b"".join(map(self.b.bytes.__getitem__, b)) != whole:
             return [], []
         return a, b
 
     def align(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
         """Tokens of A, tokens of B, groups, hash of the groups, and the links as an array of two rows of ids."""
-        a, b = self.tokens(text)
-        if not a:
+        a, b = (np.array(ids, np.int64) for ids in self.tokens(text))
+        if not len(a):
             return 0, 0, 0, "", np.zeros((2, 0), np.uint32)
-        ends_a, ends_b = list(accumulate(map(self.sizes_a.__getitem__, a))), list(accumulate(map(self.sizes_b.__getitem__, b)))
-        names_a, names_b = list(map(self.names_a.__getitem__, a)), list(map(self.names_b.__getitem__, b))
-        groups, last_a, last_b = [], [], []
-        for i, i_next, j, j_next in runs(ends_a, ends_b):
-            if i_next - i == j_next - j and ends_a[i] == ends_b[j]:
-                groups += [f"{x}|{y}" for x, y in zip(names_a[i:i_next], names_b[j:j_next])]
-                last_a += a[i:i_next]
-                last_b += b[j:j_next]
-            else:
-                groups.append(",".join(names_a[i:i_next]) + "|" + ",".join(names_b[j:j_next]))
-                last_a.append(a[i_next - 1])
-                last_b.append(b[j_next - 1])
-        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        return len(a), len(b), len(groups), digest, np.array([last_a, last_b], np.uint32)
+        cut_a, cut_b = group_ends(np.cumsum(self.sizes_a[a]).tolist(), np.cumsum(self.sizes_b[b]).tolist())
+        last_a, last_b = np.flatnonzero(cut_a), np.flatnonzero(cut_b)
+        # A token of A stands behind all tokens of B in earlier groups, one of B behind all tokens of A up to its own group.
+        earlier = np.concatenate([[0], last_b + 1])
+        parts = np.empty(len(a) + len(b), object)
+        parts[np.arange(len(a)) + earlier[np.cumsum(cut_a) - cut_a]] = self.names_a[2 * a + cut_a]
+        parts[np.arange(len(b)) + (last_a + 1)[np.cumsum(cut_b) - cut_b]] = self.names_b[2 * b + cut_b]
+        digest = hashlib.sha256("".join(parts.tolist())[:-1].encode()).hexdigest()
+        return len(a), len(b), len(last_a), digest, np.array([a[last_a], b[last_b]], np.uint32)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
