@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vacantia.llm.common import n_words, written
+from vacantia.llm.common import n_words, quoted, written
 
 HASH_BITS = 60
 #: Bits that a histogram resolves; a source has up to 2**10 buckets.
@@ -144,16 +144,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The documents themselves, repeated or left out as the mix says. The texts are not shuffled while the plan
+    """The documents themselves with all their columns, whatever they are called, repeated or left out as the mix says. The texts are not shuffled while the plan
     of the sources is small enough for Spark to broadcast it."""
-    columns = docs.columns
     plan = plan_mix(written(sized_documents(docs), "mix-sizes"), weights, max_repeats)
-    d = docs.select(*columns, mix_hash(F.col("doc_id"), F.col("text")).alias("_h")).alias("d")
-    p = plan.alias("p")
-    joined = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source")))
-    repeated = joined.select(*[F.col(f"d.{c}") for c in columns], copies(F.col("d._h"), F.col("p.levels")).alias("_copies"))
-    times = F.array_repeat(F.lit(1), F.col("_copies").cast("int"))
-    return repeated.withColumn("_copy", F.explode(times)).select(*columns)
+    # The row goes along as one struct, so its columns meet no names of ours.
+    d = docs.select(
+        F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("doc"), F.col("source").alias("of"), mix_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    joined = d.join(plan, F.col("of").eqNullSafe(F.col("source")))
+    times = F.array_repeat(F.lit(1), copies(F.col("h"), F.col("levels")).cast("int"))
+    return joined.select("doc", F.explode(times).alias("copy")).select("doc.*")
 
 
 #: The same mix by sorting: for the SQL check.
