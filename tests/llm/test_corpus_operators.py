@@ -157,19 +157,26 @@ def test_token_files_of_nothing(spark, folder):
     assert token_files.read_documents(spark, f"{folder}/none").count() == 0
 
 
-def test_word_encoder_equals_library_on_random_text():
+def test_word_encoder_equals_library_on_random_text(monkeypatch):
     rng = random.Random(5)
     letters = "abcXYZéßÑñÇ '’.,!?-_0123 \t\n ́İΣ字💥<|endoftext|>"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(600)]
     found = token_files.WordEncoder(WORD_BPE)
-    found.table.limit = 50
-    encoded = [found.encode([t.encode()])[0].tolist() for t in texts]
-    assert encoded == ids_of(texts)
+    monkeypatch.setattr(token_files, "MAX_PIECES", 50)
+    encoded = [found.encode([t.encode()], 1)[0].tolist() for t in texts]
+    assert encoded == [ids + [1] for ids in ids_of(texts)]
+    ids, counts = found.encode([t.encode() for t in texts], 1)
+    assert ids.tolist() == sum(encoded, []) and counts.tolist() == list(map(len, encoded))
+    assert [x.tolist() for x in found.encode([b"a\xff b", b"", b" "], 1)] == [[*ids_of(["a\ufffd b"])[0], 1, 1, 1], [len(ids_of(["a\ufffd b"])[0]) + 1, 1, 1]]
+    assert [x.tolist() for x in found.encode([b""], 1)] == [[1], [1]]
 
 
 def test_other_vocabularies_take_the_whole_path():
     found = token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert found.pieces is None and found.dtype == np.uint16
+    words = ["don't", "naïve", "字", "Word"]
+    assert found.encode([" ".join(words).encode()], 7)[0].tolist() == [
+        *sum((found.tokenizer.encode(w, add_special_tokens=False).ids for w in words), []), 7]
 
 
 # --- near duplicates ---------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -74,6 +75,21 @@ def text_slices(texts: list[bytes], most_bytes: int = 4_000_000) -> Iterator[tup
         yield start, len(texts)
 
 
+def split_words(texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, one text after the other, dictionary-encoded, and the places among them where texts begin."""
+    try:
+        whole = pa.array(texts, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        # Not all bytes are characters.
+        whole = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+    lists = pc.ascii_split_whitespace(whole)
+    offsets, words = lists.offsets.to_numpy().astype(np.int64), lists.values
+    # White space at the ends of a text gives empty words.
+    real = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real).dictionary_encode(), before[offsets]
+
+
 class WordTable:
     """Numbers for distinct words, with values that ``learn`` computes once per word.
 
@@ -110,6 +126,10 @@ class Ragged:
         self.values = np.concatenate([self.values, new])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """How long the lists of these words are."""
+        return self.starts[numbers + 1] - self.starts[numbers]
+
     def take(self, numbers: np.ndarray) -> np.ndarray:
         """The lists of these words, one after the other."""
         first = self.starts[numbers]

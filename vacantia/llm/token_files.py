@@ -18,19 +18,17 @@ ordered by their text's hash; equal rows are all written; extra columns are igno
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vacantia.llm.common import Ragged, WordTable, binary_column, open_folder, text_slices
+from vacantia.llm.common import Ragged, binary_column, open_folder, split_words, text_slices
 
 SEQUENCE_LENGTH = 2048
 BATCH = 64
@@ -38,19 +36,20 @@ BATCH = 64
 MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_tokens long"
 READ = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
-#: Characters that the vocabulary's normaliser treats alike in every library: printable ASCII and accented Latin.
-_PLAIN = re.compile(r"[!-~À-ɏ]+")
-_CONTROLS = bytes([*range(10), *range(11, 32), 127])
+#: Words whose characters every library folds and classes alike: printable ASCII and accented Latin letters but one, whose
+#: lower case is two characters.
+_PLAIN = "^[!-~À-įı-ɏ]+$"
 #: Distinct pieces that a worker keeps at once.
 MAX_PIECES = 600_000
 
 
 class WordEncoder:
-    """Ids of a text by a vocabulary whose tokens never cross white space: each distinct word is encoded once.
+    """Ids of a text by a vocabulary whose tokens never cross white space.
 
-    Where the vocabulary file splits words into runs of letters, single digits and runs of other characters, these
-    pieces are encoded by the library's model directly; any other vocabulary and any word with unusual characters takes
-    the library's whole path. Both give the same ids.
+    Where the vocabulary file splits words into runs of letters, single digits and runs of other characters, Arrow splits the
+    texts into words, the distinct words into these pieces, and tells the distinct pieces apart; the library's model
+    encodes each piece once per worker. Any other vocabulary and any word with unusual characters takes the library's
+    whole path, once per distinct word. Both give the same ids. The rest is index arrays.
     """
 
     def __init__(self, path: str):
@@ -64,53 +63,53 @@ class WordEncoder:
         normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         pattern = (split[0].get("pattern") or {}).get("Regex")
         direct = normal == ["NFC", "Replace", "Lowercase"] and pattern and [s.get("type") for s in split] == ["Split", "ByteLevel"]
-        #: Splits words joined by line feeds into the pieces that the model sees.
-        self.pieces = regex.compile("\n|" + pattern) if direct else None
-        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
-        self.known: dict[str, list[int]] = {}
-        self.table = WordTable(self._learn, self._reset)
-        self._reset()
-
-    def _reset(self) -> None:
+        #: Finds the pieces that the model sees in a word.
+        self.pieces = pattern if direct else None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.numbers: dict[str, int] = {}
         self.ids = Ragged(self.dtype)
 
-    def _piece(self, piece: str) -> list[int]:
-        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        if len(self.known) > MAX_PIECES:
-            self.known.clear()
-        found = self.known[piece] = [t.id for t in self.tokenizer.model.tokenize(text)]
-        return found
-
-    def _is_plain(self, words: list[bytes]) -> list[bool]:
-        joined = b"\n".join(words)
-        printable = len(joined.translate(None, _CONTROLS)) == len(joined)
-        marks = [s for s in self.special if s in joined]
-        plain = [printable if w.isascii() else _PLAIN.fullmatch(w.decode("utf-8", "replace")) is not None for w in words]
-        if not printable:
-            plain = [_PLAIN.fullmatch(w.decode("utf-8", "replace")) is not None for w in words]
-        return [p and not any(s in w for s in marks) for p, w in zip(plain, words)] if marks else plain
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = self._is_plain(words) if self.pieces else [False] * len(words)
-        text = b"\n".join([w for w, p in zip(words, plain) if p]).decode()
-        text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-        split, ids, get = [], [], self.known.get
-        for piece in self.pieces.findall(text) if self.pieces else ():
-            if piece == "\n":
-                split.append(ids)
-                ids = []
-            else:
-                ids += get(piece) or self._piece(piece)
-        split.append(ids)
-        following = iter(split)
-        self.ids.extend([
-            next(following) if p else self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w, p in zip(words, plain)])
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for start, end in text_slices(texts):
-            out += [self.ids.take(n) for n in self.table.of([t.split() for t in texts[start:end]])]
-        return out
+    def _keys(self, words: pa.Array) -> pa.ListArray:
+        """Distinct words as lists of keys: the pieces of a plain word, or a space and the word itself."""
+        whole = pc.binary_join_element_wise("", words, " ")
+        if self.pieces is None:
+            return pa.ListArray.from_arrays(np.arange(len(words) + 1, dtype=np.int32), whole)
+        plain = pc.match_substring_regex(words, _PLAIN)
+        for mark in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, mark))
+        cut = pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(words), self.pieces, "\\0\n"), "\n")
+        return pc.split_pattern(pc.if_else(plain, cut, whole), "\n")
+
+    def _learn(self, key: str) -> list[int]:
+        if key.startswith(" "):
+            return self.tokenizer.encode(key[1:], add_special_tokens=False).ids
+        return [t.id for t in self.tokenizer.model.tokenize(key if key.isascii() else key.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """The numbers of distinct keys; new ones are learned. The table is emptied when full."""
+        numbers = self.numbers
+        if len(numbers) > MAX_PIECES:
+            numbers.clear()
+            self.ids = Ragged(self.dtype)
+        new = [k for k in keys if k not in numbers]
+        if new:
+            self.ids.extend(list(map(self._learn, new)))
+            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new))))
+        return np.fromiter(map(numbers.__getitem__, keys), np.int64, len(keys))
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has."""
+        words, offsets = split_words(texts)
+        keys = self._keys(words.dictionary)
+        parts = keys.flatten().dictionary_encode()
+        known = self._numbers(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        # Words as runs of keys, keys as runs of ids: first the ids of the distinct words, then those of all words.
+        ends = np.concatenate([[0], np.cumsum(self.ids.counts(known))])[keys.offsets.to_numpy()]
+        of_words = Ragged(self.dtype)
+        of_words.values, of_words.starts = self.ids.take(known), ends
+        at = words.indices.to_numpy()
+        sizes = np.concatenate([[0], np.cumsum(of_words.counts(at))])[offsets]
+        return np.insert(of_words.take(at), sizes[1:], self.dtype(end_id)), np.diff(sizes) + 1
 
 
 def _byte_letters() -> dict[int, int]:
@@ -205,12 +204,9 @@ def write_token_files(
             for batch in chained():
                 texts = binary_column(batch, "text")
                 for start, end in text_slices(texts):
-                    starts, counts = [], []
-                    for ids in words.encode(texts[start:end]):
-                        starts.append(writer.total)
-                        counts.append(len(ids) + 1)
-                        writer.add(ids)
-                        writer.add(np.array([end_id], words.dtype))
+                    ids, counts = words.encode(texts[start:end], end_id)
+                    starts = writer.total + np.cumsum(counts) - counts
+                    writer.add(ids)
                     doc_ids = batch.column(batch.schema.get_field_index("doc_id")).slice(start, end - start)
                     docs_writer.write_batch(pa.RecordBatch.from_arrays([doc_ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=index))
                     n_docs += end - start
