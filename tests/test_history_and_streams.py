@@ -212,3 +212,107 @@ def test_a_retried_version_starts_from_what_it_started_from(spark, tmp_path):
     import pytest
     with pytest.raises(ValueError):
         table.write(table.read(), "r1")
+
+
+def bucket_files(root):
+    return {str(p.relative_to(root)) for p in root.rglob("part-*.parquet") if "_commits_log" not in str(p)}
+
+
+def test_an_update_leaves_the_files_of_other_buckets_alone(spark, tmp_path):
+    from vacantia.sources.tables import bucket_of
+
+    table = HistoryTable(spark, str(tmp_path / "h"), buckets=8)
+    keys = [f"k{i}" for i in range(60)]
+    first = current(spark, [(k, "a", "t") for k in keys])
+    table.update("r1", first, lambda rows: history.merge_history(rows, first, at(1)))
+    before = bucket_files(tmp_path / "h")
+    assert table.read().count() == 60 and len(before) == 8
+    one = current(spark, [("k7", "a", "new")])
+    ok = companies(spark)
+
+    def step(version, day, rows):
+        touched = history.touched_keys(table.read_before(version), rows, ok)
+        table.update(version, touched, lambda part: history.merge_history(part, rows, at(day), ok))
+
+    step("r2", 2, one)
+    assert len(bucket_files(tmp_path / "h") - before) == 1
+    got = {r["stable_key"]: r["title"] for r in table.read().collect()}
+    assert got == {k: "new" if k == "k7" else "t" for k in keys} and table.versions() == ["r1", "r2"]
+    # The run again with another key: what it changed before goes back, the number of buckets is the table's own.
+    table = HistoryTable(spark, str(tmp_path / "h"), buckets=3)
+    other = next(k for k in keys if spark.range(1).select(bucket_of(F.lit(k), 8) != bucket_of(F.lit("k7"), 8)).first()[0])
+    step("r2", 2, current(spark, [(other, "a", "newer")]))
+    assert {r["stable_key"]: r["title"] for r in table.read().collect()} == {k: "newer" if k == other else "t" for k in keys}
+    assert {r["title"] for r in table.read("r1").collect()} == {"t"}
+
+
+def test_a_closing_key_touches_its_bucket(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "h"), buckets=50)
+    rows = current(spark, [("k1", "a", "t"), ("k2", "a", "t"), ("k3", "b", "t")])
+    table.write(history.merge_history(table.read(), rows, at(1)), "r1")
+    now, ok = current(spark, [("k1", "a", "t")]), companies(spark, "a")
+    touched = history.touched_keys(table.read(), now, ok)
+    assert sorted(r[0] for r in touched.collect()) == ["k1", "k2"]
+    table.update("r2", touched, lambda part: history.merge_history(part, now, at(2), ok))
+    assert {r["stable_key"]: r["active"] for r in table.read().collect()} == {"k1": 1, "k2": 0, "k3": 1}
+    table.update("r3", touched.limit(0), lambda part: part)
+    assert table.versions() == ["r1", "r2"]
+
+
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def test_expiry_starts_from_the_history_and_survives_a_restart(spark, tmp_path):
+    folder, day_ms = str(tmp_path / "in"), 86_400_000
+    past = spark.createDataFrame([("old", datetime.datetime(2024, 1, 1)), ("back", datetime.datetime(2024, 1, 2))], "stable_key string, last_seen timestamp")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    rocks(spark)
+    try:
+        schema = arrivals(spark, folder, [[("back", "a", 4), ("hole", "a", 5)], [("back", "a", 6), ("hole", "a", 11)]])
+        make = lambda: flows.expiry_stream(flows.capture_stream(spark, folder, schema, 1), 4 * day_ms, "3 days", history=past)
+        seen = lambda rows: sorted((r["stable_key"], pd.Timestamp(r["last_seen_ms"], unit="ms").day) for r in rows.collect())
+        # The watermark ends at day 8: 'old' was away for four days, 'back' came back in time, 'hole' is not settled yet.
+        assert seen(drain(make(), tmp_path, "out")) == [("old", 1)]
+        arrivals(spark, folder, [[("late", "a", 20)], [("late", "a", 20)]])
+        # The query goes on from its checkpoint: 'hole' was away from day 5 to 11 and from 11 on.
+        assert seen(drain(make(), tmp_path, "out")) == [("back", 6), ("hole", 5), ("hole", 11), ("old", 1)]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+
+
+def test_raw_captures_split_at_will_equal_the_batch_and_late_pages_reopen_a_run(spark, tmp_path):
+    import json
+
+    columns = "company string, run_at timestamp, page_no long, n_pages long, platform string, body string"
+
+    def page(day, page_no, ids, n_pages=2):
+        body = json.dumps([{"id": i, "text": f"Scientist {day}", "hostedUrl": f"u/{i}"} for i in ids])
+        return ("A", datetime.datetime(2024, 1, day), page_no, n_pages, "lever", body)
+
+    folder = str(tmp_path / "in")
+    profile = {"role_rules": [{"name": "s", "score": 30, "patterns": ["scientist"]}], "location": {"enabled": False}}
+    table = HistoryTable(spark, str(tmp_path / "h"), buckets=4)
+
+    def arrive(*files):
+        for rows in files:
+            spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(folder)
+        schema = spark.createDataFrame([], columns).schema
+        stream = flows.with_completion(flows.capture_stream(spark, folder, schema, 1))
+        handle = (stream.writeStream.foreachBatch(flows.history_batch_writer(table, flows.scored_batches(profile, ["lever"])))
+                  .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+        handle.awaitTermination()
+        return {r["source_id"]: (r["first_seen"].day, r["last_seen"].day, r["active"], r["score"]) for r in table.read().collect()}
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    rocks(spark)
+    try:
+        # Run 1 is whole, of run 2 a page is missing: it closes nothing.
+        assert arrive([page(1, 0, ["a", "b"]), page(2, 0, ["a"])], [page(1, 1, ["c"])]) == {
+            "a": (1, 2, 1, 30), "b": (1, 1, 1, 30), "c": (1, 1, 1, 30)}
+        # The missing page: now run 2 closes what it does not list.
+        assert arrive([page(2, 1, ["c"])]) == {"a": (1, 2, 1, 30), "b": (1, 1, 0, 30), "c": (1, 2, 1, 30)}
+        # The run has one page more than it said: its posting opens again.
+        assert arrive([page(2, 2, ["b"], 3)]) == {"a": (1, 2, 1, 30), "b": (1, 2, 1, 30), "c": (1, 2, 1, 30)}
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)

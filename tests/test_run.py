@@ -71,6 +71,17 @@ def test_errors_unknown_platforms_evidence_and_log(spark, tmp_path):
     assert json.loads(logged[0]["errors_json"]) == [{"company": "A", "error": "ValueError: unreadable payload"}]
 
 
+def test_a_board_with_missing_pages_closes_nothing(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "history"))
+    posting = lambda i: {"id": str(i), "text": "Scientist", "categories": {"location": "Oslo"}, "hostedUrl": f"u{i}"}
+    run(spark, tmp_path, table, "r1", 1, [("A", "lever", [posting(1), posting(2)]), ("C", "lever", [posting(3), posting(4)])])
+    # Of A page 9 is missing; C is whole.
+    pages = spark.createDataFrame([("A", n, 100) for n in range(12) if n != 9] + [("C", 0, 1)], "company string, page_no long, n_rows long")
+    two = run(spark, tmp_path, table, "r2", 2, [("A", "lever", [posting(1)]), ("C", "lever", [posting(3)])], pages=pages)
+    assert [(r["company"], r["missing_pages"]) for r in two.gaps.collect()] == [("A", 1)]
+    assert {r["source_id"]: r["active"] for r in table.read().collect()} == {"1": 1, "2": 1, "3": 1, "4": 0}
+
+
 def test_scoring_stands_in_the_plan_once(spark, tmp_path):
     from vacantia.plans.catalog import Inputs
     from vacantia.plans.scoring_queries import flagged

@@ -103,12 +103,14 @@ def merge_batch(history: DataFrame, postings: DataFrame, completed: DataFrame) -
     """Next snapshot after a part of a run: upsert, then close what complete captures did not list.
 
     ``postings``: as ``current`` in ``merge_history``, with ``run_at``, the time that names their run. ``completed``
-    (company, run_at): captures whose rows have all arrived, in this batch or before. Only those close postings: the ones
-    of their company that no run as late as theirs has listed. So a run may be split over batches in any way, and a batch
-    may be merged twice.
+    (company, run_at): all captures whose rows have arrived, in this batch or before. Only those close postings: the ones
+    of their company that no run as late as theirs has listed. So a run may be split over batches in any way, runs may arrive in
+    any order, and a batch may be merged twice. What a run says counts unless a later run has been merged.
     """
     times = postings.groupBy("stable_key").agg(F.max("run_at").alias("_run_at"))
     newest = postings.join(times, (postings["stable_key"] == times["stable_key"]) & (postings["run_at"] == times["_run_at"]), "left_semi")
+    later = history.select("stable_key", F.col("last_seen").alias("_later"))
+    newest = newest.join(later, "stable_key", "left").where("_later IS NULL OR run_at >= _later").drop("_later")
     merged = merge_history(history, newest.drop("run_at"), F.lit(None).cast("timestamp"))
     firsts = postings.groupBy("stable_key").agg(F.min("run_at").alias("_first"), F.max("run_at").alias("_last"))
     ends = completed.groupBy("company").agg(F.max("run_at").alias("_complete"))
@@ -121,6 +123,21 @@ def merge_batch(history: DataFrame, postings: DataFrame, completed: DataFrame) -
         "active": F.when(closed, F.lit(0)).otherwise(F.col("active")).cast("int")}).select(*history.columns)
 
 
+def touched_keys(history: DataFrame, current: DataFrame, ok_companies: DataFrame) -> DataFrame:
+    """Keys whose rows ``merge_history`` changes: those listed, and open ones of ``ok_companies`` that are not. Only three
+    columns of the history are read."""
+    seen = current.select("stable_key").distinct()
+    open_rows = history.where("active = 1").join(ok_companies.select("company").distinct(), "company", "left_semi")
+    return seen.unionByName(open_rows.select("stable_key").join(seen, "stable_key", "left_anti"))
+
+
+def touched_by_batch(history: DataFrame, postings: DataFrame, completed: DataFrame) -> DataFrame:
+    """Keys whose rows ``merge_batch`` changes: those listed, and open ones that a complete capture may close."""
+    ends = completed.groupBy("company").agg(F.max("run_at").alias("_complete"))
+    closing = history.where("active = 1").join(ends, "company").where(F.col("last_seen") < F.col("_complete"))
+    return postings.select("stable_key").unionByName(closing.select("stable_key")).distinct()
+
+
 def deactivate_missing(history: DataFrame, current: DataFrame, ok_companies: DataFrame) -> DataFrame:
     """Set ``active`` to 0 for postings of successful companies that this run did not list."""
     seen = current.select("stable_key").distinct().withColumn("_seen", F.lit(True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vacantia.operators import health, history
@@ -334,14 +336,74 @@ def _stream_board_counts(inputs: Inputs) -> DataFrame:
     return counts.select(F.to_date("window_start").cast("string").alias("day"), "company", "n")
 
 
-@query("stream_expiry")
+view("expiry_times", """
+    SELECT stable_key, run, epoch_us(CAST(e.ts AS TIMESTAMP)) // 1000 AS ms FROM {sightings} JOIN {events} e ON capture_seq = e.event_id""")
+
+
+@query("stream_expiry", """
+    WITH known AS (SELECT stable_key, max(ms) AS ms FROM {expiry_times} WHERE day(run) <= 10 GROUP BY stable_key
+                   UNION ALL SELECT stable_key, ms FROM {expiry_times} WHERE day(run) > 10),
+         following AS (SELECT stable_key, ms, lead(ms) OVER (PARTITION BY stable_key ORDER BY ms) AS later FROM known)
+    SELECT stable_key, ms AS last_seen_ms FROM following
+    WHERE (later IS NULL OR later - ms > 259200000) AND ms + 259200000 <= (SELECT max(ms) - 518400000 FROM {expiry_times} WHERE day(run) > 10)""")
 def _stream_expiry(inputs: Inputs) -> DataFrame:
-    folder, rows = _arrive(inputs, _capture_rows(inputs))
-    stream = flows.capture_stream(inputs.spark, folder, rows.schema, files_per_batch=3)
+    """Three days of absence; the first two blocks are the history that the stream starts from."""
+    rows = _capture_rows(inputs)
+    past = rows.filter(F.col("block") < 2).groupBy("stable_key").agg(F.max("capture_ts").alias("last_seen"))
+    folder, plain = _arrive(inputs, rows.filter(F.col("block") >= 2))
+    stream = flows.capture_stream(inputs.spark, folder, plain.schema, files_per_batch=3)
+    with _rocks(inputs.spark):
+        return _run_to_files(inputs, flows.expiry_stream(stream, absence_ms=3 * 86_400_000, delay="6 days", history=past))
+
+
+@contextmanager
+def _rocks(spark: SparkSession):
+    """The state store that operators with state of their own need."""
     provider = "spark.sql.streaming.stateStore.providerClass"
-    before = inputs.spark.conf.get(provider)
-    inputs.spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _run_to_files(inputs, flows.expiry_stream(stream, absence_ms=10 * 86_400_000, delay="6 days"))
+        yield
     finally:
-        inputs.spark.conf.set(provider, before)
+        spark.conf.set(provider, before)
+
+
+_STREAM_PROFILE = {
+    "role_rules": [{"name": "event", "score": 30, "patterns": ["sighting"]}],
+    "location": {"enabled": False},
+}
+
+
+@query("stream_raw_captures", """
+    WITH blocks AS (SELECT stable_key, company, CAST(floor((day(run) - 1) / 5) AS INTEGER) AS block FROM {sightings}),
+         good AS (SELECT company, max(block) AS last_good FROM blocks GROUP BY company),
+         spans AS (SELECT stable_key, company, min(block) AS f, max(block) AS l FROM blocks GROUP BY stable_key, company)
+    SELECT s.company, s.stable_key AS source_id, concat('Sighting in run ', CAST(l AS VARCHAR)) AS title, 30 AS score,
+           CAST(DATE '2024-01-01' + f * 5 AS VARCHAR) AS first_seen, CAST(DATE '2024-01-01' + l * 5 AS VARCHAR) AS last_seen,
+           CASE WHEN l >= last_good THEN 1 ELSE 0 END AS active
+    FROM spans s JOIN good g ON g.company = s.company""")
+def _stream_raw_captures(inputs: Inputs) -> DataFrame:
+    """Raw payloads of many pages that arrive shuffled, several files to a batch and runs out of order within it: normalised,
+    scored and merged in one stream. A run closes postings once all its pages are there."""
+    rows = _capture_rows(inputs).withColumn("page_no", F.pmod(F.xxhash64("stable_key"), F.lit(6)))
+    item = F.struct(
+        F.col("stable_key").alias("id"), F.concat(F.lit("Sighting in run "), F.col("block").cast("string")).alias("text"),
+        F.concat(F.lit("https://example.com/"), "stable_key").alias("hostedUrl"))
+    pages = rows.dropDuplicates(["company", "run_at", "stable_key"]).groupBy("company", "run_at", "page_no").agg(
+        F.to_json(F.collect_list(item)).alias("body"))
+    counted = pages.groupBy("company", "run_at").agg(F.count("*").alias("n_pages"))
+    captures = pages.join(counted, ["company", "run_at"]).withColumn("platform", F.lit("lever"))
+    folder = scratch_path(inputs.spark, "arrivals")
+    captures = written(captures, inputs.spark)
+    captures.repartition(5, F.xxhash64("run_at", "company", "page_no")).write.parquet(folder)
+    table = HistoryTable(inputs.spark, scratch_path(inputs.spark, "history"), buckets=4)
+    stream = flows.with_completion(flows.capture_stream(inputs.spark, folder, captures.schema, files_per_batch=2))
+    with _rocks(inputs.spark):
+        handle = (
+            stream.writeStream.foreachBatch(flows.history_batch_writer(table, flows.scored_batches(_STREAM_PROFILE, ["lever"])))
+            .option("checkpointLocation", scratch_path(inputs.spark, "stream")).trigger(availableNow=True).start()
+        )
+        handle.awaitTermination()
+    return table.read().select(
+        "company", "source_id", "title", "score", F.to_date("first_seen").cast("string").alias("first_seen"),
+        F.to_date("last_seen").cast("string").alias("last_seen"), "active")

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from vacantia.functions.identity import with_stable_key
 from vacantia.functions.pay import apply_pay
+from vacantia.operators.capture import page_gaps
 from vacantia.operators.health import board_errors, errors_json, unknown_platforms, zero_result_warnings
-from vacantia.operators.history import merge_history, result_rows
+from vacantia.operators.history import merge_history, result_rows, touched_keys
 from vacantia.operators.reports import board_stats, ranked_report, run_summary
 from vacantia.operators.scoring import SCORE_FIELDS, Profile, with_gate, with_score
 from vacantia.schemas import JOB_HISTORY
@@ -27,6 +28,7 @@ class RunTables:
     ranked: DataFrame
     new_matches: DataFrame
     summary: DataFrame
+    gaps: DataFrame | None = None
 
 
 def scored_postings(jobs: DataFrame, profile: Profile) -> DataFrame:
@@ -36,8 +38,9 @@ def scored_postings(jobs: DataFrame, profile: Profile) -> DataFrame:
 
 
 def history_rows(scored: DataFrame) -> DataFrame:
-    """Scored postings with the columns the history keeps."""
-    kept = [c for c in JOB_HISTORY.fieldNames() if c in scored.columns and c not in ("score", "band", "score_json")]
+    """Scored postings with the columns the history keeps, and ``run_at`` if there is one."""
+    kept = ["run_at"] if "run_at" in scored.columns else []
+    kept += [c for c in JOB_HISTORY.fieldNames() if c in scored.columns and c not in ("score", "band", "score_json")]
     return scored.select(
         *kept, "capture_seq", F.col("total").alias("score"), "band",
         F.to_json(F.struct(*SCORE_FIELDS)).alias("score_json"))
@@ -45,13 +48,16 @@ def history_rows(scored: DataFrame) -> DataFrame:
 
 def run_search(jobs: DataFrame, companies: DataFrame, status: DataFrame, profile: Profile, table: HistoryTable,
                results_path: str, run_id: str, started_at: str, completed_at: str, min_score: int = 65,
-               errors: DataFrame | None = None, evidence: DataFrame | None = None, run_log_path: str | None = None) -> RunTables:
+               errors: DataFrame | None = None, evidence: DataFrame | None = None, run_log_path: str | None = None,
+               pages: DataFrame | None = None) -> RunTables:
     """Score ``jobs``, move the history on by one version, and describe the run.
 
     ``companies``: routed registry (name, platform, options). ``status``: one row per attempted company
     (company, error; null when the capture went well). ``errors`` (company, error): what could not be read, see
     ``boards.payload_errors`` and ``dom.page_errors``; such a company failed and closes no posting, and so did one whose
-    platform is unknown. ``evidence`` (company, verified_empty): boards whose page says that there is nothing.
+    platform is unknown. ``evidence`` (company, verified_empty): boards whose page says that there is nothing. ``pages`` (company,
+    page_no, n_rows): all captured pages; a board with a hole among them may have listed more, so it closes no posting either, see
+    ``capture.page_gaps``.
 
     What is new is found by key before anything is scored; the scored postings are written to ``results_path`` once, so the
     patterns run once however many tables are read from them, and a lost executor costs a re-read only.
@@ -70,7 +76,11 @@ def run_search(jobs: DataFrame, companies: DataFrame, status: DataFrame, profile
     # One row per company; a company has no error only if nothing reports one.
     outcome = reported.groupBy("company").agg(F.min("error").alias("error"))
     ok = outcome.filter(F.col("error").isNull()).select("company")
-    table.write(merge_history(before, history_rows(results), F.lit(started_at).cast("timestamp"), ok), run_id)
+    gaps = None if pages is None else page_gaps(pages)
+    whole = ok if gaps is None else ok.join(gaps, "company", "left_anti")
+    current, moment = history_rows(results), F.lit(started_at).cast("timestamp")
+    # Only the buckets that hold a listed or a closing key are written.
+    table.update(run_id, touched_keys(before, current, whole), lambda rows: merge_history(rows, current, moment, whole))
 
     narrow = results.drop("description")
     stats = board_stats(companies, narrow, min_score)
@@ -99,4 +109,4 @@ def run_search(jobs: DataFrame, companies: DataFrame, status: DataFrame, profile
             "companies_attempted", "jobs_retrieved", "new_jobs", "errors_json"), run_log_path)
     return RunTables(
         results=results, stats=stats, errors=failed, warnings=warnings, ranked=ranked, new_matches=fresh,
-        summary=run_summary(stats, failed, warnings, run_id, started_at, completed_at, ranked, fresh))
+        summary=run_summary(stats, failed, warnings, run_id, started_at, completed_at, ranked, fresh), gaps=gaps)

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from vacantia.operators.history import merge_batch
+from vacantia.operators.boards import normalize
+from vacantia.operators.history import merge_batch, touched_by_batch
+from vacantia.operators.scoring import Profile
+from vacantia.plans.run import history_rows, scored_postings
 from vacantia.sources.tables import HistoryTable
 
 
@@ -42,8 +45,9 @@ def history_batch_writer(table: HistoryTable, prepare: Callable[[DataFrame], tup
     """A ``foreachBatch`` function that merges each batch into the history.
 
     ``prepare`` maps a batch to (scored postings with ``run_at``, completed captures (company, run_at)); see
-    ``merge_batch``. A batch need not be a whole run. Versions are named by query and batch id: a batch that runs again
-    after a failure starts from what it started from before, and replaces its own snapshot.
+    ``merge_batch`` and ``scored_batches``. A batch need not be a whole run, and it rewrites only the buckets whose rows it
+    changes. Versions are named by query and batch id: a batch that runs again after a failure starts from what it started
+    from before, and replaces its own buckets.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         name = f"{query}-{batch_id:012d}"
@@ -51,45 +55,142 @@ def history_batch_writer(table: HistoryTable, prepare: Callable[[DataFrame], tup
         try:
             postings, completed = prepare(batch)
             if not batch.isEmpty():
-                table.write(merge_batch(table.read_before(name), postings, completed), name)
+                # Captures that were complete before close postings of older runs that arrive only now.
+                completed = table.record_completed(name, completed)
+                touched = touched_by_batch(table.read_before(name), postings, completed)
+                table.update(name, touched, lambda rows: merge_batch(rows, postings, completed))
         finally:
             batch.unpersist()
 
     return merge
 
 
+class _Completion(StatefulProcessor):
+    """Counts the different pages of a run's capture that have arrived, against the number that it should have."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._pages = handle.getMapState("pages", "page_no long", "seen boolean")
+        self._counts = handle.getValueState("counts", "seen long, expected long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen, expected = self._counts.get() if self._counts.exists() else (0, 0)
+        changed = False
+        for frame in rows:
+            for page in frame["page_no"].dropna().astype("int64").unique().tolist():
+                if not self._pages.containsKey((page,)):
+                    self._pages.updateValue((page,), (True,))
+                    seen, changed = seen + 1, True
+            known = frame["n_pages"].dropna()
+            if len(known) and int(known.max()) > expected:
+                expected, changed = int(known.max()), True
+        self._counts.update((seen, expected))
+        # A page that comes after the run was complete is listed by it too, so the run is complete anew.
+        done = changed and 0 < expected <= seen
+        yield pd.DataFrame({"company": [key[0]] * done, "run_at": [pd.Timestamp(key[1])] * done}).astype({"company": str, "run_at": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
+
+
+def with_completion(captures: DataFrame) -> DataFrame:
+    """The captures (company, run_at, page_no, n_pages, ...) with ``complete`` (false), and a row with ``complete`` (true) per run
+    and company once all its pages have arrived, in whatever files and order.
+
+    ``n_pages``: how many pages the capture has; one row that tells it is enough. The state is one row per page number, not the
+    bodies, and is kept by run and company.
+    """
+    narrow = captures.select("company", "run_at", "page_no", "n_pages")
+    done = narrow.groupBy("company", "run_at").transformWithStateInPandas(
+        statefulProcessor=_Completion(), outputStructType="company string, run_at timestamp", outputMode="Append", timeMode="None")
+    return captures.withColumn("complete", F.lit(False)).unionByName(done.withColumn("complete", F.lit(True)), allowMissingColumns=True)
+
+
+def scored_batches(profile: Profile, platforms: list[str] | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    """``prepare`` for ``history_batch_writer``: batches of ``with_completion`` over raw captures are normalised and scored."""
+    def prepare(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # While it is normalised, a run of a company is a board of its own: a batch may hold several.
+        mark = F.concat(F.unix_micros("run_at").cast("string"), F.lit("|"), F.col("company"))
+        jobs = normalize(batch.filter("not complete").withColumn("company", mark).drop("complete", "n_pages"), platforms)
+        run_at = F.timestamp_micros(F.substring_index("company", "|", 1).cast("long"))
+        company = F.regexp_extract("company", r"(?s)^-?\d+\|(.*)$", 1)
+        own = jobs.select(run_at.alias("run_at"), company.alias("company"), *[c for c in jobs.columns if c != "company"])
+        return history_rows(scored_postings(own, profile)), batch.filter("complete").select("company", "run_at")
+
+    return prepare
+
+
 class _Expiry(StatefulProcessor):
-    """Remembers when a key was seen last and reports it closed once it stayed away too long."""
+    """Remembers when a key was seen last and reports it closed once it stayed away too long.
+
+    Sightings are held until the watermark has passed them and then taken in order, so the result does not depend on the
+    order in which they arrive within the watermark's delay.
+    """
 
     def __init__(self, absence_ms: int):
         self._absence_ms = absence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "ms long")
+        #: Last sighting that the watermark has passed (null if closed), and the ones that it has not.
+        self._state = handle.getValueState("sightings", "last long, ahead array<long>")
+
+    def _get(self) -> tuple[int | None, list[int]]:
+        if not self._state.exists():
+            return None, []
+        last, ahead = self._state.get()
+        return last, list(ahead)
+
+    def _settle(self, last: int | None, ahead: list[int], watermark: int) -> list[int]:
+        closed, rest = [], []
+        for ms in sorted(set(ahead)):
+            if ms > watermark:
+                rest.append(ms)
+                continue
+            if last is not None and ms > last + self._absence_ms:
+                closed.append(last)
+            last = ms if last is None else max(last, ms)
+        if last is not None and last + self._absence_ms <= watermark:
+            closed.append(last)
+            last = None
+        if last is None and not rest:
+            self._state.clear()
+        else:
+            self._state.update((last, rest))
+            self._handle.registerTimer(min([*rest, *([last + self._absence_ms] if last is not None else [])]))
+        return closed
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        last = int(initialState["ms"].max())
+        self._state.update((last, []))
+        self._handle.registerTimer(last + self._absence_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = max(int(frame["ms"].max()) for frame in rows)
-        known = self._last.get()[0] if self._last.exists() else None
-        if known is None or latest > known:
-            self._last.update((latest,))
-            if known is not None:
-                self._handle.deleteTimer(known + self._absence_ms)
-            self._handle.registerTimer(latest + self._absence_ms)
-        yield pd.DataFrame({"stable_key": [], "last_seen_ms": []}).astype({"stable_key": str, "last_seen_ms": "int64"})
+        last, ahead = self._get()
+        ahead += [int(ms) for frame in rows for ms in frame["ms"]]
+        yield _expired(key, self._settle(last, ahead, timerValues.getCurrentWatermarkInMs()))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self._last.get()[0]
-        self._last.clear()
-        yield pd.DataFrame({"stable_key": [key[0]], "last_seen_ms": [last]})
+        yield _expired(key, self._settle(*self._get(), timerValues.getCurrentWatermarkInMs()))
 
     def close(self) -> None:
         pass
 
 
-def expiry_stream(postings: DataFrame, absence_ms: int, delay: str = "1 day", time: str = "capture_ts") -> DataFrame:
-    """Keys not listed for ``absence_ms``, with the time they were listed last (event time timers)."""
+def _expired(key, times: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"stable_key": [key[0]] * len(times), "last_seen_ms": times}).astype({"stable_key": str, "last_seen_ms": "int64"})
+
+
+def expiry_stream(postings: DataFrame, absence_ms: int, delay: str = "1 day", time: str = "capture_ts",
+                  history: DataFrame | None = None) -> DataFrame:
+    """Keys not listed for ``absence_ms``, with the time they were listed last, once per such absence (event time timers).
+
+    ``history`` (stable_key, last_seen) is what the stream starts from: the open postings of a batch history; they expire
+    also if the stream never lists them. What is reported does not depend on how the rows are split into batches.
+    """
     timed = postings.withColumn("ms", F.unix_millis(F.col(time))).withWatermark(time, delay)
+    start = None
+    if history is not None:
+        start = history.groupBy("stable_key").agg(F.max(F.unix_millis("last_seen")).alias("ms")).groupBy("stable_key")
     return timed.select("stable_key", "ms", time).groupBy("stable_key").transformWithStateInPandas(
         statefulProcessor=_Expiry(absence_ms), outputStructType="stable_key string, last_seen_ms long",
-        outputMode="Append", timeMode="EventTime")
+        outputMode="Append", timeMode="EventTime", initialState=start)
