@@ -274,7 +274,7 @@ def every_nth(n: int = EVERY) -> Column:
 SQL = """
 WITH v AS (
     SELECT row_number() OVER () AS uid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-    WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), scored AS (
     SELECT q.uid, q.vec_id AS query_id, c.vec_id, c.uid AS other, list_cosine_similarity(q.e, c.e) AS score
     FROM v AS q JOIN v AS c ON q.uid <> c.uid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
