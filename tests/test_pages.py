@@ -232,3 +232,28 @@ def test_seed_titles_and_cards(spark):
     html = "<div class='card x' data-l=' Oslo '><b class='t'>A  b</b><a href='/1'>go</a><p class='d'>D</p></div><div class='card'><a>none</a></div>"
     rows = pages.card_fields(parse(spark, html), "card", title_class="t", description_class="d", location_attribute="data-l").collect()
     assert [(r["title"], r["url"], r["description"], r["location"]) for r in rows] == [("A b", "https://x.org/1", "D", "Oslo")]
+
+
+def test_length_rules_are_parameters(spark):
+    site = "https://acme.rec.pro.ultipro.com/b"
+    html = '<a href="https://recruiting.ultipro.com/JobDetails/1">QA</a><a href="https://recruiting.ultipro.com/JobDetails/2">Chemist</a>'
+    found, facts = anchors(spark, html, url=site), details(spark, {})
+    assert [t for t, _ in titles(links.ultipro_jobs(found, facts))] == ["Chemist"]
+    assert [t for t, _ in titles(links.ultipro_jobs(found, facts, min_label=0))] == ["QA", "Chemist"]
+
+    cards = parse(spark, '<div><a href="/job/1">QA</a></div><div><a href="/job/2">Apply now</a><h3>Lead chemist</h3></div>')
+    assert links.adaptive_jobs(cards, "https://s.com").count() == 0
+    got = links.adaptive_jobs(cards, "https://s.com", min_card=0, chrome_card=0)
+    assert sorted(t for t, _ in titles(got)) == ["Lead chemist", "QA"]
+
+
+def test_headings_parse_pages_once(spark):
+    from pyspark.sql import functions as F
+
+    page = "<h2>Open positions</h2><h3>Chemist</h3><p>Oslo</p><h3>Chemist</h3><p>Bergen</p>"
+    df = spark.createDataFrame([("c", "https://x.org/a", 0, page), ("c", "https://x.org/a", 0, page), ("d", "https://x.org/b", 0, "<p>none</p>")], PAGE)
+    jobs = pages.heading_jobs(dom.parse_pages(df))
+    plan = jobs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan
+    rows = jobs.select("company", "title", "location", F.length("description").alias("n")).collect()
+    assert [(r["company"], r["title"], r["location"]) for r in rows] == [("c", "Chemist", "Oslo")] and rows[0]["n"] > 20

@@ -112,11 +112,11 @@ def test_report_roundtrip_and_missing_file(spark, tmp_path):
     columns = ["company", "title", "total"]
     rows = [("A", 'say "hi", you', 90), ("B", " blanks ", 80), ("C", "two\nlines", 70), ("D", "", 60)]
     path = str(tmp_path / "report")
-    write_report(spark.createDataFrame(rows, "company string, title string, total int"), path, single_file=True)
+    write_report(spark.createDataFrame(rows, "company string, title string, total int"), path)
     back = read_report(spark, path, columns).collect()
     assert sorted(tuple(r) for r in back) == sorted((a, b, str(c)) for a, b, c in rows)
     assert read_report(spark, str(tmp_path / "none"), columns).count() == 0
-    write_report(spark.createDataFrame([], "company string, title string, total int"), path, single_file=True)
+    write_report(spark.createDataFrame([], "company string, title string, total int"), path)
     assert read_report(spark, path, columns).count() == 0
 
 

@@ -1,7 +1,7 @@
 """Published pay: find a range in structured text, markup or prose and put it in one form.
 
 Every function maps Columns to a Column; nothing is estimated. Long texts are searched once for
-the whole range; its parts are then read from that short match.
+the whole range; its parts are then read from that short match, all in one pass.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia.functions.text import element_html, fragment_text, html_unescape, let, strip
+from vacantia.functions.text import element_html, fragment_or_plain, fragment_text, let, strip
 
 # Range shapes, their groups, and the words that give context.
 # Groups of STRUCTURED_RANGE and PROSE_RANGE: 1 currency, 2 minimum, 3 maximum, 4 period.
@@ -49,6 +49,8 @@ CONTEXT_CHARS = 180
 LABEL_TAIL_CHARS = 12
 MIN_YEARLY, MIN_HOURLY = 10_000, 10
 
+#: Stands between the groups of a matched range.
+GROUP_MARK = "\u0001"
 PAY_TYPE = "struct<text:string,minimum:double,maximum:double,currency:string,period:string>"
 
 
@@ -75,7 +77,7 @@ def pay_currency(value: Column) -> Column:
 
 def pay_period(value: Column, minimum: Column, maximum: Column) -> Column:
     """Period from its wording, else from the size of the amount."""
-    text = strip(F.lower(value))
+    text = F.lower(F.coalesce(value, F.lit("")))
     high = F.coalesce(maximum, minimum)
     return (
         F.when(text.contains("hour") | text.contains("/hr") | text.contains("per hr"), F.lit("hour"))
@@ -120,52 +122,28 @@ def _pay(text, minimum, maximum, currency, period) -> Column:
     )
 
 
-def _parts(found: Column, pattern: str, low: int, high: int, currency: int, period: int) -> Column:
-    """The groups of one matched range; the amounts as numbers, the smaller one first."""
-    amounts = F.sort_array(F.array(
-        pay_number(F.regexp_extract(found, pattern, low)), pay_number(F.regexp_extract(found, pattern, high))))
+def _candidate(found: Column, pattern: str, groups: tuple[int, int, int, int], source: Column, labeled: bool = False,
+               priority: Column | None = None, start: Column | None = None) -> Column:
+    """A matched range: all its groups (minimum, maximum, currency, period) from one pass of the pattern, and the text
+    that names the currency if the range does not. Only prose has a priority; other ranges count however small."""
+    replacement = GROUP_MARK.join(f"${g}" for g in groups)
     return F.struct(
-        amounts.alias("amounts"), F.regexp_extract(found, pattern, currency).alias("currency"),
-        F.regexp_extract(found, pattern, period).alias("period"))
+        (F.lit(0) if priority is None else priority).alias("priority"), (F.lit(1) if start is None else start).alias("start"),
+        F.split(F.regexp_replace(found, pattern, replacement), GROUP_MARK).alias("words"), source.alias("source"),
+        F.lit(labeled).alias("labeled"), F.lit(priority is not None).alias("checked"))
 
 
-def _from_parts(parts: Column, currency: Column, display: Callable[..., Column]) -> Column:
-    low, high = parts["amounts"][0], parts["amounts"][1]
-    named = F.struct(
-        low.alias("low"), high.alias("high"), currency.alias("currency"),
-        pay_period(parts["period"], low, high).alias("period"))
-    return let(named, lambda n: _pay(
-        display(n["low"], n["high"], n["currency"], n["period"]), n["low"], n["high"], n["currency"], n["period"]))
+def _structured(found: Column, text: Column) -> Column:
+    return F.array(_candidate(found, STRUCTURED_RANGE, (2, 3, 1, 4), text))
 
 
-def _from_match(found: Column, pattern: str, source_text: Column) -> Column:
-    """Read one matched structured or prose range."""
-    return let(_parts(found, pattern, 2, 3, 1, 4), lambda p: _from_parts(
-        p, pay_currency(F.when(p["currency"] != "", p["currency"]).otherwise(source_text)), pay_display))
+def _labeled(found: Column, text: Column) -> Column:
+    after = F.substr(text, F.instr(text, found), F.length(found) + F.lit(LABEL_TAIL_CHARS))
+    return F.array(_candidate(found, LABELED_RANGE, (1, 2, 3, 4), after, labeled=True))
 
 
-def structured_pay(text: Column) -> Column:
-    """First range in a board's own pay text; null when there is none."""
-    return let(F.regexp_extract(text, STRUCTURED_RANGE, 0),
-               lambda found: F.when(found != "", _from_match(found, STRUCTURED_RANGE, text)))
-
-
-def labeled_pay(text: Column) -> Column:
-    """First range introduced by a pay label; the currency may follow shortly after, USD otherwise."""
-    def read(found: Column) -> Column:
-        after = F.substr(text, F.instr(text, found), F.length(found) + F.lit(LABEL_TAIL_CHARS))
-
-        def finish(parts: Column) -> Column:
-            guess = pay_currency(F.when(parts["currency"] != "", parts["currency"]).otherwise(after))
-            return _from_parts(parts, F.when(guess != "", guess).otherwise(F.lit("USD")), _labeled_display)
-
-        return let(_parts(found, LABELED_RANGE, 1, 2, 3, 4), finish)
-
-    return let(F.regexp_extract(text, LABELED_RANGE, 0), lambda found: F.when(found != "", read(found)))
-
-
-def prose_candidates(text: Column) -> Column:
-    """All ranges with a currency as structs (priority, start, pay), implausible ones dropped."""
+def _prose(text: Column) -> Column:
+    """All ranges with a currency, with their places; ranges near pay language go first."""
     matches = F.regexp_extract_all(text, F.lit(PROSE_RANGE), F.lit(0))
     start = F.struct(
         F.lit(1).alias("at"),
@@ -180,47 +158,87 @@ def prose_candidates(text: Column) -> Column:
             F.array_append(acc["out"], F.struct(here.alias("start"), found.alias("found"))).alias("out"),
         )
 
-    placed = F.aggregate(matches, start, place)["out"]
-
     def read(m: Column) -> Column:
         left = F.greatest(m["start"] - F.lit(CONTEXT_CHARS), F.lit(1))
-        right = m["start"] + F.length(m["found"]) + F.lit(CONTEXT_CHARS)
-        context = F.substr(text, left, right - left)
+        context = F.substr(text, left, m["start"] + F.length(m["found"]) + F.lit(CONTEXT_CHARS) - left)
+        near = F.when(context.rlike(CONTEXT_WORDS), F.lit(0)).otherwise(F.lit(1))
+        return _candidate(m["found"], PROSE_RANGE, (2, 3, 1, 4), m["found"], priority=near, start=m["start"])
+
+    return F.transform(F.aggregate(matches, start, place)["out"], read)
+
+
+def _amount(word: Column) -> Column:
+    """As ``pay_number`` for a matched amount, which holds no white space."""
+    digits = F.replace(word, F.lit(","), F.lit(""))
+    return F.rtrim(digits, F.lit("kK")).try_cast("double") * F.when(
+        F.lower(word).endswith("k"), F.lit(1000.0)).otherwise(F.lit(1.0))
+
+
+def _read(candidates: Column) -> Column:
+    """Candidates as (priority, start, minimum, maximum, currency, period, labeled), implausible prose dropped. Each step is
+    one pass over the array, so no part is worked out twice."""
+    with_amounts = F.transform(candidates, lambda c: F.struct(
+        c["priority"].alias("priority"), c["start"].alias("start"), c["labeled"].alias("labeled"), c["checked"].alias("checked"),
+        F.sort_array(F.transform(F.slice(c["words"], 1, 2), _amount)).alias("amounts"),
+        F.when(c["words"][2] != "", c["words"][2]).otherwise(c["source"]).alias("named"), c["words"][3].alias("wording")))
+
+    def describe(c: Column) -> Column:
+        low, high = c["amounts"][0], c["amounts"][1]
         return F.struct(
-            F.when(context.rlike(CONTEXT_WORDS), F.lit(0)).otherwise(F.lit(1)).alias("priority"),
-            m["start"].alias("start"),
-            _from_match(m["found"], PROSE_RANGE, m["found"]).alias("pay"),
-        )
+            c["priority"].alias("priority"), c["start"].alias("start"), low.alias("minimum"), high.alias("maximum"),
+            pay_currency(c["named"]).alias("currency"), pay_period(c["wording"], low, high).alias("period"),
+            c["labeled"].alias("labeled"), c["checked"].alias("checked"))
 
-    def plausible(c: Column) -> Column:
-        pay = c["pay"]
-        return ~(
-            ((pay["period"] == "year") & (pay["maximum"] < MIN_YEARLY))
-            | ((pay["period"] == "hour") & (pay["maximum"] < MIN_HOURLY))
-        )
+    too_small = lambda c: (
+        ((c["period"] == "year") & (c["maximum"] < MIN_YEARLY)) | ((c["period"] == "hour") & (c["maximum"] < MIN_HOURLY)))
+    return F.filter(F.transform(with_amounts, describe), lambda c: ~(c["checked"] & too_small(c)))
+
+
+def _shown(best: Column) -> Column:
+    """The pay of a read candidate; a labeled range without a currency is in USD."""
+    currency = F.when(best["labeled"] & (best["currency"] == ""), F.lit("USD")).otherwise(best["currency"])
+    values = (best["minimum"], best["maximum"], currency, best["period"])
+    text = F.when(best["labeled"], _labeled_display(*values)).otherwise(pay_display(*values))
+    return F.when(best.isNotNull(), _pay(text, *values))
+
+
+def _first_range(text: Column, pattern: str, candidates: Callable[[Column, Column], Column]) -> Column:
+    """Pay of the pattern's first match in ``text``; null when there is none."""
+    found = F.regexp_extract(text, pattern, 0)
+    return let(found, lambda f: F.when(f != "", let(F.array_min(_read(candidates(f, text))), _shown)))
+
+
+def structured_pay(text: Column) -> Column:
+    """First range in a board's own pay text; null when there is none."""
+    return _first_range(text, STRUCTURED_RANGE, _structured)
 
-    return F.filter(F.transform(placed, read), plausible)
+
+def labeled_pay(text: Column) -> Column:
+    """First range introduced by a pay label; the currency may follow shortly after, USD otherwise."""
+    return _first_range(text, LABELED_RANGE, _labeled)
+
+
+def prose_candidates(text: Column) -> Column:
+    """All ranges with a currency as structs (priority, start, minimum, maximum, currency, period), implausible ones dropped."""
+    return _read(_prose(text))
 
 
 def prose_pay(text: Column) -> Column:
     """The plausible range nearest to pay language, then the earliest; null when there is none."""
-    return F.array_min(prose_candidates(text))["pay"]
+    return let(F.array_min(prose_candidates(text)), _shown)
 
 
 def pay_node_text(html: Column) -> Column:
     """Text of a board's dedicated pay-range element, or empty."""
     html = F.coalesce(html, F.lit(""))
-    box = element_html(html, "content-pay-transparency")
-    node = F.coalesce(element_html(box, "pay-range"), element_html(html, "pay-range"))
+    node = let(element_html(html, "content-pay-transparency"), lambda box: F.coalesce(
+        element_html(box, "pay-range"), element_html(html, "pay-range")))
     return F.when(html.contains("pay-range"), F.coalesce(fragment_text(node), F.lit(""))).otherwise(F.lit(""))
 
 
 def description_text(description: Column) -> Column:
     """Plain text of a description that may be an HTML fragment."""
-    value = F.coalesce(description, F.lit(""))
-    return F.when(value.contains("<") & value.contains(">"), fragment_text(value)).otherwise(
-        F.replace(html_unescape(value), F.lit("\u00a0"), F.lit(" ")))
-
+    return fragment_or_plain(description)
 
 
 def parse_pay(df: DataFrame, raw: str = "compensation", description: str = "description",
@@ -230,30 +248,29 @@ def parse_pay(df: DataFrame, raw: str = "compensation", description: str = "desc
     Order of trust: the board's pay text, explicit pay wording kept as is, the pay-range element,
     a labeled range, the best prose range, and "Not listed".
     """
-    raw_text = strip(F.col(raw))
-    usable = (raw_text != "") & ~F.lower(raw_text).isin(*NO_PAY_TEXT)
     none = F.lit(None).cast("double")
-    kept = F.when(
-        raw_text.rlike(PAY_WORDS),
-        _pay(raw_text, none, none, pay_currency(raw_text), F.lit("")),
-    )
-    from_raw = F.when(usable, F.coalesce(structured_pay(raw_text), kept))
-    # Each stage is its own column, so a long description is cleaned once and searched only if needed.
-    staged = df.withColumn("_pay_raw", from_raw)
-    staged = staged.withColumn(
-        "_pay_html", F.when(F.col("_pay_raw").isNull(), pay_node_text(F.col(description))).otherwise(F.lit("")))
-    staged = staged.withColumn(
-        "_pay_node", F.when(F.col("_pay_html") != "", structured_pay(F.col("_pay_html"))))
-    open_case = F.col("_pay_raw").isNull() & F.col("_pay_node").isNull()
-    staged = staged.withColumn("_pay_text", F.when(open_case, description_text(F.col(description))))
-    staged = staged.withColumn("_pay_label", labeled_pay(F.col("_pay_text")))
-    staged = staged.withColumn(
-        "_pay_prose", F.when(F.col("_pay_label").isNull(), prose_pay(F.col("_pay_text"))))
+    c = lambda name: F.col(f"_pay_{name}")
+    # Each step is its own column and every range is read by the same three array passes, so a pattern runs once a text
+    # and a long description is cleaned once and searched only if needed.
+    staged = df.withColumn("_pay_raw", strip(F.col(raw)))
+    usable = (c("raw") != "") & ~F.lower(c("raw")).isin(*NO_PAY_TEXT)
+    staged = staged.withColumn("_pay_hit", F.when(usable, F.regexp_extract(c("raw"), STRUCTURED_RANGE, 0)).otherwise(F.lit("")))
+    staged = staged.withColumn("_pay_worded", usable & (c("hit") == "") & c("raw").rlike(PAY_WORDS))
+    staged = staged.withColumn("_pay_html", F.when(
+        (c("hit") == "") & ~c("worded"), pay_node_text(F.col(description))).otherwise(F.lit("")))
+    staged = staged.withColumn("_pay_node", F.regexp_extract(c("html"), STRUCTURED_RANGE, 0))
+    open_case = (c("hit") == "") & ~c("worded") & (c("node") == "")
+    staged = staged.withColumn("_pay_text", F.when(open_case, description_text(F.col(description))).otherwise(F.lit("")))
+    staged = staged.withColumn("_pay_label", F.regexp_extract(c("text"), LABELED_RANGE, 0))
+    staged = staged.withColumn("_pay_found", F.when(c("hit") != "", _structured(c("hit"), c("raw")))
+                               .when(c("node") != "", _structured(c("node"), c("html")))
+                               .when(c("label") != "", _labeled(c("label"), c("text"))).otherwise(_prose(c("text"))))
+    staged = staged.withColumn("_pay_best", F.array_min(_read(c("found"))))
+    kept = F.when(c("worded"), _pay(c("raw"), none, none, pay_currency(c("raw")), F.lit("")))
     unlisted = _pay(F.lit(NOT_LISTED), none, none, F.lit(""), F.lit(""))
-    merged = F.coalesce(*[F.col(c).cast(PAY_TYPE) for c in ("_pay_raw", "_pay_node", "_pay_label", "_pay_prose")],
-                        unlisted.cast(PAY_TYPE))
+    merged = F.coalesce(*[x.cast(PAY_TYPE) for x in (kept, _shown(c("best")), unlisted)])
     return staged.withColumn(into, merged).drop(
-        "_pay_raw", "_pay_html", "_pay_node", "_pay_text", "_pay_label", "_pay_prose")
+        *[f"_pay_{x}" for x in ("raw", "hit", "worded", "html", "node", "text", "label", "found", "best")])
 
 
 def apply_pay(df: DataFrame) -> DataFrame:

@@ -115,8 +115,8 @@ def html_unescape(col: Column) -> Column:
 
     def number(digits: Column, base: int) -> Column:
         # More digits than any code point has: out of range whatever they are.
-        short = F.regexp_replace(digits, "^0+", "")
-        return F.when(F.length(short) <= 7, F.coalesce(F.conv(F.when(short == "", F.lit("0")).otherwise(short), base, 10).cast("bigint"), F.lit(0)))
+        return let(F.regexp_replace(digits, "^0+", ""), lambda short: F.when(F.length(short) <= 7, F.coalesce(
+            F.conv(F.when(short == "", F.lit("0")).otherwise(short), base, 10).cast("bigint"), F.lit(0))))
 
     def named(ref: Column) -> Column:
         prefix = F.regexp_extract(ref, bare, 1)
@@ -127,8 +127,8 @@ def html_unescape(col: Column) -> Column:
     def value(ref: Column) -> Column:
         return (
             F.when(ref == "&amp;", F.lit("&")).when(ref == "&nbsp;", F.lit("\u00a0")).when(ref == "&lt;", F.lit("<")).when(ref == "&gt;", F.lit(">"))
-            .when(ref.rlike("^&#[xX]"), _numbered(number(F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1), 16)))
-            .when(ref.startswith("&#"), _numbered(number(F.regexp_extract(ref, "([0-9]+);?$", 1), 10)))
+            .when(ref.rlike("^&#[xX]"), let(number(F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1), 16), _numbered))
+            .when(ref.startswith("&#"), let(number(F.regexp_extract(ref, "([0-9]+);?$", 1), 10), _numbered))
             .otherwise(named(ref)))
 
     def resolve(text: Column) -> Column:
@@ -149,14 +149,27 @@ _TAG = (
 )
 
 
+def _text_nodes(html: Column) -> Column:
+    """The raw text nodes of a fragment in one text; U+0001 cannot occur in a document, so one unescape pass serves all."""
+    return F.array_join(F.split(F.regexp_replace(html, _HIDDEN, "<br>"), _TAG), "\u0001")
+
+
+def _readable(nodes: Column) -> Column:
+    trimmed = F.transform(F.split(nodes, "\u0001"), strip)
+    return F.array_join(F.filter(trimmed, lambda p: p != ""), " ")
+
+
 def fragment_text(col: Column) -> Column:
     """Readable text of an HTML fragment: text nodes trimmed, empty ones dropped, joined by a blank."""
-    html = F.coalesce(col, F.lit(""))
-    pieces = F.split(F.regexp_replace(html, _HIDDEN, "<br>"), _TAG)
-    # U+0001 cannot occur in a document, so one unescape pass over the joined text serves all pieces.
-    joined = html_unescape(F.array_join(pieces, "\u0001"))
-    trimmed = F.transform(F.split(joined, "\u0001"), strip)
-    return F.array_join(F.filter(trimmed, lambda p: p != ""), " ")
+    return _readable(html_unescape(_text_nodes(F.coalesce(col, F.lit("")))))
+
+
+def fragment_or_plain(col: Column) -> Column:
+    """Readable text of what may be a fragment or plain text with character references, unescaped in one pass."""
+    value = F.coalesce(col, F.lit(""))
+    is_html = value.contains("<") & value.contains(">")
+    raw = html_unescape(F.when(is_html, _text_nodes(value)).otherwise(value))
+    return let(raw, lambda r: F.when(is_html, _readable(r)).otherwise(F.replace(r, F.lit("\u00a0"), F.lit(" "))))
 
 
 def element_html(html: Column, class_name: str) -> Column:

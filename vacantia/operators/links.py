@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -79,10 +79,12 @@ CAREER_HOSTS = (
 CAREER_WORDS = ("/job", "/career", "/position", "/opening", "apply")
 SMARTRECRUITERS_WORDS = ("/job", "/position", "apply")
 JAZZHR_NAV = ("powered by", "privacy", "login", "sign in")
+ULTIPRO_MIN_LABEL = 3
 ULTIPRO_NAV = ("privacy", "home", "login", "company")
 ADP_NAV = ("privacy", "support", "login", "home", "search jobs", "view all", "career center")
 BROWSER_NAV = ("privacy", "terms", "talent community", "join our talent", "career home")
 ADAPTIVE_HREF = ("career", "job", "apply")
+ADAPTIVE_MIN_CARD, ADAPTIVE_CHROME_CARD = 10, 80
 ADAPTIVE_CHROME = ("careers", "career listings", "view all career listings", "apply now")
 ADAPTIVE_NOT_TITLE = ("apply now", "learn more", "view job")
 INDIGO_NOT_TITLE = ("apply here", "apply", "learn more")
@@ -171,9 +173,9 @@ def _career_keep() -> Column:
     return _labelled(_not_root() & _c("label").rlike(CAREER_TITLE) & known & contains_any(F.lower(link), CAREER_WORDS))
 
 
-def _ultipro_keep() -> Column:
+def _ultipro_keep(min_label: int = ULTIPRO_MIN_LABEL) -> Column:
     on_board = _c("link").contains("recruiting.ultipro.com") & (_c("label") != "") & ~contains_any(_low(), ULTIPRO_NAV)
-    return (_c("href") != "") & (_c("link").rlike(ULTIPRO_JOB) | on_board) & (F.length("label") > 2)
+    return (_c("href") != "") & (_c("link").rlike(ULTIPRO_JOB) | on_board) & (F.length("label") >= min_label)
 
 
 def _browser_keep() -> Column:
@@ -284,8 +286,10 @@ def jazzhr_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
         location=strip(F.regexp_extract("text", JAZZHR_LOCATION, 1)))
 
 
-def ultipro_jobs(anchors: DataFrame, facts: DataFrame) -> DataFrame:
-    rows = _with_details(policy_links(anchors, POLICIES["ultipro"]), facts)
+def ultipro_jobs(anchors: DataFrame, facts: DataFrame, min_label: int = ULTIPRO_MIN_LABEL) -> DataFrame:
+    """``min_label``: a link with a shorter label (an icon, an arrow) is no posting; 0 keeps all."""
+    policy = replace(POLICIES["ultipro"], keep=lambda: _ultipro_keep(min_label))
+    rows = _with_details(policy_links(anchors, policy), facts)
     return _base(rows, title=first_non_empty(_c("heading"), _c("title")), description=_c("text"),
                  location=strip(F.regexp_extract("text", ULTIPRO_LOCATION, 1)))
 
@@ -527,8 +531,13 @@ def indigo_jobs(parsed: DataFrame, facts: DataFrame) -> DataFrame:
         capture_seq=_c("at.page_no").cast("bigint") * 1_000_000 + _c("at.seq"))
 
 
-def adaptive_jobs(parsed: DataFrame, site: str) -> DataFrame:
-    """JSON-LD postings of a rendered page; a page without any falls back to the cards around job links."""
+def adaptive_jobs(parsed: DataFrame, site: str, min_card: int = ADAPTIVE_MIN_CARD,
+                  chrome_card: int = ADAPTIVE_CHROME_CARD) -> DataFrame:
+    """JSON-LD postings of a rendered page; a page without any falls back to the cards around job links.
+
+    ``min_card``: a card with a shorter text is empty and no posting (0 keeps all). ``chrome_card``: a link with a navigation
+    label is navigation if its card is shorter than this, and a posting's own link otherwise (0 keeps all).
+    """
     def structured(p: Column, pos: Column) -> Column:
         return F.struct(
             pos.alias("seq"), pos.alias("copy"), squash_ws(p["title"]).alias("title"), p["url"].alias("url"),
@@ -551,12 +560,12 @@ def adaptive_jobs(parsed: DataFrame, site: str) -> DataFrame:
             F.when(f["head"].isNotNull(), squash_ws(f["head"])).otherwise(f["label"]).alias("title"), f["url"].alias("url"),
             F.lit("").alias("location"), f["text"].alias("description"),
             first_non_empty(last_path_part(f["url"]), f["head"]).alias("source_id"), F.lit("").alias("employment_type"),
-            (F.lower(f["label"]).isin(*ADAPTIVE_CHROME) & (F.length(f["text"]) < 80)).alias("chrome")))
+            (F.lower(f["label"]).isin(*ADAPTIVE_CHROME) & (F.length(f["text"]) < chrome_card)).alias("chrome")))
 
     anchors = F.filter(dom.anchor_elements(), lambda a: contains_any(dom.attr(a, "href"), ADAPTIVE_HREF))
     cards = F.filter(
         dom.describe_each(anchors, {"heads": dom.find_all("h1", "h2", "h3", "h4")}, card),
-        lambda j: (F.length(j["description"]) >= 10) & ~j["chrome"] & (j["title"] != "")
+        lambda j: (F.length(j["description"]) >= min_card) & ~j["chrome"] & (j["title"] != "")
         & ~F.lower(j["title"]).isin(*ADAPTIVE_NOT_TITLE))
     postings = F.filter(
         F.transform(F.transform(jsonld.page_postings(True), jsonld.posting_struct), structured),

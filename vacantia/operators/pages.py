@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vacantia.functions.text import heading_url, let, squash_ws, strip, synthetic_id
+from vacantia.functions.text import compute_once, heading_url, let, squash_ws, strip, synthetic_id
 from vacantia.operators import dom
 from vacantia.operators.links import ADP_ROLE, first_by_url
 from vacantia.schemas import as_jobs
+from vacantia.session import scratch_path
 
 # Section markers, headings that are no jobs, and the shape of rendered cards.
 JOBS_MARKER = (
@@ -20,6 +21,7 @@ CARD_SECTION = r"(?iuUd)Current Openings\s*\(\d+\s+of\s+\d+\)\s*(.*?)(?:Copyrigh
 CARD_LOCATION = r"(?Ud)([A-Z][A-Za-z .'-]+,\s*[A-Z]{2},\s*US)"
 CARD_AGE = r"(?iuUd)^(?:\d+\s+(?:day|days|hour|hours|month|months)\s+ago)?(?:Full Time|Part Time|Temporary|Contract)?\s*"
 CARD_LATE_AGE = r"(?iuUd)^\d+\s+(?:day|days|hour|hours|month|months)\s+ago\s*"
+CARD_MIN_TITLE = 4
 CARD_EMPLOYMENT = r"(?iuUd)^(?:Full Time|Part Time|Temporary|Contract)\s+"
 
 
@@ -52,8 +54,6 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
     listed = let(marker, lambda m: F.filter(dom.find_all("h2", "h3", "h4", "h5", "h6"), lambda h: h["seq"] > m["seq"]))
     heads = dom.describe_each(listed, {}, describe)
     jobs = F.filter(heads, lambda h: (h["title"] != "") & ~F.lower(h["title"]).isin(*NOT_A_JOB))
-    with_jobs = parsed.withColumn("_jobs", jobs)
-
     def ends(h: Column, i: Column) -> Column:
         other = F.lit(False)
         for word in OTHER_SECTIONS:
@@ -61,13 +61,18 @@ def heading_jobs(parsed: DataFrame, already_listed: DataFrame | None = None) ->
         begun = (i > 0) | F.col("_listed")
         return begun & (h["section"] != "") & ~h["section"].rlike(JOBS_MARKER) & other
 
+    # Pages are parsed once: what counts is written, headings and page text apart, and the text joins after the dedupe, once per
+    # posting that stays.
+    found = compute_once(parsed.select(*columns, "_listed", "elements", "texts"), {"_jobs": jobs, "page_text": dom.page_text()})
+    path = scratch_path(parsed.sparkSession, "headings")
+    found.filter(F.size("_jobs") > 0).select(*columns, "_listed", "_jobs", "page_text").write.parquet(path)
+    pages = parsed.sparkSession.read.parquet(path)
     stop = dom.first_of(F.filter("_jobs", ends))["seq"]
-    rows = with_jobs.withColumn("_stop", stop).select(*columns, "_stop", F.explode("_jobs").alias("h")).select(
+    rows = pages.withColumn("_stop", stop).select(*columns, "_stop", F.explode("_jobs").alias("h")).select(
         *columns, "_stop", "h.*")
     kept = rows.filter(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop"))).withColumn(
         "url", heading_url(F.col("page_url"), F.col("title")))
-    # The page's text joins after the dedupe, once per posting that stays.
-    texts = parsed.select(*columns, dom.page_text().alias("page_text")).dropDuplicates(columns)
+    texts = pages.select(*columns, "page_text").dropDuplicates(columns)
     first = first_by_url(kept).join(texts, columns)
     text = F.concat_ws(" ", "title", "location", "page_text")
     return as_jobs(
@@ -101,11 +106,12 @@ def _card_title(chunk: Column) -> Column:
     return F.btrim(text, F.lit(" -|"))
 
 
-def card_segments(pages_text: DataFrame) -> DataFrame:
+def card_segments(pages_text: DataFrame, min_title: int = CARD_MIN_TITLE) -> DataFrame:
     """Cards of a rendered job list: each location ends a card, the words before it are the title.
 
     ``pages_text`` (company, page_url, text) holds white-space-squashed page text. The section after
-    "Current Openings (n of m)" is used if there is one.
+    "Current Openings (n of m)" is used if there is one. Of a chunk shorter than ``min_title`` only scraps of other fields are
+    left, so it is no title; 0 keeps all.
     """
     text = squash_ws(F.col("text"))
     in_section = strip(F.regexp_extract(text, CARD_SECTION, 1))
@@ -118,7 +124,7 @@ def card_segments(pages_text: DataFrame) -> DataFrame:
         _card_title(c["chunk"]).alias("title"), strip(c["place"]).alias("location")))
     flat = rows.select("company", "page_url", F.posexplode(cards).alias("pos", "card")).select(
         "company", "page_url", "pos", "card.*")
-    kept = flat.filter(F.col("title").rlike(ADP_ROLE) & (F.length("title") > 3))
+    kept = flat.filter(F.col("title").rlike(ADP_ROLE) & (F.length("title") >= min_title))
     digest = F.substring(F.sha1(F.concat_ws("|", "title", "location").cast("binary")), 1, 12)
     kept = kept.withColumns({
         "url": F.concat("page_url", F.lit("#job-"), digest), "page_no": F.lit(0), "seq": F.col("pos")})

@@ -198,7 +198,7 @@ def ranked_report(inputs: Inputs) -> DataFrame:
 def _report_roundtrip(inputs: Inputs) -> DataFrame:
     columns = ["company", "title", "location", "url", "total", "band", "stable_key"]
     path = scratch_path(inputs.spark, "report")
-    write_report(_report(inputs).select(*columns), path, single_file=True)
+    write_report(_report(inputs).select(*columns), path)
     return read_report(inputs.spark, path, columns)
 
 

@@ -154,10 +154,10 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return latest_runs(_read_or_empty(spark, path, RUN_LOG))
 
 
-def write_report(report: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header. ``single_file`` suits the thresholded report only; large outputs stay partitioned."""
-    plan = report.coalesce(1) if single_file else report
-    plan.write.mode("overwrite").csv(
+def write_report(report: DataFrame, path: str) -> None:
+    """CSV files with a header each, one per partition: the files of a sorted report follow its order by name, and no task
+    gets the whole of it."""
+    report.write.mode("overwrite").csv(
         path, header=True, escape='"', emptyValue="", lineSep="\n",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
