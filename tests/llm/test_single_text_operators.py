@@ -301,3 +301,15 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert len(blocks) > 5 and sum(map(len, blocks)) == 30
     monkeypatch.setattr(decontaminate, "item_blocks", lambda *_: iter(blocks))
     assert sorted(map(tuple, decontaminate.find_items(docs, items, rate=0.05).collect())) == whole
+
+
+def test_short_items_match_whole_words_only(spark):
+    items = spark.createDataFrame([(1, "Oslo"), (2, "two  and two?"), (3, "\u6771\u4eac"), (4, "Oslo"), (5, ""), (6, None)], "item_id long, text string")
+    texts = ["In OSLO it rains", "oslofjord and Oslos", "Say: two and\ntwo? Four", "ltwo and two?", "\u5927\u6771\u4eac\u90fd", "", None]
+    docs = documents(spark, texts)
+    ids = [r["doc_id"] for r in docs.orderBy("doc_id").collect()]
+    found = sorted((r["doc_id"], r["item_id"], r["edits"], r["first_char"], r["last_char"]) for r in decontaminate.find_items(docs, items).collect())
+    assert found == [(ids[0], 1, 0, 3, 6), (ids[0], 4, 0, 3, 6), (ids[2], 2, 0, 5, 16), (ids[4], 3, 0, 1, 2)]
+    # Short items are reported, but no document goes for them unless the caller says so.
+    assert decontaminate.clean_documents(docs, items).count() == len(texts)
+    assert sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, items, min_chars=1).collect()) == [ids[k] for k in (1, 3, 5, 6)]

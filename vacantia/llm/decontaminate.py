@@ -9,8 +9,11 @@ matches at least one matches within its own budget, so no match is lost on the w
 Texts are compared in lower case with white space folded. The items are a query set: they are held against all documents
 in blocks of ``BLOCK_CHARS``, each of which is broadcast.
 
-Defined results: null and empty texts and items match nothing; items below ``MIN_CHARS`` characters are no evidence and match
-nothing; items with equal texts are all reported; one row per document row and item, with the best place (fewest edits, then
+An item below ``EXACT_CHARS`` characters has no budget for edits: it matches where it stands whole, not
+inside a longer word. Every item is searched and reported. What counts as evidence against a document is a decision of its own:
+``clean_documents`` drops a document for items of ``EVIDENCE_CHARS`` characters or more, since "yes" stands in most clean ones.
+
+Defined results: null and empty texts and items match nothing; items with equal texts are all reported; one row per document row and item, with the best place (fewest edits, then
 first); repeated rows give repeated results; extra columns are ignored or kept as they are; empty tables give no rows
 and leave documents as they are.
 """
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from vacantia.llm.common import text_slices
 
-#: Edits per character of an item, and the least length of an item.
-RATE, MIN_CHARS = 0.1, 40
+#: Edits per character of an item; below this length an item must stand as it is.
+RATE, EXACT_CHARS = 0.1, 40
+#: Items of this length and more are evidence that a document holds the benchmark.
+EVIDENCE_CHARS = 40
 BLOCK_CHARS = 1_000_000
 
 MATCH = "doc_id long, item_id long, edits long, item_chars long, first_char long, last_char long"
@@ -68,11 +73,17 @@ def myers(bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def in_word(c: str) -> bool:
+    """A letter or digit of a script that sets words apart; from U+2E80 on scripts mostly do not."""
+    return c.isalnum() and c < "\u2e80"
+
+
 class Item:
     """One benchmark item with its pieces and the runs of pieces above each of them."""
 
-    def __init__(self, text: str, rate: float = RATE):
-        self.text, self.budget = text, int(len(text) * rate)
+    def __init__(self, text: str, rate: float = RATE, exact_below: int = 0):
+        self.text, self.whole = text, len(text) < exact_below
+        self.budget = 0 if self.whole else int(len(text) * rate)
         n = self.budget + 1
         self.cuts = [len(text) * k // n for k in range(n + 1)]
         self.runs: list[list[tuple[int, int]]] = []
@@ -108,6 +119,12 @@ class Item:
 
     def verify(self, text: str, piece: int, at: int) -> tuple[int, int, int] | None:
         """(edits, first, last) of the best match of the item around a hit of ``piece`` that begins at ``at``."""
+        if self.whole:
+            # One piece, the item itself.
+            end = at + len(self.text)
+            inside = at > 0 and in_word(text[at - 1]) and in_word(text[at])
+            inside = inside or end < len(text) and in_word(text[end]) and in_word(text[end - 1])
+            return None if inside else (0, at, end - 1)
         offset = at - self.cuts[piece]
         near, find = self.near[piece], text.find
         if near and all(find(part, max(0, offset + a), max(0, offset + b)) < 0 for part, a, b in near):
@@ -132,11 +149,11 @@ class Item:
 class Matcher:
     """All items of a block."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, exact_below: int = 0):
         by_text: dict[str, list[int]] = {}
         for item_id, text in items:
             by_text.setdefault(text, []).append(item_id)
-        self.items = [(ids, Item(text, rate)) for text, ids in by_text.items()]
+        self.items = [(ids, Item(text, rate, exact_below)) for text, ids in by_text.items()]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, item) in enumerate(self.items):
             for p, piece in enumerate(item.pieces()):
@@ -173,16 +190,16 @@ def _matcher(key: str, items: list[tuple[int, str]], rate: float) -> Matcher:
     """The block's matcher, built once per worker; a worker holds one block."""
     if key not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, rate)
+        _MATCHERS[key] = Matcher(items, rate, EXACT_CHARS)
     return _MATCHERS[key]
 
 
-def item_blocks(items: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, min_chars: int = 1, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Folded items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
     for row in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         text = folded(row[1] or "")
-        if len(text) < min_chars:
+        if len(text) < max(min_chars, 1):
             continue
         if block and size + len(text) > block_chars:
             yield block
@@ -200,13 +217,13 @@ def _texts(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[st
         yield start, end, [folded(x.decode("utf-8", "replace")) for x in raw[start:end]]
 
 
-def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``MATCH`` rows: which documents (doc_id, text) hold which items (item_id, text). The documents are scanned once
+def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+    """``MATCH`` rows: which documents (doc_id, text) hold which items (item_id, text), items of any length. The documents are scanned once
     per block and not shuffled."""
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = spark.createDataFrame([], MATCH)
-    for k, block in enumerate(item_blocks(items, min_chars)):
+    for k, block in enumerate(item_blocks(items)):
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
@@ -224,8 +241,8 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars:
     return found
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+def clean_documents(docs: DataFrame, items: DataFrame, rate: float = RATE, min_chars: int = EVIDENCE_CHARS) -> DataFrame:
+    """The documents that hold no item of ``min_chars`` folded characters or more, with all their columns."""
     spark = docs.sparkSession
     for block in item_blocks(items, min_chars):
         shared, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex
