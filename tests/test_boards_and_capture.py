@@ -203,3 +203,29 @@ def test_last_capture_ranks_narrow(spark):
     untimed = df.drop("captured_at")
     assert sorted(map(str, last_capture(untimed, "company", "pid").collect())) == sorted(
         map(str, last_capture(untimed.orderBy(F.desc("body")), "company", "pid").collect()))
+
+
+def test_normalize_takes_the_first_variant_that_lists_something(spark):
+    def page(*ids, key="jobs"):
+        return json.dumps({key: [{"id": i, "title": f"T{i}"} for i in ids]})
+
+    rows = [
+        ("a", "greenhouse", 1, 0, page()), ("a", "greenhouse", 2, 0, page()), ("a", "greenhouse", 2, 1, page(1)), ("a", "greenhouse", 3, 0, page(2)),
+        ("b", "greenhouse", 1, 0, page(3)), ("b", "greenhouse", 2, 0, page(3)), ("c", "greenhouse", 1, 0, "{broken"), ("c", "greenhouse", 2, 0, None),
+        ("d", "lever", 1, 0, "[]"), ("d", "lever", 2, 0, json.dumps([{"id": 4, "text": "T4"}])),
+        ("e", "workday", 1, 0, page(key="jobPostings")),
+        ("e", "workday", 2, 0, json.dumps({"jobPostings": [{"title": "T5", "externalPath": "/job/5"}]})),
+        ("f", "ashby", 5, 0, json.dumps([{"id": 6, "title": "T6"}])),
+    ]
+    df = spark.createDataFrame(rows, "company string, platform string, variant_rank int, page_no int, body string")
+    got = sorted((r["company"], r["title"]) for r in boards.normalize(df).collect())
+    assert got[:3] == [("a", "T1"), ("b", "T3"), ("d", "T4")] and ("e", "T5") in got and len([g for g in got if g[0] in "abcde"]) == 4
+    # Without ranks every capture counts.
+    assert boards.normalize(df.drop("variant_rank"), ["greenhouse"]).count() == 4
+    # A platform of one's own without a key: a payload that is not blank counts.
+    boards.register_normalizer("own", boards.lever)
+    try:
+        own = [("g", "own", 1, 0, " "), ("g", "own", 2, 0, json.dumps([{"id": 7, "text": "T7"}])), ("g", "own", 3, 0, json.dumps([{"id": 8, "text": "T8"}]))]
+        assert [r["title"] for r in boards.normalize(spark.createDataFrame(own, df.schema), ["own"]).collect()] == ["T7"]
+    finally:
+        del boards.NORMALIZERS["own"], boards.LIST_KEYS["own"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vacantia.functions.location import normalize_location
 from vacantia.functions.pay import pay_node_text
 from vacantia.functions.text import first_non_empty, fragment_text, non_empty, strip
-from vacantia.operators.capture import last_capture
+from vacantia.operators.capture import first_nonempty_variant, last_capture
 from vacantia.schemas import as_jobs
 
 #: Room for this many postings per payload page in ``capture_seq``.
@@ -22,35 +22,62 @@ PAGE_SPAN = 1_000_000
 
 Normalizer = Callable[[DataFrame], DataFrame]
 NORMALIZERS: dict[str, Normalizer] = {}
+#: Name of the list of postings in a platform's payload; null for a bare list, empty if it is not known.
+LIST_KEYS: dict[str, str | None] = {}
 
 
-def register_normalizer(platform: str, fn: Normalizer) -> None:
-    """Add or replace the normalizer of a platform (captures in, JOB_SCHEMA out)."""
-    NORMALIZERS[platform] = fn
+def register_normalizer(platform: str, fn: Normalizer, key: str | None = "") -> None:
+    """Add or replace the normalizer of a platform (captures in, JOB_SCHEMA out). ``key`` names the list of postings in its
+    payload (null: the payload is the list); without it every payload that is not blank counts as listing something."""
+    NORMALIZERS[platform], LIST_KEYS[platform] = fn, key
 
 
-def _normalizer(platform: str):
+def _normalizer(platform: str, key: str | None = None):
     def keep(fn: Normalizer) -> Normalizer:
-        register_normalizer(platform, fn)
+        register_normalizer(platform, fn, key)
         return fn
 
     return keep
 
 
 def normalize(captures: DataFrame, platforms: list[str] | None = None) -> DataFrame:
-    """Union of all platforms' postings."""
+    """Union of all platforms' postings.
+
+    Captures of several addresses of one board carry ``variant_rank``: each company's first variant that lists anything
+    counts, and the others are left out.
+    """
     for name in ("board", "public_base"):
         if name not in captures.columns:
             captures = captures.withColumn(name, F.lit(""))
     out = None
     for platform in platforms or sorted(NORMALIZERS):
-        jobs = NORMALIZERS[platform](captures.filter(F.col("platform") == platform))
+        rows = captures.filter(F.col("platform") == platform)
+        if "variant_rank" in captures.columns:
+            rows = first_listing_variant(rows, LIST_KEYS.get(platform, ""))
+        jobs = NORMALIZERS[platform](rows)
         out = jobs if out is None else out.unionByName(jobs)
     if out is None:
         raise ValueError("no platform given")
     return out
 
 
+def listed_count(key: str | None) -> Column:
+    """How many postings a payload lists; 0 if it cannot be read. Postings are counted as text, none is parsed."""
+    if key == "":
+        return F.when(F.trim("body") != "", F.lit(1)).otherwise(F.lit(0))
+    bare = F.coalesce(F.size(F.from_json("body", "array<string>")), F.lit(0))
+    if key is None:
+        return F.greatest(bare, F.lit(0))
+    nested = F.size(F.from_json("body", f"struct<`{key}`:array<string>>")[key])
+    return F.greatest(F.when(F.ltrim("body").startswith("["), bare).otherwise(F.coalesce(nested, F.lit(0))), F.lit(0))
+
+
+def first_listing_variant(captures: DataFrame, key: str | None) -> DataFrame:
+    """Captures of each company's first variant (lowest ``variant_rank``) with a posting on any of its pages. Only company and
+    rank are aggregated; bodies meet the result in a join."""
+    return first_nonempty_variant(captures, listed_count(key) > 0)
+
+
 def payload_items(captures: DataFrame, key: str | None) -> DataFrame:
     """One row per posting: capture columns without the body, ``item`` (VARIANT) and ``capture_seq``.
 
@@ -106,7 +133,7 @@ def _name_or_text(path: str) -> Column:
     return F.when(_is_object(path), _text(f"{path}.name")).otherwise(_text(path))
 
 
-@_normalizer("greenhouse")
+@_normalizer("greenhouse", "jobs")
 def greenhouse(captures: DataFrame) -> DataFrame:
     rows = payload_items(captures, "jobs").withColumn("content", F.coalesce(_text("$.content"), F.lit("")))
     return as_jobs(
@@ -136,7 +163,7 @@ def lever(captures: DataFrame) -> DataFrame:
     )
 
 
-@_normalizer("ashby")
+@_normalizer("ashby", "jobs")
 def ashby(captures: DataFrame) -> DataFrame:
     rows = payload_items(captures, "jobs")
     # Only an explicit false hides a posting; null and absent flags do not.
@@ -164,7 +191,7 @@ def _place(path: str) -> Column:
     )
 
 
-@_normalizer("gem")
+@_normalizer("gem", "job_posts")
 def gem(captures: DataFrame) -> DataFrame:
     rows = payload_items(captures, "job_posts")
     return as_jobs(
@@ -180,7 +207,7 @@ def gem(captures: DataFrame) -> DataFrame:
     )
 
 
-@_normalizer("recruitee")
+@_normalizer("recruitee", "offers")
 def recruitee(captures: DataFrame) -> DataFrame:
     rows = payload_items(captures, "offers")
     shown = rows.filter(F.coalesce(_text("$.status"), F.lit("published")) == "published")
@@ -264,7 +291,7 @@ def smartrecruiters(captures: DataFrame, details: DataFrame | None = None) -> Da
     )
 
 
-register_normalizer("smartrecruiters", smartrecruiters)
+register_normalizer("smartrecruiters", smartrecruiters, "content")
 
 
 def workday_listing(captures: DataFrame) -> DataFrame:
@@ -345,4 +372,4 @@ def workday(captures: DataFrame, details: DataFrame | None = None) -> DataFrame:
     )
 
 
-register_normalizer("workday", workday)
+register_normalizer("workday", workday, "jobPostings")

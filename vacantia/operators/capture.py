@@ -48,9 +48,9 @@ def enrich_candidates(listings: DataFrame, own_terms: str | None = None,
     return listings.filter(title_is_candidate(F.col("title"), F.col(own_terms) if own_terms else None, terms))
 
 
-def first_nonempty_variant(captures: DataFrame) -> DataFrame:
-    """Rows of each company's first variant (lowest ``variant_rank``) that has any row."""
-    best = captures.groupBy("company").agg(F.min("variant_rank").alias("variant_rank"))
+def first_nonempty_variant(captures: DataFrame, filled: Column | None = None) -> DataFrame:
+    """Rows of each company's first variant (lowest ``variant_rank``) that has any row, or any row that is ``filled``."""
+    best = (captures if filled is None else captures.filter(filled)).groupBy("company").agg(F.min("variant_rank").alias("variant_rank"))
     return captures.join(best, ["company", "variant_rank"], "left_semi")
 
 
