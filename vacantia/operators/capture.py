@@ -23,14 +23,13 @@ BOARD_IDENTITY = r"""wday/cxs/([^/"']+)/([^/"'?]+)"""
 
 
 def last_capture(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: the one captured last where captures have a time (``captured_at``); equal times are told apart by content.
+    """One row per key: the one captured last where captures have a time (``captured_at``), else the greatest.
 
-    Bodies are wide, so they are neither aggregated nor compared: rows are ranked by key, time and content hash, each task passes
-    on its best row per key, and only those are shuffled. A key that fills a third of the input costs one row a task.
+    Bodies are wide, so they are not aggregated: rows are ranked, each task passes on its best row per key, and only those are
+    shuffled. A key that fills a third of the input costs one row a task. Bodies are compared where times are equal only.
     """
-    content = F.xxhash64(*[c for c in rows.columns if c not in keys])
-    order = [F.col("captured_at").desc()] if "captured_at" in rows.columns else []
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, content.desc()))
+    order = [c for c in ("captured_at",) if c in rows.columns] + [c for c in rows.columns if c not in ("captured_at", *keys)]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
     return rows.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
