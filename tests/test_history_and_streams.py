@@ -281,6 +281,22 @@ def test_expiry_starts_from_the_history_and_survives_a_restart(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
 
 
+def test_expiry_runs_no_python_per_key_and_counts_an_absence_to_the_millisecond(spark, tmp_path):
+    folder, hour = str(tmp_path / "in"), datetime.timedelta(hours=1)
+    start = datetime.datetime(2024, 1, 1, 0, 0, 0, 900)
+    times = {"edge": [start, start + 4 * hour], "over": [start, start + 4 * hour + datetime.timedelta(milliseconds=1)], "part": [start, start + 4 * hour + datetime.timedelta(microseconds=50)]}
+    rows = [(key, seen) for key, seens in times.items() for seen in seens]
+    for part in (rows[1:4], rows[:1] + rows[4:], [("end", start + 30 * hour)], [("end", start + 30 * hour)]):
+        spark.createDataFrame(part, "stable_key string, capture_ts timestamp").coalesce(1).write.mode("append").parquet(folder)
+    schema = spark.createDataFrame([], "stable_key string, capture_ts timestamp").schema
+    past = spark.createDataFrame([("over", start - 3 * hour), ("past", start)], "stable_key string, last_seen timestamp")
+    stream = flows.expiry_stream(flows.capture_stream(spark, folder, schema, 1), 4 * 3_600_000, "6 hours", history=past)
+    assert "InPandas" not in stream._jdf.queryExecution().logical().toString()
+    ms = lambda t: int(t.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    got = sorted((r["stable_key"], r["last_seen_ms"]) for r in drain(stream, tmp_path, "out").collect())
+    assert got == sorted([("edge", ms(times["edge"][1])), ("over", ms(start)), ("over", ms(times["over"][1])), ("part", ms(times["part"][1])), ("past", ms(start))])
+
+
 def test_raw_captures_split_at_will_equal_the_batch_and_late_pages_reopen_a_run(spark, tmp_path):
     import json
 

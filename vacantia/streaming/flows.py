@@ -13,6 +13,7 @@ from vacantia.operators.boards import normalize
 from vacantia.operators.history import merge_batch, touched_by_batch
 from vacantia.operators.scoring import Profile
 from vacantia.plans.run import history_rows, scored_postings
+from vacantia.session import scratch_path
 from vacantia.sources.tables import HistoryTable
 
 
@@ -119,78 +120,24 @@ def scored_batches(profile: Profile, platforms: list[str] | None = None) -> Call
     return prepare
 
 
-class _Expiry(StatefulProcessor):
-    """Remembers when a key was seen last and reports it closed once it stayed away too long.
-
-    Sightings are held until the watermark has passed them and then taken in order, so the result does not depend on the
-    order in which they arrive within the watermark's delay.
-    """
-
-    def __init__(self, absence_ms: int):
-        self._absence_ms = absence_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        #: Last sighting that the watermark has passed (null if closed), and the ones that it has not.
-        self._state = handle.getValueState("sightings", "last long, ahead array<long>")
-
-    def _get(self) -> tuple[int | None, list[int]]:
-        if not self._state.exists():
-            return None, []
-        last, ahead = self._state.get()
-        return last, list(ahead)
-
-    def _settle(self, last: int | None, ahead: list[int], watermark: int) -> list[int]:
-        closed, rest = [], []
-        for ms in sorted(set(ahead)):
-            if ms > watermark:
-                rest.append(ms)
-                continue
-            if last is not None and ms > last + self._absence_ms:
-                closed.append(last)
-            last = ms if last is None else max(last, ms)
-        if last is not None and last + self._absence_ms <= watermark:
-            closed.append(last)
-            last = None
-        if last is None and not rest:
-            self._state.clear()
-        else:
-            self._state.update((last, rest))
-            self._handle.registerTimer(min([*rest, *([last + self._absence_ms] if last is not None else [])]))
-        return closed
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        last = int(initialState["ms"].max())
-        self._state.update((last, []))
-        self._handle.registerTimer(last + self._absence_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, ahead = self._get()
-        ahead += [int(ms) for frame in rows for ms in frame["ms"]]
-        yield _expired(key, self._settle(last, ahead, timerValues.getCurrentWatermarkInMs()))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield _expired(key, self._settle(*self._get(), timerValues.getCurrentWatermarkInMs()))
-
-    def close(self) -> None:
-        pass
-
-
-def _expired(key, times: list[int]) -> pd.DataFrame:
-    return pd.DataFrame({"stable_key": [key[0]] * len(times), "last_seen_ms": times}).astype({"stable_key": str, "last_seen_ms": "int64"})
-
-
 def expiry_stream(postings: DataFrame, absence_ms: int, delay: str = "1 day", time: str = "capture_ts",
                   history: DataFrame | None = None) -> DataFrame:
-    """Keys not listed for ``absence_ms``, with the time they were listed last, once per such absence (event time timers).
+    """Keys not listed for ``absence_ms``, with the time they were listed last, once per such absence.
+
+    Sightings of a key that lie ``absence_ms`` apart at most are one session. It is reported when the watermark has passed its last
+    sighting by ``absence_ms``, so the result does not depend on the order in which rows arrive within the watermark's delay,
+    or on how they are split into batches. The state is one row per open session; no Python runs per key. A row that is later than
+    the delay counts while the session that it belongs to is still open.
 
     ``history`` (stable_key, last_seen) is what the stream starts from: the open postings of a batch history; they expire
-    also if the stream never lists them. What is reported does not depend on how the rows are split into batches.
+    also if the stream never lists them. It arrives with the first batch; read once more after a restart, it changes nothing.
     """
-    timed = postings.withColumn("ms", F.unix_millis(F.col(time))).withWatermark(time, delay)
-    start = None
+    rows = postings.select("stable_key", F.col(time).alias("seen"))
     if history is not None:
-        start = history.groupBy("stable_key").agg(F.max(F.unix_millis("last_seen")).alias("ms")).groupBy("stable_key")
-    return timed.select("stable_key", "ms", time).groupBy("stable_key").transformWithStateInPandas(
-        statefulProcessor=_Expiry(absence_ms), outputStructType="stable_key string, last_seen_ms long",
-        outputMode="Append", timeMode="EventTime", initialState=start)
+        spark = postings.sparkSession
+        past, path = history.select("stable_key", F.col("last_seen").alias("seen")), scratch_path(spark, "expiry-history")
+        past.write.parquet(path)
+        rows = spark.readStream.schema(past.schema).parquet(path).unionByName(rows)
+    timed = rows.withColumn("seen", F.timestamp_millis(F.unix_millis("seen"))).withWatermark("seen", delay)
+    sessions = timed.groupBy("stable_key", F.session_window("seen", f"{absence_ms} milliseconds"))
+    return sessions.agg(F.max(F.unix_millis("seen")).alias("last_seen_ms")).select("stable_key", "last_seen_ms")
