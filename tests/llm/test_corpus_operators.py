@@ -448,6 +448,55 @@ def test_passages_of_repeated_lines(spark):
     assert {a: (n, passage_cover(got, a, a + 1)) for a, n in lines if passage_cover(got, a, a + 1) < n} == {}
 
 
+def test_rows_of_repeated_runs_do_not_grow_with_the_repeats(spark, monkeypatch):
+    rng = random.Random(43)
+    line = words(rng, 2)
+    rows = [(k, " ".join(words(rng, 20) + line * (150 + 10 * k) + words(rng, 20))) for k in range(6)]
+    counts, run_matches = [], passages._run_matches
+
+    def counted(*given):
+        matches = run_matches(*given)
+        counts.append(matches.count())
+        return matches
+
+    monkeypatch.setattr(passages, "_run_matches", counted)
+    got = passages.shared_passages(documents(spark, rows)).collect()
+    # Two runs of at most four blocks in each of five texts, and not one row a place.
+    assert 10 <= counts[0] <= 40
+    holder = {r["other_id"] for r in got}
+    assert len(holder) == 1 and {r["doc_id"] for r in got} == set(range(6)) - holder
+    assert all(passage_cover(got, k, *holder) >= 300 + 20 * k for k in range(6) if k not in holder)
+
+
+def test_passages_with_a_single_seed_are_aligned(spark):
+    rng = random.Random(47)
+    rows = []
+    for size, edits in ((60, 6), (100, 15)) * 25:
+        passage = words(rng, size)
+        other = passage[:]
+        for at in rng.sample(range(5, size - 5), edits):
+            other[at] = words(rng, 1)[0]
+        rows += [(len(rows) + k, " ".join(words(rng, 60) + p + words(rng, 60))) for k, p in enumerate((passage, other))]
+    # Texts that share a seed's words only.
+    seed = words(rng, 12)
+    rows += [(len(rows) + k, " ".join(words(rng, 60) + seed + words(rng, 60))) for k in range(20)]
+    got = passages.shared_passages(documents(spark, rows)).collect()
+    assert all(r["identity"] >= passages.MIN_IDENTITY and {r["doc_id"] // 2, r["other_id"] // 2} == {r["doc_id"] // 2} for r in got)
+    found = {r["doc_id"] // 2 for r in got}
+    assert not any(k >= 50 for k in found) and len(found) >= 43, len(found)
+
+
+def test_sides_of_a_seed():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    bits = lambda part: int(np.bitwise_or.reduce(np.uint64(1) << (part & np.uint64(63)))) if len(part) else 0
+    at = np.array([0, 5, 100, 194])
+    before, behind = passages.sides(values, at)
+    for k, word in enumerate(at.tolist()):
+        assert int(before[k]) == bits(values[max(0, word - passages.SIDE):word])
+        assert int(behind[k]) == bits(values[word + passages.K:word + passages.K + passages.SIDE])
+
+
 def test_passages_of_long_words(spark):
     rng = random.Random(41)
     clause = lambda n: ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(33)) for _ in range(n)]
