@@ -257,3 +257,30 @@ def test_headings_parse_pages_once(spark):
     assert "MapInArrow" not in plan and "MapInPandas" not in plan
     rows = jobs.select("company", "title", "location", F.length("description").alias("n")).collect()
     assert [(r["company"], r["title"], r["location"]) for r in rows] == [("c", "Chemist", "Oslo")] and rows[0]["n"] > 20
+
+
+def test_plain_tags_are_read_without_the_parser(spark, monkeypatch):
+    from html.parser import HTMLParser
+
+    class Slow(dom._PageReader):
+        parse_starttag = HTMLParser.parse_starttag
+
+    def read(reader, *htmls):
+        found = dom._Nodes()
+        for html in htmls:
+            monkeypatch.setattr(dom, "_PageReader", reader)
+            assert dom._read_page(found, html, "https://x.org/a/b") is None
+            monkeypatch.undo()
+        return [column.to_pylist() for column in found.arrays()]
+
+    plain = "<ul>" + "<li class='x'><a href='/jobs/1'>A &amp; B</a> <b>c</b></li>\n" * 50 + "</ul>"
+    odd = (
+        "<H1>a</H1><a HREF='/x' href='/y'>b</A>c<br>d</br><img src='/i'></img><script type='application/ld+json'>{'<a>'}</script><title>t<b>u</b></title>"
+        "<template><i>no</i>no</template>z<a href=\"?q&amp;r\">e</a><a href='/s'/>f<p>1 < 2 & 3</p></p><!-- <a> --><rt>g</rt><rt>h<i>j</i></rt><h2></h2>"
+        "<iframe src='https://b.com/1'></iframe><div><a name='n'> </a><article><a href='../u'>k</a>l")
+    assert read(dom._PageReader, plain, odd, "", plain + odd) == read(Slow, plain, odd, "", plain + odd)
+
+    asked = []
+    monkeypatch.setattr(HTMLParser, "check_for_whole_start_tag", lambda self, i: asked.append(i))
+    read(dom._PageReader, plain)
+    assert asked == []

@@ -7,12 +7,14 @@ aggregate that combines on the map side, so a URL repeated on every page is no h
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vacantia.functions.regex import FLAGS, folded, plain_words
 from vacantia.functions.text import (
     compute_once, first_non_empty, fragment_text, heading_url, last_path_part, let, non_empty, squash_ws, strip, synthetic_id,
     url_host, url_path,
@@ -109,8 +111,16 @@ def _c(name: str) -> Column:
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    """True when the text holds one of the words, in one search."""
-    return text.rlike("|".join(re.escape(word) for word in words))
+    """True when the text holds one of the words; each is searched as it stands, which costs less than an alternation."""
+    return let(text, lambda t: reduce(or_, [t.contains(word) for word in words]))
+
+
+def has_word(text: Column, pattern: str) -> Column:
+    """``text.rlike(pattern)`` for a pattern of plain words in any case, without a regular expression."""
+    words = plain_words(pattern.removeprefix(FLAGS).removeprefix("(").removesuffix(")"))
+    # A word that holds another one adds nothing.
+    least = [w for w in dict.fromkeys(words) if not any(o != w and o in w for o in words)]
+    return F.when(text.isNotNull(), contains_any(folded(text), tuple(least)))
 
 
 def _low() -> Column:
@@ -123,10 +133,9 @@ def is_generic(label: Column) -> Column:
 
 def likely_job_link(link: Column, label: Column, page_url: Column) -> Column:
     """A link to a posting: by its shape, a known board host, or a fitting title on the same host."""
-    host = url_host(link)
-    usable = (link != "") & ~link.rlike("^(?:mailto:|tel:|javascript:)")
-    shape = link.rlike(BROWSER_JOB) | contains_any(host, BROWSER_HOSTS)
-    return usable & (shape | ((host == url_host(page_url)) & label.rlike(BROWSER_TITLE)))
+    usable = (link != "") & ~(link.startswith("mailto:") | link.startswith("tel:") | link.startswith("javascript:"))
+    return usable & (has_word(link, BROWSER_JOB) | let(url_host(link), lambda host: (
+        contains_any(host, BROWSER_HOSTS) | ((host == url_host(page_url)) & has_word(label, BROWSER_TITLE)))))
 
 
 @dataclass(frozen=True)
@@ -168,9 +177,10 @@ def _kula_base() -> Column:
 
 
 def _career_keep() -> Column:
-    host, link = url_host(_c("link")), _c("link")
-    known = (host == url_host(_c("page_url"))) | contains_any(host, CAREER_HOSTS) | contains_any(link, CAREER_HOSTS)
-    return _labelled(_not_root() & _c("label").rlike(CAREER_TITLE) & known & contains_any(F.lower(link), CAREER_WORDS))
+    link = _c("link")
+    known = let(url_host(link), lambda host: (
+        (host == url_host(_c("page_url"))) | contains_any(host, CAREER_HOSTS) | contains_any(link, CAREER_HOSTS)))
+    return _labelled(_not_root() & has_word(_c("label"), CAREER_TITLE) & known & contains_any(F.lower(link), CAREER_WORDS))
 
 
 def _ultipro_keep(min_label: int = ULTIPRO_MIN_LABEL) -> Column:
@@ -181,10 +191,11 @@ def _ultipro_keep(min_label: int = ULTIPRO_MIN_LABEL) -> Column:
 def _browser_keep() -> Column:
     link, label = _c("link"), _c("label")
     front_page = F.rtrim(url_path(link), F.lit("/")).isin("", "/careers")
-    unlabelled_navigation = (squash_ws(label) == "") & ~link.rlike(BROWSER_JOB) & front_page
+    unlabelled_navigation = (squash_ws(label) == "") & ~has_word(link, BROWSER_JOB) & front_page
+    # What costs little and decides most comes first.
     return (
-        (_c("href") != "") & ~is_generic(label) & ~unlabelled_navigation
-        & likely_job_link(link, label, _c("page_url")) & ~contains_any(_low(), BROWSER_NAV)
+        (_c("href") != "") & likely_job_link(link, label, _c("page_url")) & ~contains_any(_low(), BROWSER_NAV)
+        & ~is_generic(label) & ~unlabelled_navigation
     )
 
 
@@ -372,7 +383,7 @@ def career_page_jobs(anchors: DataFrame, facts: DataFrame, listed: DataFrame | N
     p, captured = _c("posting"), F.coalesce("captured", F.lit(False))
     own = p.isNotNull()
     url = F.when(own, first_non_empty(p["url"], _c("url"))).otherwise(_c("url"))
-    heading = F.when(captured & _c("heading").rlike(CAREER_TITLE), _c("heading"))
+    heading = F.when(captured & has_word(_c("heading"), CAREER_TITLE), _c("heading"))
     return _base(
         rows, url=url,
         title=F.when(own, p["title"]).otherwise(F.coalesce(heading, _c("title"))),
@@ -398,7 +409,7 @@ def browser_heading_jobs(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("company", "page_url", "page_no", F.explode(heads).alias("h")).select(
         "company", "page_url", "page_no", "h.*")
     kept = rows.filter(
-        (_c("title") != "") & _c("title").rlike(BROWSER_HEADING) & ~is_generic(_c("title")))
+        (_c("title") != "") & has_word(_c("title"), BROWSER_HEADING) & ~is_generic(_c("title")))
     first = first_by_url(kept.withColumn("url", heading_url(_c("page_url"), _c("title"))))
     return as_jobs(
         first, company=_c("company"), title=_c("title"), url=_c("url"), source=F.lit("browser_career"),
