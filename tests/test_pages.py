@@ -284,3 +284,30 @@ def test_plain_tags_are_read_without_the_parser(spark, monkeypatch):
     monkeypatch.setattr(HTMLParser, "check_for_whole_start_tag", lambda self, i: asked.append(i))
     read(dom._PageReader, plain)
     assert asked == []
+
+
+def test_plain_words_need_no_pattern(spark):
+    from pyspark.sql import functions as F
+
+    pattern = "(?iuUd)(kis|data kiss|/job/)"
+    letters = [*map(chr, range(1, 0xD800)), chr(0x1F600)]
+    rows = [(text,) for c in letters for text in (c + "is", "k" + c + "s", "ki" + c)] + [("x/JOB/",), ("DATA KIS",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "text string")
+    same = df.filter(~F.col("text").rlike(pattern).eqNullSafe(links.has_word(F.col("text"), pattern)))
+    assert same.collect() == []
+    assert df.filter(links.has_word(F.col("text"), pattern)).count() == df.filter(F.col("text").rlike(pattern)).count() > 3
+
+    parsed = parse(spark, "<a href='/jobs/1'>Chemist</a>")
+    for found in (links.embedded_boards(parsed), links.entry_links(dom.page_links(parsed, ["company", "page_url", "page_no"]))):
+        assert "RLIKE" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entry_links_of_companies_with_many_job_links(spark):
+    jobs = "".join(f"<a href='/jobs/{i}'>Chemist {i}</a>" for i in range(50))
+    df = spark.createDataFrame([
+        ("c", "https://x.org/", 0, "<a href='/o'>View all jobs</a>" + jobs), ("c", "https://x.org/", 1, "<a href='/p'>Open roles now</a>"),
+        ("d", "https://y.org/", 0, "<a href='/o'>View all jobs</a><a href='http://[x'>Open roles now</a><a href='/o'>Search jobs</a>")], PAGE)
+    found = links.entry_links(dom.page_links(dom.parse_pages(df), ["company", "page_url", "page_no"])).orderBy("rank")
+    assert found.columns == ["company", "url", "label", "page_no", "seq", "rank"]
+    assert [(r["company"], r["url"], r["label"]) for r in found.collect()] == [
+        ("d", "https://y.org/o", "View all jobs"), ("d", None, "Open roles now")]

@@ -419,20 +419,21 @@ def browser_heading_jobs(parsed: DataFrame) -> DataFrame:
 def entry_links(anchors: DataFrame, own_terms: tuple[str, ...] = (), limit: int = ENTRY_LIMIT) -> DataFrame:
     """First ``limit`` distinct links whose label leads to a job list, for companies without any job link."""
     label = _c("label")
-    match = label.rlike(ENTRY_TEXT)
+    match = has_word(label, ENTRY_TEXT)
     for term in own_terms:
         match = match | F.lower(label).contains(term.lower())
     # Null flags (a link that could not be resolved) count as no.
-    flagged = anchors.select(
-        "company", _c("link").alias("url"), "label", "page_no", "seq",
-        F.coalesce(_browser_keep(), F.lit(False)).alias("is_job"),
-        F.coalesce((_c("href") != "") & ~is_generic(label) & match, F.lit(False)).alias("is_entry"))
-    # One pass: job links sort first, so a company that has any shows it among its first rows.
-    first = first_by_url(flagged.filter(_c("is_job") | _c("is_entry")), "company", "url", "is_job")
+    flagged = compute_once(anchors.select("company", "page_url", "href", "link", "label", "page_no", "seq"), {
+        "is_job": F.coalesce(_browser_keep(), F.lit(False)),
+        "is_entry": F.coalesce((_c("href") != "") & match & ~is_generic(label), F.lit(False))})
+    # One pass: job links sort first, so a company that has any shows it among its first rows. One of them says it all.
+    entry = lambda name: F.when(~_c("is_job"), _c(name))
+    first = first_by_url(flagged.filter(_c("is_job") | _c("is_entry")).select(
+        "company", entry("link").alias("url"), entry("label").alias("label"), "page_no", "seq", "is_job"), "company", "url", "is_job")
     by_company = Window.partitionBy("company")
     rank = F.row_number().over(by_company.orderBy(F.desc("is_job"), "page_no", "seq"))
     top = first.withColumn("rank", rank).filter(_c("rank") <= limit)
-    return top.withColumn("_jobs", F.max("is_job").over(by_company)).filter(~_c("_jobs")).drop("_jobs", "is_job", "is_entry")
+    return top.withColumn("_jobs", F.max("is_job").over(by_company)).filter(~_c("_jobs")).drop("_jobs", "is_job")
 
 
 def external_links(anchors: DataFrame, limit: int = EXTERNAL_LIMIT) -> DataFrame:
