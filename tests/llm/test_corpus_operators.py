@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -500,6 +501,59 @@ def test_passages_with_a_single_seed_are_aligned(spark):
     assert not any(k >= 50 for k in found) and len(found) >= 43, len(found)
 
 
+def test_runs_of_many_texts_are_found_together():
+    rng = random.Random(59)
+    line = words(rng, 3)
+    texts = [words(rng, rng.choice([1, 5, 49, 50, 51, 120, 300])) for _ in range(200)]
+    texts += [line * 60, words(rng, 20) + line * 30 + words(rng, 70), line[:1] * 90, texts[7] + texts[8], ["\u00e9\u4e2d"] * 3 + words(rng, 80)]
+    seeds, places, begins, _ = passages.text_seeds([" ".join(t).encode() for t in texts])
+    rows = []
+    for k, text in enumerate(texts):
+        at = [p & 0xFFFFFFFF for p in places[begins[k]:begins[k + 1]].tolist() if k % 2 or rng.random() < 0.9]
+        rows.append((k, " ".join(text), rng.sample(at, len(at)) + at[:1]))
+    rows = [r for r in rows if r[2]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.list_(pa.int64())))], ["node", "text", "covers"])
+    found = lambda b: [x.to_pylist() for x in passages._run_batches(iter([b]))]
+    together = found(batch)
+    # One batch a slice of texts, not one a text.
+    assert len(together) == 1
+    assert together[0] == [r for k in range(len(rows)) for r in found(batch.slice(k, 1))[0]]
+    for got, (k, text, covers) in zip(together[0], rows):
+        length, windows = len(texts[k]), passages.MIN_WORDS - passages.K - passages.WINDOW + 2
+        bare = [not any(a <= c < a + passages.WINDOW for c in covers) for a in range(length)]
+        expected = [a for a in range(length - passages.MIN_WORDS + 1) if not any(bare[a:a + windows]) and len(set(texts[k][a:a + passages.MIN_WORDS])) > 1]
+        again = [i["place"] for r in got["again"] for i in r["items"]]
+        assert sorted(p & 0xFFFFFFFF for p in got["places"] + again) == expected
+        assert all(len(text.encode()[:p >> 32].split()) == p & 0xFFFFFFFF for p in got["places"] + again)
+        assert all(len(r["items"]) > 1 and r["items"] == sorted(r["items"], key=lambda i: i["place"]) for r in got["again"])
+        assert [s["place"] & 0xFFFFFFFF for s in got["seeds"]] == sorted(set(covers))
+
+
+def test_chains_of_many_pairs_are_those_of_each_pair():
+    rng = random.Random(61)
+    rows, expected = [], []
+    for node in range(300):
+        n, step = rng.choice([1, 1, 2, 5, 12]), rng.choice([3, 20, 50, 90])
+        x, y = (np.cumsum([rng.randint(1, step) for _ in range(n)]) for _ in range(2))
+        if node % 3 == 0:
+            y = np.array(rng.sample(y.tolist(), n))
+        alike = [rng.random() < 0.2 for _ in range(n)]
+        pair = [(node, node // 2 - 500, int(a) << 32 | int(a), int(b) << 32 | int(b), 0, 0, c, []) for a, b, c in zip(x, y, alike)]
+        rows += rng.sample(pair, n)
+        expected += [
+            (node, x[c].tolist(), y[c].tolist()) for c in passages.chains(x, y)
+            if len(c) >= passages.MIN_SEEDS and x[c[-1]] - x[c[0]] + passages.K >= passages.MIN_CHAIN or any(alike[k] for k in c)]
+    repeat = pa.struct([("place", pa.int64()), ("other_place", pa.int64()), ("width", pa.int32()), ("other_width", pa.int32())])
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.list_(repeat)]
+    names = [c.split()[0] for c in passages.MATCH.split(", ")] + ["repeats"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    got = [r for size in (7, len(rows)) for b in passages._chain_batches(iter(pa.Table.from_batches([batch]).to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    assert len(expected) > 100
+    assert [(r["node"], r["x"], r["y"]) for r in got] == expected * 2
+    assert all((r["x_first"], r["x_last"], r["y_first"], r["y_last"]) == (r["x"][0], r["x"][-1], r["y"][0], r["y"][-1]) for r in got)
+
+
 def test_sides_of_a_seed():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 1 << 63, 200).astype(np.uint64)
